@@ -117,5 +117,43 @@ def op8(docs: str = "documents") -> str:
     return f"with {mixed(docs)} select *, md5('order {q.MIX_SEED}:' || coalesce(doc_id::varchar, '') || ':' || copy) as shuffle_key from mixed"
 
 
+def letters(c: str) -> str:
+    return f"regexp_extract_all({az(f'coalesce({c}, {chr(39) * 2})')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def hits(docs: str) -> str:
+    """CTEs, the last of which, hits, has (rid, n_hit, n_items, ids) of the rows of docw, the docs with a number and their words."""
+    return f"""docw as (select *, row_number() over () as rid, {letters("text")} as w from {docs}),
+itemw as (select coalesce(item_id::varchar, '') as id, {letters("text")} as w from benchmark),
+pats as (select distinct id, least(10, len(w)) as m, w[i:i + least(10, len(w)) - 1] as g from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from itemw where len(w) > 0)),
+docg as (select rid, m, i, w[i:i + m - 1] as g from (select rid, w, m, unnest(range(1, len(w) - m + 2)) as i from docw, (select distinct m from pats) where len(w) >= m)),
+occ as (select rid, i, docg.m, id from docg join pats using (m, g)),
+hitw as (select rid, count(distinct i + k) as n_hit from (select rid, i, unnest(range(m)) as k from occ) group by rid),
+hits as (select rid, n_hit, n_items, ids from hitw join (select rid, count(distinct id) as n_items, string_agg(distinct id, ',' order by id) as ids from occ group by rid) using (rid))"""
+
+
+def op4(docs: str = "documents") -> str:
+    return f"""with {hits(docs)}
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docw left join hits using (rid)"""
+
+
+def op9(docs: str = "documents") -> str:
+    rows = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in q.LICENSES)
+    return f"""
+with tw as (select id, {letters("t")} as w from (values {rows}) v(id, t)),
+tc as (select id, w, least(5, len(w)) as n, greatest(least(5, len(w)), (2 ** ceil(log2(len(w))))::bigint) as span from tw),
+tg as (select distinct id, n, span, w[i:i + n - 1] as g from (select *, unnest(range(1, len(w) - n + 2)) as i from tc)),
+tn as (select id, n, span, count(*) as total from tg group by all),
+dw as (select *, row_number() over () as rid, {letters("text")} as w from {docs}),
+dg as (select rid, n, i - 1 as p, w[i:i + n - 1] as g from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, (select distinct n from tg) where len(w) >= n)),
+hit as (select rid, id, tg.n, span, g, p from dg join tg using (n, g)),
+win as (select rid, id, s * span as a, count(distinct g) as c from (select *, unnest(range(greatest(0, p // span - 2), p // span + 1)) as s from hit) where p <= s * span + 3 * span - n group by all),
+ok as (select rid, id, count(*) as windows, max(c / total) as best from win join tn using (id) where c >= ceil(0.75 * total - 1e-9) group by all),
+per as (select rid, count(*) as n_licenses, string_agg(id, ',' order by id) as license_ids, sum(windows)::bigint as n_windows, max(best) as max_containment from ok group by rid)
+select doc_id, coalesce(n_licenses, 0)::bigint as n_licenses, coalesce(license_ids, '') as license_ids, coalesce(n_windows, 0)::bigint as n_windows, max_containment
+from dw left join per using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": op1(), "op2_urls": op2(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8()}
+    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9()}

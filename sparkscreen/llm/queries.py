@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality, urls
+from . import chat, decontam, licenses, lines, mixing, quality, urls
 
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -16,6 +16,16 @@ BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "c
 #: Target shares by source; the rest is for all others.
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.25, "src1": 0.1, "src2": 0.1, "src3": 0.05}, 0.5, 17
 LINE_RATIO, LINE_PAGES = 0.1, 5
+#: Notices that stand for licenses.
+LICENSES = [
+    ("all-rights-reserved", "All rights reserved."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit", "Released under the MIT License."),
+    ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +75,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REST, MIX_SEED)
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontam.find_contamination(docs.select("doc_id", "text"), items, columns=["doc_id"]).withColumn("n_hit", decontam.n_hit())
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        "n_hit",
+        F.size("found.items").cast("bigint").alias("n_items"),
+        sha(F.array_join("found.items", ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(LICENSES, "license_id string, text string")
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), templates, columns=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("bigint").alias("n_licenses"),
+        F.array_join(F.col("matches.license_id"), ",").alias("license_ids"),
+        F.aggregate("matches", F.lit(0).cast("bigint"), lambda n, m: n + m["n_windows"]).alias("n_windows"),
+        F.array_max(F.col("matches.containment")).alias("max_containment"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_urls, op5_quality, op7_lines, op8_mixing)}
+    return {f.__name__: f for f in (op1_chat, op2_urls, op4_decontam, op5_quality, op7_lines, op8_mixing, op9_licenses)}
