@@ -155,5 +155,21 @@ select doc_id, coalesce(n_licenses, 0)::bigint as n_licenses, coalesce(license_i
 from dw left join per using (rid)"""
 
 
+def grouped(docs: str) -> str:
+    """CTEs, the last of which, grouped, has (doc_id, n_shingles, component_id) of the rows of docs."""
+    return f"""sw as (select doc_id, {words(az("text"))} as w from {docs}),
+sg as (select distinct doc_id, case when len(w) < 5 then w else w[i:i + 4] end as g from (select *, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from sw where len(w) > 0)),
+sn as (select doc_id, count(*) as n from sg group by doc_id),
+sp as (select a.doc_id as a, b.doc_id as b, count(*) as c from sg a join sg b using (g) where a.doc_id < b.doc_id group by all),
+sl as (select a, b from sp join sn x on a = x.doc_id join sn y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+se as (select a, b from sl union all select b, a from sl),
+sc as (with recursive r(a, b) as (select a, b from se union select r.a, se.b from r join se on r.b = se.a) select a, min(b) as b from r group by a),
+grouped as (select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) as component_id from sw w left join sn using (doc_id) left join sc on w.doc_id = sc.a)"""
+
+
+def op10(docs: str = "documents") -> str:
+    return f"with recursive {grouped(docs)} select doc_id, n_shingles, component_id from grouped"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9()}
+    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10()}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, mixing, quality, urls
+from . import chat, decontam, jaccard, licenses, lines, mixing, quality, urls, warc
+from .common import shared_folder, written
 
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -59,13 +60,19 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import written
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured = written(quality.measure(docs).drop("text"))
     return quality.judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read_warc(spark, path).select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to")
+    )
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return lines.drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -100,5 +107,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_urls, op4_decontam, op5_quality, op7_lines, op8_mixing, op9_licenses)}
+    return {f.__name__: f for f in (op1_chat, op2_urls, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard)}
