@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, lines, mixing, quality, urls, warc
+from . import chat, decontam, jaccard, licenses, lines, lm, mixing, quality, urls, warc
 from .common import shared_folder, written
 
 #: Rules of the URL filter: host, path, verdict.
@@ -16,6 +16,8 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 #: Target shares by source; the rest is for all others.
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.25, "src1": 0.1, "src2": 0.1, "src3": 0.05}, 0.5, 17
+#: The vocabulary file of the language model, read where the driver runs.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LINE_RATIO, LINE_PAGES = 0.1, 5
 #: Notices that stand for licenses.
 LICENSES = [
@@ -82,6 +84,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REST, MIX_SEED)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontam.find_contamination(docs.select("doc_id", "text"), items, columns=["doc_id"]).withColumn("n_hit", decontam.n_hit())
@@ -112,4 +118,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_urls, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard)}
+    return {f.__name__: f for f in (op1_chat, op2_urls, op3_lm, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard)}
