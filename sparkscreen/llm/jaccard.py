@@ -8,15 +8,16 @@ equal sets are one class, whose smallest id represents it; the join is over repr
    documents, batch by batch, and only decides how much work there is, never the result.
 2. Groups. The prefix rows meet by token (frequent tokens salted by document). A token's smallest document is its pivot,
    and a document joins the group of the pivot it shares most tokens with, in blocks of about BLOCK members that the pivot
-   joins too. Inside a block links are found exactly, by expanding found members until none is left; so groups are sets of
-   similar documents, and members that a chain of links connects need not be compared again.
-3. Matrix. For tokens that documents of different components share, the matrix has a row (token, group), with group a block
-   of a component. A document whose prefix has such a token queries the group: first its tokens are held against the
-   union of the group's tokens, which bounds its overlap with every member; only if 75 % of its own tokens are there is
-   the group opened and its members compared.
-
-Every pair that shares a prefix token is either in one component already or compared, so no link is lost, and no task
-holds more than a block and its queries. Nulls and empty texts have no shingles and link with nothing; a null id is the
+   joins too. So groups hold similar documents, and links inside a block are found there: found members are expanded
+   until none is left, and members that a chain of links connects are not compared again.
+3. Matrix. It has a row (token, group) for the prefix tokens of a group's members. A document queries another group that
+   has tokens of its prefix: the number of these and the sizes of the group's members bound the overlap first, then the
+   union of all tokens of the group; only groups that can reach 75 % are opened and their members compared.
+   Groups whose members are in the document's component already need no query.
+
+Comparing starts with sizes and with the tokens of the lowest 30 % of hashes, which bound the difference of two sets.
+Every pair that shares a prefix token is in one component already, or one cannot reach the other by an exact bound, or the
+two are compared; so no link is lost, and no task holds more than a block and its queries. Nulls and empty texts have no shingles and link with nothing; a null id is the
 smallest id. Rows that share an id are one node of the graph, so their links are those of all their texts. Repeated rows
 are returned as rows. An empty table gives no rows. A full set is held in one row, so its text must fit in a row.
 """
@@ -39,8 +40,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Members of a block, and queries that meet a block in one group.
 BLOCK = 256
-#: Share of a batch's documents from which a token counts as frequent, and the most tokens that are sent to the tasks.
-FREQUENT_SHARE, MOST_FREQUENT = 0.002, 1 << 18
+#: Share of a batch's documents (and least number) from which a token counts as frequent, and the most that are sent to the tasks.
+FREQUENT_SHARE, FREQUENT_DOCS, MOST_FREQUENT = 0.0004, 3, 1 << 19
+#: Tokens below this number (of the signed hashes) are compared first.
+LOW = -(1 << 63) + (1 << 64) * 3 // 10
 #: Parts over which a frequent token's documents are spread.
 SALTS = 64
 NULL_ID = -(1 << 63)
@@ -77,23 +80,22 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, sets = texts(batch.column("text")), []
-            many: dict[int, int] = {}
+            raw = texts(batch.column("text"))
+            tokens = []
             for a, b in chunks(raw):
                 sets = sets_of(raw[a:b])
                 n = np.fromiter(map(len, sets), np.int64, b - a)
-                with np.errstate(over="ignore"):
-                    c1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                    c2 = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
+                flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+                total = lambda h: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])[ends])  # noqa: B023, E731
+                c1, c2 = total(mixed(flat)), total(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)))
                 nothing = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), nothing], names=["doc", "n", "c1", "c2", "token"])
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= max(3, FREQUENT_SHARE * (b - a))
-                for t, c in zip(token[often].view(np.int64).tolist(), count[often].tolist(), strict=True):
-                    many[t] = many.get(t, 0) + c
-            if many:
-                nothing = pa.nulls(len(many), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, pa.array(list(many.values()), pa.int64()), nothing, nothing, pa.array(list(many), pa.int64())], names=["doc", "n", "c1", "c2", "token"])
+                tokens.append(flat)
+            if tokens:
+                token, count = np.unique(np.concatenate(tokens), return_counts=True)
+                often = count >= max(FREQUENT_DOCS, FREQUENT_SHARE * len(raw))
+                nothing = pa.nulls(int(often.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, pa.array(count[often]), nothing, nothing, pa.array(token[often].view(np.int64))], names=["doc", "n", "c1", "c2", "token"])
 
     found = written(docs.mapInArrow(scan, "doc bigint, n bigint, c1 bigint, c2 bigint, token bigint"))
     return found.where("token is null").drop("token"), found.where("token is not null").select("token", F.col("n").alias("count"))
@@ -101,7 +103,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _frequent(counts: DataFrame) -> np.ndarray:
     top = counts.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -114,14 +116,16 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             raw, ids = texts(batch.column("text")), batch.column("doc").to_numpy()
             for a, b in chunks(raw):
                 token, size, often = [], [], []
-                for s in sets_of(raw[a:b]):
-                    common = np.isin(s, known) if len(known) else np.zeros(len(s), bool)
+                sets = sets_of(raw[a:b])
+                flat = np.concatenate(sets)
+                seen = known[np.searchsorted(known, flat).clip(max=len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+                for s, common in zip(sets, np.split(seen, np.cumsum([len(s) for s in sets])[:-1]), strict=True):
                     keep = np.argsort(common, kind="stable")[: prefix_length(len(s)) if len(s) else 0]
                     token.append(s[keep])
                     often.append(common[keep])
                     size.append(len(keep))
                 doc = np.repeat(ids[a:b], size)
-                salt = np.where(np.concatenate(often), (mixed(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+                salt = np.where(np.concatenate(often), (mixed(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(salt), pa.array(doc)], names=["token", "salt", "doc"])
 
     return docs.mapInArrow(emit, "token bigint, salt int, doc bigint")
@@ -163,74 +167,101 @@ def groups_in(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 
 
 def _lists(group: pa.Table) -> list[np.ndarray]:
+    """The tokens of each row, in signed order."""
     column = group.column("tokens").combine_chunks()
     values, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-    return [np.sort(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]  # signed order
-
-
-def overlaps(query: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many tokens of each of the sets that lie one after the other in flat the query has."""
-    found = query[np.searchsorted(query, flat).clip(max=len(query) - 1)] == flat
-    return np.add.reduceat(found, starts, dtype=np.int64)
-
-
-def connect(docs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(member, root) for all members of a block that are not roots; roots are in no link with others' members."""
-    links, open_ = [], list(range(len(docs)))
-    while len(open_) > 1:
-        root, open_ = open_[0], open_[1:]
+    return [np.sort(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def common_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    return int((a[np.searchsorted(a, b).clip(max=len(a) - 1)] == b).sum()) if len(a) else 0
+
+
+class Block:
+    """Sets by size, with their low tokens in one flat array."""
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray]):
+        order = sorted(range(len(docs)), key=lambda i: len(sets[i]))
+        self.docs, self.sets = np.array([docs[i] for i in order]), [sets[i] for i in order]
+        self.order = order
+        self.sizes = np.array([len(x) for x in self.sets])
+        low = [x[: np.searchsorted(x, LOW)] for x in self.sets]
+        self.low = np.array([len(x) for x in low])
+        self.flat, self.starts = np.concatenate(low), np.concatenate([[0], np.cumsum(self.low)])
+
+    def near(self, x: np.ndarray, alive: np.ndarray) -> list[int]:
+        """The members, of those alive, that x is linked with."""
+        n = len(x)
+        a, b = np.searchsorted(self.sizes, -(-NUM * n // DEN)), np.searchsorted(self.sizes, n * DEN // NUM, "right")
+        if a >= b or not alive[a:b].any():
+            return []
+        own = x[: np.searchsorted(x, LOW)]
+        flat = self.flat[self.starts[a] : self.starts[b]]
+        found = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool)
+        sums = np.concatenate([[0], np.cumsum(found)])
+        common = np.diff(sums[self.starts[a : b + 1] - self.starts[a]])
+        apart = len(own) + self.low[a:b] - 2 * common  # a part of what may differ
+        may = alive[a:b] & (apart * (DEN + NUM) <= (n + self.sizes[a:b]) * (DEN - NUM))
+        return [i for i in (np.flatnonzero(may) + a).tolist() if linked(n, int(self.sizes[i]), common_tokens(x, self.sets[i]))]
+
+
+def connect(docs: list[int], sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
+    """(member, root) for all members of a block that are not roots; no member is linked with one of another root. The
+    search begins at number first."""
+    block = Block(docs, sets)
+    links, alive = [], np.ones(len(docs), bool)
+    for root in sorted(range(len(docs)), key=lambda i: block.order[i] != first):
+        if not alive[root]:
+            continue
+        alive[root] = False
         frontier = [root]
-        while frontier and open_:
-            x = frontier.pop(0)
-            sizes = np.array([len(sets[i]) for i in open_])
-            common = overlaps(sets[x], np.concatenate([sets[i] for i in open_]), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            near = linked(len(sets[x]), sizes, common)
-            found = [i for i, y in zip(open_, near, strict=True) if y]
-            links += [(docs[i], docs[root]) for i in found]
+        while frontier and alive.any():
+            found = block.near(block.sets[frontier.pop(0)], alive)
+            links += [(int(block.docs[i]), int(block.docs[root])) for i in found]
+            alive[found] = False
             frontier += found
-            open_ = [i for i, y in zip(open_, near, strict=True) if not y]
     return links
 
 
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
 def _block_links(rows: DataFrame) -> DataFrame:
     """rows: pivot, block, doc, tokens."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in(batches, ["pivot", "block"]):
             docs, pivot = group.column("doc").to_pylist(), group.column("pivot")[0].as_py()
-            order = sorted(range(len(docs)), key=lambda i: docs[i] != pivot)
-            sets = _lists(group)
-            if found := connect([docs[i] for i in order], [sets[i] for i in order]):
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            if len(docs) > 1 and (found := connect(docs, _lists(group), docs.index(pivot) if pivot in docs else 0)):
+                yield _links(found)
 
     dealt = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
     return dealt.mapInArrow(find, "a bigint, b bigint")
 
 
 def _query_links(rows: DataFrame) -> DataFrame:
-    """rows: label, block, part, member (whether of the group or a query), doc, tokens."""
+    """rows: pivot, block, part, member (whether of the group or a query), doc, label, tokens."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_in(batches, ["label", "block", "part"]):
-            docs, member, sets = group.column("doc").to_pylist(), group.column("member").to_pylist(), _lists(group)
+        for group in groups_in(batches, ["pivot", "block", "part"]):
+            docs, label, sets = group.column("doc").to_pylist(), group.column("label").to_pylist(), _lists(group)
+            member = group.column("member").to_pylist()
             own = [i for i, m in enumerate(member) if m]
             if not own or len(own) == len(docs):
                 continue
-            flat = np.concatenate([sets[i] for i in own])
-            sizes = np.array([len(sets[i]) for i in own])
-            starts, union = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.unique(flat)
+            block, union = Block([docs[i] for i in own], [sets[i] for i in own]), np.unique(np.concatenate([sets[i] for i in own]))
+            labels = np.array([label[own[k]] for k in block.order])
             found = []
             for q in (i for i, m in enumerate(member) if not m):
-                bound = int(overlaps(sets[q], union, np.array([0]))[0])
-                if DEN * bound < NUM * len(sets[q]):
+                if DEN * common_tokens(union, sets[q]) < NUM * len(sets[q]):
                     continue  # not even the union has enough of the query's tokens
-                near = np.flatnonzero(linked(len(sets[q]), sizes, overlaps(sets[q], flat, starts)))
-                if len(near):
-                    found.append((docs[q], docs[own[near[0]]]))
+                once = {int(labels[i]): int(block.docs[i]) for i in block.near(sets[q], labels != label[q])}
+                found += [(docs[q], other) for other in once.values()]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                yield _links(found)
 
-    dealt = rows.repartition("label", "block", "part").sortWithinPartitions("label", "block", "part")
+    dealt = rows.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part")
     return dealt.mapInArrow(find, "a bigint, b bigint")
 
 
@@ -253,29 +284,32 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # groups: each document with the pivot it shares most tokens with, and the pivots themselves
     most = shared.where("doc <> pivot").groupBy("doc", "pivot").count().groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot").cast("decimal(20)"))).alias("pivot"))
-    most = written(most)
-    group_size = most.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = most.join(group_size, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc")
-    members = members.unionByName(group_size.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc")))
-    wanted = written(shared.select("doc").distinct())
-    # a document stands in few groups, so its set is made once and read from a table
-    sets = written(_sets(texts_.join(small(wanted), "doc", "left_semi")))
-    sets = sets.select("doc", F.col("tokens"))
-    first = written(_block_links(members.join(sets, "doc")))
-
-    label = components(first).withColumnsRenamed({"node": "doc"})
-    labelled = written(wanted.join(label, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label")))
-    size = labelled.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    blocks = written(labelled.join(size, "label").select("doc", "label", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-    mixed_tokens = shared.join(labelled, "doc").groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    rows = written(shared.join(mixed_tokens, "token").join(blocks, "doc").select("token", "doc", "label", "block"))
-    matrix = rows.select("token", "label", "block").distinct()
-    queries = rows.select("token", "doc", F.col("label").alias("own")).join(matrix, "token").where("own < label").select("doc", "label", "block").distinct()
-    queries = written(queries)
-    parts = queries.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    asked = queries.join(parts, ["label", "block"]).select("label", "block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "doc")
-    opened = blocks.join(parts, ["label", "block"]).select("label", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "doc")
-    second = written(_query_links(asked.unionByName(opened).join(sets, "doc")))
+    wanted = written(shared.select("doc").distinct().join(most, "doc", "left").select("doc", F.coalesce("pivot", "doc").alias("pivot")))
+    blocks = wanted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    home = written(wanted.join(blocks, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "blocks"))
+    pivots = home.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")).distinct().select(F.col("pivot").alias("doc"), "pivot", "block")
+    sets = written(_sets(texts_.join(small(wanted.select("doc")), "doc", "left_semi")))
+    first = written(_block_links(home.select("doc", "pivot", "block").unionByName(pivots).distinct().join(sets, "doc")))
+
+    # the matrix of tokens and groups, and the queries that its counts let pass
+    labelled = home.join(components(first).withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled = written(labelled.join(sets.select("doc", F.size("tokens").alias("n")), "doc").select("doc", "pivot", "block", "label", "n"))
+    group = labelled.groupBy("pivot", "block").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("label", "n") for f in (F.min, F.max)))
+    rows = shared.select("token", "doc").join(labelled.select("doc", "pivot", "block"), "doc")
+    spread = rows.groupBy("token").agg(F.min(F.struct("pivot", "block")).alias("x"), F.max(F.struct("pivot", "block")).alias("y")).where("x <> y").select("token")
+    rows = written(rows.join(spread, "token"))
+    matrix = rows.select("token", F.col("pivot").alias("p"), F.col("block").alias("b")).distinct()
+    asked = rows.join(matrix, "token").where("struct(pivot, block) < struct(p, b)").groupBy("doc", "p", "b").agg(F.count(F.lit(1)).alias("c"))
+    asked = asked.join(labelled.select("doc", "label", "n"), "doc").join(group.withColumnsRenamed({"pivot": "p", "block": "b"}), ["p", "b"])
+    asked = asked.where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM} and (label <> label_min or label <> label_max)")
+    # c shared prefix tokens allow an overlap of c and what lies beyond a prefix; sizes m nearest to the ends of what may link need least
+    ends = [f"least(greatest({m}, ceil(n * {NUM}d / {DEN})), floor(n * {DEN}d / {NUM}))" for m in ("n_min", "n_max")]
+    need = [f"ceil({NUM}d / {NUM + DEN} * (n + {m}) - 1e-6) - ceil(greatest(n, {m}) * {NUM}d / {DEN} - 1e-6) + 1" for m in ends]
+    asked = written(asked.where(f"c >= least({', '.join(need)})").select("doc", "label", F.col("p").alias("pivot"), F.col("b").alias("block")))
+    parts = asked.groupBy("pivot", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    queries = asked.join(parts, ["pivot", "block"]).select("pivot", "block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "doc", "label")
+    opened = labelled.join(parts, ["pivot", "block"]).select("pivot", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "doc", "label")
+    second = written(_query_links(queries.unionByName(opened).join(sets, "doc")))
 
     same = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = components(first.unionByName(second).unionByName(same))
