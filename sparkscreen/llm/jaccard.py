@@ -15,7 +15,9 @@ equal sets are one class, whose smallest id represents it; the join is over repr
    union of all tokens of the group; only groups that can reach 75 % are opened and their members compared.
    Groups whose members are in the document's component already need no query.
 
-Comparing starts with sizes and with the tokens of the lowest 30 % of hashes, which bound the difference of two sets.
+Both steps run twice. First with sizes and the 32-bit ends of the tokens in the lowest 30 % of hashes, which bound how far two
+sets can differ: this finds the documents that can have a partner at all. Then full sets of only these are made and compared.
+
 Every pair that shares a prefix token is in one component already, or one cannot reach the other by an exact bound, or the
 two are compared; so no link is lost, and no task holds more than a block and its queries. Nulls and empty texts have no shingles and link with nothing; a null id is the
 smallest id. Rows that share an id are one node of the graph, so their links are those of all their texts. Repeated rows
@@ -132,7 +134,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Rows (doc, tokens): sorted."""
+    """Rows (doc, tokens): the full sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +148,26 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, "doc bigint, tokens array<bigint>")
 
 
+def _lows(docs: DataFrame) -> DataFrame:
+    """Rows (doc, n, low): the 32-bit ends of the low tokens."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = texts(batch.column("text"))
+            for a, b in chunks(raw):
+                sets = sets_of(raw[a:b])
+                low = [short(s[s.view(np.int64) < LOW]) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
+                n = pa.array(np.array([len(s) for s in sets], np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), n, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))], names=["doc", "n", "low"])
+
+    return docs.mapInArrow(emit, "doc bigint, n bigint, low array<int>")
+
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    return np.sort((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+
+
 def groups_in(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of one key after the other, from batches that are sorted by key."""
     rest: pa.Table | None = None
@@ -166,9 +188,9 @@ def groups_in(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield rest
 
 
-def _lists(group: pa.Table) -> list[np.ndarray]:
-    """The tokens of each row, in signed order."""
-    column = group.column("tokens").combine_chunks()
+def _lists(group: pa.Table, name: str = "tokens") -> list[np.ndarray]:
+    """The list of each row, in signed order."""
+    column = group.column(name).combine_chunks()
     values, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
     return [np.sort(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -177,32 +199,40 @@ def common_tokens(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.searchsorted(a, b).clip(max=len(a) - 1)] == b).sum()) if len(a) else 0
 
 
-class Block:
-    """Sets by size, with their low tokens in one flat array."""
+class LowBlock:
+    """Members by size, with their low tokens in one flat array."""
 
-    def __init__(self, docs: list[int], sets: list[np.ndarray]):
-        order = sorted(range(len(docs)), key=lambda i: len(sets[i]))
-        self.docs, self.sets = np.array([docs[i] for i in order]), [sets[i] for i in order]
-        self.order = order
-        self.sizes = np.array([len(x) for x in self.sets])
-        low = [x[: np.searchsorted(x, LOW)] for x in self.sets]
-        self.low = np.array([len(x) for x in low])
-        self.flat, self.starts = np.concatenate(low), np.concatenate([[0], np.cumsum(self.low)])
+    def __init__(self, docs: list[int], sizes: list[int], lows: list[np.ndarray]):
+        self.order = sorted(range(len(docs)), key=lambda i: sizes[i])
+        self.docs, self.sizes = np.array([docs[i] for i in self.order]), np.array([sizes[i] for i in self.order])
+        lows = [lows[i] for i in self.order]
+        self.low = np.array([len(x) for x in lows])
+        self.flat, self.starts = np.concatenate(lows), np.concatenate([[0], np.cumsum(self.low)])
 
-    def near(self, x: np.ndarray, alive: np.ndarray) -> list[int]:
-        """The members, of those alive, that x is linked with."""
-        n = len(x)
+    def may(self, n: int, own: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Numbers of the members, of those alive, that a set of n tokens with these low ones may be linked with."""
         a, b = np.searchsorted(self.sizes, -(-NUM * n // DEN)), np.searchsorted(self.sizes, n * DEN // NUM, "right")
         if a >= b or not alive[a:b].any():
-            return []
-        own = x[: np.searchsorted(x, LOW)]
+            return np.empty(0, np.int64)
         flat = self.flat[self.starts[a] : self.starts[b]]
         found = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool)
         sums = np.concatenate([[0], np.cumsum(found)])
         common = np.diff(sums[self.starts[a : b + 1] - self.starts[a]])
         apart = len(own) + self.low[a:b] - 2 * common  # a part of what may differ
-        may = alive[a:b] & (apart * (DEN + NUM) <= (n + self.sizes[a:b]) * (DEN - NUM))
-        return [i for i in (np.flatnonzero(may) + a).tolist() if linked(n, int(self.sizes[i]), common_tokens(x, self.sets[i]))]
+        return np.flatnonzero(alive[a:b] & (apart * (DEN + NUM) <= (n + self.sizes[a:b]) * (DEN - NUM))) + a
+
+
+class Block(LowBlock):
+    """Members with their full sets."""
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray]):
+        super().__init__(docs, [len(x) for x in sets], [x[: np.searchsorted(x, LOW)] for x in sets])
+        self.sets = [sets[i] for i in self.order]
+
+    def near(self, x: np.ndarray, alive: np.ndarray) -> list[int]:
+        """The members, of those alive, that x is linked with."""
+        may = self.may(len(x), x[: np.searchsorted(x, LOW)], alive)
+        return [i for i in may.tolist() if linked(len(x), int(self.sizes[i]), common_tokens(x, self.sets[i]))]
 
 
 def connect(docs: list[int], sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
@@ -240,6 +270,38 @@ def _block_links(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(find, "a bigint, b bigint")
 
 
+def _partnered(rows: DataFrame) -> DataFrame:
+    """rows: pivot, block, part, member, doc, n, low. The documents that may be linked: members of a group with each other, or
+    where it has queries, these with members."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_in(batches, ["pivot", "block", "part"]):
+            if len(group) < 2:
+                continue
+            docs, member, n = (group.column(c).to_pylist() for c in ("doc", "member", "n"))
+            lows = _lists(group, "low")
+            own = [i for i, m in enumerate(member) if m]
+            if not own:
+                continue
+            block = LowBlock([docs[i] for i in own], [n[i] for i in own], [lows[i] for i in own])
+            place = {i: k for k, i in enumerate(own[j] for j in block.order)}
+            found, alive = set(), np.ones(len(own), bool)
+            among = len(own) == len(docs)  # no queries: the members are compared with each other
+            for i, doc in enumerate(docs):
+                if not among and i in place:
+                    continue
+                alive[place[i] if among else slice(0)] = False
+                if len(may := block.may(n[i], lows[i], alive)):
+                    found.add(doc)
+                    found.update(block.docs[may].tolist())
+                alive[:] = True
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["doc"])
+
+    dealt = rows.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part")
+    return dealt.mapInArrow(find, "doc bigint").distinct()
+
+
 def _query_links(rows: DataFrame) -> DataFrame:
     """rows: pivot, block, part, member (whether of the group or a query), doc, label, tokens."""
 
@@ -288,28 +350,47 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     blocks = wanted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     home = written(wanted.join(blocks, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "blocks"))
     pivots = home.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")).distinct().select(F.col("pivot").alias("doc"), "pivot", "block")
-    sets = written(_sets(texts_.join(small(wanted.select("doc")), "doc", "left_semi")))
-    first = written(_block_links(home.select("doc", "pivot", "block").unionByName(pivots).distinct().join(sets, "doc")))
+    lows = written(_lows(texts_.join(small(wanted.select("doc")), "doc", "left_semi")))
+
+    here = home.select("doc", "pivot", "block")
+    with_pivots = here.unionByName(pivots).distinct()
+    sets = lambda docs: written(_sets(texts_.join(small(docs), "doc", "left_semi")))
+
+    # links inside groups, among documents that may have a partner there
+    members = with_pivots.select("pivot", "block", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("member"), "doc")
+    inside = written(_partnered(lows.join(small(members), "doc")))
+    inside_sets = sets(inside)
+    first = written(_block_links(inside_sets.join(small(with_pivots), "doc")))
 
     # the matrix of tokens and groups, and the queries that its counts let pass
-    labelled = home.join(components(first).withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled = written(labelled.join(sets.select("doc", F.size("tokens").alias("n")), "doc").select("doc", "pivot", "block", "label", "n"))
-    group = labelled.groupBy("pivot", "block").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("label", "n") for f in (F.min, F.max)))
-    rows = shared.select("token", "doc").join(labelled.select("doc", "pivot", "block"), "doc")
-    spread = rows.groupBy("token").agg(F.min(F.struct("pivot", "block")).alias("x"), F.max(F.struct("pivot", "block")).alias("y")).where("x <> y").select("token")
+    placed = here.join(lows.select("doc", "n"), "doc").join(components(first).withColumnsRenamed({"node": "doc"}), "doc", "left")
+    placed = written(placed.select("doc", "pivot", "block", "n", F.coalesce("label", "doc").alias("label")))
+    group = placed.groupBy("pivot", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("label").alias("least"), F.max("label").alias("most"))
+    rows = shared.select("token", "doc").join(placed.select("doc", "pivot", "block", "label"), "doc")
+    cell = F.struct("pivot", "block")
+    spread = rows.groupBy("token").agg(F.min(cell).alias("x"), F.max(cell).alias("y"), F.min("label").alias("u"), F.max("label").alias("v")).where("x <> y and u <> v").select("token")
     rows = written(rows.join(spread, "token"))
-    matrix = rows.select("token", F.col("pivot").alias("p"), F.col("block").alias("b")).distinct()
-    asked = rows.join(matrix, "token").where("struct(pivot, block) < struct(p, b)").groupBy("doc", "p", "b").agg(F.count(F.lit(1)).alias("c"))
-    asked = asked.join(labelled.select("doc", "label", "n"), "doc").join(group.withColumnsRenamed({"pivot": "p", "block": "b"}), ["p", "b"])
-    asked = asked.where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM} and (label <> label_min or label <> label_max)")
+    matrix = rows.groupBy("token", F.col("pivot").alias("p"), F.col("block").alias("b")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    other = (F.struct(rows["pivot"], rows["block"]) < F.struct(matrix["p"], matrix["b"])) & ((rows["label"] != matrix["least"]) | (rows["label"] != matrix["most"]))
+    asked = rows.join(matrix, (rows["token"] == matrix["token"]) & other).groupBy("doc", "p", "b").agg(F.count(F.lit(1)).alias("c"))
+    asked = asked.join(placed.select("doc", "n"), "doc").join(group.withColumnsRenamed({"pivot": "p", "block": "b"}), ["p", "b"])
+    asked = asked.where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM}")
     # c shared prefix tokens allow an overlap of c and what lies beyond a prefix; sizes m nearest to the ends of what may link need least
     ends = [f"least(greatest({m}, ceil(n * {NUM}d / {DEN})), floor(n * {DEN}d / {NUM}))" for m in ("n_min", "n_max")]
     need = [f"ceil({NUM}d / {NUM + DEN} * (n + {m}) - 1e-6) - ceil(greatest(n, {m}) * {NUM}d / {DEN} - 1e-6) + 1" for m in ends]
-    asked = written(asked.where(f"c >= least({', '.join(need)})").select("doc", "label", F.col("p").alias("pivot"), F.col("b").alias("block")))
-    parts = asked.groupBy("pivot", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    queries = asked.join(parts, ["pivot", "block"]).select("pivot", "block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "doc", "label")
-    opened = labelled.join(parts, ["pivot", "block"]).select("pivot", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "doc", "label")
-    second = written(_query_links(queries.unionByName(opened).join(sets, "doc")))
+    asked = written(asked.where(f"c >= least({', '.join(need)})").select("doc", F.col("p").alias("pivot"), F.col("b").alias("block")))
+
+    def meetings(asked: DataFrame, members: DataFrame) -> DataFrame:
+        """Rows (pivot, block, part, member, doc): the queries of a group in parts, its members with each part."""
+        parts = asked.groupBy("pivot", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        queries = asked.join(parts, ["pivot", "block"]).select("pivot", "block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "doc")
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+        return queries.unionByName(members.join(parts, ["pivot", "block"]).select("pivot", "block", each, F.lit(True).alias("member"), "doc"))
+
+    able = written(_partnered(lows.join(small(meetings(asked, here)), "doc")))
+    more = inside_sets.unionByName(sets(able.join(inside, "doc", "left_anti")))
+    met = meetings(asked.join(able, "doc", "left_semi"), here.join(able, "doc", "left_semi"))
+    second = written(_query_links(more.join(small(met.join(placed.select("doc", "label"), "doc")), "doc")))
 
     same = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = components(first.unionByName(second).unionByName(same))
