@@ -397,3 +397,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     out = sized.join(final, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
     shown = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return out.select(shown("doc").alias(doc_id), F.col("n").alias("n_shingles"), shown("label").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of documents that are the smallest of their component; of rows that share an id, one.
+
+    The ids that go are broadcast if few, else the anti join shuffles. Rows with a null id all stay unless they repeat a
+    smaller document, which no id is.
+    """
+    found = written(jaccard_components(docs, doc_id, text))
+    gone = found.where(F.col(doc_id) != F.coalesce("component_id", F.lit(NULL_ID))).select(doc_id).distinct()
+    kept = docs.join(small(gone), doc_id, "left_anti")
+    repeated = written(found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id))
+    if repeated.isEmpty():
+        return kept
+    rows = F.struct(*docs.columns)
+    once = kept.join(small(repeated), doc_id, "left_semi").groupBy(doc_id).agg(F.min(rows).alias("r")).select("r.*")
+    return kept.join(small(repeated), doc_id, "left_anti").unionByName(once)

@@ -171,5 +171,15 @@ def op10(docs: str = "documents") -> str:
     return f"with recursive {grouped(docs)} select doc_id, n_shingles, component_id from grouped"
 
 
+def pipeline() -> str:
+    """The rows of the stages quality, lines, jaccard, decontam, mixing, each over what the one before left."""
+    columns = "doc_id, text, lang, source, n_chars"
+    return f"""with recursive {judged("documents")}, s1 as (select {columns} from judged where kept),
+{cleaned("s1")}, s2 as (select doc_id, text, lang, source, case when n_dropped > 0 then length(text) else n_chars end as n_chars from cleaned),
+{grouped("s2")}, s3 as (select {columns} from s2 where doc_id in (select doc_id from grouped where doc_id = component_id)),
+{hits("s3")}, s4 as (select {columns} from docw left join hits using (rid) where n_hit is null),
+{mixed("s4")} select *, md5('order {q.MIX_SEED}:' || coalesce(doc_id::varchar, '') || ':' || copy) as shuffle_key from mixed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10()}
