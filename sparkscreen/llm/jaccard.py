@@ -7,8 +7,8 @@ equal sets are one class, whose smallest id represents it; the join is over repr
    n - ceil(0.75 n) + 1. Tokens known to be frequent come last in the order; which these are was counted over all
    documents, batch by batch, and only decides how much work there is, never the result.
 2. Groups. The prefix rows meet by token (frequent tokens salted by document). A token's smallest document is its pivot,
-   and a document joins the group of the pivot it shares most tokens with, in blocks of about BLOCK members that the pivot
-   joins too. So groups hold similar documents, and links inside a block are found there: found members are expanded
+   and a document joins the group of the pivot it shares most tokens with, in blocks of about BLOCK members of like size that
+   the pivot joins too. So groups hold similar documents, and links inside a block are found there: found members are expanded
    until none is left, and members that a chain of links connects are not compared again.
 3. Matrix. It has a row (token, group) for the prefix tokens of a group's members. A document queries another group that
    has tokens of its prefix: the number of these and the sizes of the group's members bound the overlap first, then the
@@ -42,6 +42,8 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Members of a block, and queries that meet a block in one group.
 BLOCK = 256
+#: Sizes within this ratio count as alike where a group has more members than a block.
+SIZE_STEP = 1.1
 #: Share of a batch's documents (and least number) from which a token counts as frequent, and the most that are sent to the tasks.
 FREQUENT_SHARE, FREQUENT_DOCS, MOST_FREQUENT = 0.0004, 3, 1 << 19
 #: Tokens below this number (of the signed hashes) are compared first.
@@ -347,10 +349,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # groups: each document with the pivot it shares most tokens with, and the pivots themselves
     most = shared.where("doc <> pivot").groupBy("doc", "pivot").count().groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot").cast("decimal(20)"))).alias("pivot"))
     wanted = written(shared.select("doc").distinct().join(most, "doc", "left").select("doc", F.coalesce("pivot", "doc").alias("pivot")))
-    blocks = wanted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    home = written(wanted.join(blocks, "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "blocks"))
-    pivots = home.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")).distinct().select(F.col("pivot").alias("doc"), "pivot", "block")
-    lows = written(_lows(texts_.join(small(wanted.select("doc")), "doc", "left_semi")))
+    sizes = sized.where("n > 0").groupBy("doc").agg(F.max("n").alias("n"))
+    large = wanted.groupBy("pivot").agg((F.count(F.lit(1)) > BLOCK).alias("large"))
+    step = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP)))).otherwise(F.lit(0).cast("bigint"))
+    wanted = wanted.join(sizes, "doc").join(large, "pivot").select("doc", "pivot", step.alias("step"))
+    blocks = wanted.groupBy("pivot", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    place = (F.shiftleft(F.col("step"), 40) + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block")
+    home = written(wanted.join(blocks, ["pivot", "step"]).select("doc", "pivot", place))
+    pivots = home.select(F.col("pivot").alias("doc"), "pivot", "block").distinct()
+    lows = written(_lows(texts_.join(small(home.select("doc")), "doc", "left_semi")))
 
     here = home.select("doc", "pivot", "block")
     with_pivots = here.unionByName(pivots).distinct()
