@@ -75,6 +75,19 @@ def prefix_length(n: int) -> int:
     return n - (-(-NUM * n // DEN)) + 1
 
 
+def least_shared(n: str, n_min: str, n_max: str) -> str:
+    """SQL of the fewest prefix tokens that a set of n tokens shares with a linked one of n_min to n_max tokens.
+
+    Sets of n and m tokens that share c prefix tokens overlap in at most c and what lies beyond the longer prefix. What m
+    needs grows up to n; beyond n it falls, but for the two roundings, which may lift an end by less than 2 over a size
+    before it. So the least is at the lower end or at one of the last sizes, which are all looked at."""
+    low = f"greatest({n_min}, ({NUM} * {n} + {DEN - 1}) div {DEN})"
+    high = f"least({n_max}, {DEN} * {n} div {NUM})"
+    last = -(-2 * DEN * (NUM + DEN) // (NUM * NUM))
+    need = lambda m: f"({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN} - ({NUM} * greatest({n}, {m}) + {DEN - 1}) div {DEN} + 1"
+    return f"least({', '.join(need(m) for m in [low, *(f'greatest({low}, {high} - {k})' for k in range(last))])})"
+
+
 def _id(c: str) -> Column:
     return F.coalesce(F.col(c).cast("bigint"), F.lit(NULL_ID))
 
@@ -382,10 +395,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     asked = rows.join(matrix, (rows["token"] == matrix["token"]) & other).groupBy("doc", "p", "b").agg(F.count(F.lit(1)).alias("c"))
     asked = asked.join(placed.select("doc", "n"), "doc").join(group.withColumnsRenamed({"pivot": "p", "block": "b"}), ["p", "b"])
     asked = asked.where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM}")
-    # c shared prefix tokens allow an overlap of c and what lies beyond a prefix; sizes m nearest to the ends of what may link need least
-    ends = [f"least(greatest({m}, ceil(n * {NUM}d / {DEN})), floor(n * {DEN}d / {NUM}))" for m in ("n_min", "n_max")]
-    need = [f"ceil({NUM}d / {NUM + DEN} * (n + {m}) - 1e-6) - ceil(greatest(n, {m}) * {NUM}d / {DEN} - 1e-6) + 1" for m in ends]
-    asked = written(asked.where(f"c >= least({', '.join(need)})").select("doc", F.col("p").alias("pivot"), F.col("b").alias("block")))
+    asked = written(asked.where(f"c >= {least_shared('n', 'n_min', 'n_max')}").select("doc", F.col("p").alias("pivot"), F.col("b").alias("block")))
 
     def meetings(asked: DataFrame, members: DataFrame) -> DataFrame:
         """Rows (pivot, block, part, member, doc): the queries of a group in parts, its members with each part."""
