@@ -44,7 +44,8 @@ def unpack(flat: np.ndarray, units: int, classes: int) -> Params:
 
 
 def gradients(p: Params, units: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
-    """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR)."""
+    """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR). Shorter windows are
+    filled up at their end with any unit and the class -1, which count for nothing."""
     b, n = units.shape
     d = WIDTH
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
@@ -63,9 +64,12 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray) -> tuple[float,
     e = np.exp(z)
     e /= e.sum(-1, keepdims=True)
     flat = e.reshape(b * n, -1)
-    loss = float(-np.log(np.maximum(flat[np.arange(b * n), targets.ravel()], 1e-30)).mean())
-    flat[np.arange(b * n), targets.ravel()] -= 1
-    dz = flat / np.float32(b * n)
+    own = np.flatnonzero(targets.ravel() >= 0)
+    at = own, targets.ravel()[own]
+    loss = float(-np.log(np.maximum(flat[at], 1e-30)).mean())
+    flat[at] -= 1
+    flat[targets.ravel() < 0] = 0
+    dz = flat / np.float32(len(own))
     rows = lambda t: t.reshape(b * n, -1)
     grad: Params = {"out": rows(g).T @ dz, "bias": dz.sum(0)}
     dg = dz @ p["out"].T

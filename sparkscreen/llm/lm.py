@@ -9,7 +9,7 @@ word with a space before it. The vocabulary file is read where the driver runs a
    frequent have their own, others of the UNITS most frequent are clustered by what stands near them in the windows, apart
    for word starts and continuations.
 2. Training: in each of ROUNDS rounds every task trains a copy of the model on its windows; the copies' parameters are
-   averaged, weighted by windows, in Spark.
+   averaged, weighted by subwords, in Spark. Windows at the end of a text are shorter and train as all others do.
 3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability times the
    subword's smoothed share of its class in all training texts. Words outside the KNOWN_WORDS most frequent are held against
    the whole counts by a join, so that the unigram base is exact.
@@ -239,6 +239,14 @@ def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int]) -
     return Classes(unit, label, np.log(smooth / totals[label]), n_units, n_classes, whole / whole.sum())
 
 
+def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as rows of FAR + 1 ids, and where they have ids; a window has a next id at least, the rest is id 0."""
+    at = np.arange(attention.FAR + 1) < pc.list_value_length(windows).to_numpy()[:, None]
+    ids = np.zeros(at.shape, np.int64)
+    ids[at] = windows.flatten().to_numpy()
+    return at, ids
+
+
 def _trained(windows: DataFrame, classes: Classes) -> attention.Params:
     sc = windows.sparkSession.sparkContext
     sent = sc.broadcast(classes)
@@ -250,11 +258,10 @@ def _trained(windows: DataFrame, classes: Classes) -> attention.Params:
             c = sent.value
             own, seen = attention.unpack(begin.value, c.n_units, c.n_classes), 0
             for batch in batches:
-                w = batch.column("window")
-                full = w.filter(pc.equal(pc.list_value_length(w), attention.FAR + 1)).flatten().to_numpy().astype(np.int64).reshape(-1, attention.FAR + 1)
-                if len(full):
-                    attention.train(own, c.unit[full[:, :-1]], c.label[full[:, 1:]], rate)
-                    seen += len(full)
+                at, ids = _filled(batch.column("window"))
+                if len(ids):
+                    attention.train(own, c.unit[ids[:, :-1]], np.where(at[:, 1:], c.label[ids[:, 1:]], -1), rate)
+                    seen += int(at[:, 1:].sum())
             if seen:
                 flat = attention.pack(own).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "v", "w"])
