@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Width, hidden width of the feed-forward part, scored subwords a window; a window sees 2 * STRIDE subwords.
-WIDTH, HIDDEN, STRIDE = 16, 32, 8
+WIDTH, HIDDEN, STRIDE = 16, 32, 16
 FAR = 2 * STRIDE
 NAMES = ("emb", "wq", "wk", "wv", "wo", "rel", "w1", "b1", "w2", "out", "bias")
 
@@ -89,7 +89,10 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray) -> tuple[float,
     for name, t in (("wq", dq), ("wk", dk), ("wv", dv)):
         grad[name] = rows(x).T @ rows(t)
     grad["emb"] = np.zeros_like(p["emb"])
-    np.add.at(grad["emb"], units.ravel(), rows(dx))
+    order = np.argsort(units.ravel(), kind="stable")
+    of = units.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    grad["emb"][of[first]] = np.add.reduceat(rows(dx)[order], first, axis=0)
     return loss, grad
 
 

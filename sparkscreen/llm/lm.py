@@ -4,10 +4,9 @@ Training texts are those whose crc32 of the id (as text) modulo ``folds`` is not
 ASCII white space, A-Z lower-cased, and one end token; a word's subwords are those of a byte-level BPE vocabulary for the
 word with a space before it. The vocabulary file is read where the driver runs and sent to the tasks.
 
-1. One pass over all training texts counts words and subwords and takes every WINDOW_RATE-th window (by a hash) of each
-   text, so that what is gathered grows with the corpus. Subwords get classes: the SINGLE most
-   frequent have their own, others of the UNITS most frequent are clustered by what stands near them in the windows, apart
-   for word starts and continuations.
+1. One pass over all training texts counts words and subwords and cuts each text into windows, all of which are gathered.
+   Each subword of them is a unit of its own at the model's input. Subwords get classes: the SINGLE most frequent have their
+   own, the others are clustered by what stands near them in the windows, apart for word starts and continuations.
 2. Training: in each of ROUNDS rounds every task trains a copy of the model on its windows; the copies' parameters are
    averaged, weighted by subwords, in Spark. Windows at the end of a text are shorter and train as all others do.
 3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability times the
@@ -36,11 +35,10 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import written
-from .tokens import chunks, mixed, texts
+from .tokens import chunks, texts
 
-#: One in so many windows of the training texts is trained on.
-WINDOW_RATE, ROUNDS, LEARNING_RATES = 32, 2, (0.01, 0.004)
-UNITS, CLUSTERS, SINGLE, NEAR = 4096, 12, 64, 64
+ROUNDS, LEARNING_RATES = 2, (0.01, 0.004)
+CLUSTERS, SINGLE, NEAR = 30, 64, 64
 #: Words whose counts are sent to the tasks (the most frequent); words of which a task keeps the subwords.
 KNOWN_WORDS, KEPT_WORDS = 1 << 17, 1 << 18
 END = b"\n"  # no word has white space
@@ -116,7 +114,21 @@ def is_held_out(ids: list, folds: int, held_out: int) -> list[bool]:
     return [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held_out for i in ids]
 
 
-def _counted(docs: DataFrame, ranks, folds: int, held_out: int, rate: int) -> DataFrame:
+def _windows(flat: np.ndarray, ends: np.ndarray, end_id: int) -> pa.Array:
+    """All windows of texts that lie one after the other in flat, up to ends. A text begins after an end token; a window has
+    FAR ids, fewer at a text's end, and the one before them."""
+    far, starts = attention.FAR, np.concatenate([[0], ends[:-1]])
+    begun = np.insert(flat, starts, end_id).astype(np.int32)
+    n = -(-(ends - starts) // far)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(far, np.repeat(ends - starts, n) - k * far) + 1
+    first = np.repeat(starts + np.arange(len(starts)), n) + k * far
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    values = begun[np.repeat(first - cuts[:-1], size) + np.arange(cuts[-1])]
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+
+
+def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
     """Rows (word, id, n, window): counts of words, counts of subwords, windows of the training texts; others null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +154,9 @@ def _counted(docs: DataFrame, ranks, folds: int, held_out: int, rate: int) -> Da
                 flat, size = coder.subwords(numbers)
                 ids += np.bincount(flat, minlength=len(ids))
                 ends = np.cumsum(size)[np.cumsum([len(d) + 1 for d in docs]) - 1]
-                windows = []
-                for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    own = np.concatenate([[coder.end_id], flat[s:e]])  # a text begins after an end token
-                    k = np.arange(-(-(len(own) - 1) // attention.FAR))
-                    pick = mixed(k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(flat[s:e].sum())) + np.uint64(e - s)) % np.uint64(rate) == 0
-                    windows += [own[i * attention.FAR : i * attention.FAR + attention.FAR + 1].astype(np.int32) for i in k[pick].tolist()]
-                if windows:
-                    n = pa.nulls(len(windows), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.string()), n, n, pa.array(windows, pa.list_(pa.int32()))], names=names)
+                windows = _windows(flat, ends, coder.end_id)
+                n = pa.nulls(len(windows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.string()), n, n, windows], names=names)
                 if len(coder.names) > KEPT_WORDS:
                     yield word_rows()
                     words = np.zeros(0, np.int64)
@@ -178,19 +184,20 @@ def _near_counts(windows: DataFrame, unit, n_units: int) -> np.ndarray:
     """How often each unit stands in a window with each of the NEAR most frequent: units * NEAR sums at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_units, NEAR), np.int64)
+        total = np.zeros(n_units * NEAR, np.int64)
         for batch in batches:
-            w = batch.column("window")
-            u, of = unit.value[w.flatten().to_numpy()], np.repeat(np.arange(len(w)), pc.list_value_length(w).to_numpy())
-            few = u < NEAR
-            near = np.bincount(of[few] * NEAR + u[few], minlength=len(w) * NEAR).reshape(-1, NEAR)
-            np.add.at(total, u, near[of])
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(a * NEAR + b), pa.array(total[a, b])], names=["at", "n"])
+            at, ids = _filled(batch.column("window"))
+            u = np.where(at, unit.value[ids], -1)
+            for part in np.array_split(u, -(-len(u) // 2048)):
+                row, j = np.nonzero((part >= 0) & (part < NEAR))
+                pairs = part[row] * NEAR + part[row, j][:, None]
+                total += np.bincount(pairs[part[row] >= 0], minlength=len(total))
+        a = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(total[a])], names=["at", "n"])
 
     out = np.zeros(n_units * NEAR)
-    for r in windows.select("window").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
+    found = windows.select("window").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(n_units, NEAR)
 
 
@@ -221,7 +228,7 @@ def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int]) -
     for token, i in ranks.items():
         initial[i] = token[:1] == b" "
     order = np.argsort(-counts, kind="stable")
-    top = order[: min(UNITS, int((counts > 0).sum()))]
+    top = order[: int((counts > 0).sum())]
     n_units = len(top) + 2
     unit = len(top) + initial
     unit[top] = np.arange(len(top))
@@ -263,13 +270,15 @@ def _trained(windows: DataFrame, classes: Classes) -> attention.Params:
                     attention.train(own, c.unit[ids[:, :-1]], np.where(at[:, 1:], c.label[ids[:, 1:]], -1), rate)
                     seen += int(at[:, 1:].sum())
             if seen:
-                flat = attention.pack(own).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "v", "w"])
-
-        mean = windows.select("window").mapInArrow(fit, "at bigint, v double, w bigint").groupBy("at").agg((F.sum("v") / F.sum("w")).alias("v"))
-        flat = attention.pack(params)
-        for r in mean.collect():  # one row a parameter
-            flat[r["at"]] = r["v"]
+                moved = attention.pack(own).astype(np.float64) - begin.value
+                at = np.flatnonzero(moved)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * seen, seen))], names=["at", "v"])
+
+        # one row a parameter that moved; the weights' sum is at -1
+        sums = windows.select("window").mapInArrow(fit, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        at, v = sums.column("at").to_numpy(), sums.column("v").to_numpy()
+        flat = attention.pack(params).astype(np.float64)
+        flat[at[at >= 0]] += v[at >= 0] / v[at < 0].sum()
         params = attention.unpack(flat, classes.n_units, classes.n_classes)
     return params
 
@@ -293,7 +302,7 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     table = read_ranks(vocabulary)
     ranks = sc.broadcast(table)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gathered = written(_counted(docs, ranks, folds, held_out, WINDOW_RATE))
+    gathered = written(_counted(docs, ranks, folds, held_out))
     words = written(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     subwords = {r["id"]: r["n"] for r in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
     end_id = max(table.values()) + 1

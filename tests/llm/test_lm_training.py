@@ -26,3 +26,29 @@ def test_short_texts_train_the_model(spark):
     run, doc = np.array([11, 1, 2]), np.zeros(3, np.int64)
     got = attention.score(p, run, np.array([1, 2, 11]), doc)
     assert (got > np.log(0.5)).all(), got
+
+
+def test_windows_hold_every_subword_of_the_training_texts(spark):
+    from sparkscreen.llm import queries
+
+    table = lm.read_ranks(queries.VOCABULARY)
+    docs = spark.createDataFrame([(i, f"word{i} stands in a text " * (i % 40)) for i in range(200)] + [(None, None)], "doc_id bigint, text string")
+    found = lm._counted(docs, spark.sparkContext.broadcast(table), 7, 2).collect()
+    total: dict[int, int] = {}
+    for r in found:
+        if r["id"] is not None:
+            total[r["id"]] = total.get(r["id"], 0) + r["n"]
+    seen: dict[int, int] = {}
+    for w in (r["window"] for r in found if r["window"] is not None):
+        assert 2 <= len(w) <= attention.FAR + 1
+        for i in w[1:]:
+            seen[i] = seen.get(i, 0) + 1
+    assert total and seen == total
+
+
+def test_a_prediction_sees_17_to_32_subwords_and_each_counted_subword_is_a_unit(spark):
+    ranks = {bytes([97 + i // 676, 97 + i // 26 % 26, 97 + i % 26]): i for i in range(5000)}
+    windows = spark.createDataFrame([(list(range(i, i + 10)),) for i in range(0, 5000, 10)], "window array<int>")
+    got = lm._classes(dict.fromkeys(range(5000), 1), windows, ranks)
+    assert len(np.unique(got.unit[:5000])) == 5000
+    assert (attention.STRIDE, attention.FAR) == (16, 32)
