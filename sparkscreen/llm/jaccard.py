@@ -1,27 +1,28 @@
 """N-gram Jaccard join with a token-group matrix: components of documents that share at least 75 % of their shingles.
 
-A document's tokens are its distinct 5-word shingles (fewer words: the whole sequence), as 64-bit hashes. Documents with
-equal sets are one class, whose smallest id represents it; the join is over representatives:
-
-1. Prefixes. In an order common to all, rarer tokens first, two linked sets share a token of their first
-   n - ceil(0.75 n) + 1. Tokens known to be frequent come last in the order; which these are was counted over all
-   documents, batch by batch, and only decides how much work there is, never the result.
-2. Groups. The prefix rows meet by token (frequent tokens salted by document). A token's smallest document is its pivot,
-   and a document joins the group of the pivot it shares most tokens with, in blocks of about BLOCK members of like size that
-   the pivot joins too. So groups hold similar documents, and links inside a block are found there: found members are expanded
-   until none is left, and members that a chain of links connects are not compared again.
-3. Matrix. It has a row (token, group) for the prefix tokens of a group's members. A document queries another group that
-   has tokens of its prefix: the number of these and the sizes of the group's members bound the overlap first, then the
-   union of all tokens of the group; only groups that can reach 75 % are opened and their members compared.
-   Groups whose members are in the document's component already need no query.
-
-Both steps run twice. First with sizes and the 32-bit ends of the tokens in the lowest 30 % of hashes, which bound how far two
-sets can differ: this finds the documents that can have a partner at all. Then full sets of only these are made and compared.
-
-Every pair that shares a prefix token is in one component already, or one cannot reach the other by an exact bound, or the
-two are compared; so no link is lost, and no task holds more than a block and its queries. Nulls and empty texts have no shingles and link with nothing; a null id is the
-smallest id. Rows that share an id are one node of the graph, so their links are those of all their texts. Repeated rows
-are returned as rows. An empty table gives no rows. A full set is held in one row, so its text must fit in a row.
+A document's tokens are its distinct 5-word shingles (fewer words: the whole sequence), as 64-bit hashes. Documents with the
+same words are one class, whose smallest id represents it; the join is over classes:
+
+1. Candidates. A class that is linked with any lacks at most a quarter of its own tokens in the other. Tokens with small
+   hashes (a share of all that is larger for short texts) are held against all texts: a class with more than a quarter of
+   its tokens among those that no other class has is linked with nothing. A task sends a token that several of its texts
+   have but twice, so a token of very many texts makes no large group.
+2. Groups. The full sets of the others are made, and their tokens counted. In an order common to all, rarer tokens first,
+   two linked sets share a token of their first n - ceil(0.75 n) + 1. A class's group is its smallest token that another
+   class has, so groups hold similar documents, in blocks of about BLOCK members of like size. Links inside a block are
+   found there: found members are expanded until none is left, and members that a chain of links connects aren't compared.
+3. Matrix. It has a row (token, group) for the first tokens of a group's members, and each group's union of all tokens is
+   stored. First each class asks the one group that the matrix says most of its tokens began in; then, labels being merged,
+   the smaller component's members ask all groups of other components that have their tokens, where the number of shared
+   first tokens and the sizes allow a link. A group whose union has too few of the asking class's tokens is not opened;
+   members of the others are compared with it.
+
+Every pair that shares one of its first tokens is in one component already, or cannot reach 75 % by an exact bound, or is
+compared; so no link is lost but to equal 64-bit hashes, and no task holds more than a block and the classes that ask it.
+
+Nulls and empty texts have no shingles and link with nothing; a null id is the smallest id. Rows that share an id are one
+node of the graph, so their links are those of all their texts. Repeated rows are returned as rows. An empty table gives no
+rows. A full set is held in one row, so its text must fit in a row.
 """
 
 from __future__ import annotations
@@ -30,49 +31,49 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import Tables, small, written
 from .components import components
-from .tokens import chunks, hashed, mixed, shingles, space_words, texts
+from .tokens import chunks, shingles, space_words, texts, word_hashes
 
 SHINGLE = 5
 #: Linked: NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
-#: Members of a block, and queries that meet a block in one group.
+#: Members of a block, and classes that ask a block in one task's group.
 BLOCK = 256
 #: Sizes within this ratio count as alike where a group has more members than a block.
 SIZE_STEP = 1.1
-#: Share of a batch's documents (and least number) from which a token counts as frequent, and the most that are sent to the tasks.
-FREQUENT_SHARE, FREQUENT_DOCS, MOST_FREQUENT = 0.0004, 3, 1 << 19
-#: Tokens below this number (of the signed hashes) are compared first.
-LOW = -(1 << 63) + (1 << 64) * 3 // 10
-#: Parts over which a frequent token's documents are spread.
-SALTS = 64
+#: Share of the tokens that is held against all texts: LOW_SHARE + LOW_MORE / sqrt(n), for a set of n.
+LOW_SHARE, LOW_MORE = 0.3, 1.0
+#: Tokens that a task holds against each other before it sends them; classes that it remembers.
+UNIT_TOKENS, SEEN_CLASSES = 2_000_000, 1_000_000
 NULL_ID = -(1 << 63)
 
 
 def sets_of(rows: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    docs = [space_words(r) for r in rows]
-    flat = hashed([w for d in docs for w in d])
+    flat, counts = word_hashes(rows)
     grams = shingles(flat, SHINGLE)
     out, at = [], 0
-    for d in docs:
-        n = len(d)
+    for n in counts.tolist():
         own = grams[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingles(flat[at : at + n], n) if n else grams[:0]
         out.append(np.unique(own))
         at += n
     return out
 
 
-def linked(a: int, b: int, common: np.ndarray | int) -> np.ndarray | bool:
-    return DEN * common >= NUM * (a + b - common)
+def class_keys(rows: list[bytes | None]) -> np.ndarray:
+    """(texts, 2): 128 bits for the words of each text; the first 64 name the class where that is enough."""
+    keys = b"".join(xxhash.xxh3_128_digest(b" ".join(space_words(r))) for r in rows)
+    return np.frombuffer(keys, ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def prefix_length(n: int) -> int:
-    return n - (-(-NUM * n // DEN)) + 1
+def linked(a: int, b: int, common: np.ndarray | int) -> np.ndarray | bool:
+    return DEN * common >= NUM * (a + b - common)
 
 
 def least_shared(n: str, n_min: str, n_max: str) -> str:
@@ -92,95 +93,108 @@ def _id(c: str) -> Column:
     return F.coalesce(F.col(c).cast("bigint"), F.lit(NULL_ID))
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, n, c1, c2) for each document, and (token, count) of the tokens frequent in some batch."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = texts(batch.column("text"))
-            tokens = []
-            for a, b in chunks(raw):
-                sets = sets_of(raw[a:b])
-                n = np.fromiter(map(len, sets), np.int64, b - a)
-                flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-                total = lambda h: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])[ends])  # noqa: B023, E731
-                c1, c2 = total(mixed(flat)), total(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)))
-                nothing = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), nothing], names=["doc", "n", "c1", "c2", "token"])
-                tokens.append(flat)
-            if tokens:
-                token, count = np.unique(np.concatenate(tokens), return_counts=True)
-                often = count >= max(FREQUENT_DOCS, FREQUENT_SHARE * len(raw))
-                nothing = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, pa.array(count[often]), nothing, nothing, pa.array(token[often].view(np.int64))], names=["doc", "n", "c1", "c2", "token"])
-
-    found = written(docs.mapInArrow(scan, "doc bigint, n bigint, c1 bigint, c2 bigint, token bigint"))
-    return found.where("token is null").drop("token"), found.where("token is not null").select("token", F.col("n").alias("count"))
-
-
-def _frequent(counts: DataFrame) -> np.ndarray:
-    top = counts.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
-    return np.sort(top.select("token").toArrow().column(0).to_numpy().view(np.uint64))
-
-
-def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Rows (token, salt, doc) of the prefixes."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc, k1, k2): the class of each document; null if it has no words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
-            raw, ids = texts(batch.column("text")), batch.column("doc").to_numpy()
-            for a, b in chunks(raw):
-                token, size, often = [], [], []
-                sets = sets_of(raw[a:b])
-                flat = np.concatenate(sets)
-                seen = known[np.searchsorted(known, flat).clip(max=len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
-                for s, common in zip(sets, np.split(seen, np.cumsum([len(s) for s in sets])[:-1]), strict=True):
-                    keep = np.argsort(common, kind="stable")[: prefix_length(len(s)) if len(s) else 0]
-                    token.append(s[keep])
-                    often.append(common[keep])
-                    size.append(len(keep))
-                doc = np.repeat(ids[a:b], size)
-                salt = np.where(np.concatenate(often), (mixed(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(salt), pa.array(doc)], names=["token", "salt", "doc"])
-
-    return docs.mapInArrow(emit, "token bigint, salt int, doc bigint")
+            raw = texts(batch.column("text"))
+            none = np.fromiter((not r or r.isspace() for r in raw), bool, len(raw))
+            keys = class_keys(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(keys[:, k], mask=none) for k in (0, 1))], names=["doc", "k1", "k2"])
+
+    return docs.mapInArrow(emit, "doc bigint, k1 bigint, k2 bigint")
+
+
+def low_share(n: np.ndarray) -> np.ndarray:
+    """Falls as n grows, so that a set has sent what any linked one up to its size holds against it."""
+    return LOW_SHARE + LOW_MORE / np.sqrt(np.maximum(n, 1))
+
+
+def _low_rows(sets: list[np.ndarray], sids: np.ndarray, unit: int) -> pa.RecordBatch:
+    """The low tokens of classes as rows (token, sid, unit, own, n, u). A token that one class has is sent for it; own says
+    whether it counts against the class. A token that several have is sent for the first and the last of them only. A row with
+    n for each class has the number u of its own tokens that were sent."""
+    n = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    part = flat.astype(np.float64) / float(1 << 64)
+    low = part < low_share(n)[owner]
+    flat, owner, part = flat[low], owner[low], part[low]
+    order = np.argsort(flat, kind="stable")
+    flat, owner, part = flat[order], owner[order], part[order]
+    new = np.ones(len(flat) + 1, bool)
+    new[1:-1] = flat[1:] != flat[:-1]
+    begin, end = new[:-1], new[1:]
+    own = begin & end & (part < low_share(n * DEN // NUM)[owner])
+    sent = begin | end
+    u = np.bincount(owner[own], minlength=len(sets))
+    at = owner[sent]
+    rows, more = len(at), len(sets)
+    none = np.arange(rows + more) < rows
+    column = lambda a, b, kind: np.concatenate([a, b]).astype(kind)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(column(flat[sent].view(np.int64), sids, np.int64)),
+            pa.array(column(sids[at], sids, np.int64)),
+            pa.array(np.full(rows + more, unit, np.int64)),
+            pa.array(column(own[sent], np.zeros(more), bool)),
+            pa.array(column(np.zeros(rows), n, np.int64), mask=none),
+            pa.array(column(np.zeros(rows), u, np.int64), mask=none),
+        ],
+        names=["token", "sid", "unit", "own", "n", "u"],
+    )
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """Rows (doc, tokens): the full sets."""
+def _lows(docs: DataFrame) -> DataFrame:
+    """The rows of _low_rows(); of the texts of a class, a task sends one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw = texts(batch.column("text"))
+            sets, sids, held = [], [], 0
             for a, b in chunks(raw):
-                sets = sets_of(raw[a:b])
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), tokens], names=["doc", "tokens"])
+                keys = class_keys(raw[a:b])
+                new = []
+                for i in range(b - a):
+                    if (k := keys[i].tobytes()) not in seen and raw[a + i] and not raw[a + i].isspace():
+                        seen.add(k)
+                        new.append(i)
+                sets += sets_of([raw[a + i] for i in new])
+                sids.append(keys[new, 0])
+                held += sum(map(len, sets[len(sets) - len(new) :]))
+                if sets and (held > UNIT_TOKENS or b == len(raw)):
+                    yield _low_rows(sets, np.concatenate(sids), unit)
+                    sets, sids, held, unit = [], [], 0, unit + 1
+                if len(seen) > SEEN_CLASSES:
+                    seen.clear()
+
+    return docs.mapInArrow(emit, "token bigint, sid bigint, unit bigint, own boolean, n bigint, u bigint")
+
+
+def _sized(lows: DataFrame) -> DataFrame:
+    """Rows (sid, n, alive) of all classes: whether others have enough of the class's low tokens."""
+    same = Window.partitionBy("token")
+    told = lows.repartition("token").select("sid", "unit", "own", "n", "u", (F.min("sid").over(same) != F.max("sid").over(same)).alias("shared"))
+    told = told.where("n is not null or (own and shared)").groupBy("sid", "unit")
+    lacks = told.agg(F.max("n").alias("n"), (F.max("u") - F.count_if(F.col("n").isNull())).alias("lacks"))
+    return lacks.groupBy("sid").agg(F.max("n").alias("n"), F.min("lacks").alias("lacks")).selectExpr("sid", "n", f"lacks <= n - ({NUM} * n + {DEN - 1}) div {DEN} as alive")
 
-    return docs.mapInArrow(emit, "doc bigint, tokens array<bigint>")
 
-
-def _lows(docs: DataFrame) -> DataFrame:
-    """Rows (doc, n, low): the 32-bit ends of the low tokens."""
+def _sets(docs: DataFrame) -> DataFrame:
+    """Rows (sid, doc, n, tokens): the full sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = texts(batch.column("text"))
             for a, b in chunks(raw):
                 sets = sets_of(raw[a:b])
-                low = [short(s[s.view(np.int64) < LOW]) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-                n = pa.array(np.array([len(s) for s in sets], np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), n, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))], names=["doc", "n", "low"])
-
-    return docs.mapInArrow(emit, "doc bigint, n bigint, low array<int>")
-
+                n = np.array([len(s) for s in sets], np.int64)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(class_keys(raw[a:b])[:, 0]), batch.column("doc").slice(a, b - a), pa.array(n), tokens], names=["sid", "doc", "n", "tokens"])
 
-def short(tokens: np.ndarray) -> np.ndarray:
-    return np.sort((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+    return docs.mapInArrow(emit, "sid bigint, doc bigint, n bigint, tokens array<bigint>")
 
 
 def groups_in(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -214,48 +228,42 @@ def common_tokens(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.searchsorted(a, b).clip(max=len(a) - 1)] == b).sum()) if len(a) else 0
 
 
-class LowBlock:
-    """Members by size, with their low tokens in one flat array."""
+class Block:
+    """Members by size, with their sets, and the lower part of their tokens in one flat array."""
 
-    def __init__(self, docs: list[int], sizes: list[int], lows: list[np.ndarray]):
-        self.order = sorted(range(len(docs)), key=lambda i: sizes[i])
-        self.docs, self.sizes = np.array([docs[i] for i in self.order]), np.array([sizes[i] for i in self.order])
-        lows = [lows[i] for i in self.order]
+    LOW = -(1 << 63) + (1 << 64) * 3 // 10
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray]):
+        self.order = sorted(range(len(docs)), key=lambda i: len(sets[i]))
+        self.docs, self.sets = np.array([docs[i] for i in self.order]), [sets[i] for i in self.order]
+        self.sizes = np.array([len(x) for x in self.sets])
+        lows = [self.lower(x) for x in self.sets]
         self.low = np.array([len(x) for x in lows])
         self.flat, self.starts = np.concatenate(lows), np.concatenate([[0], np.cumsum(self.low)])
 
-    def may(self, n: int, own: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """Numbers of the members, of those alive, that a set of n tokens with these low ones may be linked with."""
+    def lower(self, x: np.ndarray) -> np.ndarray:
+        return x[: np.searchsorted(x, self.LOW)]
+
+    def near(self, x: np.ndarray, alive: np.ndarray) -> list[int]:
+        """The members, of those alive, that x is linked with: where the lower parts differ by no more than they may."""
+        n, own = len(x), self.lower(x)
         a, b = np.searchsorted(self.sizes, -(-NUM * n // DEN)), np.searchsorted(self.sizes, n * DEN // NUM, "right")
         if a >= b or not alive[a:b].any():
-            return np.empty(0, np.int64)
+            return []
         flat = self.flat[self.starts[a] : self.starts[b]]
         found = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool)
         sums = np.concatenate([[0], np.cumsum(found)])
-        common = np.diff(sums[self.starts[a : b + 1] - self.starts[a]])
-        apart = len(own) + self.low[a:b] - 2 * common  # a part of what may differ
-        return np.flatnonzero(alive[a:b] & (apart * (DEN + NUM) <= (n + self.sizes[a:b]) * (DEN - NUM))) + a
-
+        apart = len(own) + self.low[a:b] - 2 * np.diff(sums[self.starts[a : b + 1] - self.starts[a]])  # a part of what may differ
+        may = np.flatnonzero(alive[a:b] & (apart * (DEN + NUM) <= (n + self.sizes[a:b]) * (DEN - NUM))) + a
+        return [i for i in may.tolist() if linked(n, int(self.sizes[i]), common_tokens(x, self.sets[i]))]
 
-class Block(LowBlock):
-    """Members with their full sets."""
 
-    def __init__(self, docs: list[int], sets: list[np.ndarray]):
-        super().__init__(docs, [len(x) for x in sets], [x[: np.searchsorted(x, LOW)] for x in sets])
-        self.sets = [sets[i] for i in self.order]
-
-    def near(self, x: np.ndarray, alive: np.ndarray) -> list[int]:
-        """The members, of those alive, that x is linked with."""
-        may = self.may(len(x), x[: np.searchsorted(x, LOW)], alive)
-        return [i for i in may.tolist() if linked(len(x), int(self.sizes[i]), common_tokens(x, self.sets[i]))]
-
-
-def connect(docs: list[int], sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
-    """(member, root) for all members of a block that are not roots; no member is linked with one of another root. The
-    search begins at number first."""
+def connect(docs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, root) for all members of a block that are not roots; no member is linked with one of another root. The search
+    begins at the smallest document."""
     block = Block(docs, sets)
     links, alive = [], np.ones(len(docs), bool)
-    for root in sorted(range(len(docs)), key=lambda i: block.order[i] != first):
+    for root in sorted(range(len(docs)), key=lambda i: block.docs[i] != min(docs)):
         if not alive[root]:
             continue
         alive[root] = False
@@ -268,152 +276,168 @@ def connect(docs: list[int], sets: list[np.ndarray], first: int) -> list[tuple[i
     return links
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows: g, block, sid, doc, tokens. Rows (g, block, a, b, tokens): links inside each block, and its union of tokens."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_in(batches, ["g", "block"]):
+            docs, sids, sets = group.column("doc").to_pylist(), group.column("sid").to_pylist(), _lists(group)
+            one = list({s: i for i, s in enumerate(sids)}.values())
+            links = connect([docs[i] for i in one], [sets[i] for i in one]) if len(one) > 1 else []
+            union = np.unique(np.concatenate(sets))
+            n = len(links) + 1
+            key = [pa.array([group.column(c)[0].as_py()] * n, pa.int64()) for c in ("g", "block")]
+            ends = [pa.array([*(x[k] for x in links), None], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*key, *ends, pa.array([*[None] * len(links), union], pa.list_(pa.int64()))], names=["g", "block", "a", "b", "tokens"])
 
-def _block_links(rows: DataFrame) -> DataFrame:
-    """rows: pivot, block, doc, tokens."""
+    dealt = rows.repartition("g", "block").sortWithinPartitions("g", "block")
+    return dealt.mapInArrow(find, "g bigint, block bigint, a bigint, b bigint, tokens array<bigint>")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_in(batches, ["pivot", "block"]):
-            docs, pivot = group.column("doc").to_pylist(), group.column("pivot")[0].as_py()
-            if len(docs) > 1 and (found := connect(docs, _lists(group), docs.index(pivot) if pivot in docs else 0)):
-                yield _links(found)
 
-    dealt = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-    return dealt.mapInArrow(find, "a bigint, b bigint")
+MEETING = ["g", "block", "part"]
 
 
-def _partnered(rows: DataFrame) -> DataFrame:
-    """rows: pivot, block, part, member, doc, n, low. The documents that may be linked: members of a group with each other, or
-    where it has queries, these with members."""
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows: g, block, part, sid (null: the group's union), tokens. The rows (sid, g, block) whose group may have a link."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_in(batches, ["pivot", "block", "part"]):
-            if len(group) < 2:
-                continue
-            docs, member, n = (group.column(c).to_pylist() for c in ("doc", "member", "n"))
-            lows = _lists(group, "low")
-            own = [i for i, m in enumerate(member) if m]
-            if not own:
-                continue
-            block = LowBlock([docs[i] for i in own], [n[i] for i in own], [lows[i] for i in own])
-            place = {i: k for k, i in enumerate(own[j] for j in block.order)}
-            found, alive = set(), np.ones(len(own), bool)
-            among = len(own) == len(docs)  # no queries: the members are compared with each other
-            for i, doc in enumerate(docs):
-                if not among and i in place:
-                    continue
-                alive[place[i] if among else slice(0)] = False
-                if len(may := block.may(n[i], lows[i], alive)):
-                    found.add(doc)
-                    found.update(block.docs[may].tolist())
-                alive[:] = True
+        for group in groups_in(batches, MEETING):
+            sids, sets = group.column("sid").to_pylist(), _lists(group)
+            union = next((x for s, x in zip(sids, sets, strict=True) if s is None), np.zeros(0, np.int64))
+            found = [s for s, x in zip(sids, sets, strict=True) if s is not None and DEN * common_tokens(union, x) >= NUM * len(x)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["doc"])
+                key = [pa.array([group.column(c)[0].as_py()] * len(found), pa.int64()) for c in ("g", "block")]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *key], names=["sid", "g", "block"])
 
-    dealt = rows.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part")
-    return dealt.mapInArrow(find, "doc bigint").distinct()
+    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(find, "sid bigint, g bigint, block bigint")
 
 
-def _query_links(rows: DataFrame) -> DataFrame:
-    """rows: pivot, block, part, member (whether of the group or a query), doc, label, tokens."""
+def _opened(rows: DataFrame) -> DataFrame:
+    """rows: g, block, part, member (whether of the group or asking), doc, label, tokens. Links (a, b), one a label met."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_in(batches, ["pivot", "block", "part"]):
+        for group in groups_in(batches, MEETING):
             docs, label, sets = group.column("doc").to_pylist(), group.column("label").to_pylist(), _lists(group)
             member = group.column("member").to_pylist()
-            own = [i for i, m in enumerate(member) if m]
-            if not own or len(own) == len(docs):
+            own, asking = [i for i, m in enumerate(member) if m], [i for i, m in enumerate(member) if not m]
+            if not own or not asking:
                 continue
-            block, union = Block([docs[i] for i in own], [sets[i] for i in own]), np.unique(np.concatenate([sets[i] for i in own]))
+            block = Block([docs[i] for i in own], [sets[i] for i in own])
             labels = np.array([label[own[k]] for k in block.order])
             found = []
-            for q in (i for i, m in enumerate(member) if not m):
-                if DEN * common_tokens(union, sets[q]) < NUM * len(sets[q]):
-                    continue  # not even the union has enough of the query's tokens
+            for q in asking:
                 once = {int(labels[i]): int(block.docs[i]) for i in block.near(sets[q], labels != label[q])}
                 found += [(docs[q], other) for other in once.values()]
             if found:
-                yield _links(found)
-
-    dealt = rows.repartition("pivot", "block", "part").sortWithinPartitions("pivot", "block", "part")
-    return dealt.mapInArrow(find, "a bigint, b bigint")
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(find, "a bigint, b bigint")
+
+
+def _meetings(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked: sid, g, block. (rows g, block, part, sid: those who ask, in parts of about BLOCK; rows g, block, part: all parts)."""
+    parts = asked.groupBy("g", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    who = asked.join(parts, ["g", "block"]).select("g", "block", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), "sid")
+    return who, parts.select("g", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+
+
+class Join:
+    """Sets, groups and unions of the classes that may have a link, as tables."""
+
+    def __init__(self, tables: Tables, docs: DataFrame):
+        self.t, w = tables, tables.written
+        self.sets = w(_sets(docs))
+        flat = self.sets.select("sid", "n", F.explode("tokens").alias("token"))
+        counts = flat.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+        shared = flat.join(counts, "token").groupBy("sid").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("count", "token"))).alias("s"))
+        need = f"({NUM} * n + {DEN - 1}) div {DEN}"
+        first = f"slice(s, 1, cast(size(s) - {need} + 1 as int)).token"
+        self.first = w(shared.where(f"size(s) >= {need}").selectExpr("sid", "n", "array_min(s.token) as g", f"{first} as first"))
+        large = self.first.groupBy("g").agg((F.count(F.lit(1)) > BLOCK).alias("large"))
+        step = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP)))).otherwise(F.lit(0).cast("bigint"))
+        wanted = self.first.select("sid", "n", "g").join(large, "g").withColumn("step", step)
+        blocks = wanted.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        place = (F.shiftleft(F.col("step"), 40) + F.pmod(F.xxhash64("sid"), F.col("blocks"))).alias("block")
+        doc = self.sets.groupBy("sid").agg(F.min("doc").alias("doc"))
+        self.home = w(wanted.join(blocks, ["g", "step"]).join(doc, "sid").select("sid", "doc", "n", "g", place))
+        rows = self.sets.select("sid", "tokens").join(self.home, "sid")
+        self.found = w(_grouped(rows.select("g", "block", "sid", "doc", "tokens")))
+        self.inside = self.found.where("a is not null").select("a", "b")
+
+    def placed(self, links: DataFrame) -> DataFrame:
+        """home with the label of each class's component."""
+        named = components(links, self.t).withColumnsRenamed({"node": "doc"})
+        return self.t.written(self.home.join(named, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+
+    def tokens(self, placed: DataFrame) -> DataFrame:
+        """Rows (token, sid, n, g, block, label) of the first tokens that two components and two groups have."""
+        rows = self.first.select("sid", F.explode("first").alias("token")).join(placed.drop("doc"), "sid")
+        cell = F.struct("g", "block")
+        apart = rows.groupBy("token").agg(F.min(cell).alias("x"), F.max(cell).alias("y"), F.min("label").alias("u"), F.max("label").alias("v"))
+        return self.t.written(rows.join(apart.where("x <> y and u <> v").selectExpr("token", "x.g as begun_g", "x.block as begun_block"), "token"))
+
+    def sized(self, asked: DataFrame, placed: DataFrame) -> DataFrame:
+        """asked (sid, n, label, g, block, ...) with n_min, n_max, where the group's sizes and labels allow a new link."""
+        stats = placed.groupBy("g", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("label").alias("least"), F.max("label").alias("most"))
+        return asked.join(stats, ["g", "block"]).where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM} and (least <> label or most <> label)")
+
+    def begun(self, placed: DataFrame) -> DataFrame:
+        """Of the groups, other than its own, in which its tokens began, the one with most of a class's: rows (sid, g, block)."""
+        rows = self.tokens(placed).where("g <> begun_g or block <> begun_block")
+        asked = rows.groupBy("sid", "n", "label", F.col("begun_g").alias("g"), F.col("begun_block").alias("block")).agg(F.count(F.lit(1)).alias("c"))
+        return self.sized(asked, placed).groupBy("sid").agg(F.max_by(F.struct("g", "block"), F.struct("c", "g", "block")).alias("m")).selectExpr("sid", "m.g as g", "m.block as block")
+
+    def others(self, placed: DataFrame) -> DataFrame:
+        """All groups of larger components with so many of a class's first tokens that a link is possible: rows (sid, g, block)."""
+        weight = placed.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+        rows = self.t.written(self.tokens(placed).join(weight, "label").withColumn("rank", F.struct("weight", "label")))
+        matrix = rows.groupBy("token", F.col("g").alias("p"), F.col("block").alias("q")).agg(F.max("rank").alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        new = "rank < top and (g <> p or block <> q) and (label <> lo or label <> hi)"
+        asked = rows.select("token", "sid", "n", "label", "rank", "g", "block").join(matrix, "token").where(new)
+        asked = asked.groupBy("sid", "n", "label", F.col("p").alias("g"), F.col("q").alias("block")).agg(F.count(F.lit(1)).alias("c"))
+        return self.sized(asked, placed).where(f"c >= {least_shared('n', 'n_min', 'n_max')}").select("sid", "g", "block")
+
+    def links(self, asked: DataFrame, placed: DataFrame) -> DataFrame:
+        """The links of the classes that ask with members of the groups, if their unions allow any."""
+        w, sets = self.t.written, self.sets.select("sid", "tokens")
+        who, parts = _meetings(w(asked))
+        unions = self.found.where("a is null").select("g", "block", "tokens").join(parts, ["g", "block"])
+        bound = who.join(sets, "sid").unionByName(unions.withColumn("sid", F.lit(None).cast("bigint")))
+        who, parts = _meetings(w(_bounded(bound.select(*MEETING, "sid", "tokens"))))
+        members = self.home.select("g", "block", "sid").join(parts, ["g", "block"])
+        met = who.withColumn("member", F.lit(False)).unionByName(members.withColumn("member", F.lit(True)))
+        met = met.join(placed.select("sid", "doc", "label"), "sid").join(sets, "sid")
+        return w(_opened(met.select(*MEETING, "member", "doc", "label", "tokens")))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (doc_id, n_shingles, component_id) for each row of docs."""
     docs = docs.select(_id(doc_id).alias("doc"), F.col(text).alias("text"))
-    sized, counts = _classes(docs)
-    # one representative of each set; empty sets stay alone
-    alike = sized.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc").alias("rep"))
-    copies = sized.where("n > 0").join(alike, ["n", "c1", "c2"]).where("doc <> rep").select("doc", "rep").distinct()
-    copies = written(copies)
-    # an id whose rows have several texts may both represent and be represented; it is kept, and linked to its class
-    single = copies.join(sized.where("n > 0").groupBy("doc").agg((F.min("c1") != F.max("c1")).alias("several")).where("several").select("doc"), "doc", "left_anti")
-    texts_ = docs.join(small(single.select("doc").distinct()), "doc", "left_anti")
-
-    shared = _prefixes(texts_, _frequent(counts)).repartition("token", "salt")
-    shared = shared.selectExpr("token", "salt", "doc", "min(doc) over (partition by token, salt) as pivot", "max(doc) over (partition by token, salt) as other", "count(1) over (partition by token, salt) as c")
-    shared = shared.where("other <> pivot or salt > 0").select("token", "doc", "pivot")
-    shared = written(shared)
-
-    # groups: each document with the pivot it shares most tokens with, and the pivots themselves
-    most = shared.where("doc <> pivot").groupBy("doc", "pivot").count().groupBy("doc").agg(F.max_by("pivot", F.struct("count", -F.col("pivot").cast("decimal(20)"))).alias("pivot"))
-    wanted = written(shared.select("doc").distinct().join(most, "doc", "left").select("doc", F.coalesce("pivot", "doc").alias("pivot")))
-    sizes = sized.where("n > 0").groupBy("doc").agg(F.max("n").alias("n"))
-    large = wanted.groupBy("pivot").agg((F.count(F.lit(1)) > BLOCK).alias("large"))
-    step = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP)))).otherwise(F.lit(0).cast("bigint"))
-    wanted = wanted.join(sizes, "doc").join(large, "pivot").select("doc", "pivot", step.alias("step"))
-    blocks = wanted.groupBy("pivot", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    place = (F.shiftleft(F.col("step"), 40) + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block")
-    home = written(wanted.join(blocks, ["pivot", "step"]).select("doc", "pivot", place))
-    pivots = home.select(F.col("pivot").alias("doc"), "pivot", "block").distinct()
-    lows = written(_lows(texts_.join(small(home.select("doc")), "doc", "left_semi")))
-
-    here = home.select("doc", "pivot", "block")
-    with_pivots = here.unionByName(pivots).distinct()
-    sets = lambda docs: written(_sets(texts_.join(small(docs), "doc", "left_semi")))
-
-    # links inside groups, among documents that may have a partner there
-    members = with_pivots.select("pivot", "block", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("member"), "doc")
-    inside = written(_partnered(lows.join(small(members), "doc")))
-    inside_sets = sets(inside)
-    first = written(_block_links(inside_sets.join(small(with_pivots), "doc")))
-
-    # the matrix of tokens and groups, and the queries that its counts let pass
-    placed = here.join(lows.select("doc", "n"), "doc").join(components(first).withColumnsRenamed({"node": "doc"}), "doc", "left")
-    placed = written(placed.select("doc", "pivot", "block", "n", F.coalesce("label", "doc").alias("label")))
-    group = placed.groupBy("pivot", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("label").alias("least"), F.max("label").alias("most"))
-    rows = shared.select("token", "doc").join(placed.select("doc", "pivot", "block", "label"), "doc")
-    cell = F.struct("pivot", "block")
-    spread = rows.groupBy("token").agg(F.min(cell).alias("x"), F.max(cell).alias("y"), F.min("label").alias("u"), F.max("label").alias("v")).where("x <> y and u <> v").select("token")
-    rows = written(rows.join(spread, "token"))
-    matrix = rows.groupBy("token", F.col("pivot").alias("p"), F.col("block").alias("b")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    other = (F.struct(rows["pivot"], rows["block"]) < F.struct(matrix["p"], matrix["b"])) & ((rows["label"] != matrix["least"]) | (rows["label"] != matrix["most"]))
-    asked = rows.join(matrix, (rows["token"] == matrix["token"]) & other).groupBy("doc", "p", "b").agg(F.count(F.lit(1)).alias("c"))
-    asked = asked.join(placed.select("doc", "n"), "doc").join(group.withColumnsRenamed({"pivot": "p", "block": "b"}), ["p", "b"])
-    asked = asked.where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM}")
-    asked = written(asked.where(f"c >= {least_shared('n', 'n_min', 'n_max')}").select("doc", F.col("p").alias("pivot"), F.col("b").alias("block")))
-
-    def meetings(asked: DataFrame, members: DataFrame) -> DataFrame:
-        """Rows (pivot, block, part, member, doc): the queries of a group in parts, its members with each part."""
-        parts = asked.groupBy("pivot", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        queries = asked.join(parts, ["pivot", "block"]).select("pivot", "block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "doc")
-        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-        return queries.unionByName(members.join(parts, ["pivot", "block"]).select("pivot", "block", each, F.lit(True).alias("member"), "doc"))
-
-    able = written(_partnered(lows.join(small(meetings(asked, here)), "doc")))
-    more = inside_sets.unionByName(sets(able.join(inside, "doc", "left_anti")))
-    met = meetings(asked.join(able, "doc", "left_semi"), here.join(able, "doc", "left_semi"))
-    second = written(_query_links(more.join(small(met.join(placed.select("doc", "label"), "doc")), "doc")))
-
-    same = copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    final = components(first.unionByName(second).unionByName(same))
-    out = sized.join(final, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
+    t = Tables(docs.sparkSession)
+    keyed = t.written(_keyed(docs))
+    classes = t.written(keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
+    sized = t.written(_sized(_lows(docs)))
+    alive = classes.join(sized.where("alive").select(F.col("sid").alias("k1")), "k1", "left_semi").select(F.col("rep").alias("doc")).distinct()
+    join = Join(t, docs.join(small(t.written(alive)), "doc", "left_semi"))
+    links = join.inside
+    for ask in (join.begun, join.others):
+        placed = join.placed(links)
+        links = links.unionByName(join.links(ask(placed), placed))
+
+    # an id whose rows have several texts connects their classes
+    key = F.struct(F.coalesce("k1", F.lit(0)), F.coalesce("k2", F.lit(0)))
+    several = t.written(keyed.groupBy("doc").agg((F.min(key) != F.max(key)).alias("several")).where("several").select("doc"))
+    same = keyed.join(small(several), "doc", "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    final = t.written(components(links.unionByName(same), t))
+    named = classes.join(sized.select(F.col("sid").alias("k1"), "n"), "k1").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.groupBy("k1", "k2").agg(F.max("n").alias("n"), F.min(F.coalesce("label", "rep")).alias("label"))
+    out = keyed.join(t.written(named), ["k1", "k2"], "left").select("doc", "n", "label")
+    other = final.join(small(several), F.col("node") == F.col("doc"), "left_semi").select(F.col("node").alias("doc"), F.col("label").alias("by_id"))
+    out = out.join(small(t.written(other)), "doc", "left").withColumn("label", F.coalesce("label", "by_id", "doc"))
     shown = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return out.select(shown("doc").alias(doc_id), F.col("n").alias("n_shingles"), shown("label").alias("component_id"))
+    result = written(out.select(shown("doc").alias(doc_id), F.coalesce("n", F.lit(0)).alias("n_shingles"), shown("label").alias("component_id")))
+    t.drop()
+    return result
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -422,7 +446,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The ids that go are broadcast if few, else the anti join shuffles. Rows with a null id all stay unless they repeat a
     smaller document, which no id is.
     """
-    found = written(jaccard_components(docs, doc_id, text))
+    found = jaccard_components(docs, doc_id, text)
     gone = found.where(F.col(doc_id) != F.coalesce("component_id", F.lit(NULL_ID))).select(doc_id).distinct()
     kept = docs.join(small(gone), doc_id, "left_anti")
     repeated = written(found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,57 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: 2^64-odd multiplier of the words' hashes, and its inverse.
+FACTOR = 0x9E3779B97F4A7C15
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(factor, ())) < n:
+        steps = np.full(max(n, CHUNK_BYTES * 5 // 4), factor, np.uint64)
+        steps[0] = 1
+        _POWERS[factor] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[factor][:n]
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about CHUNK_BYTES that end where a word ends."""
+    start = 0
+    while len(text) - start > CHUNK_BYTES and (cut := re.compile(rb"[\x20\x09-\x0D]").search(text, start + CHUNK_BYTES)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def word_hashes(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words between ASCII white space, A-Z lower-cased, in a row; how many each text has).
+
+    A word's hash is the sum over its bytes of a number for the byte times a power for the place in the word, so it comes from
+    running sums over many texts at once."""
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(rows), np.int64)
+    parts = [(i, p) for i, row in enumerate(rows) for p in pieces(row or b"")]
+    for a, b in chunks([p for _, p in parts]):
+        data = b"\n".join(p for _, p in parts[a:b]).lower() + b"\n"
+        codes = np.frombuffer(data, np.uint8)
+        blank = _IS_SPACE[codes]
+        edges = np.flatnonzero(np.diff(blank, prepend=True))
+        first, end = edges[0::2], edges[1::2]
+        sums = np.cumsum(_OF_BYTE[codes] * _powers(FACTOR, len(codes)), dtype=np.uint64)
+        before = np.where(first > 0, sums[first - 1], np.uint64(0))
+        found.append(mixed((sums[end - 1] - before) * _powers(pow(FACTOR, -1, 1 << 64), len(codes))[first]))
+        ends = np.cumsum([len(p) + 1 for _, p in parts[a:b]])
+        n = np.diff(np.searchsorted(first, ends), prepend=0)
+        np.add.at(counts, [i for i, _ in parts[a:b]], n)
+    return np.concatenate(found), counts
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows of one flat array, by the position of their first word."""
     if len(h) < n:
         return np.empty(0, np.uint64)
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(h[k : len(h) - n + 1 + k])
+        out = out * np.uint64(FACTOR) + mixed(h[k : len(h) - n + 1 + k])
     return mixed(out)

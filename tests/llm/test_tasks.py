@@ -15,7 +15,7 @@ import pytest
 from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
-from sparkscreen.llm import attention, decontam, jaccard, licenses, lm, queries, warc
+from sparkscreen.llm import attention, common, decontam, jaccard, licenses, lm, queries, warc
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -136,10 +136,11 @@ def brute_components(docs):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize(("seed", "block", "frequent"), [(1, 256, 3), (2, 4, 2), (3, 2, 10**9)])
-def test_jaccard_components(spark, monkeypatch, seed, block, frequent):
+@pytest.mark.parametrize(("seed", "block", "unit", "broadcast"), [(1, 256, 10**6, 10**6), (2, 4, 100, 0), (3, 2, 1, 10**6)])
+def test_jaccard_components(spark, monkeypatch, seed, block, unit, broadcast):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "FREQUENT_DOCS", frequent)
+    monkeypatch.setattr(jaccard, "UNIT_TOKENS", unit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(30)]
     docs, n = [], 0
@@ -154,6 +155,7 @@ def test_jaccard_components(spark, monkeypatch, seed, block, frequent):
                 if rng.random() < 0.3:
                     base = base[: len(base) * 9 // 10 + 1]
     docs += [(900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one TWO"), (905, docs[0][1]), (905, docs[0][1])]
+    docs += [(906, docs[1][1]), (906, docs[-9][1]), (906, None), (907, None), (907, docs[0][1])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("component_id", F.lit("clash")).repartition(4)
     got = jaccard.jaccard_components(df).collect()
     assert len(got) == len(docs)
