@@ -19,7 +19,7 @@ def connection(folder: str = DATA) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    text = lambda v: "~" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "~" if v is None or pd.isna(v) else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 
