@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries as q
-from .quality import METRICS, MIN_DOCS, SPREAD
+from .quality import METRICS, MIN_DOCS
 
 
 def az(c: str) -> str:
@@ -55,27 +55,31 @@ measured as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as ba
   from numbered d left join repeated using (rid)))"""
 
 
+def bucket(v: str) -> str:
+    return f"case when {v} < 64 then {v} else 32 * (length(bin({v})) - 6) + ({v} >> (length(bin({v})) - 6)::int) end"
+
+
 def judged(docs: str) -> str:
     """CTEs, the last of which, judged, has the rows of docs with measures and kept."""
     low_end = lambda b: f"case when {b} < 64 then {b} else ({b} - 32 * ({b} // 32 - 1)) << ({b} // 32 - 1)::int end"
     value = lambda m: f"({m.scale} * {m.above}) // greatest({m.below}, 1)"
-    quartiles = lambda by, level: f"""q{level} as (
-  select {by} metric, max(total) as n, min(case when 4 * c >= total then b end) as p, min(case when 4 * c >= 3 * total then b end) as q from (
+    tails = "case metric " + " ".join(f"when {i} then {m.tail or 4}" for i, m in enumerate(METRICS)) + " end"
+    quantiles = lambda by, level: f"""q{level} as (
+  select {by} metric, max(total) as n, min(case when 4 * c >= total then b end) as p, min(case when 4 * c >= 3 * total then b end) as q, nullif(min(case when {tails} * c >= ({tails} - 1) * total then b end), 0) as t from (
     select {by} metric, b, sum(n) over (partition by {by} metric order by b) as c, sum(n) over (partition by {by} metric) as total
     from (select {by} metric, b, sum(n)::bigint as n from sketch group by all)) group by all)"""
-    inside = " and ".join(
-        f"({value(m)} <= high_{i}" + (f" and {value(m)} >= low_{i})" if m.low else ")") for i, m in enumerate(METRICS)
-    )
+    inside = " and ".join(f"{value(m)} between low_{i} and high_{i}" if m.spread else f"coalesce({bucket(value(m))} <= high_{i}, true)" for i, m in enumerate(METRICS))
+    reach = lambda m: f"greatest({m.spread} * (hi - lo), hi // 32 + 1)"
     sides = ", ".join(
-        f"max(case when metric = {i} then lo - greatest({SPREAD} * (hi - lo), {m.margin}) end) as low_{i}, max(case when metric = {i} then hi + greatest({SPREAD} * (hi - lo), {m.margin}) end) as high_{i}"
+        f"max(case when metric = {i} then lo - {reach(m)} end) as low_{i}, max(case when metric = {i} then hi + {reach(m)} end) as high_{i}" if m.spread else f"max(case when metric = {i} then t end) as high_{i}"
         for i, m in enumerate(METRICS)
     )
-    pick = lambda x: f"case when q2.n >= {MIN_DOCS} then q2.{x} when q1.n >= {MIN_DOCS} then q1.{x} else q0.{x} end"
+    pick = lambda x: f"coalesce(case when q2.n >= {MIN_DOCS} then q2.{x} end, case when q1.n >= {MIN_DOCS} then q1.{x} end, q0.{x})"
     return f"""{measured(docs)},
-sketch as (select lang, source, metric, case when v < 64 then v else 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)::int) end as b, count(*) as n
+sketch as (select lang, source, metric, {bucket("v")} as b, count(*) as n
   from ({" union all ".join(f"select lang, source, {i} as metric, {value(m)} as v from measured where not base_failed" for i, m in enumerate(METRICS))}) group by all),
-{quartiles("lang, source,", 2)}, {quartiles("lang,", 1)}, {quartiles("", 0)},
-picked as (select q2.lang, q2.source, q2.metric, {pick("p")} as pb, {pick("q")} as qb
+{quantiles("lang, source,", 2)}, {quantiles("lang,", 1)}, {quantiles("", 0)},
+picked as (select q2.lang, q2.source, q2.metric, {pick("p")} as pb, {pick("q")} as qb, {pick("t")} as t
   from q2 join q1 on q2.lang is not distinct from q1.lang and q2.metric = q1.metric join q0 on q2.metric = q0.metric),
 fences as (select lang, source, {sides} from (select *, {low_end("pb")} as lo, {low_end("qb")} as hi from picked) group by lang, source),
 judged as (select m.*, coalesce(not base_failed and {inside}, false) as kept from measured m left join fences f on m.lang is not distinct from f.lang and m.source is not distinct from f.source)"""

@@ -1,11 +1,18 @@
-"""Quality rules with adaptive thresholds: fences around the quartiles of each language and source, from mergeable sketches.
+"""Quality rules with adaptive thresholds: fences from the quantiles of each language and source, from mergeable sketches.
 
 Fixed base rules come first (BASE). Documents that pass them are measured by integer ratios, and each ratio's values go
 into a histogram sketch with log-linear buckets: values below 64 are exact, larger ones keep 5 bits after the leading
 one, so that a quantile is off by at most 1/32. A sketch is rows (group, metric, bucket, count); sketches merge by adding
-counts, first in each task, then for a source, its language and all together. A (language, source) group with at least
-``min_docs`` documents uses its own quartiles, else its language's, else those of all. A document is kept if each metric
-lies within quartile -/+ max(spread * (q75 - q25), margin), which the thresholds, joined by group, decide.
+counts, first in each task, then for a source, its language and all together. No cutoff is given as a number: what a metric
+sets is a share or a spread.
+
+- A metric with a tail (ratios that are 0 for most documents): the fence is the bucket that holds the 1 - 1/tail quantile of
+  the (language, source) group. Where the group has fewer than ``min_docs`` documents, or that quantile is 0, so that the group
+  has no usual value but 0, its language's counts, then that of all; if all documents' is 0, the metric rejects nothing.
+- A metric with a spread (word length): the fences are quartile -/+ spread * (q75 - q25), at least a bucket wide, of the
+  group, or with fewer than ``min_docs`` documents of the language, then of all.
+
+The thresholds are joined by group and a document is kept if each metric lies within its fences.
 
 Everything is integer arithmetic on counts, so the verdicts are the same in each run. Nulls: a null text has no words
 and fails the base rules; a null language or source is a group. Repeated rows are judged alike. Empty tables stay empty.
@@ -27,23 +34,24 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Metric:
-    """(scale * above) div below; margin: least distance of a fence from its quartile; low: whether there is a lower fence."""
+    """(scale * above) div below, and either tail: one in so many may lie beyond the fence, or spread: how often the distance
+    of the quartiles lies between them and the fences."""
 
     name: str
     above: str
     below: str
     scale: int
-    margin: int
-    low: bool = False
+    tail: int = 0
+    spread: int = 0
 
 
 METRICS = (
-    Metric("symbols", "n_symbols", "n_words", 1000, 100),
-    Metric("dup_lines", "n_dup_lines", "n_lines", 1000, 350),
-    Metric("repeats", "n_repeat_words", "n_words", 1000, 300),
-    Metric("word_length", "word_chars", "n_words", 100, 150, low=True),
+    Metric("symbols", "n_symbols", "n_words", 1000, tail=20),
+    Metric("dup_lines", "n_dup_lines", "n_lines", 1000, tail=100),
+    Metric("repeats", "n_repeat_words", "n_words", 1000, tail=100),
+    Metric("word_length", "word_chars", "n_words", 100, spread=4),
 )
-SPREAD, MIN_DOCS = 4, 30
+MIN_DOCS = 30
 
 
 def repeat_words(w: Column) -> Column:
@@ -88,8 +96,9 @@ def bucket(v: Column) -> Column:
     return F.when(v < 64, v).otherwise(F.expr("bigint(32)") * shift + F.call_function("shiftright", v, shift))
 
 
-def thresholds(measured: DataFrame, lang: str, source: str, min_docs: int, spread: int) -> DataFrame:
-    """Rows (lang, source, low_0, high_0, ...) for each group of documents that pass the base rules."""
+def thresholds(measured: DataFrame, lang: str, source: str, min_docs: int) -> DataFrame:
+    """Rows (lang, source, low_0, high_0, ...) for each group of documents that pass the base rules: values for a metric with a
+    spread, for one with a tail the last bucket (null: no fence)."""
     sketch = (
         measured.where(~F.col("base_failed"))
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.posexplode(F.array(*(bucket(ratio(m)) for m in METRICS))).alias("metric", "bucket"))
@@ -98,20 +107,24 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_docs: int, sprea
     )
     sketch = written(sketch)
     keys = {2: ["lang", "source"], 1: ["lang"], 0: []}
+    tail = F.element_at(F.array(*(F.lit(m.tail or 4) for m in METRICS)), F.col("metric") + 1)
+    low_end = lambda b: F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - 32 * (F.floor(b / 32) - 1), (F.floor(b / 32) - 1).cast("int")))
 
-    def quartiles(level: int) -> DataFrame:
+    def quantiles(level: int) -> DataFrame:
         by = [*keys[level], "metric"]
         merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
         pairs = F.sort_array(F.collect_list(F.struct("bucket", "n")))  # at most a few hundred buckets
         total = F.aggregate(F.col("s"), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-        reach = lambda q: F.aggregate(
-            F.col("s"),
-            F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("at")),
-            lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.coalesce(a["at"], F.when(4 * (a["sum"] + x["n"]) >= q * F.col("total"), x["bucket"])).alias("at")),
-            lambda a: a["at"],
-        )
-        low_end = lambda b: F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - 32 * (F.floor(b / 32) - 1), (F.floor(b / 32) - 1).cast("int")))
-        q = merged.groupBy(*by).agg(pairs.alias("s")).withColumn("total", total).select(*by, F.col("total").alias(f"n{level}"), low_end(reach(1)).alias(f"p{level}"), low_end(reach(3)).alias(f"q{level}"))
+
+        def reach(part: Column, whole: Column) -> Column:
+            """The first bucket up to which part / whole of the counts lie."""
+            first = lambda a, x: F.coalesce(a["at"], F.when(whole * (a["sum"] + x["n"]) >= part * F.col("total"), x["bucket"]))
+            begin = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("at"))
+            return F.aggregate(F.col("s"), begin, lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), first(a, x).alias("at")), lambda a: a["at"])
+
+        q = merged.groupBy(*by).agg(pairs.alias("s")).withColumn("total", total)
+        four = F.lit(4)
+        q = q.select(*by, F.col("total").alias(f"n{level}"), low_end(reach(F.lit(1), four)).alias(f"p{level}"), low_end(reach(F.lit(3), four)).alias(f"q{level}"), F.nullif(reach(tail - 1, tail), F.lit(0)).alias(f"t{level}"))
         return q.withColumnsRenamed({k: f"{k}{level}" for k in by})
 
     groups = sketch.select("lang", "source", "metric").distinct()
@@ -120,24 +133,24 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_docs: int, sprea
         test = on[0]
         for x in on[1:]:
             test = test & x
-        groups = groups.join(quartiles(level), test, "left")
-    pick = lambda p: F.when(F.col("n2") >= min_docs, F.col(f"{p}2")).when(F.col("n1") >= min_docs, F.col(f"{p}1")).otherwise(F.col(f"{p}0"))
-    groups = groups.select("lang", "source", "metric", pick("p").alias("p"), pick("q").alias("q"))
+        groups = groups.join(quantiles(level), test, "left")
+    enough = lambda level, x: F.when(F.col(f"n{level}") >= min_docs, F.col(f"{x}{level}"))
+    pick = lambda x: F.coalesce(enough(2, x), enough(1, x), F.col(f"{x}0")).alias(x)
+    groups = groups.select("lang", "source", "metric", pick("p"), pick("q"), pick("t"))
+    reach = lambda m: F.greatest(m.spread * (F.col("q") - F.col("p")), F.expr("q div 32 + 1"))
     sides = []
     for i, m in enumerate(METRICS):
-        reach = F.greatest(spread * (F.col("q") - F.col("p")), F.lit(m.margin))
-        sides += [F.max(F.when(F.col("metric") == i, F.col("p") - reach)).alias(f"low_{i}"), F.max(F.when(F.col("metric") == i, F.col("q") + reach)).alias(f"high_{i}")]
+        mine = lambda c, i=i: F.max(F.when(F.col("metric") == i, c))
+        sides += [mine(F.col("p") - reach(m)).alias(f"low_{i}"), mine(F.col("q") + reach(m)).alias(f"high_{i}")] if m.spread else [mine(F.col("t")).alias(f"high_{i}")]
     return groups.groupBy("lang", "source").agg(*sides)
 
 
-def judge(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
+def judge(measured: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of measure() with kept: false if base_failed, else whether all metrics lie within their fences."""
-    fences = small(written(thresholds(measured, lang, source, min_docs, spread))).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    fences = small(written(thresholds(measured, lang, source, min_docs))).withColumnsRenamed({"lang": "__lang", "source": "__source"})
     df = measured.join(fences, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
     for i, m in enumerate(METRICS):
-        inside = inside & (ratio(m) <= F.col(f"high_{i}"))
-        if m.low:
-            inside = inside & (ratio(m) >= F.col(f"low_{i}"))
+        inside = inside & ((ratio(m) <= F.col(f"high_{i}")) & (ratio(m) >= F.col(f"low_{i}")) if m.spread else F.coalesce(bucket(ratio(m)) <= F.col(f"high_{i}"), F.lit(True)))
     df = df.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
     return df.drop("__lang", "__source", *(f"{s}_{i}" for i in range(len(METRICS)) for s in ("low", "high")))

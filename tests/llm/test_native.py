@@ -83,11 +83,42 @@ def test_quality_measures_and_edges(spark):
     assert quality.judge(quality.measure(df.limit(0))).count() == 0
 
 
+def of_symbols(ids, symbols, lang="en", source="s"):
+    """Documents of 60 words, of which so many have a $; two words' lengths vary."""
+    return [(i, " ".join(f"w{i:03}x{j:02}{'$' if j < n else ''}{'y' * (i % 2 + j % 2)}" for j in range(60)), lang, source) for i, n in zip(ids, symbols, strict=True)]
+
+
+def kept(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    return {r["doc_id"] for r in quality.judge(quality.measure(df)).collect() if r["kept"]}
+
+
 def test_quality_fences_find_outliers(spark):
-    clean = [(i, " ".join(f"w{i}x{j}" for j in range(60 + i % 9)), "en", "s") for i in range(60)]
-    junk = [(100 + i, " ".join(f"w{i}x{j}$$$" for j in range(60)), "en", "s") for i in range(6)]
-    got = quality.judge(quality.measure(spark.createDataFrame(clean + junk, "doc_id int, text string, lang string, source string"))).collect()
-    assert {r["doc_id"] for r in got if r["kept"]} == {r[0] for r in clean}
+    clean = of_symbols(range(60), [0] * 50 + [3] * 10)
+    junk = [(100 + i, " ".join(f"w{i}x{j}$$$" for j in range(60)), "en", "s") for i in range(3)]
+    assert kept(spark, clean + junk) == {r[0] for r in clean}
+    long = [(200, " ".join("x" * 40 + f"{j}" for j in range(60)), "en", "s")]
+    assert kept(spark, clean + long) == {r[0] for r in clean}  # word length, by the quartiles
+
+
+def test_quality_verdicts_follow_the_group(spark):
+    """A document of 6 symbols goes where one of 20 has any and stays where all have some; the other group changes nothing."""
+    few = of_symbols(range(100), [0] * 90 + [2] * 9 + [6])
+    many = of_symbols(range(100, 200), [6] * 99 + [2], source="t")
+    assert kept(spark, few + many) == set(range(200)) - {99}
+    more = of_symbols(range(100), [0] * 90 + [6] * 10)
+    assert kept(spark, more + many) == set(range(200))
+    # a group without symbols but one takes the language's fence, which that one is beyond; alone it has none
+    plain = of_symbols(range(100), [0] * 99 + [6])
+    assert kept(spark, plain) == set(range(100))
+    other = of_symbols(range(100, 200), [0] * 50 + [2] * 50, source="t")
+    assert kept(spark, plain + other) == set(range(199 + 1)) - {99}
+
+
+def test_quality_fences_differ_between_groups(spark):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.1") + "/documents.parquet")
+    fences = quality.thresholds(quality.measure(docs), "lang", "source", quality.MIN_DOCS).drop("lang", "source").collect()
+    assert len({tuple(r) for r in fences}) > len(fences) * 0.8
 
 
 def test_lines(spark):
