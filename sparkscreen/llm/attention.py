@@ -1,33 +1,43 @@
 """A small causal self-attention language model in numpy: training by back-propagation, scoring in overlapping windows.
 
-The model predicts the class of the next subword; within its class a subword has its share of the corpus counts. One
-attention head with a learned bias for each distance looks at the current and earlier subwords, followed by a two-layer
-feed-forward part, both with residual connections.
+The model predicts the class of the next subword: the log share of the class after the current subword, as counted, plus what
+attention adds. One head with a learned bias for each distance looks at the current and earlier subwords, followed by a
+two-layer feed-forward part, both with residual connections; the output weights begin at 0, so training begins at the counts.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 #: Width, hidden width of the feed-forward part, scored subwords a window; a window sees 2 * STRIDE subwords.
 WIDTH, HIDDEN, STRIDE = 16, 32, 16
 FAR = 2 * STRIDE
-NAMES = ("emb", "wq", "wk", "wv", "wo", "rel", "w1", "b1", "w2", "out", "bias")
+#: Windows of a training step; windows scored at once, so few that the arrays stay in a core's cache.
+STEP, BLOCK = 48, 48
+NAMES = ("emb", "wq", "wk", "wv", "wo", "rel", "w1", "b1", "w2", "out")
 
 Params = dict[str, np.ndarray]
 
 
+@dataclass
+class After:
+    """The counted log shares of the classes after a unit: row says which of the table's rows is a unit's."""
+
+    table: np.ndarray
+    row: np.ndarray
+
+
 def shapes(units: int, classes: int) -> dict[str, tuple[int, ...]]:
     d, h = WIDTH, HIDDEN
-    return {"emb": (units, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, d), "rel": (FAR,), "w1": (d, h), "b1": (h,), "w2": (h, d), "out": (d, classes), "bias": (classes,)}
+    return {"emb": (units, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, d), "rel": (FAR,), "w1": (d, h), "b1": (h,), "w2": (h, d), "out": (d, classes)}
 
 
-def start(units: int, classes: int, class_share: np.ndarray, seed: int = 0) -> Params:
-    """Small random weights; the bias starts as the classes' log shares."""
+def start(units: int, classes: int, seed: int = 0) -> Params:
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "emb" else s[0] ** -0.5 if len(s) > 1 else 0)).astype(np.float32) for k, s in shapes(units, classes).items()}
-    p["bias"] = np.log(np.maximum(class_share, 1e-9)).astype(np.float32)
-    return p
+    scale = lambda k, s: 0.0 if k == "out" or len(s) == 1 else 0.5 if k == "emb" else s[0] ** -0.5
+    return {k: (rng.standard_normal(s) * scale(k, s)).astype(np.float32) for k, s in shapes(units, classes).items()}
 
 
 def pack(p: Params) -> np.ndarray:
@@ -43,114 +53,127 @@ def unpack(flat: np.ndarray, units: int, classes: int) -> Params:
     return out
 
 
-def gradients(p: Params, units: np.ndarray, targets: np.ndarray) -> tuple[float, Params]:
+def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After) -> tuple[float, Params]:
     """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR). Shorter windows are
-    filled up at their end with any unit and the class -1, which count for nothing."""
+    filled up at their end with any unit and the class -1, which count for nothing. The gradient of emb is (rows, their gradients)."""
     b, n = units.shape
     d = WIDTH
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
     x = p["emb"][units]
     q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d)) + p["rel"][np.clip(i - j, 0, n - 1)]
-    s = np.where(j <= i, s, np.float32(-1e9))
-    a = np.exp(s - s.max(-1, keepdims=True))
+    s = q @ k.transpose(0, 2, 1)
+    s *= np.float32(d**-0.5)
+    s += np.where(j <= i, p["rel"][np.clip(i - j, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
+    a = np.exp(np.minimum(s, 60, out=s), out=s)
     a /= a.sum(-1, keepdims=True)
     c = a @ v
     h = x + c @ p["wo"]
     f = np.maximum(h @ p["w1"] + p["b1"], 0)
     g = h + f @ p["w2"]
-    z = g @ p["out"] + p["bias"]
-    z -= z.max(-1, keepdims=True)
-    e = np.exp(z)
-    e /= e.sum(-1, keepdims=True)
-    flat = e.reshape(b * n, -1)
-    own = np.flatnonzero(targets.ravel() >= 0)
-    at = own, targets.ravel()[own]
-    loss = float(-np.log(np.maximum(flat[at], 1e-30)).mean())
-    flat[at] -= 1
-    flat[targets.ravel() < 0] = 0
-    dz = flat / np.float32(len(own))
     rows = lambda t: t.reshape(b * n, -1)
-    grad: Params = {"out": rows(g).T @ dz, "bias": dz.sum(0)}
-    dg = dz @ p["out"].T
+    own = np.flatnonzero(targets.ravel() >= 0)
+    goal = targets.ravel()[own]
+    here = np.arange(len(own))
+    z = after.table[after.row[units.ravel()[own]]]
+    z += rows(g)[own] @ p["out"]
+    e = np.exp(np.minimum(z, 80, out=z), out=z)
+    total = e.sum(-1, keepdims=True)
+    loss = float((np.log(total[:, 0]) - np.log(np.maximum(e[here, goal], 1e-30))).mean())
+    e *= np.float32(1 / len(own)) / total
+    e[here, goal] -= np.float32(1 / len(own))
+    grad: Params = {"out": rows(g)[own].T @ e}
+    dg = np.zeros((b * n, d), np.float32)
+    dg[own] = e @ p["out"].T
     df = (dg @ p["w2"].T) * (rows(f) > 0)
     grad |= {"w2": rows(f).T @ dg, "w1": rows(h).T @ df, "b1": df.sum(0)}
     dh = dg + df @ p["w1"].T
     grad["wo"] = rows(c).T @ dh
     dc = (dh @ p["wo"].T).reshape(b, n, d)
-    da = dc @ v.transpose(0, 2, 1)
+    ds = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds *= a
+    ds -= a * ds.sum(-1, keepdims=True)
     total = ds.sum(0)
     grad["rel"] = np.array([np.trace(total, -t) for t in range(n)], np.float32)
-    ds /= np.float32(np.sqrt(d))
+    ds *= np.float32(d**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh.reshape(b, n, d) + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+    dx = rows(dh) + rows(dq) @ p["wq"].T + rows(dk) @ p["wk"].T + rows(dv) @ p["wv"].T
     for name, t in (("wq", dq), ("wk", dk), ("wv", dv)):
         grad[name] = rows(x).T @ rows(t)
-    grad["emb"] = np.zeros_like(p["emb"])
     order = np.argsort(units.ravel(), kind="stable")
     of = units.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    grad["emb"][of[first]] = np.add.reduceat(rows(dx)[order], first, axis=0)
+    grad["emb"] = (of[first], np.add.reduceat(dx[order], first, axis=0))
     return loss, grad
 
 
-def train(p: Params, units: np.ndarray, targets: np.ndarray, rate: float, batch: int = 64) -> float:
-    """One pass of Adam over the windows, in place; the mean loss."""
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    losses = []
-    for step, at in enumerate(range(0, len(units), batch), 1):
-        loss, grad = gradients(p, units[at : at + batch], targets[at : at + batch])
-        losses.append(loss)
+class Adam:
+    """Adam whose moments of an embedding change when its unit occurs."""
+
+    def __init__(self, p: Params):
+        self.p, self.step = p, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def learn(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float) -> float:
+        self.step += 1
+        loss, grad = gradients(self.p, units, targets, after)
+        scale = np.float32(rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
         for k, g in grad.items():
-            m[k] += (g - m[k]) * np.float32(0.1)
-            s[k] += (g * g - s[k]) * np.float32(0.01)
-            p[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-    return float(np.mean(losses)) if losses else 0.0
+            at, g = g if k == "emb" else (slice(None), g)
+            m, s = self.m[k][at], self.s[k][at]
+            m += (g - m) * np.float32(0.1)
+            s += (g * g - s) * np.float32(0.01)
+            self.m[k][at], self.s[k][at] = m, s
+            self.p[k][at] -= scale * m / (np.sqrt(s) + np.float32(1e-8))
+        return loss
 
+    def train(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float) -> list[float]:
+        """One pass over the windows; the losses of its steps."""
+        return [self.learn(units[at : at + STEP], targets[at : at + STEP], after, rate) for at in range(0, len(units), STEP)]
 
-def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, block: int = 256) -> np.ndarray:
+
+def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, after: After) -> np.ndarray:
     """Natural log probability of each target class. units: the current subword's unit at each position of a flat run of
-    texts, doc: its text. Each window scores STRIDE positions and sees those before them in the window of the same text.
+    texts, doc: its text. Each window scores STRIDE positions of a text and sees those before them in the window of the same
+    text; windows begin where a text does, so that its score doesn't depend on its neighbours.
 
     What depends on the unit alone is computed once a unit, and large arrays are used again from block to block."""
-    n, d, st = len(units), WIDTH, STRIDE
-    out = np.empty(n, np.float64)
+    d, st = WIDTH, STRIDE
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    size = np.diff(begin, append=len(doc))
+    whole = -(-size // st) * st
+    place = np.arange(len(doc)) + np.repeat(st + np.cumsum(whole) - whole - begin, size)
+    n = int(whole.sum())
+    seen, text, goal = np.zeros(n + st, np.int64), np.full(n + st, -1, np.int64), np.zeros(n + st, np.int64)
+    seen[place], text[place], goal[place] = units, doc, targets
+    out = np.empty(n + st, np.float64)
     i, j = np.arange(st)[:, None] + st, np.arange(FAR)[None, :]
     bias = np.where(j <= i, p["rel"][np.clip(i - j, 0, FAR - 1)], np.float32(-1e9)).astype(np.float32)
-    by_unit = np.concatenate([p["emb"], p["emb"] @ p["wq"] / np.float32(np.sqrt(d)), p["emb"] @ p["wk"], p["emb"] @ p["wv"]], axis=1)
-    ends = np.concatenate([p["out"], p["bias"][None, :]])  # the last row goes with a column of ones
-    reach, ones = np.abs(ends).max(1), np.ones(ends.shape[1], np.float32)
-    rows = min(block * st, -(-n // st) * st)
-    row, g, z = np.empty((rows + st, 4 * d), np.float32), np.ones((rows, d + 1), np.float32), np.empty((rows, ends.shape[1]), np.float32)
+    by_unit = np.concatenate([p["emb"], p["emb"] @ p["wq"] * np.float32(d**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"] @ p["wo"]], axis=1)
+    reach, ones = np.abs(p["out"]).max(1), np.ones(p["out"].shape[1], np.float32)
+    rows = min(BLOCK * st, n)
+    row, z, y = np.empty((rows + st, 4 * d), np.float32), np.empty((rows, len(ones)), np.float32), np.empty((rows, len(ones)), np.float32)
     for at in range(0, n, rows):
-        stop = min(at + rows, n)
-        w = -(-(stop - at) // st)
-        seen = np.zeros((w + 1) * st, np.int64)
-        text = np.full((w + 1) * st, -1, np.int64)
-        first = max(0, at - st)
-        seen[st - (at - first) : st + stop - at] = units[first:stop]
-        text[st - (at - first) : st + stop - at] = doc[first:stop]
-        r = np.take(by_unit, seen, axis=0, out=row[: len(seen)], mode="clip")
+        m = min(rows, n - at)
+        w = m // st
+        r = np.take(by_unit, seen[at : at + st + m], axis=0, out=row[: st + m], mode="clip")
         x, q, k, v = (r[:, c * d : (c + 1) * d] for c in range(4))
         window = lambda t: np.lib.stride_tricks.as_strided(t, (w, FAR, d), (st * t.strides[0], *t.strides))
-        texts = np.lib.stride_tricks.as_strided(text, (w, FAR), (st * text.strides[0], text.strides[0]))
         a = np.ascontiguousarray(q[st:]).reshape(w, st, d) @ np.ascontiguousarray(window(k).transpose(0, 2, 1))
         a += bias
         np.exp(np.minimum(a, 60, out=a), out=a)
-        mixed = np.flatnonzero(texts[:, 0] != texts[:, -1])
-        a[mixed] *= texts[mixed, None, :] == text[st:].reshape(w, st)[mixed, :, None]
-        c = (a @ window(v)) / np.maximum(a.sum(-1, keepdims=True), np.float32(1e-30))
-        h = x[st:] + c.reshape(w * st, d) @ p["wo"]
+        of = text[at : at + st + m].reshape(w + 1, st)
+        first = np.flatnonzero(of[:-1, 0] != of[1:, 0])  # windows with which a text begins: nothing is before
+        a[first, :, :st] = 0
+        c = (a @ window(v)) / a.sum(-1, keepdims=True)
+        h = x[st:] + c.reshape(m, d)
         f = h @ p["w1"]
         f += p["b1"]
-        g[: w * st, :d] = h + np.maximum(f, 0, out=f) @ p["w2"]
-        m = stop - at
-        s = np.matmul(g[:m], ends, out=z[:m])
-        if np.abs(g[:m]).max(0) @ reach > 80:  # else no score can be so large
+        h += np.maximum(f, 0, out=f) @ p["w2"]
+        s = np.take(after.table, after.row[seen[at + st : at + st + m]], axis=0, out=y[:m], mode="clip")
+        s += np.matmul(h, p["out"], out=z[:m])
+        if np.abs(h).max(0) @ reach > 80:  # else no score can be so large
             np.minimum(s, 80, out=s)
-        own = s[np.arange(m), targets[at:stop]].astype(np.float64)
-        out[at:stop] = own - np.log((np.exp(s, out=s) @ ones).astype(np.float64))
-    return out
+        own = s[np.arange(m), goal[at + st : at + st + m]].astype(np.float64)
+        out[at + st : at + st + m] = own - np.log((np.exp(s, out=s) @ ones).astype(np.float64))
+    return out[place]

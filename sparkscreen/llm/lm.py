@@ -6,12 +6,15 @@ word with a space before it. The vocabulary file is read where the driver runs a
 
 1. One pass over all training texts counts words and subwords and cuts each text into windows, all of which are gathered.
    Each subword of them is a unit of its own at the model's input. Subwords get classes: the SINGLE most frequent have their
-   own, the others are clustered by what stands near them in the windows, apart for word starts and continuations.
-2. Training: in each of ROUNDS rounds every task trains a copy of the model on its windows; the copies' parameters are
-   averaged, weighted by subwords, in Spark. Windows at the end of a text are shorter and train as all others do.
-3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability times the
-   subword's smoothed share of its class in all training texts. Words outside the KNOWN_WORDS most frequent are held against
-   the whole counts by a join, so that the unigram base is exact.
+   own, the others are clustered by what they follow, apart for word starts and continuations. A second pass over all windows
+   counts which subword follows each of the BUCKETS most frequent ones, and the others, as two buckets.
+2. Training: all windows are dealt by hash to ROUNDS rounds and to replicas of about REPLICA subwords, as many as the corpus
+   needs; each window trains once. In a round each replica's task trains a copy of the model on its windows; the copies'
+   parameters are averaged, weighted by subwords, in Spark. So the model depends on the rows, not on their partitions. Windows
+   at the end of a text are shorter and train as all others do.
+3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability, which sees
+   the window, times the subword's share of its class after the current subword's bucket, with absolute discounts. Words
+   outside the KNOWN_WORDS most frequent are held against the whole counts by a join, so that the unigram base is exact.
 
 Nulls: a null text is empty and has the end token only; a null id counts as an empty text in crc32 and stays null. Repeated
 rows are rows. Without training texts all counts are 0 and the base is not defined (null where N + V + 1 would be 0).
@@ -23,22 +26,27 @@ import base64
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import written
-from .tokens import chunks, texts
-
-ROUNDS, LEARNING_RATES = 2, (0.01, 0.004)
-CLUSTERS, SINGLE, NEAR = 30, 64, 64
+from .common import Tables, written
+from .tokens import chunks, mixed, texts
+
+#: Learning rates of the rounds; subwords that a replica trains on, about.
+LEARNING_RATES, REPLICA = (0.02, 0.005), 1 << 22
+ROUNDS = len(LEARNING_RATES)
+CLUSTERS, SINGLE, BUCKETS = 30, 64, 256
+#: What counts of followers are lessened by, and given to those that were not seen.
+DISCOUNT = 0.75
 #: Words whose counts are sent to the tasks (the most frequent); words of which a task keeps the subwords.
 KNOWN_WORDS, KEPT_WORDS = 1 << 17, 1 << 18
 END = b"\n"  # no word has white space
@@ -114,9 +122,9 @@ def is_held_out(ids: list, folds: int, held_out: int) -> list[bool]:
     return [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held_out for i in ids]
 
 
-def _windows(flat: np.ndarray, ends: np.ndarray, end_id: int) -> pa.Array:
-    """All windows of texts that lie one after the other in flat, up to ends. A text begins after an end token; a window has
-    FAR ids, fewer at a text's end, and the one before them."""
+def _windows(flat: np.ndarray, ends: np.ndarray, end_id: int, seeds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(all windows of texts that lie one after the other in flat, up to ends; a random number for each, from its text's). A
+    text begins after an end token; a window has FAR ids, fewer at a text's end, and the one before them."""
     far, starts = attention.FAR, np.concatenate([[0], ends[:-1]])
     begun = np.insert(flat, starts, end_id).astype(np.int32)
     n = -(-(ends - starts) // far)
@@ -125,26 +133,32 @@ def _windows(flat: np.ndarray, ends: np.ndarray, end_id: int) -> pa.Array:
     first = np.repeat(starts + np.arange(len(starts)), n) + k * far
     cuts = np.concatenate([[0], np.cumsum(size)])
     values = begun[np.repeat(first - cuts[:-1], size) + np.arange(cuts[-1])]
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+    draw = mixed(np.repeat(seeds, n) + k.astype(np.uint64)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values)), draw
 
 
 def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
-    """Rows (word, id, n, window): counts of words, counts of subwords, windows of the training texts; others null."""
+    """Rows (kind, word, id, n, window) of the training texts: counts of words, counts of subwords, and windows, whose n is a
+    random number; what a kind has not is null."""
+    names = ["kind", "word", "id", "n", "window"]
+
+    def rows(kind: str, n: np.ndarray, **given: pa.Array) -> pa.RecordBatch:
+        kinds = {"word": pa.string(), "id": pa.int64(), "window": pa.list_(pa.int32())}
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), *(given.get(c, pa.nulls(len(n), t)) if c != "n" else pa.array(n, pa.int64()) for c, t in (("word", kinds["word"]), ("id", kinds["id"]), ("n", None), ("window", kinds["window"])))], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(ranks.value)
-        names = ["word", "id", "n", "window"]
         words, ids = np.zeros(0, np.int64), np.zeros(coder.end_id + 1, np.int64)
 
         def word_rows() -> pa.RecordBatch:
             found = np.flatnonzero(words)
             found = found[found > 0]
-            text = pa.array([coder.names[i] for i in found.tolist()], pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([text, pa.nulls(len(found), pa.int64()), pa.array(words[found]), pa.nulls(len(found), pa.list_(pa.int32()))], names=names)
+            return rows("word", words[found], word=pa.array([coder.names[i] for i in found.tolist()], pa.binary()).cast(pa.string()))
 
         for batch in batches:
-            raw, held = texts(batch.column("text")), is_held_out(batch.column("doc_id").to_pylist(), folds, held_out)
-            raw = [t for t, h in zip(raw, held, strict=True) if not h]
+            own, raw = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
+            train = [(i, t) for i, t, h in zip(own, raw, is_held_out(own, folds, held_out), strict=True) if not h]
+            raw = [t for _, t in train]
             for a, b in chunks(raw):
                 docs = [lower_words(t) for t in raw[a:b]]
                 numbers = coder.numbers(docs)
@@ -154,51 +168,58 @@ def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
                 flat, size = coder.subwords(numbers)
                 ids += np.bincount(flat, minlength=len(ids))
                 ends = np.cumsum(size)[np.cumsum([len(d) + 1 for d in docs]) - 1]
-                windows = _windows(flat, ends, coder.end_id)
-                n = pa.nulls(len(windows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.string()), n, n, windows], names=names)
+                seeds = np.array([xxhash.xxh3_64_intdigest(f"{i}:{len(t or b'')}") for i, t in train[a:b]], np.uint64)
+                windows, draw = _windows(flat, ends, coder.end_id, seeds)
+                yield rows("window", draw, window=windows)
                 if len(coder.names) > KEPT_WORDS:
                     yield word_rows()
                     words = np.zeros(0, np.int64)
                     coder.clear()
         yield word_rows()
         found = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.string()), pa.array(found), pa.array(ids[found]), pa.nulls(len(found), pa.list_(pa.int32()))], names=names)
+        yield rows("id", ids[found], id=pa.array(found))
 
-    return docs.mapInArrow(count, "word string, id bigint, n bigint, window array<int>")
+    return docs.mapInArrow(count, "kind string, word string, id bigint, n bigint, window array<int>")
 
 
 @dataclass
 class Classes:
-    """unit and class of each subword id, and the natural log of its smoothed share of its class."""
+    """What the counts say. unit: of each subword id; of each unit: its class and its row in the tables after and inner. after:
+    log shares of the classes; inner: log share of each unit in its class."""
 
     unit: np.ndarray
     label: np.ndarray
-    share: np.ndarray
+    after: attention.After
+    inner: np.ndarray
     n_units: int
     n_classes: int
-    class_share: np.ndarray = field(repr=False)
 
 
-def _near_counts(windows: DataFrame, unit, n_units: int) -> np.ndarray:
-    """How often each unit stands in a window with each of the NEAR most frequent: units * NEAR sums at most."""
+def _followers(windows: DataFrame, unit, row, n_rows: int, n_units: int) -> np.ndarray:
+    """How often each unit follows each row's units: rows * units sums at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_units * NEAR, np.int64)
+        total = np.zeros(n_rows * n_units, np.int64)
         for batch in batches:
             at, ids = _filled(batch.column("window"))
-            u = np.where(at, unit.value[ids], -1)
-            for part in np.array_split(u, -(-len(u) // 2048)):
-                row, j = np.nonzero((part >= 0) & (part < NEAR))
-                pairs = part[row] * NEAR + part[row, j][:, None]
-                total += np.bincount(pairs[part[row] >= 0], minlength=len(total))
+            u = unit.value[ids]
+            total += np.bincount((row.value[u[:, :-1]] * n_units + u[:, 1:])[at[:, 1:]], minlength=len(total))
         a = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(total[a])], names=["at", "n"])
 
-    out = np.zeros(n_units * NEAR)
+    out = np.zeros(n_rows * n_units)
     found = windows.select("window").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(n_units, NEAR)
+    return out.reshape(n_rows, n_units)
+
+
+def _discounted(counts: np.ndarray, share: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares within the labels of the columns, row by row, with absolute discounts that go by ``share``; sums by label)."""
+    by = np.zeros((counts.shape[1], label.max() + 1))
+    by[np.arange(len(label)), label] = 1
+    n, kinds = counts @ by, (counts > 0).astype(float) @ by
+    seen = n[:, label]
+    return np.where(seen > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[:, label] * share) / np.maximum(seen, 1), share), n
 
 
 def _clusters(near: np.ndarray, weight: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -229,21 +250,26 @@ def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int]) -
         initial[i] = token[:1] == b" "
     order = np.argsort(-counts, kind="stable")
     top = order[: int((counts > 0).sum())]
-    n_units = len(top) + 2
-    unit = len(top) + initial
-    unit[top] = np.arange(len(top))
-    label = 2 * CLUSTERS + initial
-    if len(top):
-        sent = sc.broadcast(unit)
-        near = _near_counts(windows, sent, n_units)[: len(top)]
-        label[top] = 2 * _clusters(near, counts[top], CLUSTERS) + initial[top]
+    known = len(top)
+    n_units = known + 2  # the last two: continuations and word starts that the training texts don't have
+    unit = known + initial
+    unit[top] = np.arange(known)
+    starts = np.append(initial[top], [0, 1])
+    row = np.where(np.arange(n_units) < min(known, BUCKETS), np.arange(n_units), BUCKETS + starts)
+    follow = _followers(windows, sc.broadcast(unit), sc.broadcast(row), BUCKETS + 2, n_units)
+    label = 2 * CLUSTERS + starts
+    if known:
+        label[:known] = 2 * _clusters(follow.T[:known], counts[top], CLUSTERS) + starts[:known]
     n_classes = 2 * CLUSTERS + 3 + SINGLE
-    label[top[:SINGLE]] = n_classes - SINGLE + np.arange(len(top[:SINGLE]))
-    label[end] = 2 * CLUSTERS + 2
-    smooth = counts + 0.5
-    totals = np.bincount(label, smooth, n_classes)
-    whole = np.bincount(label, counts, n_classes) + 0.5
-    return Classes(unit, label, np.log(smooth / totals[label]), n_units, n_classes, whole / whole.sum())
+    label[: min(known, SINGLE)] = n_classes - SINGLE + np.arange(min(known, SINGLE))
+    label[unit[end]] = 2 * CLUSTERS + 2
+    smooth = np.append(counts[top], [0, 0]) + 0.5
+    smooth[known:] /= np.maximum(1, np.bincount(initial[counts == 0], minlength=2))  # a share for each of those subwords
+    members = np.bincount(label[unit], smooth[unit], n_classes)
+    whole = members + 0.5
+    inner, by_class = _discounted(follow, smooth / members[label], label)
+    after, _ = _discounted(np.pad(by_class, ((0, 0), (0, n_classes - by_class.shape[1]))), whole / whole.sum(), np.zeros(n_classes, np.int64))
+    return Classes(unit, label, attention.After(np.log(after).astype(np.float32), row), np.log(inner).astype(np.float32), n_units, n_classes)
 
 
 def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -254,31 +280,37 @@ def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, ids
 
 
-def _trained(windows: DataFrame, classes: Classes) -> attention.Params:
+def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.Params:
+    """windows: n (random), window."""
     sc = windows.sparkSession.sparkContext
     sent = sc.broadcast(classes)
-    params = attention.start(classes.n_units, classes.n_classes, classes.class_share)
-    for rate in LEARNING_RATES[:ROUNDS]:
+    params = attention.start(classes.n_units, classes.n_classes)
+    replicas = max(1, -(-subwords // (REPLICA * ROUNDS)))
+    for turn, rate in enumerate(LEARNING_RATES):
         begin = sc.broadcast(attention.pack(params))
 
         def fit(batches: Iterator[pa.RecordBatch], begin=begin, rate=rate) -> Iterator[pa.RecordBatch]:
             c = sent.value
-            own, seen = attention.unpack(begin.value, c.n_units, c.n_classes), 0
+            learner, seen = attention.Adam(attention.unpack(begin.value, c.n_units, c.n_classes)), 0
             for batch in batches:
                 at, ids = _filled(batch.column("window"))
                 if len(ids):
-                    attention.train(own, c.unit[ids[:, :-1]], np.where(at[:, 1:], c.label[ids[:, 1:]], -1), rate)
+                    u = c.unit[ids]
+                    learner.train(u[:, :-1], np.where(at[:, 1:], c.label[u[:, 1:]], -1), c.after, rate)
                     seen += int(at[:, 1:].sum())
             if seen:
-                moved = attention.pack(own).astype(np.float64) - begin.value
+                moved = attention.pack(learner.p).astype(np.float64) - begin.value
                 at = np.flatnonzero(moved)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * seen, seen))], names=["at", "v"])
 
-        # one row a parameter that moved; the weights' sum is at -1
-        sums = windows.select("window").mapInArrow(fit, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        # one partition a replica, in the order of the random numbers; one row a parameter that moved, the weights' sum at -1
+        own = windows.where(F.pmod("n", F.lit(ROUNDS)) == turn).withColumn("n", F.floor(F.col("n") / ROUNDS))
+        dealt = own.repartitionById(replicas, F.pmod("n", F.lit(replicas)).cast("int")).sortWithinPartitions("n", "window")
+        sums = dealt.select("window").mapInArrow(fit, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         at, v = sums.column("at").to_numpy(), sums.column("v").to_numpy()
         flat = attention.pack(params).astype(np.float64)
-        flat[at[at >= 0]] += v[at >= 0] / v[at < 0].sum()
+        if len(at):
+            flat[at[at >= 0]] += v[at >= 0] / v[at < 0].sum()
         params = attention.unpack(flat, classes.n_units, classes.n_classes)
     return params
 
@@ -292,7 +324,8 @@ class Model:
         """log10 probability of each of n_docs texts, whose subword ids lie one after the other, each with its end."""
         c = self.classes
         current = np.concatenate([[len(c.unit) - 1], ids[:-1]])
-        natural = attention.score(self.params, c.unit[current], c.label[ids], doc) + c.share[ids]
+        before, units = c.unit[current], c.unit[ids]
+        natural = attention.score(self.params, before, c.label[units], doc, c.after) + c.inner[c.after.row[before], units]
         return np.bincount(doc, natural, n_docs) / np.log(10)
 
 
@@ -302,16 +335,17 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     table = read_ranks(vocabulary)
     ranks = sc.broadcast(table)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gathered = written(_counted(docs, ranks, folds, held_out))
-    words = written(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    subwords = {r["id"]: r["n"] for r in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
+    t = Tables(docs.sparkSession)
+    gathered = t.written(_counted(docs, ranks, folds, held_out))
+    words = t.written(gathered.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("c")))
+    subwords = {r["id"]: r["n"] for r in gathered.where("kind = 'id'").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
     end_id = max(table.values()) + 1
     ends = subwords.get(end_id, 0)
     distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_train, v_train = running + ends, distinct + (1 if ends else 0)
-    windows = gathered.where("window is not null")
+    windows = gathered.where("kind = 'window'").select("n", "window")
     classes = _classes(subwords, windows, table)
-    model = sc.broadcast(Model(classes, _trained(windows, classes)))
+    model = sc.broadcast(Model(classes, _trained(windows, classes, sum(subwords.values()))))
     top = words.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow()
     known = sc.broadcast(dict(zip(top.column("word").cast(pa.large_binary()).to_pylist(), top.column("c").to_pylist(), strict=True)) | {END: ends})
 
@@ -345,11 +379,11 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
                 row += b - a
 
     schema = f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_top bigint, base_top double, score double, rare array<string>"
-    scored = written(docs.mapInArrow(score, schema))
+    scored = t.written(docs.mapInArrow(score, schema))
     rest = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base_rare"), F.count("c").alias("n_rare"))
     total = n_train + v_train + 1
-    return (
+    result = written(
         scored.drop("rare")
         .join(rest, "row", "left")
         .select(
@@ -362,3 +396,5 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
             "score",
         )
     )
+    t.drop()
+    return result

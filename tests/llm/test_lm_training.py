@@ -1,36 +1,66 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from compare import DATA
 
-from sparkscreen.llm import attention, lm
+from sparkscreen.llm import attention, lm, queries
+
+
+def even(units, classes):
+    return attention.After(np.full((1, classes), -np.log(classes), np.float32), np.zeros(units, np.int64))
 
 
 def test_filled_windows_have_the_gradients_of_short_ones():
     rng = np.random.default_rng(1)
-    p = attention.start(20, 7, np.full(7, 1 / 7))
+    p = attention.start(20, 7)
+    p["out"] += rng.standard_normal(p["out"].shape).astype(np.float32)
     units, targets = rng.integers(0, 20, (3, 5)), rng.integers(0, 7, (3, 5))
-    loss, grad = attention.gradients(p, units, targets)
+    loss, grad = attention.gradients(p, units, targets, even(20, 7))
     fill = ((0, 0), (0, attention.FAR - 5))
-    filled_loss, filled = attention.gradients(p, np.pad(units, fill), np.pad(targets, fill, constant_values=-1))
+    filled_loss, filled = attention.gradients(p, np.pad(units, fill), np.pad(targets, fill, constant_values=-1), even(20, 7))
     assert abs(loss - filled_loss) < 1e-5
+    dense = lambda g: np.array([g[1][g[0] == u].sum(0) for u in range(20)])
+    assert np.allclose(dense(grad.pop("emb")), dense(filled.pop("emb")), atol=1e-5)
     for k, g in grad.items():
         assert np.allclose(g, filled[k][:5] if k == "rel" else filled[k], atol=1e-5), k
     assert not filled["rel"][5:].any()
 
 
+def test_attention_gradients_and_windows():
+    rng = np.random.default_rng(0)
+    p, after = attention.start(50, 9), attention.After(np.log(rng.dirichlet(np.ones(9), 5)).astype(np.float32), np.arange(50) % 5)
+    p["out"] += rng.standard_normal(p["out"].shape).astype(np.float32)
+    u, t = rng.integers(0, 50, (4, attention.FAR)), rng.integers(0, 9, (4, attention.FAR))
+    _, grad = attention.gradients(p, u, t, after)
+    emb = np.zeros_like(p["emb"])
+    emb[grad["emb"][0]] = grad["emb"][1]
+    grad["emb"] = emb
+    for name in attention.NAMES:
+        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[name][at] += 1e-2
+        down[name][at] -= 1e-2
+        assert grad[name][at] == pytest.approx((attention.gradients(up, u, t, after)[0] - attention.gradients(down, u, t, after)[0]) / 2e-2, rel=0.05)
+    # the first window of a text sees what training sees; a text's score doesn't depend on its neighbours
+    flat, doc = np.concatenate([u[0], u[1]]), np.repeat([0, 1], attention.FAR)
+    both = attention.score(p, flat, np.concatenate([t[0], t[1]]), doc, after)
+    alone = attention.score(p, u[1], t[1], np.zeros(attention.FAR, int), after)
+    assert both[attention.FAR :] == pytest.approx(alone, abs=1e-5)
+    assert -alone[: attention.STRIDE].mean() == pytest.approx(attention.gradients(p, u[1:2, : attention.STRIDE], t[1:2, : attention.STRIDE], after)[0], abs=1e-4)
+
+
 def test_short_texts_train_the_model(spark):
     size = 12
-    classes = lm.Classes(np.arange(size), np.arange(size), np.zeros(size), size, size, np.full(size, 1 / size))
-    windows = spark.createDataFrame([([11, 1, 2, 11],)] * 500, "window array<int>").coalesce(1)
-    p = lm._trained(windows, classes)
+    classes = lm.Classes(np.arange(size), np.arange(size), even(size, size), np.zeros((1, size)), size, size)
+    windows = spark.createDataFrame([(i, [11, 1, 2, 11]) for i in range(2000)], "n bigint, window array<int>")
+    p = lm._trained(windows, classes, 6000)
     run, doc = np.array([11, 1, 2]), np.zeros(3, np.int64)
-    got = attention.score(p, run, np.array([1, 2, 11]), doc)
+    got = attention.score(p, run, np.array([1, 2, 11]), doc, classes.after)
     assert (got > np.log(0.5)).all(), got
 
 
 def test_windows_hold_every_subword_of_the_training_texts(spark):
-    from sparkscreen.llm import queries
-
     table = lm.read_ranks(queries.VOCABULARY)
     docs = spark.createDataFrame([(i, f"word{i} stands in a text " * (i % 40)) for i in range(200)] + [(None, None)], "doc_id bigint, text string")
     found = lm._counted(docs, spark.sparkContext.broadcast(table), 7, 2).collect()
@@ -46,9 +76,27 @@ def test_windows_hold_every_subword_of_the_training_texts(spark):
     assert total and seen == total
 
 
-def test_a_prediction_sees_17_to_32_subwords_and_each_counted_subword_is_a_unit(spark):
-    ranks = {bytes([97 + i // 676, 97 + i // 26 % 26, 97 + i % 26]): i for i in range(5000)}
-    windows = spark.createDataFrame([(list(range(i, i + 10)),) for i in range(0, 5000, 10)], "window array<int>")
-    got = lm._classes(dict.fromkeys(range(5000), 1), windows, ranks)
-    assert len(np.unique(got.unit[:5000])) == 5000
+def test_shares_of_all_subwords_sum_to_one_after_each_and_each_counted_one_is_a_unit(spark):
+    ranks = {(b" " if i % 3 else b"") + bytes([97 + i // 676, 97 + i // 26 % 26, 97 + i % 26]): i for i in range(3000)}
+    ids = [i * i % 2000 for i in range(6000)]
+    windows = spark.createDataFrame([(0, ids[i : i + 10]) for i in range(0, 6000, 10)], "n bigint, window array<int>")
+    got = lm._classes({i: ids.count(i) for i in set(ids)}, windows, ranks)
+    assert len(np.unique(got.unit[sorted(set(ids))])) == len(set(ids))
+    own, table = got.after.row[got.unit], got.after.table
+    for before in (0, ids[1], 1999, 2500):
+        p = np.exp(table[own[before]][got.label[got.unit]].astype(float) + got.inner[own[before], got.unit])
+        assert p.sum() == pytest.approx(1, abs=2e-3)
     assert (attention.STRIDE, attention.FAR) == (16, 32)
+
+
+def test_score_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(100)
+    a, b = ({r["doc_id"]: r["score"] for r in lm.score_documents(d, queries.VOCABULARY).collect()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert a == pytest.approx(b, rel=1e-6)
+
+
+def test_held_out_score_beats_the_unigram_base(spark):
+    got = lm.score_documents(spark.read.parquet(DATA.replace("0.001", "0.1") + "/documents.parquet"), queries.VOCABULARY).toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum() * 0.97
+    assert (held.score > held.base_score).mean() > 0.6

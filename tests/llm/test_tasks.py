@@ -10,12 +10,11 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
-from sparkscreen.llm import attention, common, decontam, jaccard, licenses, lm, queries, warc
+from sparkscreen.llm import common, decontam, jaccard, licenses, lm, queries, warc
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -177,7 +176,7 @@ def test_language_model(spark):
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
         assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and r.score < 0
     held = got[got.held_out]
-    assert held.score.sum() / held.n_tokens.sum() > -math.log10(50257) * 3  # far better than subwords at random
+    assert held.score.sum() / held.n_tokens.sum() > -5  # subwords by their counts alone: -6; test_lm_training has the larger table
 
 
 def test_language_model_edges(spark):
@@ -185,22 +184,3 @@ def test_language_model_edges(spark):
     got = lm.score_documents(docs, queries.VOCABULARY).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 3]
     assert lm.score_documents(docs.limit(0), queries.VOCABULARY).count() == 0
-
-
-def test_attention_gradients_and_windows():
-    rng = np.random.default_rng(0)
-    p = attention.start(50, 9, np.full(9, 1 / 9))
-    u, t = rng.integers(0, 50, (4, attention.FAR)), rng.integers(0, 9, (4, attention.FAR))
-    _, grad = attention.gradients(p, u, t)
-    for name in attention.NAMES:
-        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
-        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
-        up[name][at] += 1e-2
-        down[name][at] -= 1e-2
-        assert grad[name][at] == pytest.approx((attention.gradients(up, u, t)[0] - attention.gradients(down, u, t)[0]) / 2e-2, rel=0.05)
-    # the first window of a text sees what training sees; a text's score doesn't depend on its neighbours
-    flat, doc = np.concatenate([u[0], u[1]]), np.repeat([0, 1], attention.FAR)
-    both = attention.score(p, flat, np.concatenate([t[0], t[1]]), doc)
-    alone = attention.score(p, u[1], t[1], np.zeros(attention.FAR, int))
-    assert both[attention.FAR :] == pytest.approx(alone, abs=1e-5)
-    assert -alone[: attention.STRIDE].mean() == pytest.approx(attention.gradients(p, u[1:2, : attention.STRIDE], t[1:2, : attention.STRIDE])[0], abs=1e-4)
