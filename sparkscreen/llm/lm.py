@@ -304,7 +304,7 @@ def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.P
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * seen, seen))], names=["at", "v"])
 
         # one partition a replica, in the order of the random numbers; one row a parameter that moved, the weights' sum at -1
-        own = windows.where(F.pmod("n", F.lit(ROUNDS)) == turn).withColumn("n", F.floor(F.col("n") / ROUNDS))
+        own = windows.where(F.pmod("n", F.lit(ROUNDS)) == turn).withColumn("n", F.expr(f"n div {ROUNDS}"))
         dealt = own.repartitionById(replicas, F.pmod("n", F.lit(replicas)).cast("int")).sortWithinPartitions("n", "window")
         sums = dealt.select("window").mapInArrow(fit, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         at, v = sums.column("at").to_numpy(), sums.column("v").to_numpy()
