@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime
 
 MODEL_VERSION = "2.0"
 RANKED, PARTIAL, INSUFFICIENT = "RANKED", "PARTIAL_DATA", "INSUFFICIENT_DATA"
@@ -11,9 +12,9 @@ RANKED, PARTIAL, INSUFFICIENT = "RANKED", "PARTIAL_DATA", "INSUFFICIENT_DATA"
 
 @dataclass(frozen=True)
 class ScreenConfig:
-    """run_ts is a literal, so that a run can be repeated."""
+    """run_ts, a UTC time, is a literal in all plans, so that a run can be repeated; by default it is when the object is made."""
 
-    run_ts: str = "2001-12-01 00:00:00"
+    run_ts: str = field(default_factory=lambda: datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
     ticker: str = "VRTX"
     top_n: int = 100
     export: bool = False
@@ -32,9 +33,9 @@ class ScreenConfig:
         found = {}
         if "EXPORT_RESULTS" in env:
             found["export"] = env["EXPORT_RESULTS"].strip().lower() in {"1", "true", "yes", "y"}
-        for key, field in (("LOW_AVERAGE_DOLLAR_VOLUME", "low_dollar_volume"), ("VERY_LOW_AVERAGE_DOLLAR_VOLUME", "very_low_dollar_volume")):
+        for key, name in (("LOW_AVERAGE_DOLLAR_VOLUME", "low_dollar_volume"), ("VERY_LOW_AVERAGE_DOLLAR_VOLUME", "very_low_dollar_volume")):
             if key in env:
-                found[field] = float(env[key])
+                found[name] = float(env[key])
         return replace(cls(), **(found | changes))
 
 

@@ -35,15 +35,18 @@ def _status(critical: Column, coverage: str, least: float) -> Column:
     return F.when(critical | (F.col(coverage) < least), INSUFFICIENT).when(F.col(coverage) < 100, PARTIAL).otherwise(RANKED)
 
 
-def component_scores(analysis: DataFrame, short: DataFrame, config: ScreenConfig, check: bool = True) -> DataFrame:
+def component_scores(analysis: DataFrame, short: DataFrame | None, config: ScreenConfig, check: bool = True) -> DataFrame:
+    """short: the short-term metrics to join, None if analysis has their columns."""
     c = F.col
-    df = left_join_one_to_one(analysis, short, check=check)
+    df = analysis if short is None else left_join_one_to_one(analysis, short, check=check)
     df = percentile_in_group(df, "short_volatility_20d_pct", "sector", "sector_volatility_percentile")
     eps, have_eps = scores.eps_revisions(c("eps_up_30d"), c("eps_down_30d"))
     selloff, selloff_coverage, selloff_status = scores.selloff_stability(c("return_2d_pct"), c("negative_days_last_5"), c("worst_daily_return_5d_pct"))
     by_sector = c("sector_volatility_percentile").isNotNull()
     return staged(df).withColumns(
         {
+            "price_vs_ma20_pct": c("distance_from_ma20_pct"),
+            "price_vs_ma50_pct": c("distance_from_ma50_pct"),
             "lt_score_upside": piecewise(c("selected_target_upside_pct"), scores.UPSIDE),
             "lt_score_eps_revisions": eps,
             "eps_revision_data_available": have_eps,
@@ -57,7 +60,7 @@ def component_scores(analysis: DataFrame, short: DataFrame, config: ScreenConfig
             "selloff_stability_data_coverage_pct": selloff_coverage,
             "selloff_stability_status": selloff_status,
             "st_score_volatility": F.when(by_sector, piecewise(c("sector_volatility_percentile"), scores.SECTOR_VOLATILITY)).otherwise(piecewise(c("short_volatility_20d_pct"), scores.VOLATILITY)),
-            "volatility_score_method": F.when(by_sector, "SECTOR_RELATIVE").otherwise("ABSOLUTE_FALLBACK"),
+            "volatility_scoring_method": F.when(by_sector, "SECTOR_RELATIVE").otherwise("ABSOLUTE_FALLBACK"),
             "st_score_earnings_timing": scores.earnings_timing(c("days_to_next_earnings"), c("days_since_last_earnings")),
         }
     )
@@ -120,14 +123,11 @@ def composite_scores(df: DataFrame, config: ScreenConfig) -> DataFrame:
 
 
 def with_ranks(df: DataFrame) -> DataFrame:
-    """Minimum ranks among the rankable. The window holds one row a company, a few columns of it."""
+    """Minimum ranks among the rankable. A window holds one row a company; rows that can't be ranked are dealt by symbol."""
 
     def rank(score: str, status: str) -> Column:
         able = F.col(status).isin(*RANKABLE)
-        return F.when(able, F.rank().over(W.partitionBy(able).orderBy(F.col(score).desc_nulls_last())))
+        apart = F.when(~able, F.col("symbol"))
+        return F.when(able, F.rank().over(W.partitionBy(apart).orderBy(F.col(score).desc_nulls_last())))
 
-    keys = ["symbol", "analyst_long_term_score", "analyst_long_term_status", "short_term_entry_score", "short_term_status"]
-    ranks = df.select(*keys).select(
-        "symbol", rank("analyst_long_term_score", "analyst_long_term_status").alias("long_term_rank"), rank("short_term_entry_score", "short_term_status").alias("short_term_rank")
-    )
-    return df.join(ranks, "symbol", "left")
+    return df.withColumns({"long_term_rank": rank("analyst_long_term_score", "analyst_long_term_status"), "short_term_rank": rank("short_term_entry_score", "short_term_status")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,9 +50,9 @@ def short_term_ranking(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("short_term_status").isin(*RANKABLE)).orderBy(*short_order())
 
 
-def combined_candidates(scored: DataFrame) -> DataFrame:
+def combined_filter() -> Column:
     c = F.col
-    chosen = scored.where(
+    return (
         (c("analyst_long_term_score") >= 60)
         & (c("short_term_entry_score") >= 60)
         & c("analyst_long_term_status").isin(*RANKABLE)
@@ -61,7 +61,10 @@ def combined_candidates(scored: DataFrame) -> DataFrame:
         & (c("short_term_data_coverage_pct") >= 80)
         & (c("overall_data_quality") != "INSUFFICIENT")
     )
-    return chosen.select(F.row_number().over(W.orderBy(*combined_order())).alias("combined_rank"), "*").orderBy("combined_rank")
+
+
+def combined_candidates(scored: DataFrame) -> DataFrame:
+    return scored.where(combined_filter()).select(F.row_number().over(W.orderBy(*combined_order())).alias("combined_rank"), "*").orderBy("combined_rank")
 
 
 def rankings(scored: DataFrame) -> dict[str, DataFrame]:
@@ -80,6 +83,19 @@ def rankings(scored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def segments(scored: DataFrame) -> DataFrame:
+    """A row (segment, ...) for each segment that a company is in, in one pass over the companies."""
+    chosen, profile = F.coalesce(combined_filter(), F.lit(False)), F.col("candidate_profile")
+    found = {
+        "strong_candidates": chosen & (profile == "STRONG CANDIDATE"),
+        "wait_for_entry": profile == "ATTRACTIVE, WAIT FOR ENTRY",
+        "tactical_candidates": chosen & (profile == "TACTICAL CANDIDATE"),
+        "momentum_only": profile == "MOMENTUM ONLY",
+        "insufficient_data": (F.col("analyst_long_term_status") == INSUFFICIENT) | (F.col("short_term_status") == INSUFFICIENT),
+    }
+    return scored.select(F.explode(F.array_compact(F.array(*(F.when(test, name) for name, test in found.items())))).alias("segment"), "*")
+
+
 def top(table: DataFrame, columns: tuple[str, ...], n: int, order: list) -> DataFrame:
     """The printed table: the first n rows, existing columns only, numbers rounded to 2 places."""
     rounded = {"double", "float"}

@@ -38,57 +38,65 @@ def _std(k: int, least: int) -> Column:
     return F.when(F.count("ret") >= least, F.stddev_samp(F.when(F.col("rn") <= k, F.col("ret"))) * F.sqrt(F.lit(252.0)) * 100)
 
 
-def price_metrics(symbols: DataFrame, bars: DataFrame) -> DataFrame:
-    """A row a symbol: last price, moving averages, annual volatility, volume, and why there is no history."""
-    found = numbered(bars).groupBy("symbol").agg(
+def aggregated(bars: DataFrame) -> DataFrame:
+    """A row a symbol with bars: all that price and short-term features need, of which a query computes what it uses."""
+    r = F.count("ret")
+    return numbered(bars).groupBy("symbol").agg(
         F.count("close").alias("n"),
-        _at(1).alias("history_price"),
+        _at(1).alias("last"),
+        *(_at(k + 1).alias(f"c{k}") for k in (1, 2, 5, 20)),
         F.max(F.when(F.col("rn") == 1, F.col("price_date"))).alias("price_as_of"),
         *(_mean(k).alias(f"ma_{k}") for k in (20, 50, 200)),
         _std(252, 20).alias("volatility_annual_pct"),
-        F.when(F.count("volume") > 0, F.avg(F.when(F.col("ra") <= 20, F.col("volume")))).alias("average_volume_20d"),
-    )
-    empty = F.col("history_price").isNull()
-    return symbols.select("symbol").join(found, "symbol", "left").select(
-        "symbol",
-        "history_price",
-        "price_as_of",
-        "ma_20",
-        "ma_50",
-        "ma_200",
-        pct_over(F.col("history_price"), F.col("ma_200")).alias("price_vs_200d_ma_pct"),
-        "volatility_annual_pct",
-        F.when(~empty, F.col("average_volume_20d")).alias("average_volume_20d"),
-        (F.col("history_price") * F.col("average_volume_20d")).alias("average_dollar_volume_20d"),
-        F.when(F.col("n").isNull(), "NO_PRICE_HISTORY").when(empty, "NO_VALID_CLOSE").otherwise("").alias("history_error"),
+        _std(20, 20).alias("short_volatility_20d_pct"),
+        F.when(F.count("volume") > 0, F.avg(F.when(F.col("ra") <= 20, F.col("volume")))).alias("volume_20"),
+        F.when(F.count("close") >= 20, F.max(F.when(F.col("rn") <= 20, F.col("close")))).alias("high_20"),
+        F.when(r >= 5, F.count(F.when((F.col("rn") <= 5) & (F.col("ret") < 0), 1))).cast("double").alias("negative_days_last_5"),
+        (F.when(r >= 5, F.min(F.when(F.col("rn") <= 5, F.col("ret")))) * 100).alias("worst_daily_return_5d_pct"),
     )
 
 
+def price_columns() -> list[Column]:
+    last, volume = F.col("last"), F.col("volume_20")
+    return [
+        last.alias("history_price"),
+        F.col("price_as_of"),
+        *(F.col(f"ma_{k}") for k in (20, 50, 200)),
+        pct_over(last, F.col("ma_200")).alias("price_vs_200d_ma_pct"),
+        F.col("volatility_annual_pct"),
+        F.when(last.isNotNull(), volume).alias("average_volume_20d"),
+        (last * volume).alias("average_dollar_volume_20d"),
+        F.when(F.col("n").isNull(), "NO_PRICE_HISTORY").when(last.isNull(), "NO_VALID_CLOSE").otherwise("").alias("history_error"),
+    ]
+
+
+def short_columns() -> list[Column]:
+    last, ma_20, ma_50 = F.col("last"), F.col("ma_20"), F.col("ma_50")
+    return [
+        last.alias("short_price"),
+        *(pct_over(last, F.col(f"c{k}")).alias(f"return_{k}d_pct") for k in (1, 2, 5, 20)),
+        ma_20.alias("short_ma_20"),
+        ma_50.alias("short_ma_50"),
+        pct_over(last, ma_20).alias("distance_from_ma20_pct"),
+        pct_over(last, ma_50).alias("distance_from_ma50_pct"),
+        pct_over(last, F.col("high_20")).alias("drawdown_from_20d_high_pct"),
+        F.col("short_volatility_20d_pct"),
+        F.col("short_volatility_20d_pct").alias("volatility_20d_annualized_pct"),
+        F.col("negative_days_last_5"),
+        F.col("worst_daily_return_5d_pct"),
+    ]
+
+
+def price_metrics(symbols: DataFrame, bars: DataFrame) -> DataFrame:
+    """A row a symbol: last price, moving averages, annual volatility, volume, and why there is no history."""
+    return symbols.select("symbol").join(aggregated(bars), "symbol", "left").select("symbol", *price_columns())
+
+
 def short_term_metrics(bars: DataFrame) -> DataFrame:
     """A row a symbol with a close: returns over 1, 2, 5, 20 rows, distances, drawdown, recent volatility and losses."""
-    r = F.count("ret")
-    a = numbered(bars).groupBy("symbol").agg(
-        _at(1).alias("short_price"),
-        *(_at(k + 1).alias(f"c{k}") for k in (1, 2, 5, 20)),
-        _mean(20).alias("short_ma_20"),
-        _mean(50).alias("short_ma_50"),
-        F.when(F.count("close") >= 20, F.max(F.when(F.col("rn") <= 20, F.col("close")))).alias("high_20"),
-        _std(20, 20).alias("short_volatility_20d_pct"),
-        F.when(r >= 5, F.count(F.when((F.col("rn") <= 5) & (F.col("ret") < 0), 1))).cast("double").alias("negative_days_last_5"),
-        F.when(r >= 5, F.min(F.when(F.col("rn") <= 5, F.col("ret"))) * 100).alias("worst_daily_return_5d_pct"),
-    )
-    p = F.col("short_price")
-    return a.where(p.isNotNull()).select(
-        "symbol",
-        "short_price",
-        *(pct_over(p, F.col(f"c{k}")).alias(f"return_{k}d_pct") for k in (1, 2, 5, 20)),
-        "short_ma_20",
-        "short_ma_50",
-        pct_over(p, F.col("short_ma_20")).alias("distance_from_ma20_pct"),
-        pct_over(p, F.col("short_ma_50")).alias("distance_from_ma50_pct"),
-        pct_over(p, F.col("high_20")).alias("drawdown_from_20d_high_pct"),
-        "short_volatility_20d_pct",
-        F.col("short_volatility_20d_pct").alias("volatility_20d_annualized_pct"),
-        "negative_days_last_5",
-        "worst_daily_return_5d_pct",
-    )
+    return aggregated(bars).where(F.col("last").isNotNull()).select("symbol", *short_columns())
+
+
+def all_metrics(symbols: DataFrame, bars: DataFrame) -> DataFrame:
+    """price_metrics and the columns of short_term_metrics from one aggregation; the latter are NULL without a close."""
+    return symbols.select("symbol").join(aggregated(bars), "symbol", "left").select("symbol", *price_columns(), *short_columns())

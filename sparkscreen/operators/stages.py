@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -11,4 +10,4 @@ def staged(df: DataFrame) -> DataFrame:
 
     Meant for one row a company: all columns of df are computed, whatever is selected later.
     """
-    return df.select(F.explode(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("__r")).select("__r.*")
+    return df.selectExpr("explode(array(struct(*))) as __r").select("__r.*")

@@ -148,7 +148,7 @@ parts as (select *, {knots("selected_target_upside_pct", s.UPSIDE)} as lt_score_
     {MOM} as st_score_momentum, {MAA} as st_score_ma_alignment, {knots("drawdown_from_20d_high_pct", s.PULLBACK)} as st_score_pullback_quality, {SEL} as st_score_selloff_stability, {SELCOV} as selloff_stability_data_coverage_pct,
     case when {SELCOV} = 0 then 'INSUFFICIENT_DATA' when {SELCOV} < 100 then 'PARTIAL_DATA' else 'RANKED' end as selloff_stability_status,
     case when sector_volatility_percentile is not null then {knots("sector_volatility_percentile", s.SECTOR_VOLATILITY)} else {knots("short_volatility_20d_pct", s.VOLATILITY)} end as st_score_volatility,
-    case when sector_volatility_percentile is not null then 'SECTOR_RELATIVE' else 'ABSOLUTE_FALLBACK' end as volatility_score_method, {TIMING} as st_score_earnings_timing
+    case when sector_volatility_percentile is not null then 'SECTOR_RELATIVE' else 'ABSOLUTE_FALLBACK' end as volatility_scoring_method, distance_from_ma20_pct as price_vs_ma20_pct, distance_from_ma50_pct as price_vs_ma50_pct, {TIMING} as st_score_earnings_timing
   from ranked_vol),
 raws as (select *, {LONG} as lt, {LONGCOV} as analyst_long_term_data_coverage_pct, {SHRT} as st, {SHRTCOV} as short_term_data_coverage_pct from parts),
 statuses as (select *,

@@ -41,9 +41,9 @@ FEATURE_COLUMNS = dict.fromkeys(
 LONG_COLUMNS = {"symbol": "s", "analyst_long_term_status": "s", "analyst_long_term_category": "s", "long_term_category": "s", "eps_revision_data_available": "b", "long_term_rank": "i"} | dict.fromkeys(
     ("lt_score_upside", "lt_score_sentiment", "lt_score_eps_revisions", "lt_score_target_agreement", "lt_score_long_trend", "analyst_long_term_data_coverage_pct", "analyst_coverage_confidence", "analyst_coverage_multiplier",
      "analyst_long_term_raw_score", "long_term_risk_penalty", "analyst_long_term_score", "long_term_score"), "double")
-SHORT_SCORE_COLUMNS = {"symbol": "s", "short_term_status": "s", "short_term_category": "s", "selloff_stability_status": "s", "volatility_score_method": "s", "short_term_rank": "i"} | dict.fromkeys(
+SHORT_SCORE_COLUMNS = {"symbol": "s", "short_term_status": "s", "short_term_category": "s", "selloff_stability_status": "s", "volatility_scoring_method": "s", "short_term_rank": "i"} | dict.fromkeys(
     ("st_score_momentum", "st_score_ma_alignment", "st_score_pullback_quality", "st_score_selloff_stability", "selloff_stability_data_coverage_pct", "st_score_volatility", "sector_volatility_percentile", "st_score_earnings_timing",
-     "short_term_data_coverage_pct", "short_term_raw_score", "short_term_risk_penalty", "short_term_entry_score"), "double")
+     "price_vs_ma20_pct", "price_vs_ma50_pct", "short_term_data_coverage_pct", "short_term_raw_score", "short_term_risk_penalty", "short_term_entry_score"), "double")
 DETAIL_COLUMNS = ["symbol", "company_name", "sector", "candidate_profile", "candidate_profile_explanation", "current_price_source", "selected_target_source", "analyst_long_term_status", "short_term_status", "risk_flags", "top_positive_drivers", "top_negative_drivers", "data_errors"]
 
 
@@ -107,13 +107,7 @@ register("combined_candidates", ranking(rank.combined_candidates, rank.COMBINED_
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    tables = rank.rankings(screen.from_testdata(spark, d).scored)
-    names = ("strong_candidates", "wait_for_entry", "tactical_candidates", "momentum_only", "insufficient_data")
-    tagged = [tables[n].select(F.lit(n).alias("segment"), "symbol", "candidate_profile", F.round("combined_score", 6).alias("combined_score")) for n in names]
-    out = tagged[0]
-    for x in tagged[1:]:
-        out = out.unionByName(x)
-    return out
+    return rank.segments(screen.from_testdata(spark, d).scored).select("segment", "symbol", "candidate_profile", F.round("combined_score", 6).alias("combined_score"))
 
 
 register(
@@ -273,7 +267,7 @@ PERIODS = "case when event_id % 4 = 1 then ' 0M ' when event_id % 4 = 2 then '-1
 
 
 def _recommendations(spark: SparkSession, d: str) -> DataFrame:
-    raw = spark.read.parquet(f"{d}/events.parquet").where("user_id % 3 > 0").selectExpr("cast(user_id as string) as symbol", "event_id as ordinal", f"case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period", "map('strongBuy', cast(event_id as string), 'Buy', '2', 'sell', 'x') as kv")
+    raw = spark.read.parquet(f"{d}/events.parquet").selectExpr("cast(user_id as string) as symbol", "event_id as ordinal", f"case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period", "map('strongBuy', cast(event_id as string), 'Buy', '2', 'sell', 'x') as kv")
     return rounded(parse.parse_recommendations(raw))
 
 
@@ -281,7 +275,7 @@ register(
     "pick_current_recommendation",
     _recommendations,
     f"""select symbol, ordinal::double as strong_buy, 2e0 as buy, null::double as hold, null::double as sell, null::double as strong_sell, period as recommendation_period from (
-  select *, row_number() over (partition by symbol order by lower(trim(period)) = '0m' desc, ordinal) as rn from (select user_id::varchar as symbol, event_id as ordinal, case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period from events where user_id % 3 > 0)) where rn = 1""",
+  select *, row_number() over (partition by symbol order by lower(trim(period)) = '0m' desc, ordinal) as rn from (select user_id::varchar as symbol, event_id as ordinal, case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period from events)) where rn = 1""",
 )
 
 

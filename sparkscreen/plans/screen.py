@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,18 +11,54 @@ from ..config import ScreenConfig
 from ..operators import composite, features, rank, report, series
 from ..sources import sinks, testdata
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Screen:
-    constituents: DataFrame
-    bars: DataFrame
-    prices: DataFrame
-    analysts: DataFrame
-    analysis: DataFrame
-    short: DataFrame
-    scored: DataFrame
-
-    def tables(self, config: ScreenConfig) -> dict[str, DataFrame]:
+    """The relations of a screen, each of which is planned when it is first asked for.
+
+    check: hold the keys of all sides of the joins to one row each, which runs jobs. A source is a DataFrame or makes one."""
+
+    def __init__(self, constituents: Source, bars: Source, analysts: Source, config: ScreenConfig, check: bool = False):
+        self._sources, self.config, self.check = {"constituents": constituents, "bars": bars, "analysts": analysts}, config, check
+
+    def _source(self, name: str) -> DataFrame:
+        found = self._sources[name]
+        return found() if callable(found) else found
+
+    @cached_property
+    def constituents(self) -> DataFrame:
+        return self._source("constituents")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return self._source("bars")
+
+    @cached_property
+    def analysts(self) -> DataFrame:
+        return self._source("analysts")
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return series.price_metrics(self.constituents, self.bars)
+
+    @cached_property
+    def short(self) -> DataFrame:
+        return series.short_term_metrics(self.bars)
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        return features.build_analysis(self.constituents, self.prices, self.analysts, self.config, self.check)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """All columns; the bars are numbered and aggregated once for price and short-term features."""
+        both = series.all_metrics(self.constituents, self.bars)
+        analysis = features.build_analysis(self.constituents, both, self.analysts, self.config, self.check)
+        parts = composite.component_scores(analysis, None, self.config, self.check)
+        return composite.with_ranks(composite.composite_scores(parts, self.config))
+
+    def tables(self) -> dict[str, DataFrame]:
         """All tables that an export has. scored feeds all of them: persist or store it first."""
         spark = self.scored.sparkSession
         return {
@@ -31,29 +68,30 @@ class Screen:
             "all_stocks": self.scored,
             **rank.rankings(self.scored),
             "methodology": report.methodology(spark),
-            "run_metadata": report.run_metadata(self.constituents, self.prices, self.analysts, self.scored, config),
+            "run_metadata": report.run_metadata(self.constituents, self.prices, self.analysts, self.scored, self.config),
         }
 
-
-def build(constituents: DataFrame, bars: DataFrame, analysts: DataFrame, config: ScreenConfig, check: bool = False) -> Screen:
-    """check: hold the keys of all sides of the joins to one row each, which runs jobs."""
-    prices = series.price_metrics(constituents, bars)
-    short = series.short_term_metrics(bars)
-    analysis = features.build_analysis(constituents, prices, analysts, config, check)
-    parts = composite.component_scores(analysis, short, config, check)
-    return Screen(constituents, bars, prices, analysts, analysis, short, composite.with_ranks(composite.composite_scores(parts, config)))
+    def printed(self) -> dict[str, DataFrame]:
+        """The console's tables: the first top_n of each ranking, and the configured ticker's details."""
+        n, x = self.config.top_n, self.scored
+        return {
+            "long_term": rank.top(rank.long_term_ranking(x), rank.LONG_COLUMNS, n, rank.long_order()),
+            "short_term": rank.top(rank.short_term_ranking(x), rank.SHORT_COLUMNS, n, rank.short_order()),
+            "combined": rank.top(rank.combined_candidates(x), rank.COMBINED_COLUMNS, n, rank.combined_order()),
+            "detail": report.ticker_detail(x, self.config.ticker),
+        }
 
 
 def from_testdata(spark: SparkSession, sf_dir: str, config: ScreenConfig | None = None) -> Screen:
     config = config or ScreenConfig(run_ts=testdata.RUN_TS)
-    return build(testdata.constituents(spark, sf_dir), testdata.bars(spark, sf_dir), testdata.analysts(spark, sf_dir), config)
+    return Screen(lambda: testdata.constituents(spark, sf_dir), lambda: testdata.bars(spark, sf_dir), lambda: testdata.analysts(spark, sf_dir), config)
 
 
 def run(constituents: DataFrame, bars: DataFrame, analysts: DataFrame, config: ScreenConfig, folder: str | None = None) -> Screen:
     """Builds, checks keys, validates, and exports if the configuration and a folder say so."""
-    screen = build(constituents, bars, analysts, config, check=True)
+    screen = Screen(constituents, bars, analysts, config, check=True)
     screen.scored.persist()
     report.validate(screen.scored)
     if config.export and folder:
-        sinks.export_csv(screen.tables(config), folder, screen.bars)
+        sinks.export_csv(screen.tables(), folder, screen.bars)
     return screen

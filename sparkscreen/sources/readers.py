@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ CONSTITUENT_NAMES = {
     "Symbol": "source_symbol", "Security": "company_name", "GICS Sector": "sector", "GICS Sub-Industry": "sub_industry",
     "Headquarters Location": "headquarters", "Date added": "date_added", "CIK": "CIK", "Founded": "founded",
 }
+#: Symbols that a task fetches at a time.
+WORKERS = 4
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
@@ -34,14 +37,18 @@ def constituents(raw: DataFrame) -> DataFrame:
     return first_per_key(df, "symbol", "ordinal")
 
 
-def bars_from_panel(panel: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """A wide panel (a date column and columns ``SYMBOL|Field``) as long bars; rows without any value are dropped."""
+def bars_from_panel(panel: DataFrame, fields: tuple[str, ...] = FIELDS, symbol: str | None = None) -> DataFrame:
+    """A wide panel (a date column and columns ``SYMBOL|Field``) as long bars; rows without any value are dropped. A panel with
+    columns ``Field`` only is that of the one given symbol."""
     day = date_column(panel.columns)
     symbols: dict[str, dict[str, str]] = {}
+    clean = lambda field: field.strip().lower().replace(" ", "_")
     for c in panel.columns:
         if "|" in c:
-            symbol, field = c.split("|", 1)
-            symbols.setdefault(symbol, {})[field.strip().lower().replace(" ", "_")] = c
+            owner, field = c.split("|", 1)
+            symbols.setdefault(owner, {})[clean(field)] = c
+    if not symbols and symbol and (flat := {clean(c): c for c in panel.columns if clean(c) in fields}):
+        symbols = {symbol: flat}
     if not symbols:
         raise RuntimeError("the price panel is empty")
     one = lambda names: F.struct(*(F.col(f"`{names[f]}`").try_cast("double").alias(f) if f in names else F.lit(None).cast("double").alias(f) for f in fields))
@@ -73,21 +80,28 @@ def with_retry(fetch: Callable, *args, attempts: int = 3, wait: float = 2.0, sle
 
 
 def fetch_analysts(symbols: DataFrame, calls: dict[str, Callable[[str], object]], schema: str, row: Callable[[str, dict[str, object]], dict]) -> DataFrame:
-    """One row a symbol from remote calls made inside tasks; failures of a call go to data_errors as ``name=Type: text``.
+    """One row a symbol from remote calls made inside tasks, WORKERS symbols at a time in each; failures of a call go to
+    data_errors as ``name=Type: text``. A symbol whose row can't be made has a row of NULLs and ``UNHANDLED=Type: text``.
 
     Write the result to a table and query that: a snapshot can be repeated, remote calls cannot.
     """
 
+    columns = symbols.sparkSession.createDataFrame([], schema).columns
+
+    def one(symbol: str) -> dict:
+        try:
+            got, errors = {}, []
+            for name, call in calls.items():
+                got[name], error = with_retry(call, symbol)
+                if error:
+                    errors.append(f"{name}={error}")
+            return row(symbol, got) | {"symbol": symbol, "data_errors": " | ".join(errors)}
+        except Exception as e:  # noqa: BLE001 - the symbol stays, with the reason
+            return {"symbol": symbol, "data_errors": f"UNHANDLED={type(e).__name__}: {e}"}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for symbol in batch["symbol"]:
-                got, errors = {}, []
-                for name, call in calls.items():
-                    got[name], error = with_retry(call, symbol)
-                    if error:
-                        errors.append(f"{name}={error}")
-                out.append(row(symbol, got) | {"symbol": symbol, "data_errors": " | ".join(errors)})
-            yield pd.DataFrame(out)
+        with ThreadPoolExecutor(WORKERS) as pool:
+            for batch in batches:
+                yield pd.DataFrame(list(pool.map(one, batch["symbol"])), columns=columns)
 
     return symbols.select("symbol").mapInPandas(run, schema)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The tables that are exported as CSV, and their names there.
+CSV_NAMES = {
+    "constituents": "sp500_constituents", "price_metrics": "price_metrics", "analyst_data": "fresh_analyst_data", "all_stocks": "full_dual_score_analysis",
+    "long_term_ranking": "long_term_ranking", "short_term_ranking": "short_term_entry_ranking", "combined_candidates": "combined_candidates", "insufficient_data": "insufficient_data",
+}
 #: Rows of a sheet of a workbook, which the driver writes.
 SHEET_ROWS = 1_000_000
 
@@ -15,11 +20,12 @@ def without_zone(df: DataFrame) -> DataFrame:
 
 
 def export_csv(tables: dict[str, DataFrame], folder: str, history: DataFrame | None = None) -> None:
-    """A CSV folder with a header for each table; the price history, which is large, is compressed and keeps its partitions."""
-    for name, df in tables.items():
-        df.coalesce(1).write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
+    """A CSV folder with a header for each table of CSV_NAMES; the price history is compressed. All keep their partitions."""
+    for table, name in CSV_NAMES.items():
+        if table in tables:
+            tables[table].write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}.csv")
     if history is not None:
-        history.write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(f"{folder}/daily_price_history")
+        history.write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(f"{folder}/daily_price_history.csv.gz")
 
 
 def export_parquet(tables: dict[str, DataFrame], folder: str) -> None:

@@ -27,8 +27,7 @@ BARS = f"""
 select concat('S-', s) as symbol, price_date, cast(ra as bigint) as seq,
   case when l_linenumber = 7 and s % 7 = 3 then null else cu end as close,
   case when l_returnflag = 'N' and s % 5 = 2 then null else l_quantity * 1000 * (1 + (s * 3) % 10) end as volume
-from ({SEQUENCE}) q
-where ra <= case s % 20 when 0 then 0 when 1 then 4 when 2 then 15 when 3 then 30 when 4 then 120 else 1000000000 end"""
+from ({SEQUENCE}) q"""
 
 ANALYSTS = f"""
 select concat('S-', s_suppkey) as symbol,

@@ -11,7 +11,7 @@ from sparkscreen.config import ScreenConfig, read_dotenv
 from sparkscreen.functions import parse
 from sparkscreen.operators import joins, report, series
 from sparkscreen.plans import screen
-from sparkscreen.sources import readers, sinks
+from sparkscreen.sources import readers, sinks, testdata
 
 COUNTS = (0, 1, 5, 6, 19, 20, 21, 49, 50, 199, 200, 252, 253, 260)
 
@@ -71,6 +71,33 @@ def test_panel_to_bars(spark):
     panel = spark.createDataFrame([("2001-01-01", 1.0, None, 2.0), ("2001-01-02", None, None, 3.0)], "Date string, `A|Close` double, `A|Volume` double, `B|Close` double")
     got = {(r["symbol"], r["close"]) for r in readers.bars_from_panel(panel).collect()}
     assert got == {("A", 1.0), ("B", 2.0), ("B", 3.0)}
+    flat = spark.createDataFrame([("2001-01-01", 1.0, 5.0), ("2001-01-02", None, None)], "Date string, Close double, Volume double")
+    assert [(r["symbol"], r["close"], r["volume"]) for r in readers.bars_from_panel(flat, symbol="Z").collect()] == [("Z", 1.0, 5.0)]
+    assert readers.clean_bars(readers.bars_from_panel(panel)).where("symbol = 'A'").count() == 1
+    assert readers.symbol_history(readers.bars_from_panel(panel), "B").count() == 2
+    for empty in (flat.select("Date"), flat):
+        with pytest.raises(RuntimeError, match="empty"):
+            readers.bars_from_panel(empty)
+
+
+def test_constituents_from_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('Symbol,Security,GICS Sector,CIK,Other\nBRK.B,"Berk, Inc",Fin,12,x\n BRK-B ,Second,Fin,13,y\nAAA,Three,,,z\n')
+    got = readers.read_constituents(spark, str(tmp_path / "c.csv")).orderBy("ordinal").collect()
+    assert [(r["symbol"], r["source_symbol"], r["company_name"], r["sector"], r["CIK"]) for r in got] == [("BRK-B", "BRK.B", "Berk, Inc", "Fin", "12"), ("AAA", "AAA", "Three", None, None)]
+
+
+def test_parallel_fetch_keeps_symbols_that_fail(spark):
+    def quote(symbol):
+        if symbol == "B":
+            raise TimeoutError("slow")
+        return 2.0
+
+    def row(symbol, got):
+        return {"latest_quote": got["quote"] * 2}  # fails where there is none
+
+    got = {r["symbol"]: (r["latest_quote"], r["data_errors"]) for r in readers.fetch_analysts(spark.createDataFrame([(s,) for s in "ABC"], "symbol string"), {"quote": quote}, "symbol string, latest_quote double, data_errors string", row).collect()}
+    assert got["A"] == (4.0, "") and got["C"] == (4.0, "")
+    assert got["B"][0] is None and got["B"][1].startswith("UNHANDLED=TypeError")
 
 
 def test_retry_and_config():
@@ -83,14 +110,18 @@ def test_retry_and_config():
     assert readers.with_retry(fails, "A", sleep=waits.append) == (None, "TimeoutError: slow")
     assert waits == [2.0, 4.0] and calls == ["A"] * 3
     assert read_dotenv("# c\nA=1\nB='2'\n", {"A": "0"}) == {"A": "0", "B": "2"}
-    assert ScreenConfig.from_env({"EXPORT_RESULTS": "Yes", "LOW_AVERAGE_DOLLAR_VOLUME": "5"}) == ScreenConfig(export=True, low_dollar_volume=5.0)
+    assert ScreenConfig.from_env({"EXPORT_RESULTS": "Yes", "LOW_AVERAGE_DOLLAR_VOLUME": "5"}, run_ts="x") == ScreenConfig(export=True, low_dollar_volume=5.0, run_ts="x")
+    assert ScreenConfig().run_ts > "2026"
 
 
 def test_run_validates_and_exports(spark, tmp_path):
     s = screen.from_testdata(spark, "/root/testdata/sf0.001")
-    config = ScreenConfig(export=True)
+    config = ScreenConfig(export=True, run_ts=testdata.RUN_TS, ticker="S.4", top_n=3)
     done = screen.run(s.constituents, s.bars, s.analysts, config, str(tmp_path / "out"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "all_stocks")).count() == 10
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "full_dual_score_analysis.csv")).count() == 10
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["combined_candidates.csv", "daily_price_history.csv.gz", "fresh_analyst_data.csv", "full_dual_score_analysis.csv", "insufficient_data.csv", "long_term_ranking.csv", "price_metrics.csv", "short_term_entry_ranking.csv", "sp500_constituents.csv"]
+    printed = done.printed()
+    assert printed["long_term"].count() <= 3 and printed["detail"].where("field = 'symbol'").first()["value"] == "S-4"
     report.validate(done.scored)
     assert report.ticker_detail(done.scored, "s.3").where(F.col("field") == "symbol").first()["value"] == "S-3"
     assert sinks.without_zone(spark.range(1).select(F.current_timestamp().alias("t"))).dtypes == [("t", "timestamp_ntz")]
