@@ -7,8 +7,9 @@ all words confirms. A task searches many texts at once: their words lie in one f
 independently, so each step is a few numpy operations. Words of no pattern are 0, which no pattern has; a 0 also stands
 between texts.
 
-The patterns are sent to the tasks, in blocks of at most BLOCK_CHARS characters of items: a larger benchmark takes as many
-passes, each adding to the spans and items found so far.
+The items are sent to the tasks, in blocks of at most BLOCK_CHARS characters: a larger benchmark takes as many passes, each
+adding to the spans and items found so far. A worker makes the tables of a block once, as arrays that take about 15 times the
+characters, and keeps them from task to task.
 
 Nulls: a null text has no words; a null item id counts as an empty id. Repeated items count once by their id. Empty tables
 give no hits. Documents are rows: repeated ones are searched alike. No task holds more than a batch of documents.
@@ -16,6 +17,7 @@ give no hits. Documents are rows: repeated ones are searched alike. No task hold
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -30,7 +32,7 @@ from .common import written
 from .tokens import chunks, letter_words, texts
 
 #: Characters of benchmark items whose patterns are sent to the tasks at once.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
 FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 #: Words that one lane of the search covers.
@@ -43,15 +45,14 @@ class Matcher:
     def __init__(self, patterns: np.ndarray):
         self.patterns, (n, self.m) = patterns, patterns.shape
         self.block = min(2, self.m)
-        self.mask = (1 << max(12, int(n * self.m).bit_length() + 3)) - 1
+        self.mask = (1 << max(12, int(n * self.m).bit_length() + 1)) - 1
         far = self.m - self.block + 1
-        self.shift = np.full(self.mask + 1, far, np.int32)
-        for end in range(self.block - 1, self.m):
-            h = self.hash(patterns, end)
-            np.minimum.at(self.shift, h, self.m - 1 - end)
+        self.shift = np.full(self.mask + 1, far, np.int16)
+        for end in range(self.block - 1, self.m):  # the last ends shift least and come last
+            self.shift[self.hash(patterns, end)] = self.m - 1 - end
         suffix = self.hash(patterns, self.m - 1)
         order = np.argsort(suffix, kind="stable")
-        self.patterns, self.order, self.suffix = patterns[order], order, suffix[order]
+        self.patterns, self.order, self.suffix = patterns[order], order.astype(np.int32), suffix[order]
 
     def hash(self, rows: np.ndarray, end: int) -> np.ndarray:
         return self._hash(rows[:, end], rows[:, end - 1] if self.block == 2 else None)
@@ -95,17 +96,28 @@ class Matcher:
 
 
 class Searcher:
-    """The matchers of a set of items, by length of pattern."""
+    """The matchers of a set of items, by length of pattern, and the items of each pattern."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                found[m][tuple(ids[i : i + m])].add(item)
-        self.matchers = [(Matcher(np.array(list(p), np.int64)), list(p.values())) for p in found.values()]
+        self.names = [name for name, _ in items]
+        size = np.fromiter((len(words) for _, words in items), np.int64, len(items))
+        put = self.vocabulary.setdefault
+        ids = np.fromiter((put(w, len(self.vocabulary) + 1) for _, words in items for w in words), np.int32, int(size.sum()))
+        first = np.cumsum(size) - size
+        self.matchers = []
+        for m in np.unique(np.minimum(size, window)).tolist():
+            own = np.flatnonzero(np.minimum(size, window) == m)
+            if not m:
+                continue
+            n = size[own] - m + 1
+            item = np.repeat(own, n)
+            at = np.arange(len(item)) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, m)[at])
+            _, one, number = np.unique(rows.view(np.dtype((np.void, 4 * m))).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(number.astype(np.int64) * len(items) + item)  # (pattern, item)
+            starts = np.searchsorted(pairs // len(items), np.arange(len(one) + 1))
+            self.matchers.append((Matcher(rows[one]), starts, (pairs % len(items)).astype(np.int32)))
 
     def search(self, docs: list[list[bytes]]) -> list[tuple[int, list[list[int]], set[str]]]:
         """(words, merged spans of hit words, items) of each document."""
@@ -114,13 +126,13 @@ class Searcher:
         ids = np.fromiter(map(self.vocabulary.get, chain.from_iterable(chain(d, (b"",)) for d in docs), repeat(0)), np.int64, int(starts[-1]))
         edge = np.zeros(len(ids) + 1, np.int32)
         items: dict[int, set[str]] = defaultdict(set)
-        for matcher, owners in self.matchers:
+        for matcher, begin, owners in self.matchers:
             end, pattern = matcher.find(ids)
             np.add.at(edge, end - matcher.m + 1, 1)
             np.add.at(edge, end + 1, -1)
             doc = np.searchsorted(starts, end, "right") - 1
             for d, p in set(zip(doc.tolist(), pattern.tolist(), strict=True)):
-                items[d] |= owners[p]
+                items[d].update(self.names[i] for i in owners[begin[p] : begin[p + 1]].tolist())
         hit = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
         first, last = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
         spans: dict[int, list[list[int]]] = defaultdict(list)
@@ -129,6 +141,17 @@ class Searcher:
         return [(n, spans.get(d, []), items.get(d, set())) for d, n in enumerate(sizes.tolist())]
 
 
+_SEARCHERS: dict[str, Searcher] = {}
+
+
+def worker_searcher(key: str, items: list[tuple[str, bytes]], window: int) -> Searcher:
+    """The searcher of a block, which a Python worker makes once; the one before goes."""
+    if key not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[key] = Searcher([(i, letter_words(t)) for i, t in items], window)
+    return _SEARCHERS[key]
+
+
 def merged(a: Iterable[list[int]], b: Iterable[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted([*a, *b]):
@@ -140,7 +163,7 @@ def merged(a: Iterable[list[int]], b: Iterable[list[int]]) -> list[list[int]]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of the rows (default: all) with found: n_words, spans of hit words [from, to), items (sorted as strings)."""
+    """``columns`` of the rows (default: all) with found (a column of that name is replaced): n_words, spans of hit words [from, to), items (sorted as strings)."""
     spark = docs.sparkSession
     kept = [c for c in (columns or docs.columns) if c != "found"]
     item = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
@@ -148,11 +171,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     before = docs.select(*kept, F.col(text).alias("__text"))
     for block in range(blocks):
         rows = item.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # bounded by BLOCK_CHARS
-        sent = spark.sparkContext.broadcast([(r["id"], r["text"].encode()) for r in rows])
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["id"], r["text"].encode()) for r in rows]))
         earlier = [*before.columns]
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, earlier=earlier) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher([(i, letter_words(t)) for i, t in sent.value], window)
+            searcher = worker_searcher(*sent.value, window)
             for batch in batches:
                 raw, found = texts(batch.column("__text")), []
                 for a, b in chunks(raw):

@@ -93,6 +93,16 @@ def classes(templates: list[tuple[str, str]]) -> list[TemplateClass]:
     return [TemplateClass(n, max(span, n), group) for (n, span), group in sorted(groups.items())]
 
 
+def joined(old: list[dict], new: list[dict]) -> list[dict]:
+    """Matches of two blocks of templates, one a license id, by id."""
+    best = {m["license_id"]: m for m in old}
+    for m in new:
+        if b := best.get(m["license_id"]):
+            m = m | {"first_word": min(b["first_word"], m["first_word"]), "n_windows": b["n_windows"] + m["n_windows"], "containment": max(b["containment"], m["containment"])}
+        best[m["license_id"]] = m
+    return [best[k] for k in sorted(best)]
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of the rows (default: all) with matches: for each template found license_id, first_word of its first
     window, n_windows and the largest containment, sorted by license_id. templates: license_id, text."""
@@ -121,7 +131,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text: str = "text", col
                                 old = best.setdefault(c.ids[t], [at, 0, 0.0])
                                 best[c.ids[t]] = [min(old[0], at), old[1] + 1, max(old[2], share)]
                         found.append([{"license_id": k, "first_word": v[0], "n_windows": v[1], "containment": v[2]} for k, v in best.items()])
-                rows = [sorted([*old, *new], key=lambda m: m["license_id"]) for old, new in zip(batch.column("matches").to_pylist(), found, strict=True)]
+                rows = [joined(old, new) for old, new in zip(batch.column("matches").to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "matches"), pa.array(rows, MATCH_ARROW)], names=[*(c for c in names if c != "matches"), "matches"])
 
         df = df.mapInArrow(scan, T.StructType([*(f for f in df.schema if f.name != "matches"), df.schema["matches"]]))

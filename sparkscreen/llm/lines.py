@@ -35,7 +35,7 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages:
     return common.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """The rows with boilerplate lines taken out of the text, and n_lines, n_dropped (long; columns of these names are replaced)."""
     sets = written(boilerplate(docs, host, text, ratio, min_pages))
     found = small(sets, sets.select(F.sum(F.size("lines"))).first()[0] or 0).select(F.col("host").alias("__host"), F.col("lines").alias("__set"))

@@ -89,6 +89,16 @@ def op5(docs: str = "documents") -> str:
     return f"with {judged(docs)} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged"
 
 
+def op6() -> str:
+    v = "('0x' || substr(h, 5 * k::int + 1, 5))::bigint"
+    four = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({v} >> {s}) & 31)::int + 1, 1)" for s in (15, 10, 5, 0))
+    return f"""
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, strlen(payload)::bigint as payload_bytes, array_to_string(list_transform(range(8), lambda k: {four}), '') as payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to
+from p"""
+
+
 def cleaned(docs: str) -> str:
     """CTEs, the last of which, cleaned, has the rows of docs with boilerplate lines taken out and n_lines, n_dropped."""
     key = lambda x: f"trim({x}, ' ' || chr(9) || chr(13))"
@@ -186,4 +196,4 @@ def pipeline() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10()}
+    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op6_warc": op6(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10()}

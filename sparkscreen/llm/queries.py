@@ -18,7 +18,8 @@ BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "c
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.25, "src1": 0.1, "src2": 0.1, "src3": 0.05}, 0.5, 17
 #: The vocabulary file of the language model, read where the driver runs.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LINE_RATIO, LINE_PAGES = 0.1, 5
+#: Share of a site's pages beyond which a line is boilerplate; a line of one page isn't repeated.
+LINE_RATIO, LINE_PAGES = 0.1, 2
 #: Notices that stand for licenses.
 LICENSES = [
     ("all-rights-reserved", "All rights reserved."),

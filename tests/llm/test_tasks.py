@@ -63,13 +63,20 @@ def test_decontamination(spark, monkeypatch, block):
     assert all(r["found"]["items"] == [] for r in decontam.find_contamination(df, bench.limit(0)).collect())
 
 
-def test_license_bands_and_edges(spark):
+def test_license_bands_and_edges(spark, monkeypatch):
     templates = [("t5", "alpha beta gamma delta epsilon"), ("t2", "All Rights"), ("t30", " ".join(f"word{i}" for i in range(30))), ("t0", "...")]
     edited = " ".join("oops" if i == 4 else f"Word{i}" for i in range(30))
     docs = [(1, f"{'x ' * 100}{templates[0][1]}{' y' * 100}"), (2, None), (3, ""), (4, f"{'z ' * 77}{edited}. all rights"), (5, "alpha beta gamma delta"), (6, "rights all")]
     df = spark.createDataFrame(docs, "doc_id int, text string").withColumn("matches", F.lit(1))
     got = {r["doc_id"]: [m["license_id"] for m in r["matches"]] for r in licenses.scan_licenses(df, spark.createDataFrame(templates, "license_id string, text string")).collect()}
     assert got == {1: ["t5"], 2: [], 3: [], 4: ["t2", "t30"], 5: [], 6: []}
+    # a license of several texts, and blocks of templates: the same matches
+    more = [*templates, ("t5", "zeta eta theta iota kappa"), ("t5", "alpha beta gamma delta epsilon")]
+    rows = [*docs, (7, f"{more[4][1]} {'y ' * 50} {more[0][1]}"), (7, f"{more[4][1]} {'y ' * 50} {more[0][1]}"), (8, "x " * 20000 + more[4][1])]
+    df, table = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(more, "license_id string, text string")
+    one = sorted(map(str, licenses.scan_licenses(df, table).collect()))
+    monkeypatch.setattr(licenses, "MAX_TEMPLATE_CHARS", 40)
+    assert sorted(map(str, licenses.scan_licenses(df, table).collect())) == one and len(one) == len(rows)
     for c in licenses.classes(templates):
         inside = c.width - c.n + 1
         least = min(licenses.needed(len(s)) / (inside + len(s) - licenses.needed(len(s))) for s in c.sets)
@@ -108,10 +115,27 @@ def test_warc_empty(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
 
 
-def test_warc_query(spark):
-    got = queries.op6_warc(spark, DATA).toPandas()
-    want = spark.read.parquet(f"{DATA}/pages.parquet").toPandas()
-    assert sorted(got.page_id) == sorted(want.page_id) and got.payload_bytes.sum() == sum(len(h.encode()) for h in want.html)
+def test_warc_null_ids_repeated_rows_and_other_columns(spark, tmp_path):
+    rows = [(None, "u", "same", 1), (4, "u", "same", 1), (3, None, "same", 2), (3, None, "same", 2), (None, "v", "alone", 1)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id int, url string, html string, digest int"), str(tmp_path / "w"))
+    got = [(r["record_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()]
+    key = lambda x: tuple(v or "" for v in x)
+    assert sorted(got, key=key) == sorted([("3", "response", None)] * 2 + [("4", "revisit", "3"), (None, "revisit", "3"), (None, "response", None)], key=key)
+
+
+def test_decontamination_tables_are_small():
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(str(i), [f"w{rng.randrange(30000)}".encode() for _ in range(400)]) for i in range(800)]
+    chars = sum(len(w) + 1 for _, words in items for w in words)
+    tracemalloc.start()
+    searcher = decontam.Searcher(items, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20 * chars
+    found = searcher.search([[b"x", *items[5][1][7:30], b"y"]])[0]
+    assert found == (25, [[1, 24]], {"5"})
 
 
 def brute_components(docs):
