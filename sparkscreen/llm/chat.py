@@ -11,7 +11,7 @@ roles backslash and line feed are written ``\\s`` and ``\\n``.
 
 Nulls: a null text or role is empty; a null turn sorts first; rows with a null conversation id form one conversation.
 Repeated rows are turns of their own. An empty table gives an empty result. A conversation is one output string, so it
-has to fit in a row; conversations are spread by their id.
+has to fit in a row, long texts whole; conversations are spread by their id. Other columns of the input are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ PIECE are split into a sum of smaller Poisson counts, each with its own hash. Co
 hash of seed, id and copy number: a global shuffle that is the same in each run.
 
 Nulls: a null source, like every source without a weight of its own, belongs to the rest; a null text has no characters;
-a null id is an id. Rows that share an id share its count. An empty table stays empty.
+a null id is an id. Rows that share an id share its count. An empty table stays empty. Columns copy and shuffle_key of the
+input are replaced. Long texts are only measured.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ ones that pass the second, and so on until none is left over. Every key of the c
 the answer for each of them is exact. Levels are literals of the plan: their bits are counted before they are gathered,
 and lists beyond MAX_BITS are cut into shards by a key's hash, each tested in a pass of its own.
 
-Nulls: a null url or one without ``://`` has an empty host and path and fits nothing. Repeated rows are judged alike.
+Nulls: a null url or one without ``://`` has an empty host and path and fits nothing. Repeated rows are judged alike. An
+empty table stays empty; without rules and hosts every url is allowed. Columns host, path, rule and verdict of the input are
+replaced. A long url has no more candidate keys than a short one.
 """
 
 from __future__ import annotations

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-from sparkscreen.llm import jaccard
+import random
+
+from test_tasks import brute_components
+
+from sparkscreen.llm import common, jaccard
 
 
 def test_least_shared_is_least_over_all_sizes(spark):
@@ -31,3 +35,25 @@ def test_pair_of_13_and_15_shingles_in_two_groups(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
     assert got[2] == (13, 2) and got[12] == (15, 2)
     assert {i: c for i, (_, c) in got.items() if i != 12} == {i: i for i in docs if i != 12}
+
+
+def test_a_large_cluster_of_near_copies_and_null_ids(spark, monkeypatch):
+    """300 copies, each with one or two words of its own, in blocks of 16, by shuffled joins; a null id is the smallest."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rng, base, other = random.Random(5), [f"w{i}" for i in range(80)], [f"v{i}" for i in range(60)]
+    docs = []
+    for i in range(300):
+        words = [*base]
+        for _ in range(1 + (i % 7 == 0)):
+            words[rng.randrange(80)] = f"own{i}x{rng.randrange(10)}"
+        docs.append((i, " ".join(words)))
+    docs += [(None, " ".join(other)), (None, "alone here"), (500, " ".join([*other, "end"])), (501, " ".join(base[:30] + other)), (None, None)]
+    null = -(1 << 63)
+    want = brute_components([(null if i is None else i, t) for i, t in docs])
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        component = want[null if r["doc_id"] is None else r["doc_id"]]
+        assert r["component_id"] == (None if component == null else component), r
+    assert len({c for i, c in want.items() if 0 <= i < 300}) < 150

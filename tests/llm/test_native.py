@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_chat_round_trip(spark):
     rows = [(c, t, r, x) for c in range(4) for t, (r, x) in enumerate([(["user", "assistant", "assistant", "we\\ird\nrole"][(c + i) % 4], ODD[(i * 3 + c) % len(ODD)]) for i in range(12)])]
-    rows += [(9, 0, None, None), (9, 0, "user", "b"), (9, 0, "user", "b"), (None, None, "assistant", "z"), (None, 1, "assistant", "y")]
+    rows += [(9, 0, None, None), (9, 0, "user", "b"), (9, 0, "user", "b"), (None, None, "assistant", "z"), (None, 1, "assistant", "y"), (8, 0, "assistant", "<|im_end|> long " * 100000)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumn("formatted", F.lit("clash")).repartition(3)
     got = {r["conv_id"]: r for r in chat.format_conversations(df).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
     for conv in {r[0] for r in rows}:
@@ -38,7 +38,7 @@ def test_url_cascade_is_exact(spark, monkeypatch):
     hosts = [f"h{i}.example{i % 7}.{t}" for i in range(60) for t in ("com", "net", "org")]
     listed = {h for i, h in enumerate(hosts) if i % 3 == 0}
     pages = [(i, f"https://{'WWW.' if i % 2 else ''}{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/en/x?y://z", "#/en/", "/en"))]
-    pages += [(-1, None), (-2, ""), (-3, "no scheme"), (-4, "x://"), (-5, pages[0][1]), (-5, pages[0][1])]
+    pages += [(-1, None), (-2, ""), (-3, "no scheme"), (-4, "x://"), (-5, pages[0][1]), (-5, pages[0][1]), (-6, f"x://{'a.' * 20000}example1.net/en/{'y' * 100000}")]
     rules = [("net", "/", "block"), ("example1.net", "/en/", "allow"), ("com", "/en", "block"), ("example2.com", "/en", "allow")]
     df = spark.createDataFrame(pages, "page_id int, url string").withColumn("host", F.lit("clash"))
     rule_df, host_df = spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(h,) for h in sorted(listed)], "host string")
@@ -140,10 +140,11 @@ def test_poisson_means(spark):
 
 def test_mixing_reaches_weights_and_edges(spark):
     rows = [(i, "a" if i % 10 else "b", "x" * 50, "clash") for i in range(3000)] + [(None, None, None, "clash"), (7, "a", "x" * 50, "clash"), (7, "a", "x" * 50, "clash")]
-    df = spark.createDataFrame(rows, "doc_id int, source string, text string, copy string").drop("copy")
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string, copy string").withColumn("shuffle_key", F.lit(1))
     out = mixing.mix_sources(df, {"a": 0.3, "missing": 0.5}, 0.7, seed=3)
     size = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert size["b"] / (size["a"] + size["b"]) == pytest.approx(0.7, abs=0.04)
+    assert dict(out.dtypes) == {"doc_id": "int", "source": "string", "text": "string", "copy": "int", "shuffle_key": "string"}
     assert out.count() == mixing.mix_sources(df.repartition(5), {"a": 0.3, "missing": 0.5}, 0.7, seed=3).count()
     assert mixing.mix_sources(df.limit(0), {"a": 1.0}, 0.5).count() == 0
 
