@@ -55,58 +55,82 @@ def unpack(flat: np.ndarray, units: int, classes: int) -> Params:
 
 def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After) -> tuple[float, Params]:
     """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR). Shorter windows are
-    filled up at their end with any unit and the class -1, which count for nothing. The gradient of emb is (rows, their gradients)."""
+    filled up at their end with any unit and the class -1, which count for nothing. The gradient of emb is (rows, their gradients).
+
+    Queries, keys and values come from one product, and the scale of the queries is part of it; sums over a row are products
+    with ones."""
     b, n = units.shape
-    d = WIDTH
+    d, scale = WIDTH, np.float32(WIDTH**-0.5)
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-    x = p["emb"][units]
-    q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(d**-0.5)
-    s += np.where(j <= i, p["rel"][np.clip(i - j, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
-    a = np.exp(np.minimum(s, 60, out=s), out=s)
-    a /= a.sum(-1, keepdims=True)
-    c = a @ v
-    h = x + c @ p["wo"]
-    f = np.maximum(h @ p["w1"] + p["b1"], 0)
-    g = h + f @ p["w2"]
-    rows = lambda t: t.reshape(b * n, -1)
-    own = np.flatnonzero(targets.ravel() >= 0)
-    goal = targets.ravel()[own]
+    whole, ones = units.ravel(), np.ones(max(b, n, b * n, p["out"].shape[1]), np.float32)
+    qkv = np.concatenate([p["wq"] * scale, p["wk"], p["wv"]], axis=1)
+    heads = lambda t: (t[:, c * d : (c + 1) * d].reshape(b, n, d) for c in range(3))
+    x = p["emb"][whole]
+    q, k, v = heads(x @ qkv)
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(j <= i, p["rel"][np.clip(i - j, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
+    np.exp(np.minimum(a, 60, out=a), out=a)
+    a /= (a.reshape(b * n, n) @ ones[:n]).reshape(b, n, 1)
+    c = (a @ v).reshape(b * n, d)
+    h = c @ p["wo"]
+    h += x
+    f = h @ p["w1"]
+    f += p["b1"]
+    np.maximum(f, 0, out=f)
+    g = f @ p["w2"]
+    g += h
+    goal = targets.ravel()
+    own = np.flatnonzero(goal >= 0)
+    filled = len(own) < b * n
+    seen, said, goal = (whole[own], g[own], goal[own]) if filled else (whole, g, goal)
     here = np.arange(len(own))
-    z = after.table[after.row[units.ravel()[own]]]
-    z += rows(g)[own] @ p["out"]
-    e = np.exp(np.minimum(z, 80, out=z), out=z)
-    total = e.sum(-1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - np.log(np.maximum(e[here, goal], 1e-30))).mean())
-    e *= np.float32(1 / len(own)) / total
+    e = np.take(after.table, after.row[seen], axis=0)
+    e += said @ p["out"]
+    if reaches(said, p["out"]):
+        np.minimum(e, 80, out=e)
+    np.exp(e, out=e)
+    total = e @ ones[: e.shape[1]]
+    loss = float(-np.log(np.maximum(e[here, goal] / total, 1e-30)).mean())
+    e *= (np.float32(1 / len(own)) / total)[:, None]
     e[here, goal] -= np.float32(1 / len(own))
-    grad: Params = {"out": rows(g)[own].T @ e}
-    dg = np.zeros((b * n, d), np.float32)
-    dg[own] = e @ p["out"].T
-    df = (dg @ p["w2"].T) * (rows(f) > 0)
-    grad |= {"w2": rows(f).T @ dg, "w1": rows(h).T @ df, "b1": df.sum(0)}
-    dh = dg + df @ p["w1"].T
-    grad["wo"] = rows(c).T @ dh
-    dc = (dh @ p["wo"].T).reshape(b, n, d)
-    ds = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
+    grad: Params = {"out": said.T @ e}
+    dg = e @ p["out"].T
+    if filled:
+        dg, part = np.zeros((b * n, d), np.float32), dg
+        dg[own] = part
+    df = dg @ p["w2"].T
+    df *= f > 0
+    grad |= {"w2": f.T @ dg, "w1": h.T @ df, "b1": ones[: b * n] @ df}
+    dh = df @ p["w1"].T
+    dh += dg
+    grad["wo"] = c.T @ dh
+    dc = dh @ p["wo"].T
+    each = dc.reshape(b, n, d)
+    ds = each @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dc, c).reshape(b, n, 1)
     ds *= a
-    ds -= a * ds.sum(-1, keepdims=True)
-    total = ds.sum(0)
-    grad["rel"] = np.array([np.trace(total, -t) for t in range(n)], np.float32)
-    ds *= np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = rows(dh) + rows(dq) @ p["wq"].T + rows(dk) @ p["wk"].T + rows(dv) @ p["wv"].T
-    for name, t in (("wq", dq), ("wk", dk), ("wv", dv)):
-        grad[name] = rows(x).T @ rows(t)
-    order = np.argsort(units.ravel(), kind="stable")
-    of = units.ravel()[order]
+    grad["rel"] = np.bincount(np.maximum(i - j, 0).ravel(), ones[:b] @ ds.reshape(b, n * n), n).astype(np.float32)  # 0 where j > i
+    back = np.empty((b * n, 3 * d), np.float32)
+    dq, dk, dv = heads(back)
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    np.matmul(a.transpose(0, 2, 1), each, out=dv)
+    grad["wq"], grad["wk"], grad["wv"] = np.split(x.T @ back, 3, axis=1)
+    grad["wq"] *= scale
+    dx = back @ qkv.T
+    dx += dh
+    order = np.argsort(whole.astype(np.uint16 if len(p["emb"]) <= 1 << 16 else np.int64), kind="stable")
+    of = whole[order]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     grad["emb"] = (of[first], np.add.reduceat(dx[order], first, axis=0))
     return loss, grad
 
 
+def reaches(said: np.ndarray, out: np.ndarray) -> bool:
+    """Whether a score may be beyond 80, by a bound of all of them; a log share, which is added, is 0 at most."""
+    return bool(max(said.max(), -said.min()) * np.abs(out).sum(0).max() > 80)
+
+
 class Adam:
     """Adam whose moments of an embedding change when its unit occurs."""
 
@@ -150,7 +174,7 @@ def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, af
     i, j = np.arange(st)[:, None] + st, np.arange(FAR)[None, :]
     bias = np.where(j <= i, p["rel"][np.clip(i - j, 0, FAR - 1)], np.float32(-1e9)).astype(np.float32)
     by_unit = np.concatenate([p["emb"], p["emb"] @ p["wq"] * np.float32(d**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"] @ p["wo"]], axis=1)
-    reach, ones = np.abs(p["out"]).max(1), np.ones(p["out"].shape[1], np.float32)
+    ones = np.ones(p["out"].shape[1], np.float32)
     rows = min(BLOCK * st, n)
     row, z, y = np.empty((rows + st, 4 * d), np.float32), np.empty((rows, len(ones)), np.float32), np.empty((rows, len(ones)), np.float32)
     for at in range(0, n, rows):
@@ -165,14 +189,15 @@ def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, af
         of = text[at : at + st + m].reshape(w + 1, st)
         first = np.flatnonzero(of[:-1, 0] != of[1:, 0])  # windows with which a text begins: nothing is before
         a[first, :, :st] = 0
-        c = (a @ window(v)) / a.sum(-1, keepdims=True)
-        h = x[st:] + c.reshape(m, d)
+        h = (a @ window(v)).reshape(m, d)
+        h /= (a.reshape(m, FAR) @ ones[:FAR])[:, None]
+        h += x[st:]
         f = h @ p["w1"]
         f += p["b1"]
         h += np.maximum(f, 0, out=f) @ p["w2"]
         s = np.take(after.table, after.row[seen[at + st : at + st + m]], axis=0, out=y[:m], mode="clip")
         s += np.matmul(h, p["out"], out=z[:m])
-        if np.abs(h).max(0) @ reach > 80:  # else no score can be so large
+        if reaches(h, p["out"]):
             np.minimum(s, 80, out=s)
         own = s[np.arange(m), goal[at + st : at + st + m]].astype(np.float64)
         out[at + st : at + st + m] = own - np.log((np.exp(s, out=s) @ ones).astype(np.float64))
