@@ -23,7 +23,8 @@ Params = dict[str, np.ndarray]
 
 @dataclass
 class After:
-    """The counted log shares of the classes after a unit: row says which of the table's rows is a unit's."""
+    """The counted log shares of the classes after a unit: row says which of the table's rows is a unit's. Where the functions get
+    rows, one for each unit given, those hold instead."""
 
     table: np.ndarray
     row: np.ndarray
@@ -53,7 +54,7 @@ def unpack(flat: np.ndarray, units: int, classes: int) -> Params:
     return out
 
 
-def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After) -> tuple[float, Params]:
+def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After, rows: np.ndarray | None = None) -> tuple[float, Params]:
     """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR). Shorter windows are
     filled up at their end with any unit and the class -1, which count for nothing. The gradient of emb is (rows, their gradients).
 
@@ -62,7 +63,8 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After) -
     b, n = units.shape
     d, scale = WIDTH, np.float32(WIDTH**-0.5)
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-    whole, ones = units.ravel(), np.ones(max(b, n, b * n, p["out"].shape[1]), np.float32)
+    rows = (after.row[units] if rows is None else rows).ravel()
+    whole, ones = units.ravel(), np.ones(max(b * n, p["out"].shape[1]), np.float32)
     qkv = np.concatenate([p["wq"] * scale, p["wk"], p["wv"]], axis=1)
     heads = lambda t: (t[:, c * d : (c + 1) * d].reshape(b, n, d) for c in range(3))
     x = p["emb"][whole]
@@ -82,9 +84,9 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After) -
     goal = targets.ravel()
     own = np.flatnonzero(goal >= 0)
     filled = len(own) < b * n
-    seen, said, goal = (whole[own], g[own], goal[own]) if filled else (whole, g, goal)
+    rows, said, goal = (rows[own], g[own], goal[own]) if filled else (rows, g, goal)
     here = np.arange(len(own))
-    e = np.take(after.table, after.row[seen], axis=0)
+    e = np.take(after.table, rows, axis=0)
     e += said @ p["out"]
     if reaches(said, p["out"]):
         np.minimum(e, 80, out=e)
@@ -138,9 +140,9 @@ class Adam:
         self.p, self.step = p, 0
         self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
-    def learn(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float) -> float:
+    def learn(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float, rows: np.ndarray) -> float:
         self.step += 1
-        loss, grad = gradients(self.p, units, targets, after)
+        loss, grad = gradients(self.p, units, targets, after, rows)
         scale = np.float32(rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
         for k, g in grad.items():
             at, g = g if k == "emb" else (slice(None), g)
@@ -151,12 +153,13 @@ class Adam:
             self.p[k][at] -= scale * m / (np.sqrt(s) + np.float32(1e-8))
         return loss
 
-    def train(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float) -> list[float]:
+    def train(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float, rows: np.ndarray | None = None) -> list[float]:
         """One pass over the windows; the losses of its steps."""
-        return [self.learn(units[at : at + STEP], targets[at : at + STEP], after, rate) for at in range(0, len(units), STEP)]
+        rows = after.row[units] if rows is None else rows
+        return [self.learn(*(t[at : at + STEP] for t in (units, targets)), after, rate, rows[at : at + STEP]) for at in range(0, len(units), STEP)]
 
 
-def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, after: After) -> np.ndarray:
+def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, after: After, rows: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each target class. units: the current subword's unit at each position of a flat run of
     texts, doc: its text. Each window scores STRIDE positions of a text and sees those before them in the window of the same
     text; windows begin where a text does, so that its score doesn't depend on its neighbours.
@@ -168,17 +171,17 @@ def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, af
     whole = -(-size // st) * st
     place = np.arange(len(doc)) + np.repeat(st + np.cumsum(whole) - whole - begin, size)
     n = int(whole.sum())
-    seen, text, goal = np.zeros(n + st, np.int64), np.full(n + st, -1, np.int64), np.zeros(n + st, np.int64)
-    seen[place], text[place], goal[place] = units, doc, targets
+    seen, text, goal, counted = np.zeros(n + st, np.int64), np.full(n + st, -1, np.int64), np.zeros(n + st, np.int64), np.zeros(n + st, np.int64)
+    seen[place], text[place], goal[place], counted[place] = units, doc, targets, after.row[units] if rows is None else rows
     out = np.empty(n + st, np.float64)
     i, j = np.arange(st)[:, None] + st, np.arange(FAR)[None, :]
     bias = np.where(j <= i, p["rel"][np.clip(i - j, 0, FAR - 1)], np.float32(-1e9)).astype(np.float32)
     by_unit = np.concatenate([p["emb"], p["emb"] @ p["wq"] * np.float32(d**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"] @ p["wo"]], axis=1)
-    ones = np.ones(p["out"].shape[1], np.float32)
-    rows = min(BLOCK * st, n)
-    row, z, y = np.empty((rows + st, 4 * d), np.float32), np.empty((rows, len(ones)), np.float32), np.empty((rows, len(ones)), np.float32)
-    for at in range(0, n, rows):
-        m = min(rows, n - at)
+    classes, ones = p["out"].shape[1], np.ones(max(FAR, p["out"].shape[1]), np.float32)
+    most = min(BLOCK * st, n)
+    row, z, y = np.empty((most + st, 4 * d), np.float32), np.empty((most, classes), np.float32), np.empty((most, classes), np.float32)
+    for at in range(0, n, most):
+        m = min(most, n - at)
         w = m // st
         r = np.take(by_unit, seen[at : at + st + m], axis=0, out=row[: st + m], mode="clip")
         x, q, k, v = (r[:, c * d : (c + 1) * d] for c in range(4))
@@ -195,10 +198,10 @@ def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, af
         f = h @ p["w1"]
         f += p["b1"]
         h += np.maximum(f, 0, out=f) @ p["w2"]
-        s = np.take(after.table, after.row[seen[at + st : at + st + m]], axis=0, out=y[:m], mode="clip")
+        s = np.take(after.table, counted[at + st : at + st + m], axis=0, out=y[:m], mode="clip")
         s += np.matmul(h, p["out"], out=z[:m])
         if reaches(h, p["out"]):
             np.minimum(s, 80, out=s)
         own = s[np.arange(m), goal[at + st : at + st + m]].astype(np.float64)
-        out[at + st : at + st + m] = own - np.log((np.exp(s, out=s) @ ones).astype(np.float64))
+        out[at + st : at + st + m] = own - np.log((np.exp(s, out=s) @ ones[: s.shape[1]]).astype(np.float64))
     return out[place]

@@ -7,14 +7,17 @@ word with a space before it. The vocabulary file is read where the driver runs a
 1. One pass over all training texts counts words and subwords and cuts each text into windows, all of which are gathered.
    Each subword of them is a unit of its own at the model's input. Subwords get classes: the SINGLE most frequent have their
    own, the others are clustered by what they follow, apart for word starts and continuations. A second pass over all windows
-   counts which subword follows each of the BUCKETS most frequent ones, and the others, as two buckets.
+   counts which subword follows each of the BUCKETS most frequent ones, and the others, as two buckets. The counts of the
+   KNOWN_WORDS most frequent words say how a word goes on, or ends, after the AFTER_ROWS most frequent subwords and the
+   BEGIN_ROWS most frequent longer beginnings of words.
 2. Training: all windows are dealt by hash to ROUNDS rounds and to replicas of about REPLICA subwords, as many as the corpus
    needs; each window trains once. In a round each replica's task trains a copy of the model on its windows; the copies'
    parameters are averaged, weighted by subwords, in Spark. So the model depends on the rows, not on their partitions. Windows
    at the end of a text are shorter and train as all others do.
 3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability, which sees
-   the window, times the subword's share of its class after the current subword's bucket, with absolute discounts. Words
-   outside the KNOWN_WORDS most frequent are held against the whole counts by a join, so that the unigram base is exact.
+   the window, times the subword's share of its class after the beginning of its word, or, at a word's start, after the bucket
+   of the subword before, with absolute discounts. Words outside the KNOWN_WORDS most frequent are held against the whole
+   counts by a join, so that the unigram base is exact.
 
 Nulls: a null text is empty and has the end token only; a null id counts as an empty text in crc32 and stays null. Repeated
 rows are rows. Without training texts all counts are 0 and the base is not defined (null where N + V + 1 would be 0).
@@ -26,7 +29,7 @@ import base64
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
@@ -45,6 +48,9 @@ from .tokens import chunks, mixed, texts
 LEARNING_RATES, REPLICA = (0.02, 0.005), 1 << 22
 ROUNDS = len(LEARNING_RATES)
 CLUSTERS, SINGLE, BUCKETS = 30, 64, 256
+#: Subwords, and beginnings of words, that have their own shares of the classes after them (the most frequent); what more general
+#: shares count for among them.
+AFTER_ROWS, BEGIN_ROWS, AFTER_WEIGHT = 4096, 16384, 16.0
 #: What counts of followers are lessened by, and given to those that were not seen.
 DISCOUNT = 0.75
 #: Words whose counts are sent to the tasks (the most frequent); words of which a task keeps the subwords.
@@ -92,12 +98,13 @@ class Coder:
             out[i] = k
         return out
 
-    def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(subword ids, how many of each word) of words in a row."""
+    def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(subword ids, how many of each word, where each is in the table) of words in a row."""
         flat, first, size = (np.array(x, np.int32) for x in (self.flat, self.first, self.size))
         n = size[numbers]
         before = np.cumsum(n) - n
-        return flat[np.repeat(first[numbers] - before, n) + np.arange(int(n.sum()))], n
+        at = np.repeat(first[numbers] - before, n) + np.arange(int(n.sum()))
+        return flat[at], n, at
 
 
 _CODERS: dict[int, Coder] = {}
@@ -165,7 +172,7 @@ def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
                 seen = np.bincount(numbers, minlength=len(coder.names))
                 seen[: len(words)] += words
                 words = seen
-                flat, size = coder.subwords(numbers)
+                flat, size, _ = coder.subwords(numbers)
                 ids += np.bincount(flat, minlength=len(ids))
                 ends = np.cumsum(size)[np.cumsum([len(d) + 1 for d in docs]) - 1]
                 seeds = np.array([xxhash.xxh3_64_intdigest(f"{i}:{len(t or b'')}") for i, t in train[a:b]], np.uint64)
@@ -184,15 +191,36 @@ def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
 
 @dataclass
 class Classes:
-    """What the counts say. unit: of each subword id; of each unit: its class and its row in the tables after and inner. after:
-    log shares of the classes; inner: log share of each unit in its class."""
+    """What the counts say. unit: of each subword id; label and row: of each unit its class and its row of inner, which has the
+    log share of each unit in its class, and whether it begins a word; after: log shares of the classes, whose rows from ``more`` on
+    are those of the beginnings of words, hashes in order."""
 
     unit: np.ndarray
     label: np.ndarray
+    row: np.ndarray
     after: attention.After
     inner: np.ndarray
     n_units: int
     n_classes: int
+    starts: np.ndarray
+    beginnings: np.ndarray
+    more: int
+    spelling: Spelling | None = None
+
+    def rows(self, whole: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Rows of after for beginnings of words, by their hashes, and their last units."""
+        if not len(self.beginnings):
+            return self.after.row[units]
+        at = np.minimum(np.searchsorted(self.beginnings, whole), len(self.beginnings) - 1)
+        return np.where(self.beginnings[at] == whole, self.more + at, self.after.row[units])
+
+    def running(self, units: np.ndarray) -> np.ndarray:
+        """Rows of after for each unit of windows; a word that began before its window goes by its last unit."""
+        whole, alone = np.empty(units.shape, np.uint64), mixed(units.astype(np.uint64) + np.uint64(1))
+        for k in range(units.shape[1]):
+            on = mixed(whole[:, k - 1] * np.uint64(31) + alone[:, k]) if k else np.uint64(0)
+            whole[:, k] = np.where(self.starts[units[:, k]], alone[:, k], on)
+        return self.rows(whole, units)
 
 
 def _followers(windows: DataFrame, unit, row, n_rows: int, n_units: int) -> np.ndarray:
@@ -238,7 +266,105 @@ def _clusters(near: np.ndarray, weight: np.ndarray, k: int, seed: int = 0) -> np
     return label
 
 
-def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int]) -> Classes:
+@dataclass
+class Spelling:
+    """How the known words go on after their first subwords. begun: hashes of beginnings of two subwords or more, in order, and n:
+    how many words, by counts, begin so; group, total and kinds: the same of a beginning and the next subword's class, and of how
+    many next subwords."""
+
+    begun: np.ndarray
+    n: np.ndarray
+    group: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+
+
+def _beginnings(units: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word's beginning up to each subword; hash of the beginning before it and its class), for words in a row whose
+    first subwords are at ``first``."""
+    place = np.arange(len(units)) - np.repeat(first, np.diff(first, append=len(units)))
+    whole, group = mixed(units.astype(np.uint64) + np.uint64(1)), np.zeros(len(units), np.uint64)
+    for k in range(1, int(place.max(initial=0)) + 1):
+        at = np.flatnonzero(place == k)
+        group[at] = mixed(whole[at - 1] + label[units[at]].astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        whole[at] = mixed(whole[at - 1] * np.uint64(31) + whole[at])
+    return whole, group
+
+
+def _spelling(units: np.ndarray, first: np.ndarray, label: np.ndarray, counts: np.ndarray) -> Spelling:
+    whole, group = _beginnings(units, first, label)
+    later = np.ones(len(units), bool)
+    later[first] = False
+    begun, one, of = np.unique(whole[later], return_index=True, return_inverse=True)
+    n = np.bincount(of, np.repeat(counts, np.diff(first, append=len(units)))[later], len(begun))
+    groups, of = np.unique(group[later][one], return_inverse=True)
+    return Spelling(begun, n, groups, np.bincount(of, n, len(groups)), np.bincount(of, minlength=len(groups)).astype(float))
+
+
+def _spelled(classes: Classes, units: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log share of each subword in its class after the beginning of its word, with absolute discounts that go by the share after
+    the subword before; 0 for the first ones, which go by the word before."""
+    s = classes.spelling
+    whole, group = _beginnings(units, first, classes.label)
+    before = np.roll(units, 1)
+    less = np.exp(classes.inner[classes.row[before], units].astype(float))
+
+    def found(keys: np.ndarray, table: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        if not len(table):
+            return [np.zeros(len(keys)) for _ in values]
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return [np.where(table[at] == keys, v[at], 0.0) for v in values]
+
+    (n,), (total, kinds) = found(whole, s.begun, s.n), found(group, s.group, s.total, s.kinds)
+    share = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * less) / np.maximum(total, 1), less)
+    share[first] = 1
+    return np.log(share).astype(np.float32)
+
+
+def _after(by_class: np.ndarray, whole: np.ndarray, row: np.ndarray, starts: np.ndarray, known: int, units: np.ndarray, first: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[attention.After, np.ndarray, int]:
+    """(log shares of the classes; the beginnings of words that have rows; the first of these rows).
+
+    After the units of a bucket the shares are as counted. After each further unit of the AFTER_ROWS most frequent, and after each
+    beginning of the BEGIN_ROWS most frequent that are longer, they are how the known words go on, or, where a word ends, what
+    begins a word after the bucket."""
+    k = len(whole)
+    table, _ = _discounted(by_class, whole / whole.sum(), np.zeros(k, np.int64))
+    size = np.diff(first, append=len(units))
+    weight = np.repeat(counts, size).astype(float)
+    last = np.zeros(len(units), bool)
+    last[first + size - 1] = True
+    goal = label[np.roll(units, -1)]
+
+    def shares(of: np.ndarray, n: int, bucket: np.ndarray, less: np.ndarray) -> np.ndarray:
+        """of: for each subword of the known words its row, n if none."""
+        on, end = np.flatnonzero(~last & (of < n)), np.flatnonzero(last & (of < n))
+        goes = np.bincount(of[on] * k + goal[on], weight[on], n * k).reshape(n, k).astype(float)
+        begin = table[bucket] * starts
+        goes += np.bincount(of[end], weight[end], n).astype(float)[:, None] * begin / np.maximum(begin.sum(1, keepdims=True), 1e-30)
+        return (goes + AFTER_WEIGHT * less) / (goes.sum(1, keepdims=True) + AFTER_WEIGHT)
+
+    n = max(0, min(known, AFTER_ROWS) - BUCKETS)
+    own = np.arange(BUCKETS, BUCKETS + n)
+    table_row = row.copy()
+    table_row[own] = len(table) + np.arange(n)
+    rows = np.concatenate([table, shares(np.where((units >= BUCKETS) & (units < BUCKETS + n), units - BUCKETS, n), n, row[own], table[row[own]])])
+    hashes, _ = _beginnings(units, first, label)
+    later = np.ones(len(units), bool)
+    later[first] = False
+    begun, one, of = np.unique(hashes[later], return_index=True, return_inverse=True)
+    often = np.bincount(of, weight[later], len(begun))
+    kept = np.sort(np.lexsort((begun, -often))[:BEGIN_ROWS])
+    place = np.full(len(begun), len(kept))
+    place[kept] = np.arange(len(kept))
+    where = np.full(len(units), len(kept))
+    where[later] = place[of]
+    tip = units[later][one[kept]]
+    longer = shares(where, len(kept), row[tip], rows[table_row[tip]])
+    return attention.After(np.log(np.concatenate([rows, longer])).astype(np.float32), table_row), begun[kept], len(rows)
+
+
+def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int], words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Classes:
+    """words: the subword ids of the known words in a row, where each word begins, and the words' counts."""
     sc = windows.sparkSession.sparkContext
     size = max(ranks.values()) + 2
     end = size - 1
@@ -268,8 +394,14 @@ def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int]) -
     members = np.bincount(label[unit], smooth[unit], n_classes)
     whole = members + 0.5
     inner, by_class = _discounted(follow, smooth / members[label], label)
-    after, _ = _discounted(np.pad(by_class, ((0, 0), (0, n_classes - by_class.shape[1]))), whole / whole.sum(), np.zeros(n_classes, np.int64))
-    return Classes(unit, label, attention.After(np.log(after).astype(np.float32), row), np.log(inner).astype(np.float32), n_units, n_classes)
+    by_class = np.pad(by_class, ((0, 0), (0, n_classes - by_class.shape[1])))
+    begins = np.zeros(n_classes)
+    begins[label[starts > 0]] = 1
+    begins[label[unit[end]]] = 1
+    flat, first, n = unit[words[0]], words[1], words[2]
+    after, beginnings, more = _after(by_class, whole, row, begins, known, flat, first, label, n)
+    inner = np.log(inner).astype(np.float32)
+    return Classes(unit, label, row, after, inner, n_units, n_classes, begins[label] > 0, beginnings, more, _spelling(flat, first, label, n))
 
 
 def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +415,7 @@ def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.Params:
     """windows: n (random), window."""
     sc = windows.sparkSession.sparkContext
-    sent = sc.broadcast(classes)
+    sent = sc.broadcast(replace(classes, inner=np.zeros((0, 0)), spelling=None))
     params = attention.start(classes.n_units, classes.n_classes)
     replicas = max(1, -(-subwords // (REPLICA * ROUNDS)))
     for turn, rate in enumerate(LEARNING_RATES):
@@ -296,7 +428,7 @@ def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.P
                 at, ids = _filled(batch.column("window"))
                 if len(ids):
                     u = c.unit[ids]
-                    learner.train(u[:, :-1], np.where(at[:, 1:], c.label[u[:, 1:]], -1), c.after, rate)
+                    learner.train(u[:, :-1], np.where(at[:, 1:], c.label[u[:, 1:]], -1), c.after, rate, c.running(u[:, :-1]))
                     seen += int(at[:, 1:].sum())
             if seen:
                 moved = attention.pack(learner.p).astype(np.float64) - begin.value
@@ -320,12 +452,25 @@ class Model:
     classes: Classes
     params: attention.Params
 
-    def log10(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """log10 probability of each of n_docs texts, whose subword ids lie one after the other, each with its end."""
+    def spelled(self, coder: Coder, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(log shares of the coder's table of subwords, rows after them): ``known``, as they were, and those of newer words."""
+        n, c = len(known[0]), self.classes
+        first = np.array(coder.first, np.int64)
+        first = first[np.searchsorted(first, n) :] - n
+        if not len(first):
+            return known
+        units = c.unit[np.array(coder.flat, np.int64)[n:]]
+        new = _spelled(c, units, first), c.rows(_beginnings(units, first, c.label)[0], units).astype(np.int32)
+        return tuple(np.concatenate(x) for x in zip(known, new, strict=True))
+
+    def log10(self, ids: np.ndarray, doc: np.ndarray, n_docs: int, begins: np.ndarray, spelled: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """log10 probability of each of n_docs texts, whose subword ids lie one after the other, each with its end. begins: where
+        words do; spelled: log share of each subword that begins none; rows: the rows of the shares after each subword."""
         c = self.classes
         current = np.concatenate([[len(c.unit) - 1], ids[:-1]])
         before, units = c.unit[current], c.unit[ids]
-        natural = attention.score(self.params, before, c.label[units], doc, c.after) + c.inner[c.after.row[before], units]
+        natural = attention.score(self.params, before, c.label[units], doc, c.after, np.concatenate([c.after.row[before[:1]], rows[:-1]])) + spelled
+        natural[begins] += c.inner[c.row[before[begins]], units[begins]]
         return np.bincount(doc, natural, n_docs) / np.log(10)
 
 
@@ -344,21 +489,23 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_train, v_train = running + ends, distinct + (1 if ends else 0)
     windows = gathered.where("kind = 'window'").select("n", "window")
-    classes = _classes(subwords, windows, table)
-    model = sc.broadcast(Model(classes, _trained(windows, classes, sum(subwords.values()))))
     top = words.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow()
-    known = sc.broadcast(dict(zip(top.column("word").cast(pa.large_binary()).to_pylist(), top.column("c").to_pylist(), strict=True)) | {END: ends})
+    counts = dict(zip(top.column("word").cast(pa.large_binary()).to_pylist(), top.column("c").to_pylist(), strict=True))
+    known = sc.broadcast(counts | {END: ends})
+    flat, size, _ = (coder := Coder(table)).subwords(coder.numbers([list(counts)]))
+    classes = _classes(subwords, windows, table, (flat[:-1], (np.cumsum(size) - size)[:-1], np.array(list(counts.values()), float)))
+    model = sc.broadcast(Model(classes, _trained(windows, classes, sum(subwords.values()))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts, row = worker_coder(ranks.value), known.value, TaskContext.get().partitionId() << 40
-        value = np.zeros(0)
+        value, spelled = np.zeros(0), (np.zeros(0, np.float32), np.zeros(0, np.int32))
         for batch in batches:
             raw, ids = texts(batch.column("text")), batch.column("doc_id")
             held = is_held_out(ids.to_pylist(), folds, held_out)
             for a, b in chunks(raw):
                 if len(coder.names) > KEPT_WORDS:
                     coder.clear()
-                    value = np.zeros(0)
+                    value, spelled = np.zeros(0), (np.zeros(0, np.float32), np.zeros(0, np.int32))
                 own = [lower_words(t) for t in raw[a:b]]
                 numbers = coder.numbers(own)
                 value = np.concatenate([value, np.array([counts.get(w, -1) for w in coder.names[len(value) :]], np.float64)])
@@ -368,8 +515,9 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
                 rare = np.flatnonzero(c < 0)
                 base = np.bincount(word_doc, np.where(c < 0, 0, np.log10(np.maximum(c, 0) + 1)), b - a)
                 n_known = np.bincount(word_doc[c > 0], minlength=b - a)
-                flat, n = coder.subwords(numbers)
-                s = model.value.log10(flat, np.repeat(word_doc, n), b - a)
+                flat, n, at = coder.subwords(numbers)
+                spelled = model.value.spelled(coder, spelled)
+                s = model.value.log10(flat, np.repeat(word_doc, n), b - a, np.cumsum(n) - n, *(x[at] for x in spelled))
                 found = pa.array([coder.names[i] for i in numbers[rare].tolist()], pa.binary()).cast(pa.string())
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(word_doc[rare], minlength=b - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
