@@ -195,5 +195,20 @@ def pipeline() -> str:
 {mixed("s4")} select *, md5('order {q.MIX_SEED}:' || coalesce(doc_id::varchar, '') || ':' || copy) as shuffle_key from mixed"""
 
 
+def op12() -> str:
+    h = lambda k: f"('0x' || substr(digest, {8 * k + 1}, 8))::bigint"
+    piece = lambda a, b: f"array_to_string(units[{a} + 1:{b}], '')"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('{q.FIM_SEED}:' || coalesce(doc_id::varchar, '')) as digest from documents),
+u as (select *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') as units from d),
+k as (select *, len(units)::bigint as n, {h(0)} % (len(units) + 1) as a, {h(1)} % (len(units) + 1) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {h(2)} % 100 >= {q.FIM_RATE} then 'plain' when {h(3)} % 100 < {q.FIM_SPM} then 'spm' else 'psm' end as form from u),
+p as (select doc_id, t, n, form, {piece("0", "least(a, b)")} as prefix, {piece("least(a, b)", "greatest(a, b)")} as middle, {piece("greatest(a, b)", "n")} as suffix from k)
+select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else t end) as output_sha256,
+  sha256(t) as restored_sha256
+from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op6_warc": op6(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10()}
+    return {"op1_chat": op1(), "op2_urls": op2(), "op4_decontam": op4(), "op5_quality": op5(), "op6_warc": op6(), "op7_lines": op7(), "op8_mixing": op8(), "op9_licenses": op9(), "op10_jaccard": op10(), "op12_fim": op12()}
