@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, jaccard, licenses, lines, lm, mixing, quality, urls, warc
+from . import align, chat, decontam, fim, jaccard, licenses, lines, lm, mixing, quality, urls, warc
 from .common import shared_folder, written
 
 #: Rules of the URL filter: host, path, verdict.
@@ -20,6 +20,8 @@ MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.25, "src1": 0.1, "src2": 0.1, "src3
 FIM_SEED, FIM_RATE, FIM_SPM = 7, 100, 50
 #: The vocabulary file of the language model, read where the driver runs.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The tokenizer files that are aligned, read where the driver runs.
+ALIGN_A, ALIGN_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of a site's pages beyond which a line is boilerplate; a line of one page isn't repeated.
 LINE_RATIO, LINE_PAGES = 0.1, 2
 #: Notices that stand for licenses.
@@ -133,5 +135,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), ALIGN_A, ALIGN_B, columns=["doc_id"])
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(sha(F.col("groups")))).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_urls, op3_lm, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard, op12_fim)}
+    return {f.__name__: f for f in (op1_chat, op2_urls, op3_lm, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard, op12_fim, op13_align)}
