@@ -10,9 +10,10 @@ Encoded texts are written once, as ids, to the shared folder. A second pass coun
 a third sums the counts over each text's links. Pairs that make up a share of 1 / FREQUENT of all links or more, of which there
 are FREQUENT at most, are sent to the tasks (all pairs, if they are no more than that); the rest, none of them hot, are joined.
 
-Texts that are null, empty, or not given back byte for byte by both tokenizers have no tokens: zeros and no groups. Long texts
-are encoded in parts of about PART characters, cut at a space between two ASCII letters or digits, where neither tokenizer has
-a token across it; a text without such a space is encoded whole. Repeated rows are rows of their own and count each. Input
+Texts that are null, empty, or not given back byte for byte by both tokenizers have no tokens: zeros and no groups. Texts
+are cut into parts at the spaces between characters that are no white space: where no piece of B has a space after another
+character, and A splits texts the byte-level way, no token lies across such a place, so a part gets the ids that it has in
+its text. A worker keeps the ids of up to KEPT characters of parts. Other tokenizers encode texts whole. Repeated rows are rows of their own and count each. Input
 columns named like the results are replaced, all others kept or those of ``columns``. An empty table gives an empty table.
 """
 
@@ -21,7 +22,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Tables
-from .tokens import chunks, texts
+from .tokens import texts
 
 #: Most id pairs that are sent to the tasks, 17 bytes each.
 FREQUENT = 1 << 21
-#: Characters of a long text that are encoded at once, more where no place to cut follows.
-PART = 200_000
+#: Tokens whose graph a task holds at once, more where one text has more: some 200 bytes each.
+TOKENS = 500_000
+#: Most characters of parts whose ids a worker keeps, and those that are encoded at once unless one part is longer.
+KEPT, AT_ONCE = 4_000_000, 200_000
+#: Bytes of texts that are taken apart at once, more where one text has more.
+BYTES = 1_000_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-PLACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+PLACE, NO_PLACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ |\s | \s| $")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,13 +53,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*own}))}
 
 
-def parts(text: str) -> Iterator[str]:
-    """The text, or its parts, between which a space is left out."""
-    start = 0
-    while len(text) - start > PART and (cut := PLACE.search(text, start + PART)):
-        yield text[start : cut.start()]
-        start = cut.end()
-    yield text[start:]
+def parts(text: str) -> list[str]:
+    """The text's parts, between which a space is left out that stands between characters that are no white space."""
+    return PLACE.split(text) if NO_PLACE.search(text) else text.split(" ")
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of a flat array one after another."""
+    return flat[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+class Kept:
+    """Ids of parts by one tokenizer, in a flat array that grows."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, rows: list[list[int]]) -> None:
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))])
+        self.start = np.concatenate([self.start, len(self.flat) - size.sum() + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
 
 
 class Pair:
@@ -76,21 +96,56 @@ class Pair:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not any(re.search("[^▁]▁", p) for p in pieces)
         n = max(len(self.bytes_a), len(self.bytes_b))
         self.names = [f"{i}{end}" for end in (",", "|", ";", "") for i in range(n)]  # ids as they are written before each separator
-
-    def encode(self, rows: list[bytes | None]) -> tuple[list[list[int]], list[list[int]]]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.kept_a, self.kept_b, self.same, self.chars = Kept(), Kept(), np.zeros(0, bool), 0
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes parts that are not known yet."""
+        for x, y in ranges(map(len, new), AT_ONCE):
+            some = new[x:y]
+            a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            joined = lambda ids, data: b"".join(map(data.__getitem__, ids))
+            same = [joined(i, self.bytes_a) == f" {p}".encode() == joined(j, self.bytes_b) for p, i, j in zip(some, a, b, strict=True)]
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+            self.kept_a.add(a)
+            self.kept_b.add(b)
+            self.same, self.chars = np.concatenate([self.same, same]).astype(bool), self.chars + sum(map(len, some))
+
+    def encode(self, rows: list[bytes | None]) -> tuple[pa.ListArray, pa.ListArray]:
         """The ids of each text by A and by B, both empty where one does not give back the text's bytes."""
-        split = [[*(parts(t) if self.cuts else [t])] if (t := (row or b"").decode(errors="replace")) else [] for row in rows]
-        flat = [p for s in split for p in s]
-        got_a = iter([e.ids for e in self.a.encode_batch_fast([f" {p}" for p in flat], add_special_tokens=False)])
-        got_b = iter(self.b.encode(flat, num_threads=1))
-        out_a, out_b = [], []
-        for row, s in zip(rows, split, strict=True):
-            a, b = ([i for _ in s for i in next(got)] for got in (got_a, got_b))
-            want = b" " + (row or b"")
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out_a.append(a if same else [])
-            out_b.append(b if same else [])
-        return out_a, out_b
+        if self.chars > KEPT:
+            self.forget()
+        given = [(row or b"").decode(errors="replace") for row in rows]
+        split = [(parts(t) if self.cuts else [t]) if t else [] for t in given]
+        flat = [*chain.from_iterable(split)]
+        self.learn([*dict.fromkeys(p for p in flat if p not in self.number)])
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        wrong = np.diff(np.concatenate([[0], np.cumsum(~self.same[at])])[np.cumsum(n)], prepend=0) > 0
+        wrong |= [t.encode() != (row or b"") for t, row in zip(given, rows, strict=True)]  # bytes that are no UTF-8
+        at, n = at[np.repeat(~wrong, n)], np.where(wrong, 0, n)
+        out = []
+        for kept in (self.kept_a, self.kept_b):
+            ids = gathered(kept.flat, kept.start[at], kept.size[at])
+            to = np.concatenate([[0], np.cumsum(kept.size[at])])[np.cumsum(n)]
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]), pa.int32()), pa.array(ids)))
+        return tuple(out)
+
+
+def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of what has these sizes, of about ``most`` each."""
+    start = total = end = 0
+    for end, size in enumerate(sizes, 1):
+        total += size
+        if total >= most:
+            yield start, end
+            start, total = end, 0
+    if start < end:
+        yield start, end
 
 
 def find(parent: np.ndarray) -> np.ndarray:
@@ -104,7 +159,7 @@ class Graph:
     """The overlap graph of many texts' tokens; a and b: flat ids, n_a and n_b: how many each text has."""
 
     def __init__(self, pair: Pair, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
-        self.pair, self.a, self.b, self.n = pair, a, b, n_a + n_b
+        self.pair, self.a, self.b, self.n_a, self.n_b, self.n = pair, a, b, n_a, n_b, n_a + n_b
         end_a, end_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
         ends = np.union1d(end_a, end_b)  # at each end one link's shared bytes end
         self.link_a, self.link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
@@ -153,18 +208,15 @@ def worker_pair(sent: Broadcast) -> Pair:
     return _PAIRS[key]
 
 
-def lists(rows: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    values = np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
-
-
-def graph_of(batch: pa.RecordBatch, sent: Broadcast) -> Graph:
-    flat, n = {}, {}
+def graphs(batch: pa.RecordBatch, sent: Broadcast) -> Iterator[tuple[pa.RecordBatch, Graph]]:
+    """The batch in slices of about TOKENS tokens, with the graph of each."""
+    flat, to = {}, {}
     for c in ("__a", "__b"):
         column = batch.column(c)
-        flat[c], n[c] = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
-    return Graph(worker_pair(sent), flat["__a"], flat["__b"], n["__a"], n["__b"])
+        flat[c], to[c] = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)
+    for x, y in ranges(np.diff(to["__a"] + to["__b"]).tolist(), TOKENS):
+        ids, n = zip(*((flat[c][to[c][x] : to[c][y]], np.diff(to[c][x : y + 1])) for c in ("__a", "__b")), strict=True)
+        yield batch.slice(x, y - x), Graph(worker_pair(sent), *ids, *n)
 
 
 def encoded(docs: DataFrame, sent: Broadcast, text: str, kept: list[str]) -> DataFrame:
@@ -175,9 +227,9 @@ def encoded(docs: DataFrame, sent: Broadcast, text: str, kept: list[str]) -> Dat
         pair = worker_pair(sent)
         for batch in batches:
             raw = texts(batch.column("__text"))
-            for x, y in chunks(raw):
+            for x, y in ranges((len(t or b"") for t in raw), BYTES):
                 a, b = pair.encode(raw[x:y])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in kept), lists(a), lists(b)], names=[*kept, "__a", "__b"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in kept), a, b], names=[*kept, "__a", "__b"])
 
     ids = T.ArrayType(T.IntegerType(), False)
     return given.mapInArrow(encode, T.StructType([*(given.schema[c] for c in kept), T.StructField("__a", ids), T.StructField("__b", ids)]))
@@ -187,8 +239,8 @@ def pair_counts(tokens: DataFrame, sent: Broadcast) -> DataFrame:
     """(pair, n): how many links there are of each pair of ids, over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = np.unique(graph_of(batch, sent).keys(), return_counts=True)
+        for _, graph in chain.from_iterable(graphs(batch, sent) for batch in batches):
+            keys, n = np.unique(graph.keys(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
     return tokens.select("__a", "__b").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -228,11 +280,9 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", columns: list[str
     own = [*kept, "__row"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            graph = graph_of(batch, sent)
+        for batch, graph in chain.from_iterable(graphs(batch, sent) for batch in batches):
             _, count, best, _ = look_up(graph)
-            n_a, n_b = (np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in ("__a", "__b"))
-            numbers = [n_a, n_b, np.diff(graph.groups_to, prepend=0), np.diff(graph.links_to, prepend=0), graph.by_text(best), graph.by_text(count)]
+            numbers = [graph.n_a, graph.n_b, np.diff(graph.groups_to, prepend=0), np.diff(graph.links_to, prepend=0), graph.by_text(best), graph.by_text(count)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(graph.written())], names=[*own, *RESULTS])
 
     longs = [T.StructField(c, T.LongType()) for c in RESULTS[:-1]]
@@ -240,8 +290,7 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", columns: list[str
     if least:
 
         def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                graph = graph_of(batch, sent)
+            for batch, graph in chain.from_iterable(graphs(batch, sent) for batch in batches):
                 keys, _, _, found = look_up(graph)
                 row = np.repeat(batch.column("__row").to_numpy(), np.diff(graph.links_to, prepend=0))
                 yield pa.RecordBatch.from_arrays([pa.array(row[~found]), pa.array(keys[~found])], names=["__row", "pair"])

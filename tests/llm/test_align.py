@@ -60,10 +60,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize(("frequent", "part"), [(1 << 21, 200_000), (40, 30), (1, 5)])
-def test_equals_brute_force(spark, monkeypatch, frequent, part):
+@pytest.mark.parametrize(("frequent", "few"), [(1 << 21, None), (40, 30), (1, 1)])
+def test_equals_brute_force(spark, monkeypatch, frequent, few):
     monkeypatch.setattr(align, "FREQUENT", frequent)
-    monkeypatch.setattr(align, "PART", part)
+    for name in ("TOKENS", "KEPT", "AT_ONCE", "BYTES") if few else ():
+        monkeypatch.setattr(align, name, few)
     docs = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 1500").limit(40).collect()]
     rows = [*enumerate([*TEXTS, *docs]), (5, "Hello world"), (None, docs[0])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("groups", F.lit(1)).withColumn("pair", F.lit("p")).repartition(4)
@@ -78,13 +79,14 @@ def test_equals_brute_force(spark, monkeypatch, frequent, part):
 def test_cut_texts_are_encoded_as_whole_ones():
     with open(queries.ALIGN_A, "rb") as a, open(queries.ALIGN_B, "rb") as b:
         pair = align.Pair(a.read(), b.read())
-    text = ("It is, by 1999 and  then don't\n go é b " * 15_000) + "x" * 1000
-    assert pair.cuts and len([*align.parts(text)]) > 2
-    cut = pair.encode([text.encode()])
+    text = ("It is, by 1999 and  then don't\n go \t é b| (x) ¨ ́z\u00a0 \u3000 n\x1c o \x85 p 你 好 's 't \n" * 5000) + "x" * 1000
+    rows = [text.encode(), b"\xff broken", None, b"", b" ", b" a b ", "▁ a".encode(), b"a b"]
+    assert pair.cuts and len(align.parts(text)) > 50_000
+    cut = [x.to_pylist() for x in pair.encode(rows)]
     pair.cuts = False
-    whole = pair.encode([text.encode()])
-    assert cut == whole and len(cut[0][0]) > 150_000
-    assert pair.encode([b"\xff broken", None, b""]) == ([[], [], []], [[], [], []])
+    pair.forget()
+    whole = [x.to_pylist() for x in pair.encode(rows)]
+    assert cut == whole and [bool(x) for x in cut[0]] == [True, False, False, False, True, True, False, True]
 
 
 def test_long_text_and_empty_table(spark):
