@@ -6,8 +6,8 @@ unites the ends of every link: of the two tokens the one that starts later is hu
 token once at most, so the links make a forest whose trees, found by pointer jumping, are the minimal groups of tokens that
 cover the same bytes. The links of all groups are counted corpus-wide by pair of ids.
 
-Encoded texts are written once, as ids, to the shared folder. A second pass counts pairs, summed in tasks before the shuffle;
-a third sums the counts over each text's links. Pairs that make up a share of 1 / FREQUENT of all links or more, of which there
+Encoded texts are written once, as packed ids, to the shared folder, and with them what each task has counted of each pair. These
+counts are summed by pair; a second pass over the ids sums them over each text's links. Pairs that make up a share of 1 / FREQUENT of all links or more, of which there
 are FREQUENT at most, are sent to the tasks (all pairs, if they are no more than that); the rest, none of them hot, are joined.
 
 Texts that are null, empty, or not given back byte for byte by both tokenizers have no tokens: zeros and no groups. Texts
@@ -20,6 +20,7 @@ columns named like the results are replaced, all others kept or those of ``colum
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,11 +41,15 @@ FREQUENT = 1 << 21
 #: Tokens whose graph a task holds at once, more where one text has more: some 200 bytes each.
 TOKENS = 500_000
 #: Most characters of parts whose ids a worker keeps, and those that are encoded at once unless one part is longer.
-KEPT, AT_ONCE = 4_000_000, 200_000
+KEPT, AT_ONCE = 2_000_000, 100_000
+#: Most id pairs whose counts a task holds before it hands them on.
+COUNTED = 500_000
 #: Bytes of texts that are taken apart at once, more where one text has more.
 BYTES = 1_000_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-PLACE, NO_PLACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ |\s | \s| $")
+PLACE = re.compile(r"(?<=\S) (?=\S)")
+#: Where one of these is in a text, a space may stand beside other white space.
+ODD_SPACE = ("  ", " \n", "\n ", *(c for i in range(0x3001) if (c := chr(i)).isspace() and c not in " \n"))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,7 +60,7 @@ def byte_alphabet() -> dict[str, int]:
 
 def parts(text: str) -> list[str]:
     """The text's parts, between which a space is left out that stands between characters that are no white space."""
-    return PLACE.split(text) if NO_PLACE.search(text) else text.split(" ")
+    return PLACE.split(text) if text[:1] == " " or text[-1:] == " " or any(c in text for c in ODD_SPACE) else text.split(" ")
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -69,17 +74,21 @@ class Kept:
     def __init__(self):
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, rows: list[list[int]]) -> None:
+    def add(self, rows: list[list[int]], sizes: np.ndarray) -> np.ndarray:
+        """Keeps the rows; returns how many bytes the tokens of each have."""
         size = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))])
-        self.start = np.concatenate([self.start, len(self.flat) - size.sum() + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        new = np.array([*chain.from_iterable(rows)], np.int32)
+        to = np.cumsum(size)
+        self.start = np.concatenate([self.start, len(self.flat) + to - size])
+        self.flat, self.size = np.concatenate([self.flat, new]), np.concatenate([self.size, size])
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[new])])[to], prepend=0)
 
 
 class Pair:
     """The two tokenizers and the bytes of their tokens."""
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -108,15 +117,17 @@ class Pair:
             some = new[x:y]
             a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)]
             b = self.b.encode(some, num_threads=1)
-            joined = lambda ids, data: b"".join(map(data.__getitem__, ids))
-            same = [joined(i, self.bytes_a) == f" {p}".encode() == joined(j, self.bytes_b) for p, i, j in zip(some, a, b, strict=True)]
+            want = [f" {p}".encode() for p in some]
+            size = np.fromiter(map(len, want), np.int64, len(want))
+            same = (self.kept_a.add(a, self.size_a) == size) & (self.kept_b.add(b, self.size_b) == size)
+            whole, spelled = b"".join(want), lambda rows, data: b"".join(map(data.__getitem__, chain.from_iterable(rows)))
+            if not (same.all() and spelled(a, self.bytes_a) == whole == spelled(b, self.bytes_b)):  # then which ones differ
+                same = np.array([spelled([i], self.bytes_a) == w == spelled([j], self.bytes_b) for w, i, j in zip(want, a, b, strict=True)])
             self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
-            self.kept_a.add(a)
-            self.kept_b.add(b)
-            self.same, self.chars = np.concatenate([self.same, same]).astype(bool), self.chars + sum(map(len, some))
+            self.same, self.chars = np.concatenate([self.same, same]), self.chars + sum(map(len, some))
 
-    def encode(self, rows: list[bytes | None]) -> tuple[pa.ListArray, pa.ListArray]:
-        """The ids of each text by A and by B, both empty where one does not give back the text's bytes."""
+    def encode(self, rows: list[bytes | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(flat ids, how many each text has) by A and by B; none where one does not give back the text's bytes."""
         if self.chars > KEPT:
             self.forget()
         given = [(row or b"").decode(errors="replace") for row in rows]
@@ -126,14 +137,10 @@ class Pair:
         at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         n = np.fromiter(map(len, split), np.int64, len(split))
         wrong = np.diff(np.concatenate([[0], np.cumsum(~self.same[at])])[np.cumsum(n)], prepend=0) > 0
-        wrong |= [t.encode() != (row or b"") for t, row in zip(given, rows, strict=True)]  # bytes that are no UTF-8
-        at, n = at[np.repeat(~wrong, n)], np.where(wrong, 0, n)
-        out = []
-        for kept in (self.kept_a, self.kept_b):
-            ids = gathered(kept.flat, kept.start[at], kept.size[at])
-            to = np.concatenate([[0], np.cumsum(kept.size[at])])[np.cumsum(n)]
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]), pa.int32()), pa.array(ids)))
-        return tuple(out)
+        wrong |= ["\ufffd" in t and t.encode() != row for t, row in zip(given, rows, strict=True)]  # bytes that are no UTF-8
+        at, to = at[np.repeat(~wrong, n)], np.cumsum(np.where(wrong, 0, n))
+        of = lambda kept: (gathered(kept.flat, kept.start[at], kept.size[at]), np.diff(np.concatenate([[0], np.cumsum(kept.size[at])])[to], prepend=0))
+        return of(self.kept_a), of(self.kept_b)
 
 
 def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
@@ -150,7 +157,7 @@ def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 
 def find(parent: np.ndarray) -> np.ndarray:
     """The root of each node of a forest, by pointer jumping: each round halves the paths."""
-    while (further := parent[parent]).tobytes() != parent.tobytes():
+    while not np.array_equal(further := parent[parent], parent):
         parent = further
     return parent
 
@@ -161,7 +168,8 @@ class Graph:
     def __init__(self, pair: Pair, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
         self.pair, self.a, self.b, self.n_a, self.n_b, self.n = pair, a, b, n_a, n_b, n_a + n_b
         end_a, end_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
-        ends = np.union1d(end_a, end_b)  # at each end one link's shared bytes end
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two runs, which a stable sort merges
+        ends = ends[np.diff(ends, prepend=0) > 0]  # at each end one link's shared bytes end
         self.link_a, self.link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         last = np.concatenate([[0], end_a])[np.cumsum(n_a)]  # where each text ends
         self.links_to = np.searchsorted(ends, last, "right")
@@ -208,42 +216,76 @@ def worker_pair(sent: Broadcast) -> Pair:
     return _PAIRS[key]
 
 
+def packed(flat: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Stretches of a flat array as little-endian bytes."""
+    to = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def unpacked(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(flat array, where each row begins in it, and the end) of what packed() has made."""
+    _, offsets, data = column.buffers()
+    to = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, kind, (to[-1] - to[0]) // np.dtype(kind).itemsize, to[0]) if data else np.zeros(0, kind), (to - to[0]) // np.dtype(kind).itemsize
+
+
+def kinds(pair: Pair) -> tuple[str, str]:
+    """How ids are packed: in two bytes where they fit."""
+    return tuple("<u2" if len(x) <= 1 << 16 else "<u4" for x in (pair.bytes_a, pair.bytes_b))
+
+
 def graphs(batch: pa.RecordBatch, sent: Broadcast) -> Iterator[tuple[pa.RecordBatch, Graph]]:
     """The batch in slices of about TOKENS tokens, with the graph of each."""
-    flat, to = {}, {}
-    for c in ("__a", "__b"):
-        column = batch.column(c)
-        flat[c], to[c] = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)
-    for x, y in ranges(np.diff(to["__a"] + to["__b"]).tolist(), TOKENS):
-        ids, n = zip(*((flat[c][to[c][x] : to[c][y]], np.diff(to[c][x : y + 1])) for c in ("__a", "__b")), strict=True)
-        yield batch.slice(x, y - x), Graph(worker_pair(sent), *ids, *n)
+    pair = worker_pair(sent)
+    (a, to_a), (b, to_b) = (unpacked(batch.column(c), kind) for c, kind in zip(("__a", "__b"), kinds(pair), strict=True))
+    for x, y in ranges(np.diff(to_a + to_b).tolist(), TOKENS):
+        yield batch.slice(x, y - x), Graph(pair, a[to_a[x] : to_a[y]], b[to_b[x] : to_b[y]], np.diff(to_a[x : y + 1]), np.diff(to_b[x : y + 1]))
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
 
 def encoded(docs: DataFrame, sent: Broadcast, text: str, kept: list[str]) -> DataFrame:
-    """The kept columns with __a and __b, the ids of the text by both tokenizers."""
+    """The kept columns with __a and __b, the packed ids of the text by both tokenizers; and rows with nothing but __pairs and __counts, what a task has counted."""
     given = docs.select(*kept, F.col(text).alias("__text"))
+    added = ("__a", "__b", "__pairs", "__counts")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = worker_pair(sent)
-        for batch in batches:
-            raw = texts(batch.column("__text"))
-            for x, y in ranges((len(t or b"") for t in raw), BYTES):
-                a, b = pair.encode(raw[x:y])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in kept), a, b], names=[*kept, "__a", "__b"])
-
-    ids = T.ArrayType(T.IntegerType(), False)
-    return given.mapInArrow(encode, T.StructType([*(given.schema[c] for c in kept), T.StructField("__a", ids), T.StructField("__b", ids)]))
+        pair, counts = worker_pair(sent), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        types: list[pa.DataType] = []
 
+        def told() -> pa.RecordBatch:
+            columns = [*(pa.nulls(1, t) for t in [*types, pa.binary(), pa.binary()]), *(pa.array([x.tobytes()]) for x in counts)]
+            return pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
-def pair_counts(tokens: DataFrame, sent: Broadcast) -> DataFrame:
+        for batch in batches:
+            raw, types = texts(batch.column("__text")), [batch.column(c).type for c in kept]
+            for x, y in ranges((len(t or b"") for t in raw), BYTES):
+                (a, n_a), (b, n_b) = pair.encode(raw[x:y])
+                ids = (packed(flat.astype(kind), n) for flat, n, kind in zip((a, b), (n_a, n_b), kinds(pair), strict=True))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in kept), *ids, *(pa.nulls(y - x, pa.binary()) for _ in range(2))], names=[*kept, *added])
+                keys, n = np.unique(Graph(pair, a, b, n_a, n_b).keys(), return_counts=True)
+                counts = summed(np.concatenate([counts[0], keys]), np.concatenate([counts[1], n]))
+                if len(counts[0]) > COUNTED:
+                    yield told()
+                    counts = counts[0][:0], counts[1][:0]
+        if len(counts[0]):
+            yield told()
+
+    fields = [*((f.name, f.dataType) for f in given.schema if f.name in kept), *((c, T.BinaryType()) for c in added)]
+    return given.mapInArrow(encode, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def pair_counts(counted: DataFrame) -> DataFrame:
     """(pair, n): how many links there are of each pair of ids, over all texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, graph in chain.from_iterable(graphs(batch, sent) for batch in batches):
-            keys, n = np.unique(graph.keys(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(batch.column(c), "<i8")[0]) for c in ("__pairs", "__counts")], names=["pair", "n"])
 
-    return tokens.select("__a", "__b").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return counted.select("__pairs", "__counts").where(F.col("__pairs").isNotNull()).mapInArrow(unpack, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, a: str, b: str, text: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -256,9 +298,9 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", columns: list[str
     with open(a, "rb") as x, open(b, "rb") as y:
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, x.read(), y.read()))
     kept, tables = [c for c in (columns or docs.columns) if c not in RESULTS], Tables(spark)
-    tokens = tables.written(encoded(docs, sent, text, kept).withColumn("__row", F.monotonically_increasing_id()))
-    first = Tables(spark)
-    counts = first.written(pair_counts(tokens, sent))
+    both = tables.written(encoded(docs, sent, text, kept).withColumn("__row", F.monotonically_increasing_id()))
+    tokens, first = both.where(F.col("__a").isNotNull()).select(*kept, "__a", "__b", "__row"), Tables(spark)
+    counts = first.written(pair_counts(both))
     best = F.broadcast(counts.groupBy((F.col("pair") % (1 << 32)).alias("b")).agg(F.max("n").alias("most")))  # as many rows as b has ids at most
     pairs = tables.written(counts.join(best, F.col("pair") % (1 << 32) == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
     first.drop()
