@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, fim, jaccard, licenses, lines, lm, mixing, quality, urls, warc
+from . import align, chat, decontam, fim, jaccard, licenses, lines, lm, mixing, quality, toxicity, urls, warc
 from .common import shared_folder, written
 
 #: Rules of the URL filter: host, path, verdict.
@@ -16,6 +16,8 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 #: Target shares by source; the rest is for all others.
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.25, "src1": 0.1, "src2": 0.1, "src3": 0.05}, 0.5, 17
+#: Score from which a document is called toxic.
+TOXIC = 0.7
 #: Seed, and of 100 texts those that are cut, of 100 cut ones those in suffix-first form.
 FIM_SEED, FIM_RATE, FIM_SPM = 7, 100, 50
 #: The vocabulary file of the language model, read where the driver runs.
@@ -122,6 +124,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), FIM_SEED, FIM_RATE, FIM_SPM)
     return cut.select(
@@ -141,4 +148,4 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_urls, op3_lm, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard, op12_fim, op13_align)}
+    return {f.__name__: f for f in (op1_chat, op2_urls, op3_lm, op4_decontam, op5_quality, op6_warc, op7_lines, op8_mixing, op9_licenses, op10_jaccard, op11_toxicity, op12_fim, op13_align)}
