@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
                 for n, _, found in segments(raw[a:b], model.table, model.share) if all(model.documents) else zip(tokens(raw[a:b])[1].tolist(), repeat(None), repeat([]), strict=False):
                     each, evidence = model.evidence(n, np.array([s for _, _, s in found]))
                     sizes.append(n)
-                    sums.append(evidence)
+                    sums.append(evidence if all(model.documents) else 0.0)
                     passages.append([{"first": f, "end": e, "evidence": x} for (f, e, _), x in zip(found, each.tolist(), strict=True) if x >= SIGNIFICANT])
             results = [pa.array(sizes, pa.int64()), pa.array(model.chance(np.array(sums, np.float64))), pa.array(passages, pa.list_(passage))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *results], names=[*kept, *RESULTS])
