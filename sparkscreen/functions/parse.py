@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exprs import finite
@@ -62,16 +61,19 @@ def quote_price(kv: Column) -> Column:
     return F.coalesce(*(finite(F.try_element_at(kv, F.lit(k))) for k in QUOTE_KEYS))
 
 
-def pick_row(raw: DataFrame, label: str, wanted: str) -> DataFrame:
-    """One row a symbol: the first whose label is wanted, else the first, by ordinal."""
-    fits = F.coalesce(F.lower(F.trim(label)) == wanted, F.lit(False))
-    order = W.partitionBy("symbol").orderBy(fits.desc(), "ordinal")
-    return raw.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
+def is_label(label: Column, wanted: str, trim: bool = True) -> Column:
+    return F.coalesce(F.lower(F.trim(label) if trim else label) == wanted, F.lit(False))
+
+
+def pick_row(raw: DataFrame, label: str, wanted: str, trim: bool = True) -> DataFrame:
+    """One row a symbol: the first whose label is wanted, else the first, by ordinal. Tasks pick among their own rows first."""
+    order = F.struct(~is_label(F.col(label), wanted, trim), F.col("ordinal"))
+    return raw.groupBy("symbol").agg(F.min_by(F.struct(*raw.columns), order).alias("row")).select("row.*")
 
 
 def parse_recommendations(raw: DataFrame) -> DataFrame:
-    """raw: symbol, ordinal, period, kv of the counts."""
-    rows = pick_row(raw, "period", "0m").withColumn("kv", normalize_map(F.col("kv")))
+    """raw: symbol, ordinal, period, kv of the counts. A period with blanks around it is not the current one; an EPS label may have them."""
+    rows = pick_row(raw, "period", "0m", trim=False).withColumn("kv", normalize_map(F.col("kv")))
     return rows.select("symbol", *(pick(F.col("kv"), keys).alias(name) for name, keys in RATING_KEYS.items()), F.coalesce("period", F.lit("")).alias("recommendation_period"))
 
 
@@ -81,11 +83,35 @@ def parse_eps_revisions(raw: DataFrame) -> DataFrame:
     return rows.select("symbol", *(pick(F.col("kv"), keys).alias(name) for name, keys in EPS_KEYS.items()), F.coalesce("index_label", F.lit("")).alias("eps_revision_period"))
 
 
+#: How a date begins, a time of day, and a zone that ends it.
+DATE, TIME, ZONE = r"^\d{4}(-\d{1,2}){0,2}([T ]|$)", r"\d{1,2}:\d{2}(:\d{2}(\.\d*)?)?", r"\s*([Zz]|UTC|GMT|[+-]\d{1,2}(:?\d{2})?|[A-Za-z_]+(/[A-Za-z_]+)+)$"
+
+
+def utc(c: Column) -> Column:
+    """The UTC wall-clock time of an instant, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+
+def instant(text: Column) -> Column:
+    """The UTC time of a text as timestamp_ntz, whatever the session's zone: a text without a zone is UTC. NULL if it is no date."""
+    text = F.trim(text)
+    zoned = F.regexp_like(text, F.lit(TIME + ZONE))
+    seconds = F.regexp_replace(text, r"([T ]\d{1,2}:\d{2})(?![:\d])", "$1:00")
+    colons = F.regexp_replace(seconds, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    timed = F.regexp_like(text, F.lit(TIME))
+    full = F.when(zoned, colons).when(timed, F.concat(seconds, F.lit("Z"))).otherwise(F.concat(text.try_cast("date").cast("string"), F.lit(" 00:00:00Z")))
+    return F.when(F.regexp_like(text, F.lit(DATE)), utc(full.try_cast("timestamp")))
+
+
+def cutoff(run_ts: str) -> Column:
+    """Twelve hours before the run, a UTC time."""
+    return instant(F.lit(run_ts)) - F.expr("interval 12 hours")
+
+
 def next_earnings_date(raw: DataFrame, run_ts: str) -> DataFrame:
-    """raw: symbol, ts string. The earliest date from 12 hours before the run on; NULL if there is none."""
-    at = F.try_to_timestamp("ts")
-    kept = F.when(at >= F.lit(run_ts).cast("timestamp") - F.expr("interval 12 hours"), at)
-    return raw.groupBy("symbol").agg(F.min(kept).alias("next_earnings_date"))
+    """raw: symbol, ts string. The earliest date from 12 hours before the run on, in UTC; NULL if there is none."""
+    at = instant(F.col("ts"))
+    return raw.groupBy("symbol").agg(F.min(F.when(at >= cutoff(run_ts), at)).alias("next_earnings_date"))
 
 
 def date_column(columns: list[str]) -> str:

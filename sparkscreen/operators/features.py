@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ScreenConfig
 from ..functions import scores
 from ..functions.exprs import finite, pct_over
+from ..functions.parse import instant, utc
 from .flags import risk_flags
 from .joins import left_join_one_to_one
 from .stages import staged
@@ -28,8 +29,8 @@ def build_analysis(constituents: DataFrame, prices: DataFrame, analysts: DataFra
     df = staged(df)
     total = sum((F.coalesce(c(r), F.lit(0.0)) for r in RATINGS[1:]), F.coalesce(c(RATINGS[0]), F.lit(0.0)))
     feel = scores.sentiment(*(c(r) for r in RATINGS))
-    run_ts = F.lit(config.run_ts).cast("timestamp_ntz")
-    to_next = days_between(c("next_earnings_date").cast("timestamp_ntz"), run_ts)
+    due = utc(c("next_earnings_date")) if dict(df.dtypes)["next_earnings_date"] == "timestamp" else c("next_earnings_date").cast("timestamp_ntz")
+    to_next = days_between(due, instant(F.lit(config.run_ts)))
     df = df.withColumns(
         {
             "current_price_source": F.when(c("latest_quote").isNotNull(), "FRESH_FAST_INFO").when(c("history_price").isNotNull(), "FRESH_DAILY_CLOSE_FALLBACK").otherwise("MISSING"),

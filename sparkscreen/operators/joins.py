@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,5 +26,5 @@ def left_join_one_to_one(left: DataFrame, right: DataFrame, key: str = "symbol",
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by order."""
-    return df.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")
+    """The first row of each key by order. Tasks pick among their own rows first, so a key sends a row a task."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("__row")).select("__row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs, legacy, parse, scores
-from ..operators import composite, features, joins, rank, report, series
+from ..operators import analysts, composite, features, joins, rank, report, series
 from ..sources import readers, testdata
 from . import oracles as o
 from . import screen
@@ -275,7 +275,7 @@ register(
     "pick_current_recommendation",
     _recommendations,
     f"""select symbol, ordinal::double as strong_buy, 2e0 as buy, null::double as hold, null::double as sell, null::double as strong_sell, period as recommendation_period from (
-  select *, row_number() over (partition by symbol order by lower(trim(period)) = '0m' desc, ordinal) as rn from (select user_id::varchar as symbol, event_id as ordinal, case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period from events)) where rn = 1""",
+  select *, row_number() over (partition by symbol order by lower(period) = '0m' desc, ordinal) as rn from (select user_id::varchar as symbol, event_id as ordinal, case when user_id % 5 = 0 then '-2m' else {PERIODS} end as period from events)) where rn = 1""",
 )
 
 
@@ -297,6 +297,47 @@ register(
 )
 
 
+#: Payload rows of user_id as the symbol, one an event: which call it is of, its label, fields, date and error.
+CALL = "case event_id % 5 when 0 then 'quote' when 1 then 'targets' when 2 then 'recommendations' when 3 then 'eps_revisions' else 'earnings_dates' end"
+FAILED = "case when event_id % 5 > 0 and event_id % 23 = 9 then concat('Timeout: ', cast(event_id as {text})) when user_id % 29 = 11 and event_id % 5 = 0 then 'ValueError: x' end"
+PAYLOAD_LABEL = "case event_id % 5 when 2 then case event_id % 3 when 0 then '0M' when 1 then ' 0m' else '-1m' end when 3 then case when event_id % 4 = 1 then ' 0Q ' else '+1q' end end"
+PAYLOAD_DATE = "case when event_id % 5 < 4 then null when event_id % 9 = 0 then 'zz' when event_id % 9 = 1 then concat(replace(cast(ts as {text}), ' ', 'T'), 'Z') when event_id % 9 = 2 then concat(cast(ts as {text}), '+05:30') when event_id % 9 = 3 then concat(cast(ts as {text}), '-0500') else cast(ts as {text}) end"
+PAYLOAD_KV = """case event_id % 5
+  when 0 then case event_id % 3 when 0 then map('lastPrice', 'NaN', 'regularMarketPrice', cast(event_id as string)) when 1 then map('last_price', cast(event_id as string)) else null end
+  when 1 then map('current', cast(event_id as string), 'lowPrice', '2.5', 'mean', 'x', 'meanPrice', '4', 'high', cast(null as string))
+  when 2 then map('strongBuy', cast(event_id as string), 'Buy', '2', 'hold', 'inf', 'strongsell', '1')
+  when 3 then map('upLast7days', cast(event_id as string), 'up_last_30_days', '3', 'downLast30days', '4') end"""
+
+
+def _analyst_rows(spark: SparkSession, d: str) -> DataFrame:
+    call = "case when user_id % 29 = 11 and event_id % 5 = 0 then 'unhandled' else " + CALL + " end as call"
+    dialect = {"text": "string"}
+    raw = spark.read.parquet(f"{d}/events.parquet").selectExpr(
+        "cast(user_id as string) as symbol", call, "event_id as ordinal", f"{PAYLOAD_LABEL} as label", f"{PAYLOAD_KV} as kv", f"{PAYLOAD_DATE.format(**dialect)} as text", f"{FAILED.format(**dialect)} as error", "ts as fetched_at"
+    )
+    return rounded(analysts.assemble(raw, "2024-01-15 00:00:00"))
+
+
+register(
+    "analyst_relation",
+    _analyst_rows,
+    f"""with e as (select user_id, event_id, ts, user_id::varchar as symbol, case when user_id % 29 = 11 and event_id % 5 = 0 then 'unhandled' else {CALL} end as call, {PAYLOAD_LABEL} as label, {FAILED.format(text="varchar")} as error from events),
+ok as (select *, row_number() over (partition by symbol, call order by case when call = 'recommendations' then coalesce(lower(label) = '0m', false) when call = 'eps_revisions' then lower(trim(label)) = '0q' else false end desc, event_id) as rn from e where error is null),
+one as (select symbol, max(case when call = 'quote' and event_id % 3 < 2 then event_id end)::double as quote, max(case when call = 'targets' then event_id end)::double as target, max(case when call = 'recommendations' then event_id end)::double as rec,
+  max(case when call = 'recommendations' then label end) as rec_label, max(case when call = 'eps_revisions' then event_id end)::double as eps, max(case when call = 'eps_revisions' then label end) as eps_label from ok where rn = 1 group by symbol),
+due as (select user_id::varchar as symbol, case event_id % 9 when 0 then null when 2 then ts - interval 330 minute when 3 then ts + interval 5 hour else ts end as due_at from events where event_id % 5 = 4),
+days as (select symbol, min(due_at) as due_at from due where due_at >= timestamp '2024-01-14 12:00:00' group by symbol),
+said as (select symbol, max(case when call = 'targets' then 'targets=' || error end) as a, max(case when call = 'recommendations' then 'recommendations=' || error end) as b, max(case when call = 'eps_revisions' then 'eps_revisions=' || error end) as c,
+  max(case when call = 'earnings_dates' then 'earnings_dates=' || error end) as d, max(case when call = 'unhandled' then error end) as broken, max(ts) as fetched from e group by symbol)
+select s.symbol, case when broken is null then quote end as latest_quote, case when broken is null then target end as target_current, case when broken is null and target is not null then 2.5::double end as target_low, null::double as target_mean, null::double as target_median, null::double as target_high,
+  case when broken is null then rec end as strong_buy, case when broken is null and rec is not null then 2::double end as buy, null::double as hold, null::double as sell, case when broken is null and rec is not null then 1::double end as strong_sell,
+  case when broken is null then coalesce(rec_label, '') else '' end as recommendation_period, case when broken is null then eps end as eps_up_7d, case when broken is null and eps is not null then 3::double end as eps_up_30d, null::double as eps_down_7d, case when broken is null and eps is not null then 4::double end as eps_down_30d,
+  case when broken is null then coalesce(eps_label, '') else '' end as eps_revision_period, case when broken is null then due_at end as next_earnings_date, fetched as data_fetched_at_utc,
+  case when broken is not null then 'UNHANDLED=' || broken else concat_ws(' | ', a, b, c, d) end as data_errors
+from said s left join one o on s.symbol = o.symbol left join days y on s.symbol = y.symbol""",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import utc
+
 # The tables that are exported as CSV, and their names there.
 CSV_NAMES = {
     "constituents": "sp500_constituents", "price_metrics": "price_metrics", "analyst_data": "fresh_analyst_data", "all_stocks": "full_dual_score_analysis",
@@ -16,7 +18,7 @@ SHEET_ROWS = 1_000_000
 
 def without_zone(df: DataFrame) -> DataFrame:
     """Timestamps as UTC wall-clock times, which spreadsheets take."""
-    return df.withColumns({c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+    return df.withColumns({c: utc(F.col(c)) for c, kind in df.dtypes if kind == "timestamp"})
 
 
 def export_csv(tables: dict[str, DataFrame], folder: str, history: DataFrame | None = None) -> None:
