@@ -7,7 +7,6 @@ no projection grows past what code generation takes.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import INSUFFICIENT, PARTIAL, RANKED, ScreenConfig
@@ -15,31 +14,30 @@ from ..functions import scores
 from ..functions.exprs import clip, piecewise, weighted
 from .flags import risk_flags
 from .joins import left_join_one_to_one
+from .ordering import min_ranks, percentile_in_group
 from .stages import staged
+from .stored import stored
 
 RANKABLE = (RANKED, PARTIAL)
 
 
-def percentile_in_group(df: DataFrame, value: str, group: str, alias: str, least: int = 5) -> DataFrame:
-    """Average rank over the number of values in per cent; NULL in groups of fewer values and for a NULL group or value.
-
-    Ranks and ties are windows over (group, whether there is a value), so a group's NULLs do not count.
-    """
-    v, g = F.col(value), F.col(group)
-    own = W.partitionBy(g, v.isNull())
-    rank, ties, n = F.rank().over(own.orderBy(v)), F.count(F.lit(1)).over(W.partitionBy(g, v)), F.count(F.lit(1)).over(own)
-    return df.withColumn(alias, F.when(g.isNotNull() & v.isNotNull() & (n >= least), (rank + (ties - 1) / 2) / n * 100))
-
-
 def _status(critical: Column, coverage: str, least: float) -> Column:
     return F.when(critical | (F.col(coverage) < least), INSUFFICIENT).when(F.col(coverage) < 100, PARTIAL).otherwise(RANKED)
 
 
+def sector_percentiles(constituents: DataFrame, metrics: DataFrame) -> DataFrame:
+    """metrics, a row a symbol, with sector_volatility_percentile."""
+    sectors = metrics.join(constituents.select("symbol", "sector"), "symbol", "left")
+    return percentile_in_group(sectors, "short_volatility_20d_pct", "sector", "sector_volatility_percentile").drop("sector")
+
+
 def component_scores(analysis: DataFrame, short: DataFrame | None, config: ScreenConfig, check: bool = True) -> DataFrame:
-    """short: the short-term metrics to join, None if analysis has their columns."""
+    """short: the short-term metrics to join, None if analysis has their columns. sector_volatility_percentile is computed
+    unless analysis has it: sector_percentiles() does that earlier, where fewer joins lie below."""
     c = F.col
     df = analysis if short is None else left_join_one_to_one(analysis, short, check=check)
-    df = percentile_in_group(df, "short_volatility_20d_pct", "sector", "sector_volatility_percentile")
+    if "sector_volatility_percentile" not in df.columns:
+        df = percentile_in_group(df, "short_volatility_20d_pct", "sector", "sector_volatility_percentile")
     eps, have_eps = scores.eps_revisions(c("eps_up_30d"), c("eps_down_30d"))
     selloff, selloff_coverage, selloff_status = scores.selloff_stability(c("return_2d_pct"), c("negative_days_last_5"), c("worst_daily_return_5d_pct"))
     by_sector = c("sector_volatility_percentile").isNotNull()
@@ -123,11 +121,8 @@ def composite_scores(df: DataFrame, config: ScreenConfig) -> DataFrame:
 
 
 def with_ranks(df: DataFrame) -> DataFrame:
-    """Minimum ranks among the rankable. A window holds one row a company; rows that can't be ranked are dealt by symbol."""
-
-    def rank(score: str, status: str) -> Column:
-        able = F.col(status).isin(*RANKABLE)
-        apart = F.when(~able, F.col("symbol"))
-        return F.when(able, F.rank().over(W.partitionBy(apart).orderBy(F.col(score).desc_nulls_last())))
-
-    return df.withColumns({"long_term_rank": rank("analyst_long_term_score", "analyst_long_term_status"), "short_term_rank": rank("short_term_entry_score", "short_term_status")})
+    """Minimum ranks among the rankable, by both scores. df is stored: whatever asks for the companies then reads that."""
+    df = stored(df)
+    able = lambda status: F.col(status).isin(*RANKABLE)
+    ranked = min_ranks(df, {"long_term_rank": ("analyst_long_term_score", able("analyst_long_term_status")), "short_term_rank": ("short_term_entry_score", able("short_term_status"))})
+    return ranked.withColumns({c: F.col(c).cast("int") for c in ("long_term_rank", "short_term_rank")})

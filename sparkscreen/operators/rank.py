@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import INSUFFICIENT
 from .composite import RANKABLE
+from .ordering import numbered
 
 # Sort keys, all descending with NULLs last but the first of COMBINED_KEYS; input order breaks ties.
 LONG_KEYS = ("analyst_long_term_score", "short_term_entry_score", "positive_rating_pct", "rating_count")
@@ -64,7 +64,8 @@ def combined_filter() -> Column:
 
 
 def combined_candidates(scored: DataFrame) -> DataFrame:
-    return scored.where(combined_filter()).select(F.row_number().over(W.orderBy(*combined_order())).alias("combined_rank"), "*").orderBy("combined_rank")
+    ranked = numbered(scored.where(combined_filter()), combined_order(), "combined_rank")
+    return ranked.withColumn("combined_rank", F.col("combined_rank").cast("int")).orderBy("combined_rank")
 
 
 def rankings(scored: DataFrame) -> dict[str, DataFrame]:

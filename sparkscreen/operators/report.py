@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import INSUFFICIENT, MODEL_VERSION, PARTIAL, ScreenConfig
 from .composite import RANKABLE
-from .rank import combined_candidates
+from .rank import combined_filter
 
 SCORES = ("analyst_long_term_raw_score", "analyst_long_term_score", "short_term_raw_score", "short_term_entry_score", "combined_score")
 DATA_SOURCES = "Constituent, price and analyst tables of the run."
@@ -56,10 +56,12 @@ def field_values(row: DataFrame, columns: list[str]) -> DataFrame:
     return row.select([F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "field", "value")
 
 
-def run_metadata(constituents: DataFrame, prices: DataFrame, analysts: DataFrame, scored: DataFrame, config: ScreenConfig) -> DataFrame:
+def run_metadata(constituents: DataFrame, analysts: DataFrame, scored: DataFrame, config: ScreenConfig) -> DataFrame:
+    """Rows (field, value). scored has a row a constituent with its history_price, so prices are not looked at again."""
     able = lambda c: F.col(c).isin(*RANKABLE)
     partial = (F.col("analyst_long_term_status") == PARTIAL) | (F.col("short_term_status") == PARTIAL)
     counts = scored.agg(
+        F.count("history_price").alias("successful_price_rows"),
         F.count_if(able("short_term_status")).alias("complete_price_history_symbols"),
         F.count_if(able("analyst_long_term_status")).alias("ranked_long_term"),
         F.count_if(able("short_term_status")).alias("ranked_short_term"),
@@ -70,26 +72,25 @@ def run_metadata(constituents: DataFrame, prices: DataFrame, analysts: DataFrame
     constants = [F.lit(v).alias(k) for k, v in fixed.items()]
     rows = [
         constituents.agg(F.count("*").alias("sp500_constituents"), *(F.max(c).alias(k) for k, c in zip(fixed, constants, strict=True))),
-        prices.agg(F.count("history_price").alias("successful_price_rows")),
         analysts.agg(F.count("*").alias("analyst_data_rows")),
         counts,
     ]
     # each part is one row, so its fields are unpivoted by themselves and put together
     parts = [field_values(r, r.columns) for r in rows]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def validation_counts(scored: DataFrame) -> DataFrame:
     """Rows (invariant, broken): how many rows break each invariant."""
     outside = {f"outside_{c}": F.count_if(~F.col(c).between(0, 100)) for c in SCORES}
-    combined = combined_candidates(scored)
+    low = (F.col("analyst_long_term_score") < 60) | (F.col("short_term_entry_score") < 60)
     row = scored.agg(
         *(v.alias(k) for k, v in outside.items()),
         F.count_if((F.col("analyst_long_term_status") == INSUFFICIENT) & F.col("analyst_long_term_score").isNotNull()).alias("scored_insufficient_long"),
         F.count_if((F.col("short_term_status") == INSUFFICIENT) & F.col("short_term_entry_score").isNotNull()).alias("scored_insufficient_short"),
+        F.count_if(combined_filter() & low).alias("low_combined"),
     )
-    low = combined.agg(F.count_if((F.col("analyst_long_term_score") < 60) | (F.col("short_term_entry_score") < 60)).alias("low_combined"))
-    return row.unpivot([], row.columns, "invariant", "broken").unionByName(low.unpivot([], low.columns, "invariant", "broken"))
+    return row.unpivot([], row.columns, "invariant", "broken")
 
 
 def validate(scored: DataFrame) -> None:

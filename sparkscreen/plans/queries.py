@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs, legacy, parse, scores
-from ..operators import analysts, composite, features, joins, rank, report, series
+from ..operators import analysts, features, joins, ordering, rank, report, series
+from ..operators.stored import stored
 from ..sources import readers, testdata
 from . import oracles as o
 from . import screen
@@ -69,7 +70,7 @@ register(
 )
 register(
     "sector_vol_percentile",
-    lambda spark, d: rounded(composite.percentile_in_group(joins.left_join_one_to_one(testdata.constituents(spark, d), series.short_term_metrics(testdata.bars(spark, d)), check=False), "short_volatility_20d_pct", "sector", "percentile").select("symbol", "sector", "short_volatility_20d_pct", "percentile")),
+    lambda spark, d: rounded(ordering.percentile_in_group(stored(joins.left_join_one_to_one(testdata.constituents(spark, d), series.short_term_metrics(testdata.bars(spark, d)), check=False)), "short_volatility_20d_pct", "sector", "percentile").select("symbol", "sector", "short_volatility_20d_pct", "percentile")),
     f"with {o.CON}, {o.BARS}, {o.NUMBERED}, {o.SHORT}, analysis as (select symbol, sector from constituents), {o.PERCENTILE} select symbol, sector, round(short_volatility_20d_pct, 6) as short_volatility_20d_pct, round(sector_volatility_percentile, 6) as percentile from ranked_vol",
 )
 register(
@@ -125,11 +126,40 @@ register(
         )
     ),
 )
-register("run_metadata", lambda spark, d: (lambda x: report.run_metadata(x.constituents, x.prices, x.analysts, x.scored, CONFIG))(screen.from_testdata(spark, d)), o.metadata())
+register("run_metadata", lambda spark, d: (lambda x: report.run_metadata(x.constituents, x.store_analysts(), x.scored, CONFIG))(screen.from_testdata(spark, d)), o.metadata())
 register("validation_counts", lambda spark, d: report.validation_counts(screen.from_testdata(spark, d).scored), o.validation())
 register("methodology", lambda spark, d: report.methodology(spark), "select * from (values " + ", ".join(f"({o.q(a)}, {o.q(b)})" for a, b in report.METHODOLOGY) + ") v(topic, description)")
 register("ticker_detail", lambda spark, d: report.ticker_detail(screen.from_testdata(spark, d).scored.select(*DETAIL_COLUMNS), " s.3 "), f"{o.UP_TO_SCORED} {o.detail('S-3', DETAIL_COLUMNS)}")
 
+# ---- order over all rows -----------------------------------------------------------------------------------------
+LINE_KEYS = ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+def _line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Row numbers of all line items, dearest first."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(*LINE_KEYS)
+    return ordering.numbered(lines, [F.col(LINE_KEYS[0]).desc_nulls_last(), *(F.col(k).asc() for k in LINE_KEYS[1:])], "number")
+
+
+register("line_numbers", _line_numbers, f"select row_number() over (order by l_extendedprice desc nulls last, {', '.join(LINE_KEYS[1:])}) as number, {', '.join(LINE_KEYS)} from lineitem")
+
+
+def _line_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Minimum ranks of all line items by quantity and by discount, the latter among returned ones, and price percentiles by flag."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    placed = ordering.percentile_in_group(lines, "l_extendedprice", "l_returnflag", "price_percentile")
+    return rounded(ordering.min_ranks(placed, {"quantity_rank": ("l_quantity", F.lit(True)), "discount_rank": ("l_discount", F.col("l_returnflag") == "R")}))
+
+
+register(
+    "line_ranks",
+    _line_ranks,
+    """select l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, round(l_extendedprice, 6) as l_extendedprice, rank() over (order by l_quantity desc) as quantity_rank,
+  case when l_returnflag = 'R' then rank() over (partition by l_returnflag = 'R' order by l_discount desc) end as discount_rank,
+  round((rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2.0) / count(*) over (partition by l_returnflag) * 100::double, 6) as price_percentile
+from lineitem""",
+)
+
 # ---- single functions over computed inputs -----------------------------------------------------------------------
 KNOTS = {
     "target_upside": scores.UPSIDE, "target_agreement": scores.AGREEMENT, "long_trend": scores.LONG_TREND, "coverage_confidence": scores.COVERAGE, "momentum_5d": scores.MOMENTUM_5D, "momentum_20d": scores.MOMENTUM_20D, "ma_distance": scores.MA_DISTANCE,

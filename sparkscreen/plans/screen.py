@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ScreenConfig
 from ..operators import composite, features, rank, report, series
+from ..operators.stored import stored
 from ..sources import sinks, testdata
 
 Source = DataFrame | Callable[[], DataFrame]
 
 
 class Screen:
-    """The relations of a screen, each of which is planned when it is first asked for.
+    """The relations of a screen, each of which is planned when it is first asked for; scored is stored then.
 
     check: hold the keys of all sides of the joins to one row each, which runs jobs. A source is a DataFrame or makes one."""
 
@@ -38,6 +39,11 @@ class Screen:
     def analysts(self) -> DataFrame:
         return self._source("analysts")
 
+    def store_analysts(self) -> DataFrame:
+        """Writes the analyst relation, which may come from remote calls, and has the screen read it from there."""
+        self.__dict__["analysts"] = stored(self.analysts)
+        return self.analysts
+
     @cached_property
     def prices(self) -> DataFrame:
         return series.price_metrics(self.constituents, self.bars)
@@ -52,14 +58,15 @@ class Screen:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """All columns; the bars are numbered and aggregated once for price and short-term features."""
-        both = series.all_metrics(self.constituents, self.bars)
+        """All columns; the bars are numbered and aggregated once for price and short-term features. The features are stored
+        before the percentiles and the companies before the ranks, as these look at all companies first."""
+        both = composite.sector_percentiles(self.constituents, stored(series.all_metrics(self.constituents, self.bars)))
         analysis = features.build_analysis(self.constituents, both, self.analysts, self.config, self.check)
         parts = composite.component_scores(analysis, None, self.config, self.check)
         return composite.with_ranks(composite.composite_scores(parts, self.config))
 
     def tables(self) -> dict[str, DataFrame]:
-        """All tables that an export has. scored feeds all of them: persist or store it first."""
+        """All tables that an export has. scored, which is stored, feeds all of them."""
         spark = self.scored.sparkSession
         return {
             "constituents": self.constituents,
@@ -68,7 +75,7 @@ class Screen:
             "all_stocks": self.scored,
             **rank.rankings(self.scored),
             "methodology": report.methodology(spark),
-            "run_metadata": report.run_metadata(self.constituents, self.prices, self.analysts, self.scored, self.config),
+            "run_metadata": report.run_metadata(self.constituents, self.analysts, self.scored, self.config),
         }
 
     def printed(self) -> dict[str, DataFrame]:
@@ -90,7 +97,7 @@ def from_testdata(spark: SparkSession, sf_dir: str, config: ScreenConfig | None
 def run(constituents: DataFrame, bars: DataFrame, analysts: DataFrame, config: ScreenConfig, folder: str | None = None) -> Screen:
     """Builds, checks keys, validates, and exports if the configuration and a folder say so."""
     screen = Screen(constituents, bars, analysts, config, check=True)
-    screen.scored.persist()
+    screen.store_analysts()
     report.validate(screen.scored)
     if config.export and folder:
         sinks.export_csv(screen.tables(), folder, screen.bars)
