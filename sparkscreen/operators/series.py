@@ -1,24 +1,40 @@
 """Price features: per symbol over trailing rows of its bars.
 
-bars: symbol, price_date, seq (a total order within the symbol), close, volume. All features come from one window over
-(symbol, seq descending) and one aggregation on symbol, so bars are shuffled once. Moving averages and returns count
-rows with a close; volume counts all rows. Symbols without bars are missing here and stay NULL in later left joins.
+bars: symbol, price_date, seq (a total order within the symbol, of any type that can be ordered), close, volume. No feature looks
+further back than LOOK_BACK closes, so tasks keep only their latest bars of each symbol before anything is shuffled; the
+features then come from one window over (symbol, seq descending) and one aggregation on symbol. Moving averages and returns
+count rows with a close; volume counts all rows. Symbols without bars are missing here and stay NULL in later left joins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, pct_over
 
+#: Closes that the longest feature needs: 252 returns.
+LOOK_BACK = 253
 LATEST = "over (partition by symbol order by seq desc"
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    """Adds ra (all rows from the latest), rn (rows with a close), ret (return over the close before)."""
+def recent(bars: DataFrame) -> DataFrame:
+    """The latest LOOK_BACK bars of each symbol with no close, with a close of 0, and with another close; numbers made finite.
+
+    These three hold a symbol's latest LOOK_BACK bars, its latest LOOK_BACK closes, and as many closes that a return can be
+    reckoned from. Spark applies the limit in each task before the shuffle and again after it, so a symbol sends a bounded
+    number of rows a task, however long its history is and however many of all rows it has.
+    """
     clean = bars.select("symbol", "price_date", "seq", finite(F.col("close")).alias("close"), finite(F.col("volume")).alias("volume"))
-    return clean.select(
+    kind = F.when(F.col("close").isNull(), 0).when(F.col("close") == 0, 1).otherwise(2)
+    latest = W.partitionBy("symbol", kind).orderBy(F.col("seq").desc())
+    return clean.withColumn("__k", F.row_number().over(latest)).where(F.col("__k") <= LOOK_BACK).drop("__k")
+
+
+def numbered(bars: DataFrame) -> DataFrame:
+    """Adds ra (all rows from the latest), rn (rows with a close), ret (return over the close before) to recent bars."""
+    return recent(bars).select(
         "*",
         F.expr(f"row_number() {LATEST})").alias("ra"),
         F.expr(f"case when close is not null then count(close) {LATEST} rows between unbounded preceding and current row) end").alias("rn"),
@@ -34,13 +50,18 @@ def _at(k: int) -> Column:
     return F.max(F.when(F.col("rn") == k, F.col("close")))
 
 
+def _returns() -> Column:
+    """Returns of the whole history, as far as any feature asks: closes, but the latest, that are not 0."""
+    return F.count(F.when((F.col("rn") > 1) & (F.col("close") != 0), 1))
+
+
 def _std(k: int, least: int) -> Column:
-    return F.when(F.count("ret") >= least, F.stddev_samp(F.when(F.col("rn") <= k, F.col("ret"))) * F.sqrt(F.lit(252.0)) * 100)
+    return F.when(_returns() >= least, F.stddev_samp(F.when(F.col("rn") <= k, F.col("ret"))) * F.sqrt(F.lit(252.0)) * 100)
 
 
 def aggregated(bars: DataFrame) -> DataFrame:
     """A row a symbol with bars: all that price and short-term features need, of which a query computes what it uses."""
-    r = F.count("ret")
+    r = _returns()
     return numbered(bars).groupBy("symbol").agg(
         F.count("close").alias("n"),
         _at(1).alias("last"),

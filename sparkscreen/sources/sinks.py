@@ -27,7 +27,7 @@ def export_csv(tables: dict[str, DataFrame], folder: str, history: DataFrame | N
         if table in tables:
             tables[table].write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}.csv")
     if history is not None:
-        history.write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(f"{folder}/daily_price_history.csv.gz")
+        history.drop("seq").write.mode("errorifexists").option("header", True).option("compression", "gzip").csv(f"{folder}/daily_price_history.csv.gz")
 
 
 def export_parquet(tables: dict[str, DataFrame], folder: str) -> None:

@@ -16,18 +16,25 @@ select cast(s_suppkey as bigint) as ordinal, concat('S.', s_suppkey) as source_s
   case when s_suppkey % 37 = 36 then null else r_name end as sector, n_name as sub_industry
 from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey"""
 
-SEQUENCE = """
+PRICE = "100 * (1 + (case when l_suppkey % 10 = 9 then 6e0 else 3e-1 * (1 + l_suppkey % 10) end) * (l_discount - l_tax)) + l_extendedprice / 1e5"
+SEQUENCE = f"""
 select l_suppkey as s, l_shipdate as price_date, l_orderkey, l_linenumber, l_quantity, l_returnflag,
-  100 * (1 + (case when l_suppkey % 10 = 9 then 6e0 else 3e-1 * (1 + l_suppkey % 10) end) * (l_discount - l_tax)) + l_extendedprice / 1e5 as cu,
+  {PRICE} as cu,
   row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as ra,
   row_number() over (partition by l_suppkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_extendedprice desc) as rd
-from {lineitem}"""
+from {{lineitem}}"""
 
 BARS = f"""
 select concat('S-', s) as symbol, price_date, cast(ra as bigint) as seq,
   case when l_linenumber = 7 and s % 7 = 3 then null else cu end as close,
   case when l_returnflag = 'N' and s % 5 = 2 then null else l_quantity * 1000 * (1 + (s * 3) % 10) end as volume
 from ({SEQUENCE}) q"""
+#: The same bars with the order key itself for its number, which Spark need not sort all bars to give out.
+KEYED_BARS = f"""
+select concat('S-', l_suppkey) as symbol, l_shipdate as price_date, struct(l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as seq,
+  case when l_linenumber = 7 and l_suppkey % 7 = 3 then null else {PRICE} end as close,
+  case when l_returnflag = 'N' and l_suppkey % 5 = 2 then null else l_quantity * 1000 * (1 + (l_suppkey * 3) % 10) end as volume
+from {{lineitem}}"""
 
 ANALYSTS = f"""
 select concat('S-', s_suppkey) as symbol,
@@ -71,7 +78,7 @@ def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, BARS)
+    return load(spark, sf_dir, KEYED_BARS)
 
 
 def analysts(spark: SparkSession, sf_dir: str) -> DataFrame:

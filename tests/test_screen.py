@@ -50,6 +50,31 @@ def test_series_equal_pandas(spark):
         assert near(s.worst_daily_return_5d_pct, r.tail(5).min() * 100 if len(r) >= 5 else np.nan)
 
 
+def test_long_histories_equal_a_series_of_all_bars(spark):
+    """One symbol with nine of ten rows, runs of zero and missing closes at either end: as pandas has it from all rows."""
+    rng, rows = np.random.default_rng(3), []
+    shapes = {"HOT": (9000, lambda i, n: rng.random() * 50), "ZEROS": (700, lambda i, n: 0.0 if i >= n - 300 else 5.0 + i), "FEW": (600, lambda i, n: 0.0 if i > 18 else 1.0 + i), "GAPS": (800, lambda i, n: None if i >= n - 260 or i % 3 else 10.0 + i % 7), "LAST": (400, lambda i, n: None if i else 3.0)}
+    for name, (n, close) in shapes.items():
+        rows += [(name, i, close(i, n), None if i % 5 == 0 else float(i)) for i in range(n)]
+    rng.shuffle(rows)
+    bars = spark.createDataFrame([(str(a), int(i), None if c is None else float(c), None if v is None else float(v)) for a, i, c, v in rows], "symbol string, i int, close double, volume double")
+    bars = bars.selectExpr("symbol", "timestampadd(DAY, i, timestamp_ntz'1990-01-01 00:00:00') as price_date", "struct(i, symbol) as seq", "close", "volume").repartition(6)
+    got = series.all_metrics(bars.select("symbol").distinct(), bars).toPandas().set_index("symbol")
+    data = pd.DataFrame(rows, columns=["symbol", "i", "close", "volume"])
+    for name in shapes:
+        g = data[data.symbol == name].sort_values("i")
+        c = g.close.astype(float).dropna()
+        r = (c / c.shift().replace(0, np.nan) - 1).dropna()  # the return after a close of 0 is missing
+        last = c.pct_change().where(c.shift() != 0).iloc[1:].tail(252)
+        p = got.loc[name]
+        near = lambda a, b: (pd.isna(a) and pd.isna(b)) or a == pytest.approx(b)
+        assert near(p.history_price, c.iloc[-1]) and near(p.average_volume_20d, g.volume.astype(float).tail(20).mean())
+        assert near(p.ma_200, c.tail(200).mean() if len(c) >= 200 else np.nan)
+        assert near(p.volatility_annual_pct, last.dropna().std() * 252**0.5 * 100 if len(r) >= 20 else np.nan), name
+        assert near(p.return_20d_pct, (c.iloc[-1] / c.iloc[-21] - 1) * 100 if len(c) > 20 and c.iloc[-21] else np.nan)
+    assert series.recent(bars).where("symbol = 'HOT'").count() == series.LOOK_BACK
+
+
 def test_join_rejects_repeated_keys(spark):
     one, two = spark.createDataFrame([("a",)], "symbol string"), spark.createDataFrame([("a", 1), ("a", 2)], "symbol string, x int")
     with pytest.raises(ValueError, match="isn't unique"):
