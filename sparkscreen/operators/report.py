@@ -46,6 +46,25 @@ def methodology(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(METHODOLOGY), "topic string, description string")
 
 
+#: The column that tells whether a company has what a topic is about; for other topics every company counts.
+TOPIC_COLUMNS = {
+    "analyst_long_term_score": "analyst_long_term_score",
+    "short_term_entry_score": "short_term_entry_score",
+    "confidence": "analyst_coverage_confidence",
+    "risk_penalties": "long_term_risk_penalty",
+    "selloff_stability": "st_score_selloff_stability",
+    "candidate_profiles": "candidate_profile",
+    "categories": "analyst_long_term_category",
+}
+
+
+def methodology_coverage(scored: DataFrame) -> DataFrame:
+    """The methodology with the number of companies that have what each topic is about."""
+    topics = [t for t, _ in METHODOLOGY]
+    counts = scored.agg(*(F.count(TOPIC_COLUMNS.get(t, "symbol")).alias(t) for t in topics)).unpivot([], topics, "topic", "companies")
+    return methodology(scored.sparkSession).join(counts, "topic")
+
+
 def display(c: Column, suffix: str = "") -> Column:
     """A number with thousands separators and 2 places; N/A where it is missing."""
     return F.coalesce(F.concat(F.format_number(c, 2), F.lit(suffix)), F.lit("N/A"))
@@ -99,6 +118,25 @@ def validate(scored: DataFrame) -> None:
         raise AssertionError(f"invariants are broken: {broken}")
 
 
+def ticker_display(scored: DataFrame, ticker: str) -> DataFrame:
+    """ticker_detail with values as they are shown: numbers with separators and 2 places, shares with %, N/A where one is missing;
+    ranks as ``rank/companies``."""
+    symbol = ticker.strip().upper().replace(".", "-")
+    kinds = dict(scored.dtypes)
+    row = scored.where(F.col("symbol") == symbol).limit(1).crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("__companies"))))  # one row and one row
+
+    def shown(c: str) -> Column:
+        if c.endswith("_rank"):
+            return F.concat_ws("/", F.coalesce(F.col(c).cast("string"), F.lit("N/A")), F.col("__companies"))
+        if kinds[c] in ("double", "float"):
+            return display(F.col(c), "%" if c.endswith("_pct") else "")
+        text = F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+        return F.when(text == "", "None").otherwise(text) if c == "risk_flags" else text
+
+    columns = [c for c in DETAIL if c in kinds]
+    return row.select(*(shown(c).alias(c) for c in columns)).unpivot([], columns, "field", "value")
+
+
 def ticker_detail(scored: DataFrame, ticker: str) -> DataFrame:
     """Rows (field, value) of one company; none if it isn't there. Filter a stored table: ranks need all companies."""
     symbol = ticker.strip().upper().replace(".", "-")

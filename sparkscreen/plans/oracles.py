@@ -192,6 +192,15 @@ def top(table: str, columns, keys: str, n: int, doubles: set[str]) -> str:
     return f"select {', '.join(f'round_even({c}, 2) as {c}' if c in doubles else c for c in columns)} from (select * from {table} order by {keys} limit {n})"
 
 
+def shown(c: str) -> str:
+    """A number with separators and 2 places."""
+    whole = f"(round_even(abs({c}) * 100, 0) / 100)"
+    cents = f"lpad(((round_even(abs({c}) * 100, 0)::bigint) % 100)::varchar, 2, '0')"
+    digits = f"floor({whole} + 1e-9)::bigint::varchar"
+    grouped = f"regexp_replace(reverse(regexp_replace(reverse({digits}), '([0-9]{{3}})', '\\1,', 'g')), '^,', '')"
+    return f"coalesce(case when {c} < 0 then '-' else '' end || {grouped} || '.' || {cents} || '{'%' if c.endswith('_pct') else ''}', 'N/A')"
+
+
 def detail(symbol: str, columns: list[str]) -> str:
     return f"select field, value from (unpivot (select {', '.join(f'{c}::varchar as {c}' for c in columns)} from scored where symbol = {q(symbol)}) on {', '.join(columns)} into name field value value)"
 

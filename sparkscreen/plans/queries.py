@@ -128,9 +128,31 @@ register(
 )
 register("run_metadata", lambda spark, d: (lambda x: report.run_metadata(x.constituents, x.store_analysts(), x.scored, CONFIG))(screen.from_testdata(spark, d)), o.metadata())
 register("validation_counts", lambda spark, d: report.validation_counts(screen.from_testdata(spark, d).scored), o.validation())
-register("methodology", lambda spark, d: report.methodology(spark), "select * from (values " + ", ".join(f"({o.q(a)}, {o.q(b)})" for a, b in report.METHODOLOGY) + ") v(topic, description)")
+register(
+    "methodology",
+    lambda spark, d: report.methodology_coverage(screen.from_testdata(spark, d).scored),
+    f"{o.UP_TO_SCORED} select topic, description, case topic "
+    + " ".join(f"when {o.q(t)} then (select count({c}) from scored)" for t, c in report.TOPIC_COLUMNS.items())
+    + " else (select count(*) from scored) end as companies from (values "
+    + ", ".join(f"({o.q(a)}, {o.q(b)})" for a, b in report.METHODOLOGY)
+    + ") v(topic, description)",
+)
 register("ticker_detail", lambda spark, d: report.ticker_detail(screen.from_testdata(spark, d).scored.select(*DETAIL_COLUMNS), " s.3 "), f"{o.UP_TO_SCORED} {o.detail('S-3', DETAIL_COLUMNS)}")
 
+SHOWN_COLUMNS = {"symbol": "s", "company_name": "s", "long_term_rank": "i", "short_term_rank": "i", "risk_flags": "s"} | dict.fromkeys(("analyst_long_term_score", "short_term_entry_score", "combined_score", "current_price", "selected_target_upside_pct", "positive_rating_pct", "rating_count", "average_dollar_volume_20d"), "double")
+register(
+    "ticker_display",
+    lambda spark, d: report.ticker_display(screen.from_testdata(spark, d).scored.select(*SHOWN_COLUMNS), "s-7"),
+    f"{o.UP_TO_SCORED}, one as (select * from scored where symbol = 'S-7') "
+    + " union all ".join(
+        f"select {o.q(c)} as field, "
+        + (f"coalesce({c}::varchar, 'N/A') || '/' || (select count(*) from scored)" if c.endswith("_rank") else o.shown(c) if SHOWN_COLUMNS[c] == "double" else f"case when {c} = '' then 'None' else coalesce({c}, 'N/A') end")
+        + " as value from one"
+        for c in report.DETAIL
+        if c in SHOWN_COLUMNS
+    ),
+)
+
 # ---- order over all rows -----------------------------------------------------------------------------------------
 LINE_KEYS = ("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 

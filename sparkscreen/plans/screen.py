@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,11 +95,18 @@ def from_testdata(spark: SparkSession, sf_dir: str, config: ScreenConfig | None
     return Screen(lambda: testdata.constituents(spark, sf_dir), lambda: testdata.bars(spark, sf_dir), lambda: testdata.analysts(spark, sf_dir), config)
 
 
-def run(constituents: DataFrame, bars: DataFrame, analysts: DataFrame, config: ScreenConfig, folder: str | None = None) -> Screen:
-    """Builds, checks keys, validates, and exports if the configuration and a folder say so."""
+def run(constituents: DataFrame, bars: DataFrame, analysts: DataFrame, config: ScreenConfig, folder: str | None = None, snapshot: str | None = None, workbook: str | None = None) -> Screen:
+    """Builds, checks keys, validates, and exports if the configuration says so, to what is given: CSV files into a folder, a
+    snapshot into another, and a workbook at a path of the driver's own, if openpyxl is installed."""
     screen = Screen(constituents, bars, analysts, config, check=True)
     screen.store_analysts()
     report.validate(screen.scored)
-    if config.export and folder:
-        sinks.export_csv(screen.tables(), folder, screen.bars)
+    if config.export:
+        tables = screen.tables() if folder or snapshot or workbook else {}
+        if folder:
+            sinks.export_csv(tables, folder, screen.bars)
+        if snapshot:
+            sinks.export_snapshot(tables, snapshot, config.run_ts)
+        if workbook and find_spec("openpyxl"):
+            sinks.export_workbook(tables, workbook)
     return screen

@@ -5,13 +5,17 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import date_column, normalize_symbol
 from ..operators.joins import first_per_key
+from ..operators.stored import stored
 
 # Column names of the constituents file and of the relation made of it.
 CONSTITUENT_NAMES = {
@@ -20,13 +24,32 @@ CONSTITUENT_NAMES = {
 }
 #: Symbols that a task fetches at a time.
 WORKERS = 4
+#: Rows of bars that a task makes of a panel before it hands them on.
+MELTED = 100_000
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
+def in_file_order(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """df, as just read from files, stored with the rows' numbers from 0: by path, place of the block in the file, place in it.
+
+    Spark packs blocks into tasks by size, so ids that follow its tasks tell nothing about the files. Within a block, which
+    one task reads from its start, they rise row by row: a row's number is the rows of the blocks before plus the id's
+    distance from the block's first. The driver adds up a row a block, as it has listed the files.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    t = stored(df.select("*", block.alias("__block"), F.monotonically_increasing_id().alias("__id")))
+    blocks, ahead = [], 0
+    for r in sorted(t.groupBy("__block").agg(F.min("__id"), F.count(F.lit(1))).collect()):
+        blocks.append((r[0]["path"], r[0]["start"], r[1], ahead))
+        ahead += r[2]
+    firsts = df.sparkSession.createDataFrame(blocks, "path string, start bigint, first bigint, ahead bigint")
+    found = t.join(F.broadcast(firsts.select(F.struct("path", "start").alias("__block"), "first", "ahead")), "__block")
+    return found.select(*(F.col(c) for c in df.columns), (F.col("ahead") + F.col("__id") - F.col("first")).alias(name))
+
+
 def read_constituents(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header; columns that are not there are left out. ordinal keeps the order of the file's rows."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    return constituents(raw.withColumn("ordinal", F.monotonically_increasing_id()))
+    """CSV files with a header; columns that are not there are left out. ordinal is the order of the files' rows."""
+    return constituents(in_file_order(spark.read.option("header", True).option("multiLine", True).csv(path)))
 
 
 def constituents(raw: DataFrame) -> DataFrame:
@@ -39,7 +62,8 @@ def constituents(raw: DataFrame) -> DataFrame:
 
 def bars_from_panel(panel: DataFrame, fields: tuple[str, ...] = FIELDS, symbol: str | None = None) -> DataFrame:
     """A wide panel (a date column and columns ``SYMBOL|Field``) as long bars; rows without any value are dropped. A panel with
-    columns ``Field`` only is that of the one given symbol."""
+    columns ``Field`` only is that of the one given symbol. The plan does not grow with the symbols but by their columns' names:
+    Arrow batches are taken apart in tasks, MELTED rows at a time."""
     day = date_column(panel.columns)
     symbols: dict[str, dict[str, str]] = {}
     clean = lambda field: field.strip().lower().replace(" ", "_")
@@ -51,10 +75,30 @@ def bars_from_panel(panel: DataFrame, fields: tuple[str, ...] = FIELDS, symbol:
         symbols = {symbol: flat}
     if not symbols:
         raise RuntimeError("the price panel is empty")
-    one = lambda names: F.struct(*(F.col(f"`{names[f]}`").try_cast("double").alias(f) if f in names else F.lit(None).cast("double").alias(f) for f in fields))
-    long = panel.select(F.col(day).cast("timestamp_ntz").alias("price_date"), F.explode(F.array(*(F.struct(F.lit(s).alias("symbol"), one(n).alias("v")) for s, n in symbols.items()))).alias("b"))
-    long = long.select(F.col("b.symbol").alias("symbol"), "price_date", "b.v.*").na.drop("all", subset=list(fields))
-    return long.withColumn("seq", F.col("price_date"))
+    types = dict(panel.dtypes)
+    used = [c for names in symbols.values() for f, c in names.items() if f in fields]
+    at = {c: i for i, c in enumerate(used, 1)}  # columns go by their places: names may hold dots
+    texts = [(F.col(f"`{c}`") if types[c] == "double" else F.col(f"`{c}`").try_cast("double")).alias(f"_{i}") for c, i in at.items()]
+    dated = panel.select(F.col(f"`{day}`").cast("timestamp_ntz").alias("_0"), *texts)
+
+    def melt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each symbol's columns as rows, some symbols at a time, without rows that have no value."""
+        names = ["symbol", "price_date", *fields, "seq"]
+        for batch in batches:
+            days, missing, out, rows = batch.column(0), pa.nulls(len(batch), pa.float64()), [], 0
+            for symbol, own in symbols.items():
+                values = [batch.column(at[own[f]]) if f in own else missing for f in fields]
+                some = reduce(pc.or_, (pc.fill_null(pc.invert(pc.is_nan(v)), False) for v in values))
+                kept = pa.RecordBatch.from_arrays([pa.array([symbol] * len(batch)), days, *values, days], names=names).filter(some)
+                out.append(kept)
+                rows += len(kept)
+                if rows >= MELTED:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, rows = [], 0
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return dated.mapInArrow(melt, "symbol string, price_date timestamp_ntz, " + ", ".join(f"`{f}` double" for f in fields) + ", seq timestamp_ntz")
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
