@@ -18,11 +18,14 @@ same words are one class, whose smallest id represents it; the join is over clas
    members of the others are compared with it.
 
 Every pair that shares one of its first tokens is in one component already, or cannot reach 75 % by an exact bound, or is
-compared; so no link is lost but to equal 64-bit hashes, and no task holds more than a block and the classes that ask it.
+compared; so no link is lost but to equal 64-bit hashes. A block, and those who ask it in one task, have about BLOCK members
+and BLOCK_TOKENS tokens of 8 bytes at most, or one set if that is larger; a task holds both, each up to four times over while
+sets are taken apart, sorted and laid in a row: with sets of up to BLOCK_TOKENS about 256 MB.
 
 Nulls and empty texts have no shingles and link with nothing; a null id is the smallest id. Rows that share an id are one
 node of the graph, so their links are those of all their texts. Repeated rows are returned as rows. An empty table gives no
-rows. A full set is held in one row, so its text must fit in a row.
+rows. Columns other than the id and the text are left out. A full set is held in one row, so its text must fit in a row; a
+very long text makes a block of its own.
 """
 
 from __future__ import annotations
@@ -32,8 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, small, written
@@ -43,8 +45,8 @@ from .tokens import chunks, shingles, space_words, texts, word_hashes
 SHINGLE = 5
 #: Linked: NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
-#: Members of a block, and classes that ask a block in one task's group.
-BLOCK = 256
+#: Members of a block, and classes that ask a block in one task's group; their tokens.
+BLOCK, BLOCK_TOKENS = 256, 1 << 21
 #: Sizes within this ratio count as alike where a group has more members than a block.
 SIZE_STEP = 1.1
 #: Share of the tokens that is held against all texts: LOW_SHARE + LOW_MORE / sqrt(n), for a set of n.
@@ -111,10 +113,9 @@ def low_share(n: np.ndarray) -> np.ndarray:
     return LOW_SHARE + LOW_MORE / np.sqrt(np.maximum(n, 1))
 
 
-def _low_rows(sets: list[np.ndarray], sids: np.ndarray, unit: int) -> pa.RecordBatch:
-    """The low tokens of classes as rows (token, sid, unit, own, n, u). A token that one class has is sent for it; own says
-    whether it counts against the class. A token that several have is sent for the first and the last of them only. A row with
-    n for each class has the number u of its own tokens that were sent."""
+def _low_rows(sets: list[np.ndarray], sids: np.ndarray) -> pa.RecordBatch:
+    """The low tokens of classes as rows (token, sid, own, n); own says whether one that no other class has counts against the
+    class. A token that several have is sent for the first and the last of them only. Each class has a row with its n."""
     n = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     part = flat.astype(np.float64) / float(1 << 64)
@@ -124,24 +125,18 @@ def _low_rows(sets: list[np.ndarray], sids: np.ndarray, unit: int) -> pa.RecordB
     flat, owner, part = flat[order], owner[order], part[order]
     new = np.ones(len(flat) + 1, bool)
     new[1:-1] = flat[1:] != flat[:-1]
-    begin, end = new[:-1], new[1:]
-    own = begin & end & (part < low_share(n * DEN // NUM)[owner])
-    sent = begin | end
-    u = np.bincount(owner[own], minlength=len(sets))
-    at = owner[sent]
+    sent = new[:-1] | new[1:]
+    at, own = owner[sent], part[sent] < low_share(n * DEN // NUM)[owner[sent]]
     rows, more = len(at), len(sets)
-    none = np.arange(rows + more) < rows
     column = lambda a, b, kind: np.concatenate([a, b]).astype(kind)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(column(flat[sent].view(np.int64), sids, np.int64)),
             pa.array(column(sids[at], sids, np.int64)),
-            pa.array(np.full(rows + more, unit, np.int64)),
-            pa.array(column(own[sent], np.zeros(more), bool)),
-            pa.array(column(np.zeros(rows), n, np.int64), mask=none),
-            pa.array(column(np.zeros(rows), u, np.int64), mask=none),
+            pa.array(column(own, np.zeros(more), bool)),
+            pa.array(column(np.zeros(rows), n, np.int64), mask=np.arange(rows + more) < rows),
         ],
-        names=["token", "sid", "unit", "own", "n", "u"],
+        names=["token", "sid", "own", "n"],
     )
 
 
@@ -150,7 +145,6 @@ def _lows(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw = texts(batch.column("text"))
             sets, sids, held = [], [], 0
@@ -165,21 +159,20 @@ def _lows(docs: DataFrame) -> DataFrame:
                 sids.append(keys[new, 0])
                 held += sum(map(len, sets[len(sets) - len(new) :]))
                 if sets and (held > UNIT_TOKENS or b == len(raw)):
-                    yield _low_rows(sets, np.concatenate(sids), unit)
-                    sets, sids, held, unit = [], [], 0, unit + 1
+                    yield _low_rows(sets, np.concatenate(sids))
+                    sets, sids, held = [], [], 0
                 if len(seen) > SEEN_CLASSES:
                     seen.clear()
 
-    return docs.mapInArrow(emit, "token bigint, sid bigint, unit bigint, own boolean, n bigint, u bigint")
+    return docs.mapInArrow(emit, "token bigint, sid bigint, own boolean, n bigint")
 
 
 def _sized(lows: DataFrame) -> DataFrame:
-    """Rows (sid, n, alive) of all classes: whether others have enough of the class's low tokens."""
-    same = Window.partitionBy("token")
-    told = lows.repartition("token").select("sid", "unit", "own", "n", "u", (F.min("sid").over(same) != F.max("sid").over(same)).alias("shared"))
-    told = told.where("n is not null or (own and shared)").groupBy("sid", "unit")
-    lacks = told.agg(F.max("n").alias("n"), (F.max("u") - F.count_if(F.col("n").isNull())).alias("lacks"))
-    return lacks.groupBy("sid").agg(F.max("n").alias("n"), F.min("lacks").alias("lacks")).selectExpr("sid", "n", f"lacks <= n - ({NUM} * n + {DEN - 1}) div {DEN} as alive")
+    """Rows (sid, n, alive) of all classes: whether others have enough of the class's low tokens. Both aggregations begin in the
+    tasks, so a token of very many texts brings a row a task."""
+    ends = lows.groupBy("token", F.col("n").isNotNull().alias("whole")).agg(F.min("sid").alias("sid"), F.max("sid").alias("last"), F.max("own").alias("own"), F.max("n").alias("n"))
+    ends = ends.where("whole or (own and sid = last)").groupBy("sid").agg(F.max("n").alias("n"), F.count_if(~F.col("whole")).alias("lacks"))
+    return ends.selectExpr("sid", "n", f"lacks <= n - ({NUM} * n + {DEN - 1}) div {DEN} as alive")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -298,18 +291,18 @@ MEETING = ["g", "block", "part"]
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """rows: g, block, part, sid (null: the group's union), tokens. The rows (sid, g, block) whose group may have a link."""
+    """rows: g, block, part, sid (null: the group's union), tokens. The rows (sid, n, g, block) whose group may have a link."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in(batches, MEETING):
             sids, sets = group.column("sid").to_pylist(), _lists(group)
             union = next((x for s, x in zip(sids, sets, strict=True) if s is None), np.zeros(0, np.int64))
-            found = [s for s, x in zip(sids, sets, strict=True) if s is not None and DEN * common_tokens(union, x) >= NUM * len(x)]
+            found = [(s, len(x)) for s, x in zip(sids, sets, strict=True) if s is not None and DEN * common_tokens(union, x) >= NUM * len(x)]
             if found:
                 key = [pa.array([group.column(c)[0].as_py()] * len(found), pa.int64()) for c in ("g", "block")]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *key], names=["sid", "g", "block"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*found, strict=True)), *key], names=["sid", "n", "g", "block"])
 
-    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(find, "sid bigint, g bigint, block bigint")
+    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(find, "sid bigint, n bigint, g bigint, block bigint")
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -334,9 +327,15 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(find, "a bigint, b bigint")
 
 
+def _pieces() -> Column:
+    """Blocks, or parts of those who ask, that rows with sets of n tokens make."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS))
+
+
 def _meetings(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """asked: sid, g, block. (rows g, block, part, sid: those who ask, in parts of about BLOCK; rows g, block, part: all parts)."""
-    parts = asked.groupBy("g", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    """asked: sid, n, g, block. (rows g, block, part, sid: those who ask, in parts of a block's size; rows g, block, part: all
+    parts)."""
+    parts = asked.groupBy("g", "block").agg(_pieces().alias("parts"))
     who = asked.join(parts, ["g", "block"]).select("g", "block", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), "sid")
     return who, parts.select("g", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
 
@@ -353,10 +352,10 @@ class Join:
         need = f"({NUM} * n + {DEN - 1}) div {DEN}"
         first = f"slice(s, 1, cast(size(s) - {need} + 1 as int)).token"
         self.first = w(shared.where(f"size(s) >= {need}").selectExpr("sid", "n", "array_min(s.token) as g", f"{first} as first"))
-        large = self.first.groupBy("g").agg((F.count(F.lit(1)) > BLOCK).alias("large"))
+        large = self.first.groupBy("g").agg((_pieces() > 1).alias("large"))
         step = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP)))).otherwise(F.lit(0).cast("bigint"))
         wanted = self.first.select("sid", "n", "g").join(large, "g").withColumn("step", step)
-        blocks = wanted.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        blocks = wanted.groupBy("g", "step").agg(_pieces().alias("blocks"))
         place = (F.shiftleft(F.col("step"), 40) + F.pmod(F.xxhash64("sid"), F.col("blocks"))).alias("block")
         doc = self.sets.groupBy("sid").agg(F.min("doc").alias("doc"))
         self.home = w(wanted.join(blocks, ["g", "step"]).join(doc, "sid").select("sid", "doc", "n", "g", place))
@@ -382,20 +381,20 @@ class Join:
         return asked.join(stats, ["g", "block"]).where(f"n_max * {DEN} >= n * {NUM} and n * {DEN} >= n_min * {NUM} and (least <> label or most <> label)")
 
     def begun(self, placed: DataFrame) -> DataFrame:
-        """Of the groups, other than its own, in which its tokens began, the one with most of a class's: rows (sid, g, block)."""
+        """Of the groups, other than its own, in which its tokens began, the one with most of a class's: rows (sid, n, g, block)."""
         rows = self.tokens(placed).where("g <> begun_g or block <> begun_block")
         asked = rows.groupBy("sid", "n", "label", F.col("begun_g").alias("g"), F.col("begun_block").alias("block")).agg(F.count(F.lit(1)).alias("c"))
-        return self.sized(asked, placed).groupBy("sid").agg(F.max_by(F.struct("g", "block"), F.struct("c", "g", "block")).alias("m")).selectExpr("sid", "m.g as g", "m.block as block")
+        return self.sized(asked, placed).groupBy("sid", "n").agg(F.max_by(F.struct("g", "block"), F.struct("c", "g", "block")).alias("m")).selectExpr("sid", "n", "m.g as g", "m.block as block")
 
     def others(self, placed: DataFrame) -> DataFrame:
-        """All groups of larger components with so many of a class's first tokens that a link is possible: rows (sid, g, block)."""
+        """All groups of larger components with so many of a class's first tokens that a link is possible: rows (sid, n, g, block)."""
         weight = placed.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
         rows = self.t.written(self.tokens(placed).join(weight, "label").withColumn("rank", F.struct("weight", "label")))
         matrix = rows.groupBy("token", F.col("g").alias("p"), F.col("block").alias("q")).agg(F.max("rank").alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         new = "rank < top and (g <> p or block <> q) and (label <> lo or label <> hi)"
         asked = rows.select("token", "sid", "n", "label", "rank", "g", "block").join(matrix, "token").where(new)
         asked = asked.groupBy("sid", "n", "label", F.col("p").alias("g"), F.col("q").alias("block")).agg(F.count(F.lit(1)).alias("c"))
-        return self.sized(asked, placed).where(f"c >= {least_shared('n', 'n_min', 'n_max')}").select("sid", "g", "block")
+        return self.sized(asked, placed).where(f"c >= {least_shared('n', 'n_min', 'n_max')}").select("sid", "n", "g", "block")
 
     def links(self, asked: DataFrame, placed: DataFrame) -> DataFrame:
         """The links of the classes that ask with members of the groups, if their unions allow any."""

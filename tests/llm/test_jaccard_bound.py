@@ -57,3 +57,34 @@ def test_a_large_cluster_of_near_copies_and_null_ids(spark, monkeypatch):
         component = want[null if r["doc_id"] is None else r["doc_id"]]
         assert r["component_id"] == (None if component == null else component), r
     assert len({c for i, c in want.items() if 0 <= i < 300}) < 150
+
+
+def test_very_long_near_copies_fill_blocks_by_tokens(spark, monkeypatch):
+    """24 texts of some 3000 words, 20 of them near copies, among short ones: no block holds many of them, no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 10_000)
+    rng = random.Random(7)
+    base, docs = [f"w{i}" for i in range(3000)], []
+    for i in range(24):
+        words = [*base] if i < 20 else [f"x{i}y{k}" for k in range(3000)]
+        for _ in range(rng.randrange(1, 60)):
+            words[rng.randrange(3000)] = f"own{i}x{rng.randrange(20)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, " ".join(base[7 * i : 7 * i + 40])) for i in range(30)]
+    docs += [(200 + i, " ".join([*base[7 * i : 7 * i + 40], "end"])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == brute_components(docs)
+    t = common.Tables(spark)
+    blocks = jaccard.Join(t, df.withColumnRenamed("doc_id", "doc")).home.groupBy("g", "block").agg({"n": "sum", "*": "count"}).collect()
+    t.drop()
+    assert max(r["sum(n)"] for r in blocks) <= 5 * 10_000 and sum(r["sum(n)"] > 2500 for r in blocks) >= 4
+
+
+def test_a_token_of_all_texts_brings_a_row_a_task(spark):
+    """What is held against all texts is aggregated in the tasks before it is dealt by token, and by no window."""
+    docs = spark.createDataFrame([(i, f"a b c d e own{i} f g h i j") for i in range(50)], "doc bigint, text string").repartition(3)
+    plan = jaccard._sized(jaccard._lows(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("partial_") > 0
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            assert "HashAggregate" in lines[i + 1]
