@@ -1,9 +1,10 @@
 """A corpus pipeline of five operators: quality rules, line dedup, near-duplicate removal, decontamination, source mixing.
 
 Each stage takes (spark, docs, sf_dir), docs as its predecessor left them, and returns a DataFrame; all but the last return
-the columns of documents. run() writes each stage's rows to the shared folder and reads them back for the next. What the
-operators define for nulls, repeated rows and empty tables holds here: a null text fails the quality rules, so later stages
-meet none; columns beside those of documents are dropped at the first stage.
+the columns of documents. run() writes each stage's rows to the shared folder and reads them back for the next, after which
+the rows of the stage before go. What the operators define for nulls, repeated rows, very long texts and empty tables holds
+here: a null text fails the quality rules, so later stages meet none; rows with a null id stay, each as it is; of rows that
+share an id one stays; columns beside those of documents, whatever their names, are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscreen.llm import decontam, jaccard, lines, mixing, oracles, quality
-from sparkscreen.llm.common import written
+from sparkscreen.llm.common import Tables, written
 from sparkscreen.llm.queries import LINE_PAGES, LINE_RATIO, MIX_REST, MIX_SEED, MIX_WEIGHTS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the fences of their language and source reject go."""
-    measured = quality.measure(docs.select(*COLUMNS))
+    """Documents that the base rules or the fences of their language and source reject go. Each text is measured once: fences and
+    verdicts read what was written."""
+    measured = written(quality.measure(docs.select(*COLUMNS)))
     return quality.judge(measured).where("kept").select(*COLUMNS)
 
 
@@ -60,7 +62,11 @@ ORACLE_SQL: str | None = oracles.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        own = Tables(spark)
+        docs = own.written(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
