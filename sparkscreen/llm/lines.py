@@ -7,6 +7,7 @@ with the host's total. A host has at most (mean lines a page) / ratio such lines
 
 Nulls: pages with a null host form one site; a null text stays null and has no lines. Repeated rows are pages of their
 own. A page that loses every line keeps an empty text. An empty table stays empty.
+Other columns stay. A text is split whole, within its row.
 """
 
 from __future__ import annotations

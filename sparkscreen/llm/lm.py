@@ -21,6 +21,7 @@ word with a space before it. The vocabulary file is read where the driver runs a
 
 Nulls: a null text is empty and has the end token only; a null id counts as an empty text in crc32 and stays null. Repeated
 rows are rows. Without training texts all counts are 0 and the base is not defined (null where N + V + 1 would be 0).
+Columns other than the id and the text are left out. A very long text is cut into windows as any other, to its end.
 """
 
 from __future__ import annotations

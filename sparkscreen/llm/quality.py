@@ -16,6 +16,7 @@ The thresholds are joined by group and a document is kept if each metric lies wi
 
 Everything is integer arithmetic on counts, so the verdicts are the same in each run. Nulls: a null text has no words
 and fails the base rules; a null language or source is a group. Repeated rows are judged alike. Empty tables stay empty.
+Columns named as one of MEASURES, base_failed or kept are replaced, others stay. A text is taken apart whole, within its row.
 Repeated windows are found by 64-bit hashes within one text.
 """
 

@@ -34,6 +34,26 @@ def test_pipeline_takes_empty_tables_and_nulls(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() <= 6
 
 
+def test_pipeline_null_ids_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    own = lambda i, n=60: " ".join(f"w{i:03d}x{k:05d}" for k in range(n))
+    texts = [(i, own(i)) for i in range(40)] + [(40, own(40, 50_000)), (5, own(5)), (6, own(90)), (None, own(91)), (None, own(92)), (None, own(3))]
+    kept = [None, None, None, *(i for i in range(41) if i != 3)]  # a null id is the smallest, so its row stays of the two with one text
+    source = next(iter(corpus_pipeline.MIX_WEIGHTS))
+    docs = spark.createDataFrame([(i, t, "en", source, len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = ("kept", "n_words", "n_dropped", "found", "component_id", "label", "n", "copies", "__host")
+    docs = docs.withColumns({c: F.lit("clash") for c in clash}).repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, own(99, 12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    rows = docs.collect()
+    assert sorted((r["doc_id"] for r in rows), key=lambda i: (i is not None, i)) == kept
+    assert {r["text"] for r in rows} <= {t for _, t in texts} and [len(r["text"]) for r in rows if r["doc_id"] == 40] == [len(own(40, 50_000))]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert not set(clash) - {"copies"} & set(out.columns) and {r["doc_id"] for r in out.select("doc_id").collect()} <= set(kept)
+
+
 def brute_hits(text, items, window=10):
     w = WORD.findall((text or "").translate(AZ))
     hit, found = set(), set()
