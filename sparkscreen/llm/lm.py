@@ -7,17 +7,19 @@ word with a space before it. The vocabulary file is read where the driver runs a
 1. One pass over all training texts counts words and subwords and cuts each text into windows, all of which are gathered.
    Each subword of them is a unit of its own at the model's input. Subwords get classes: the SINGLE most frequent have their
    own, the others are clustered by what they follow, apart for word starts and continuations. A second pass over all windows
-   counts which subword follows each of the BUCKETS most frequent ones, and the others, as two buckets. The counts of the
-   KNOWN_WORDS most frequent words say how a word goes on, or ends, after the AFTER_ROWS most frequent subwords and the
-   BEGIN_ROWS most frequent longer beginnings of words.
+   counts which subword follows each of the BUCKETS most frequent ones, and the others, as two buckets. Each different word
+   teaches spelling: Spark counts the beginnings of all words and how they go on, or end. The model, of bounded size, keeps the
+   shares after the AFTER_ROWS most frequent subwords and the BEGIN_ROWS most frequent longer beginnings, and the SPELLED most
+   frequent beginnings; what is left out of these stays in the counts of the beginnings it goes on from. How much more general
+   shares count is chosen among AFTER_WEIGHTS by the words of one more fold of training texts, which the counts leave out for it.
 2. Training: all windows are dealt by hash to ROUNDS rounds and to replicas of about REPLICA subwords, as many as the corpus
    needs; each window trains once. In a round each replica's task trains a copy of the model on its windows; the copies'
    parameters are averaged, weighted by subwords, in Spark. So the model depends on the rows, not on their partitions. Windows
    at the end of a text are shorter and train as all others do.
 3. Scoring: each text is scored whole in overlapping windows, each subword once: the model's class probability, which sees
    the window, times the subword's share of its class after the beginning of its word, or, at a word's start, after the bucket
-   of the subword before, with absolute discounts. Words outside the KNOWN_WORDS most frequent are held against the whole
-   counts by a join, so that the unigram base is exact.
+   of the subword before, with absolute discounts. At most KNOWN_WORDS words, the most frequent, have their counts in the tasks;
+   all others are held against the whole counts by a join, so that the unigram base is exact.
 
 Nulls: a null text is empty and has the end token only; a null id counts as an empty text in crc32 and stays null. Repeated
 rows are rows. Without training texts all counts are 0 and the base is not defined (null where N + V + 1 would be 0).
@@ -49,12 +51,14 @@ from .tokens import chunks, mixed, texts
 LEARNING_RATES, REPLICA = (0.02, 0.005), 1 << 22
 ROUNDS = len(LEARNING_RATES)
 CLUSTERS, SINGLE, BUCKETS = 30, 64, 256
-#: Subwords, and beginnings of words, that have their own shares of the classes after them (the most frequent); what more general
-#: shares count for among them.
-AFTER_ROWS, BEGIN_ROWS, AFTER_WEIGHT = 4096, 16384, 16.0
+#: Subwords, and beginnings of words, that have their own shares of the classes after them (the most frequent); beginnings whose
+#: counts the model keeps, at most.
+AFTER_ROWS, BEGIN_ROWS, SPELLED = 4096, 16384, 1 << 19
+#: What more general shares may count for among them; the first where the training texts can't tell.
+AFTER_WEIGHTS = (16.0, 2.0, 4.0, 8.0, 32.0, 64.0)
 #: What counts of followers are lessened by, and given to those that were not seen.
 DISCOUNT = 0.75
-#: Words whose counts are sent to the tasks (the most frequent); words of which a task keeps the subwords.
+#: Words whose counts are sent to the tasks, at most; words of which a task keeps the subwords.
 KNOWN_WORDS, KEPT_WORDS = 1 << 17, 1 << 18
 END = b"\n"  # no word has white space
 #: Fixed value: the pattern that the vocabulary's words were cut by.
@@ -146,48 +150,51 @@ def _windows(flat: np.ndarray, ends: np.ndarray, end_id: int, seeds: np.ndarray)
 
 
 def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
-    """Rows (kind, word, id, n, window) of the training texts: counts of words, counts of subwords, and windows, whose n is a
-    random number; what a kind has not is null."""
-    names = ["kind", "word", "id", "n", "window"]
+    """Rows (kind, word, id, n, m, window) of the training texts: counts of words, m of them in the fold after the held-out one,
+    counts of subwords, and windows, whose n is a random number; what a kind has not is null."""
+    kinds = {"kind": pa.string(), "word": pa.string(), "id": pa.int64(), "n": pa.int64(), "m": pa.int64(), "window": pa.list_(pa.int32())}
 
     def rows(kind: str, n: np.ndarray, **given: pa.Array) -> pa.RecordBatch:
-        kinds = {"word": pa.string(), "id": pa.int64(), "window": pa.list_(pa.int32())}
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), *(given.get(c, pa.nulls(len(n), t)) if c != "n" else pa.array(n, pa.int64()) for c, t in (("word", kinds["word"]), ("id", kinds["id"]), ("n", None), ("window", kinds["window"])))], names=names)
+        given |= {"kind": pa.array([kind] * len(n), pa.string()), "n": pa.array(n, pa.int64())}
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(len(n), t)) for c, t in kinds.items()], names=list(kinds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(ranks.value)
-        words, ids = np.zeros(0, np.int64), np.zeros(coder.end_id + 1, np.int64)
+        words, ids = np.zeros((2, 0), np.int64), np.zeros(coder.end_id + 1, np.int64)
 
         def word_rows() -> pa.RecordBatch:
-            found = np.flatnonzero(words)
+            found = np.flatnonzero(words[0])
             found = found[found > 0]
-            return rows("word", words[found], word=pa.array([coder.names[i] for i in found.tolist()], pa.binary()).cast(pa.string()))
+            names = pa.array([coder.names[i] for i in found.tolist()], pa.binary()).cast(pa.string())
+            return rows("word", words[0, found], m=pa.array(words[1, found]), word=names)
 
         for batch in batches:
             own, raw = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
-            train = [(i, t) for i, t, h in zip(own, raw, is_held_out(own, folds, held_out), strict=True) if not h]
-            raw = [t for _, t in train]
+            held, check = is_held_out(own, folds, held_out), is_held_out(own, folds, (held_out + 1) % folds)
+            train = [(i, t, k) for i, t, h, k in zip(own, raw, held, check, strict=True) if not h]
+            raw = [t for _, t, _ in train]
             for a, b in chunks(raw):
                 docs = [lower_words(t) for t in raw[a:b]]
-                numbers = coder.numbers(docs)
-                seen = np.bincount(numbers, minlength=len(coder.names))
-                seen[: len(words)] += words
+                numbers, sizes = coder.numbers(docs), [len(d) + 1 for d in docs]
+                checks = numbers[np.repeat([k for _, _, k in train[a:b]], sizes)]
+                seen = np.stack([np.bincount(x, minlength=len(coder.names)) for x in (numbers, checks)])
+                seen[:, : words.shape[1]] += words
                 words = seen
                 flat, size, _ = coder.subwords(numbers)
                 ids += np.bincount(flat, minlength=len(ids))
-                ends = np.cumsum(size)[np.cumsum([len(d) + 1 for d in docs]) - 1]
-                seeds = np.array([xxhash.xxh3_64_intdigest(f"{i}:{len(t or b'')}") for i, t in train[a:b]], np.uint64)
+                ends = np.cumsum(size)[np.cumsum(sizes) - 1]
+                seeds = np.array([xxhash.xxh3_64_intdigest(f"{i}:{len(t or b'')}") for i, t, _ in train[a:b]], np.uint64)
                 windows, draw = _windows(flat, ends, coder.end_id, seeds)
                 yield rows("window", draw, window=windows)
                 if len(coder.names) > KEPT_WORDS:
                     yield word_rows()
-                    words = np.zeros(0, np.int64)
+                    words = np.zeros((2, 0), np.int64)
                     coder.clear()
         yield word_rows()
         found = np.flatnonzero(ids)
         yield rows("id", ids[found], id=pa.array(found))
 
-    return docs.mapInArrow(count, "kind string, word string, id bigint, n bigint, window array<int>")
+    return docs.mapInArrow(count, "kind string, word string, id bigint, n bigint, m bigint, window array<int>")
 
 
 @dataclass
@@ -207,6 +214,7 @@ class Classes:
     beginnings: np.ndarray
     more: int
     spelling: Spelling | None = None
+    weight: float = AFTER_WEIGHTS[0]
 
     def rows(self, whole: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Rows of after for beginnings of words, by their hashes, and their last units."""
@@ -232,7 +240,7 @@ def _followers(windows: DataFrame, unit, row, n_rows: int, n_units: int) -> np.n
         for batch in batches:
             at, ids = _filled(batch.column("window"))
             u = unit.value[ids]
-            total += np.bincount((row.value[u[:, :-1]] * n_units + u[:, 1:])[at[:, 1:]], minlength=len(total))
+            np.add.at(total, (row.value[u[:, :-1]] * n_units + u[:, 1:])[at[:, 1:]], 1)
         a = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(total[a])], names=["at", "n"])
 
@@ -269,44 +277,123 @@ def _clusters(near: np.ndarray, weight: np.ndarray, k: int, seed: int = 0) -> np
 
 @dataclass
 class Spelling:
-    """How the known words go on after their first subwords. begun: hashes of beginnings of two subwords or more, in order, and n:
-    how many words, by counts, begin so; group, total and kinds: the same of a beginning and the next subword's class, and of how
-    many next subwords."""
+    """How the words of the training texts go on after their first subwords. begun: hashes of beginnings of two subwords or more, in
+    order, and n: how many words, by counts, begin so; group and total: the same of a beginning and the next subword's class, and
+    left: how much of it the discounts, and beginnings that are not kept, leave to more general shares."""
 
     begun: np.ndarray
     n: np.ndarray
     group: np.ndarray
     total: np.ndarray
-    kinds: np.ndarray
+    left: np.ndarray
 
 
-def _beginnings(units: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word's beginning up to each subword; hash of the beginning before it and its class), for words in a row whose
-    first subwords are at ``first``."""
+def _beginnings(units: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word's beginning up to each subword; hash of the beginning before it and its class; hash of that beginning),
+    for words in a row whose first subwords are at ``first``."""
     place = np.arange(len(units)) - np.repeat(first, np.diff(first, append=len(units)))
-    whole, group = mixed(units.astype(np.uint64) + np.uint64(1)), np.zeros(len(units), np.uint64)
+    whole, before = mixed(units.astype(np.uint64) + np.uint64(1)), np.zeros(len(units), np.uint64)
     for k in range(1, int(place.max(initial=0)) + 1):
         at = np.flatnonzero(place == k)
-        group[at] = mixed(whole[at - 1] + label[units[at]].astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        whole[at] = mixed(whole[at - 1] * np.uint64(31) + whole[at])
-    return whole, group
+        before[at] = whole[at - 1]
+        whole[at] = mixed(before[at] * np.uint64(31) + whole[at])
+    return whole, _group(before, label[units]), before
 
 
-def _spelling(units: np.ndarray, first: np.ndarray, label: np.ndarray, counts: np.ndarray) -> Spelling:
-    whole, group = _beginnings(units, first, label)
-    later = np.ones(len(units), bool)
-    later[first] = False
-    begun, one, of = np.unique(whole[later], return_index=True, return_inverse=True)
-    n = np.bincount(of, np.repeat(counts, np.diff(first, append=len(units)))[later], len(begun))
-    groups, of = np.unique(group[later][one], return_inverse=True)
-    return Spelling(begun, n, groups, np.bincount(of, n, len(groups)), np.bincount(of, minlength=len(groups)).astype(float))
+def _group(before: np.ndarray, label: np.ndarray) -> np.ndarray:
+    return mixed(before + label.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def _encoded(words: DataFrame, ranks) -> DataFrame:
+    """Rows (ids, n, m): the subword ids of each word (word, n, m)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = worker_coder(ranks.value)
+        for batch in batches:
+            flat, size, _ = coder.subwords(coder.numbers([texts(batch.column("word"))])[:-1])
+            cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), batch.column("n"), batch.column("m")], names=["ids", "n", "m"])
+            if len(coder.names) > KEPT_WORDS:
+                coder.clear()
+
+    return words.select("word", "n", "m").mapInArrow(encode, "ids array<int>, n bigint, m bigint")
+
+
+def _begun(words: DataFrame, unit, label) -> DataFrame:
+    """How all words (ids, n, m) go on, as rows (whole, before, goal, tip, n, m): for each beginning of two subwords or more its hash,
+    that of the beginning before, its last subword's class and unit, and how many words, by counts, begin so; and, where whole is
+    null, how many subwords of the unit tip, of those from BUCKETS up to AFTER_ROWS, have the class goal next in their word, or end
+    it if goal is -1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = int(label.value.max()) + 1
+        on = np.zeros((2, AFTER_ROWS * (classes + 1)), np.int64)
+        for batch in batches:
+            ids, size = batch.column("ids"), pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+            units, first = unit.value[ids.flatten().to_numpy()], np.cumsum(size) - size
+            n = np.repeat([batch.column(c).to_numpy() for c in ("n", "m")], size, axis=1)
+            goal = label.value[np.roll(units, -1)] + 1
+            goal[first + size - 1] = 0
+            own = np.flatnonzero((units >= BUCKETS) & (units < AFTER_ROWS))
+            for total, given in zip(on, n, strict=True):
+                np.add.at(total, units[own] * (classes + 1) + goal[own], given[own])
+            later = np.ones(len(units), bool)
+            later[first] = False
+            whole, _, before = (x[later] for x in _beginnings(units, first, label.value))
+            found, one, of = np.unique(whole, return_index=True, return_inverse=True)
+            tip = units[later][one]
+            sums = [np.bincount(of, given[later], len(found)).astype(np.int64) for given in n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.view(np.int64), before[one].view(np.int64), label.value[tip], tip, *sums)], names=names)
+        at = np.flatnonzero(on[0])
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in (at % (classes + 1) - 1, at // (classes + 1), *on[:, at]))], names=names)
+
+    names = ["whole", "before", "goal", "tip", "n", "m"]
+    return words.mapInArrow(count, ", ".join(f"{c} bigint" for c in names)).groupBy(names[:4]).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _most(rows: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest ``n`` (1 or more), ``most`` at most: all from a size on, found by counts of sizes, without a sort."""
+    size = F.floor(F.log2(n) * 64)
+    sizes = sorted(rows.groupBy(size.alias("size")).count().collect(), reverse=True)  # 64 * 63 at most
+    reach = np.cumsum([r["count"] for r in sizes]) <= most
+    return rows.where(size >= sizes[int(reach.sum()) - 1]["size"]) if reach.any() else rows.where(F.lit(False))
+
+
+def _columns(rows: DataFrame) -> list[np.ndarray]:
+    found = rows.toArrow()
+    return [c.to_numpy() for c in found.columns]
+
+
+def _spelling(begun: DataFrame) -> tuple[Spelling, tuple[np.ndarray, ...]]:
+    """(the spelling; the BEGIN_ROWS most frequent beginnings, as hashes in order, their last units, and the counts of their words and
+    of these words by class after them, 0 being the end, as two arrays, of all and of those of the fold that is left out)."""
+    begun = begun.where("whole is not null")
+    kept = _most(begun, "n", SPELLED)
+    whole, before, goal, tip, n, m = _columns(kept)
+    whole = whole.view(np.uint64)
+    order = np.argsort(whole)
+    whole, before, goal, tip, n, m = (x[order] for x in (whole, before, goal, tip, n, m))
+    group, of = np.unique(_group(before.view(np.uint64), goal), return_inverse=True)
+    given = np.bincount(of, np.maximum(n - DISCOUNT, 0), len(group))
+    sums = begun.groupBy("before", "goal").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    pairs = sums.join(kept.select("before", "goal").distinct(), ["before", "goal"], "left_semi")  # SPELLED rows at most
+    b, g, total, _ = _columns(pairs)
+    own = np.argsort(_group(b.view(np.uint64), g))
+    total = total[own].astype(float)
+    spelling = Spelling(whole, n.astype(float), group, total, np.maximum(total - given, 0))
+    top = np.sort(np.lexsort((whole, -n))[:BEGIN_ROWS])
+    some = begun.sparkSession.createDataFrame(pa.table({"before": whole[top].view(np.int64)}))
+    after = sums.join(F.broadcast(some), "before", "left_semi")  # BEGIN_ROWS * classes at most
+    b, g, *counts = _columns(after)
+    return spelling, (whole[top], tip[top], np.stack([n[top], m[top]]), (np.searchsorted(whole[top], b.view(np.uint64)), g, np.stack(counts)))
 
 
 def _spelled(classes: Classes, units: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log share of each subword in its class after the beginning of its word, with absolute discounts that go by the share after
     the subword before; 0 for the first ones, which go by the word before."""
     s = classes.spelling
-    whole, group = _beginnings(units, first, classes.label)
+    whole, group, _ = _beginnings(units, first, classes.label)
     before = np.roll(units, 1)
     less = np.exp(classes.inner[classes.row[before], units].astype(float))
 
@@ -316,56 +403,54 @@ def _spelled(classes: Classes, units: np.ndarray, first: np.ndarray) -> np.ndarr
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return [np.where(table[at] == keys, v[at], 0.0) for v in values]
 
-    (n,), (total, kinds) = found(whole, s.begun, s.n), found(group, s.group, s.total, s.kinds)
-    share = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * less) / np.maximum(total, 1), less)
+    (n,), (total, left) = found(whole, s.begun, s.n), found(group, s.group, s.total, s.left)
+    share = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + left * less) / np.maximum(total, 1), less)
     share[first] = 1
     return np.log(share).astype(np.float32)
 
 
-def _after(by_class: np.ndarray, whole: np.ndarray, row: np.ndarray, starts: np.ndarray, known: int, units: np.ndarray, first: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[attention.After, np.ndarray, int]:
-    """(log shares of the classes; the beginnings of words that have rows; the first of these rows).
+def _after(by_class: np.ndarray, whole: np.ndarray, row: np.ndarray, starts: np.ndarray, known: int, begun: DataFrame, longer: tuple) -> tuple[attention.After, int, float]:
+    """(log shares of the classes; the first row of longer beginnings; what more general shares count for).
 
     After the units of a bucket the shares are as counted. After each further unit of the AFTER_ROWS most frequent, and after each
-    beginning of the BEGIN_ROWS most frequent that are longer, they are how the known words go on, or, where a word ends, what
-    begins a word after the bucket."""
+    beginning of the BEGIN_ROWS most frequent that are longer, they are how words go on, or, where a word ends, what begins a word
+    after the bucket."""
     k = len(whole)
     table, _ = _discounted(by_class, whole / whole.sum(), np.zeros(k, np.int64))
-    size = np.diff(first, append=len(units))
-    weight = np.repeat(counts, size).astype(float)
-    last = np.zeros(len(units), bool)
-    last[first + size - 1] = True
-    goal = label[np.roll(units, -1)]
-
-    def shares(of: np.ndarray, n: int, bucket: np.ndarray, less: np.ndarray) -> np.ndarray:
-        """of: for each subword of the known words its row, n if none."""
-        on, end = np.flatnonzero(~last & (of < n)), np.flatnonzero(last & (of < n))
-        goes = np.bincount(of[on] * k + goal[on], weight[on], n * k).reshape(n, k).astype(float)
-        begin = table[bucket] * starts
-        goes += np.bincount(of[end], weight[end], n).astype(float)[:, None] * begin / np.maximum(begin.sum(1, keepdims=True), 1e-30)
-        return (goes + AFTER_WEIGHT * less) / (goes.sum(1, keepdims=True) + AFTER_WEIGHT)
-
     n = max(0, min(known, AFTER_ROWS) - BUCKETS)
     own = np.arange(BUCKETS, BUCKETS + n)
     table_row = row.copy()
     table_row[own] = len(table) + np.arange(n)
-    rows = np.concatenate([table, shares(np.where((units >= BUCKETS) & (units < BUCKETS + n), units - BUCKETS, n), n, row[own], table[row[own]])])
-    hashes, _ = _beginnings(units, first, label)
-    later = np.ones(len(units), bool)
-    later[first] = False
-    begun, one, of = np.unique(hashes[later], return_index=True, return_inverse=True)
-    often = np.bincount(of, weight[later], len(begun))
-    kept = np.sort(np.lexsort((begun, -often))[:BEGIN_ROWS])
-    place = np.full(len(begun), len(kept))
-    place[kept] = np.arange(len(kept))
-    where = np.full(len(units), len(kept))
-    where[later] = place[of]
-    tip = units[later][one[kept]]
-    longer = shares(where, len(kept), row[tip], rows[table_row[tip]])
-    return attention.After(np.log(np.concatenate([rows, longer])).astype(np.float32), table_row), begun[kept], len(rows)
-
-
-def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int], words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Classes:
-    """words: the subword ids of the known words in a row, where each word begins, and the words' counts."""
+    goal, tip, *counts = _columns(begun.where("whole is null").select("goal", "tip", "n", "m"))
+    units = np.zeros((2, n, k + 1))
+    units[:, tip - BUCKETS, goal + 1] = counts
+    hashes, tips, all_n, (at, goal, counts) = longer
+    later = np.zeros((2, len(hashes), k + 1))
+    later[:, at, goal + 1] = counts
+    later[:, :, 0] = all_n - later.sum(2)
+
+    def shares(counts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Counts of classes, where that of the end is dealt to what begins words."""
+        begin = table[bucket] * starts
+        return counts[:, 1:] + counts[:, :1] * begin / np.maximum(begin.sum(1, keepdims=True), 1e-30)
+
+    def mixed_in(counts: np.ndarray, less: np.ndarray, weight: float) -> np.ndarray:
+        return (counts + weight * less) / (counts.sum(1, keepdims=True) + weight)
+
+    def tables(units: np.ndarray, later: np.ndarray, weight: float) -> np.ndarray:
+        rows = np.concatenate([table, mixed_in(units, table[row[own]], weight)])
+        return np.concatenate([rows, mixed_in(later, rows[table_row[tips]], weight)])[len(table) :]
+
+    units, later = (np.stack([shares(c, b) for c in x]) for x, b in ((units, row[own]), (later, row[tips])))
+    check, rest = np.concatenate([units[1], later[1]]), (units[0] - units[1], later[0] - later[1])
+    fits = [(check * np.log(tables(*rest, w))).sum() for w in AFTER_WEIGHTS] if check.any() and rest[0].any() else [0.0]
+    weight = AFTER_WEIGHTS[int(np.argmax(fits))]
+    rows = np.concatenate([table, tables(units[0], later[0], weight)])
+    return attention.After(np.log(rows).astype(np.float32), table_row), len(table) + n, weight
+
+
+def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int], words: DataFrame) -> Classes:
+    """words: rows (ids, n, m), the subword ids of all different words and their counts, m of them in the fold that is left out."""
     sc = windows.sparkSession.sparkContext
     size = max(ranks.values()) + 2
     end = size - 1
@@ -399,10 +484,13 @@ def _classes(ids: dict[int, int], windows: DataFrame, ranks: dict[bytes, int], w
     begins = np.zeros(n_classes)
     begins[label[starts > 0]] = 1
     begins[label[unit[end]]] = 1
-    flat, first, n = unit[words[0]], words[1], words[2]
-    after, beginnings, more = _after(by_class, whole, row, begins, known, flat, first, label, n)
+    tables = Tables(windows.sparkSession)
+    begun = tables.written(_begun(words, sc.broadcast(unit), sc.broadcast(label)))
+    spelling, longer = _spelling(begun)
+    after, more, weight = _after(by_class, whole, row, begins, known, begun, longer)
+    tables.drop()
     inner = np.log(inner).astype(np.float32)
-    return Classes(unit, label, row, after, inner, n_units, n_classes, begins[label] > 0, beginnings, more, _spelling(flat, first, label, n))
+    return Classes(unit, label, row, after, inner, n_units, n_classes, begins[label] > 0, longer[0], more, spelling, weight)
 
 
 def _filled(windows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -475,27 +563,55 @@ class Model:
         return np.bincount(doc, natural, n_docs) / np.log(10)
 
 
-def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows."""
+@dataclass
+class Fit:
+    """A model and what it was fitted on: counts of all words (word, n, m), of end tokens, of tokens and of different ones."""
+
+    tables: Tables
+    ranks: dict[bytes, int]
+    folds: int
+    held_out: int
+    words: DataFrame
+    ends: int
+    n_train: int
+    v_train: int
+    model: Model
+
+
+def fit(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> Fit:
+    """The model of the training texts; its tables stay until its ``tables`` are dropped."""
     sc = docs.sparkSession.sparkContext
     table = read_ranks(vocabulary)
     ranks = sc.broadcast(table)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     t = Tables(docs.sparkSession)
-    gathered = t.written(_counted(docs, ranks, folds, held_out))
-    words = t.written(gathered.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("c")))
+    gathered = t.written(_counted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, folds, held_out))
+    words = t.written(gathered.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     subwords = {r["id"]: r["n"] for r in gathered.where("kind = 'id'").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
-    end_id = max(table.values()) + 1
-    ends = subwords.get(end_id, 0)
-    distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    n_train, v_train = running + ends, distinct + (1 if ends else 0)
+    ends = subwords.get(max(table.values()) + 1, 0)
+    distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     windows = gathered.where("kind = 'window'").select("n", "window")
-    top = words.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow()
-    counts = dict(zip(top.column("word").cast(pa.large_binary()).to_pylist(), top.column("c").to_pylist(), strict=True))
-    known = sc.broadcast(counts | {END: ends})
-    flat, size, _ = (coder := Coder(table)).subwords(coder.numbers([list(counts)]))
-    classes = _classes(subwords, windows, table, (flat[:-1], (np.cumsum(size) - size)[:-1], np.array(list(counts.values()), float)))
-    model = sc.broadcast(Model(classes, _trained(windows, classes, sum(subwords.values()))))
+    classes = _classes(subwords, windows, table, _encoded(words, ranks))
+    params = _trained(windows, classes, sum(subwords.values()))
+    return Fit(t, table, folds, held_out, words, ends, running + ends, distinct + (1 if ends else 0), Model(classes, params))
+
+
+def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows, by the model fitted on them."""
+    fitted = fit(docs, vocabulary, doc_id, text, folds, held_out)
+    scored = score_by(docs, fitted, doc_id, text)
+    fitted.tables.drop()
+    return scored
+
+
+def score_by(docs: DataFrame, fitted: Fit, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of score_documents by a model that is fitted already; they are written."""
+    sc, folds, held_out = docs.sparkSession.sparkContext, fitted.folds, fitted.held_out
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    t = Tables(docs.sparkSession)
+    ranks, model = sc.broadcast(fitted.ranks), sc.broadcast(fitted.model)
+    top = _most(fitted.words, "n", KNOWN_WORDS).select("word", "n").toArrow()
+    counts = dict(zip(top.column("word").cast(pa.large_binary()).to_pylist(), top.column("n").to_pylist(), strict=True))
+    known = sc.broadcast(counts | {END: fitted.ends})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts, row = worker_coder(ranks.value), known.value, TaskContext.get().partitionId() << 40
@@ -529,9 +645,9 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
 
     schema = f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_top bigint, base_top double, score double, rare array<string>"
     scored = t.written(docs.mapInArrow(score, schema))
-    rest = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
-    rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base_rare"), F.count("c").alias("n_rare"))
-    total = n_train + v_train + 1
+    rest = scored.select("row", F.explode("rare").alias("word")).join(fitted.words, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("base_rare"), F.count("n").alias("n_rare"))
+    total = fitted.n_train + fitted.v_train + 1
     result = written(
         scored.drop("rare")
         .join(rest, "row", "left")
@@ -540,7 +656,7 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
             "held_out",
             "n_tokens",
             (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-            F.lit(n_train).cast("bigint").alias("train_tokens"),
+            F.lit(fitted.n_train).cast("bigint").alias("train_tokens"),
             (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total)))).alias("base_score"),
             "score",
         )

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from compare import DATA
@@ -83,7 +85,8 @@ def test_shares_of_all_subwords_sum_to_one_after_each_and_each_counted_one_is_a_
     windows = spark.createDataFrame([(0, ids[i : i + 10]) for i in range(0, 6000, 10)], "n bigint, window array<int>")
     rng = np.random.default_rng(0)
     words = rng.choice(sorted(set(ids)), 4000), np.arange(0, 4000, 4), rng.integers(1, 50, 1000)
-    got = lm._classes({i: ids.count(i) for i in set(ids)}, windows, ranks, words)
+    spelled = [(words[0][a : a + 4].tolist(), int(n), int(n) // 6) for a, n in zip(*words[1:], strict=True)]
+    got = lm._classes({i: ids.count(i) for i in set(ids)}, windows, ranks, spark.createDataFrame(spelled, "ids array<int>, n bigint, m bigint"))
     assert len(np.unique(got.unit[sorted(set(ids))])) == len(set(ids))
     own, table = got.row[got.unit], got.after.table
     for before in (0, ids[1], 1999, 2500):
@@ -119,3 +122,130 @@ def test_no_training_texts_leave_a_model_of_unseen_subwords(spark):
     docs = spark.createDataFrame([(i, t) for i in range(60) if lm.is_held_out([i], 7, 2)[0] for t in ("some words", None, "")], "doc_id bigint, text string")
     got = lm.score_documents(docs, queries.VOCABULARY).toPandas()
     assert len(got) == docs.count() and (got.train_tokens == 0).all() and np.isfinite(got.score).all() and (got.score < 0).all()
+
+
+def mix(h: int) -> int:
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 32
+
+
+def begun_as(units: tuple) -> int:
+    """The hash of a word's beginning."""
+    h = mix(units[0] + 1)
+    for u in units[1:]:
+        h = mix((h * 31 + mix(u + 1)) % 2**64)
+    return h
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    got = lm.fit(spark.read.parquet(f"{DATA}/documents.parquet"), queries.VOCABULARY)
+    yield got
+    got.tables.drop()
+
+
+def word_units(fitted, text):
+    coder, unit = lm.Coder(fitted.ranks), fitted.model.classes.unit
+    words = [w.decode() for w in (text or "").encode().lower().split()]
+    return [tuple(unit[coder.encoding.encode_ordinary(" " + w)].tolist()) for w in words] + [(int(unit[coder.end_id]),)]
+
+
+def test_spelling_is_counted_from_every_training_word(spark, fitted):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    c, counts, goes, ends = fitted.model.classes, {}, {}, {}
+    coder = lm.Coder(fitted.ranks)
+    spelled = {w: tuple(c.unit[coder.encoding.encode_ordinary(" " + w)].tolist()) for r in rows for w in (w.decode() for w in (r["text"] or "").encode().lower().split())}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            for w in (r["text"] or "").encode().lower().split():
+                u = spelled[w.decode()]
+                for k in range(2, len(u) + 1):
+                    counts[u[:k]] = counts.get(u[:k], 0) + 1
+                    goes.setdefault((u[: k - 1], int(c.label[u[k - 1]])), {}).setdefault(u[:k], 0)
+                    goes[u[: k - 1], int(c.label[u[k - 1]])][u[:k]] += 1
+                ends[u] = ends.get(u, 0) + 1
+    s = c.spelling
+    assert dict(zip(s.begun.tolist(), s.n.tolist(), strict=True)) == {begun_as(u): n for u, n in counts.items()}
+    want = {mix((begun_as(b) + label * 2 + 1) % 2**64): (sum(n.values()), lm.DISCOUNT * len(n)) for (b, label), n in goes.items()}
+    assert dict(zip(s.group.tolist(), zip(s.total.tolist(), s.left.tolist(), strict=True), strict=True)) == want
+    assert len(c.beginnings) == min(lm.BEGIN_ROWS, len(counts)) and c.weight in lm.AFTER_WEIGHTS
+    # the classes after a beginning: how words go on, and, where they end, what begins words after its last subword's bucket
+    k, begins = c.n_classes, np.zeros(c.n_classes)
+    begins[c.label[c.starts]] = 1
+    for u in sorted(counts, key=lambda u: (-counts[u], u))[:50]:
+        at = np.searchsorted(c.beginnings, np.uint64(begun_as(u)))
+        assert c.beginnings[at] == begun_as(u)
+        bucket = np.exp(c.after.table[c.row[u[-1]]].astype(float)) * begins
+        n = ends.get(u, 0) * bucket / bucket.sum()
+        for label in range(k):
+            n[label] += sum(goes.get((u, label), {}).values())
+        less = np.exp(c.after.table[c.after.row[u[-1]]].astype(float))
+        assert np.exp(c.after.table[c.more + at]) == pytest.approx((n + c.weight * less) / (n.sum() + c.weight), rel=1e-4)
+
+
+def test_beginnings_that_are_not_kept_stay_in_the_sums(spark, monkeypatch):
+    ranks = {bytes([97 + i]) if i else b" a": i for i in range(20)}
+    words = [([0, *t], n, 0) for t, n in (((1, 2), 90), ((1, 3), 40), ((1, 4), 1), ((2,), 60), ((5, 6, 7), 1))]
+    windows = spark.createDataFrame([(0, [i for w, _, _ in words for i in w] + [20])], "n bigint, window array<int>")
+    monkeypatch.setattr(lm, "SPELLED", 5)
+    got = lm._classes({i: 9 for i in range(21)}, windows, ranks, spark.createDataFrame(words, "ids array<int>, n bigint, m bigint"))
+    assert sorted(got.spelling.n.tolist()) == [40, 60, 90, 131]
+    own = np.flatnonzero(got.unit < got.n_units)
+    for word in ([0, 1], [0, 5], [0]):
+        units = got.unit[word]
+        every = np.concatenate([np.append(units, u) for u in got.unit[own]])
+        inner = lm._spelled(got, every, np.arange(0, len(every), len(word) + 1))[len(word) :: len(word) + 1]
+        for label in np.unique(got.label[got.unit[own]]):
+            of = got.label[got.unit[own]] == label
+            assert np.exp(inner[of].astype(float)).sum() == pytest.approx(1, abs=2e-3)
+
+
+def test_most_frequent_rows_are_within_the_bound(spark):
+    rows = spark.createDataFrame([(i, 1 if i > 30 else 1 + i % 7) for i in range(200)], "k bigint, n bigint")
+    for most in (0, 3, 29, 60, 500):
+        got = [r["n"] for r in lm._most(rows, "n", most).collect()]
+        every = sorted((r["n"] for r in rows.collect()), reverse=True)
+        assert len(got) <= most and sorted(got, reverse=True) == every[: len(got)]
+        assert len(got) == len(every) or every[len(got)] < min(got, default=99)
+
+
+def test_scores_are_those_of_the_fitted_model_position_by_position(spark, fitted):
+    """Every text of sf0.001 scored again one subword at a time, with dictionaries and loops."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in lm.score_by(docs, fitted).collect()}
+    c, p = fitted.model.classes, {k: v.astype(float) for k, v in fitted.model.params.items()}
+    s, st = c.spelling, attention.STRIDE
+    begun, group = dict(zip(s.begun.tolist(), s.n.tolist(), strict=True)), {g: (t, f) for g, t, f in zip(s.group.tolist(), s.total.tolist(), s.left.tolist(), strict=True)}
+    rows = {h: c.more + i for i, h in enumerate(c.beginnings.tolist())}
+    query, key, value = p["emb"] @ p["wq"] / attention.WIDTH**0.5, p["emb"] @ p["wk"], p["emb"] @ p["wv"]
+    memo: dict[tuple, tuple[int, float]] = {}
+
+    def word(u: tuple) -> tuple[int, float]:
+        """(row of the class shares after a beginning; log share of its last subword in its class)."""
+        if u not in memo:
+            share = 0.0
+            if len(u) > 1:
+                less = np.exp(float(c.inner[c.row[u[-2]], u[-1]]))
+                total, left = group.get(mix((begun_as(u[:-1]) + int(c.label[u[-1]]) * 2 + 1) % 2**64), (0, 0))
+                share = np.log((max(begun.get(begun_as(u), 0) - lm.DISCOUNT, 0) + left * less) / total) if total else np.log(less)
+            memo[u] = rows.get(begun_as(u), int(c.after.row[u[-1]])) if len(u) > 1 else int(c.after.row[u[0]]), share
+        return memo[u]
+
+    end = int(c.unit[lm.Coder(fitted.ranks).end_id])
+    for r in docs.select("doc_id", "text").collect():
+        seen, last, score = [end], int(c.after.row[end]), 0.0
+        for u in word_units(fitted, r["text"]):
+            for k in range(len(u)):
+                at = len(seen) - 1
+                near = np.array(seen[max(0, at // st * st - st) :])
+                a = key[near] @ query[seen[-1]] + p["rel"][np.arange(len(near))[::-1]]
+                a = np.exp(a - a.max())
+                h = p["emb"][seen[-1]] + (a / a.sum()) @ value[near] @ p["wo"]
+                h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+                z = c.after.table[last] + h @ p["out"]
+                score += z[c.label[u[k]]] - z.max() - np.log(np.exp(z - z.max()).sum())
+                score += word(u[: k + 1])[1] if k else float(c.inner[c.row[seen[-1]], u[0]])
+                seen.append(u[k])
+                last = word(u[: k + 1])[0]
+        assert got[r["doc_id"]] == pytest.approx(score / np.log(10), rel=1e-4, abs=1e-3), r["doc_id"]
