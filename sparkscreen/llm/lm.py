@@ -310,11 +310,11 @@ def _encoded(words: DataFrame, ranks) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(ranks.value)
         for batch in batches:
+            coder.clear()  # no word comes again
             flat, size, _ = coder.subwords(coder.numbers([texts(batch.column("word"))])[:-1])
             cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), batch.column("n"), batch.column("m")], names=["ids", "n", "m"])
-            if len(coder.names) > KEPT_WORDS:
-                coder.clear()
+        coder.clear()
 
     return words.select("word", "n", "m").mapInArrow(encode, "ids array<int>, n bigint, m bigint")
 
@@ -590,7 +590,7 @@ def fit(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "t
     ends = subwords.get(max(table.values()) + 1, 0)
     distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     windows = gathered.where("kind = 'window'").select("n", "window")
-    classes = _classes(subwords, windows, table, _encoded(words, ranks))
+    classes = _classes(subwords, windows, table, t.written(_encoded(words, ranks)))  # written, so that a task has one Python worker
     params = _trained(windows, classes, sum(subwords.values()))
     return Fit(t, table, folds, held_out, words, ends, running + ends, distinct + (1 if ends else 0), Model(classes, params))
 
