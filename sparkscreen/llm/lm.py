@@ -29,6 +29,7 @@ Columns other than the id and the text are left out. A very long text is cut int
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -63,6 +64,7 @@ KNOWN_WORDS, KEPT_WORDS = 1 << 17, 1 << 18
 END = b"\n"  # no word has white space
 #: Fixed value: the pattern that the vocabulary's words were cut by.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER_SPACE = re.compile(r"[^\S ]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,6 +80,8 @@ class Coder:
 
         self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end_id = max(ranks.values()) + 1
+        self.initial = np.zeros(self.end_id, bool)
+        self.initial[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -90,19 +94,32 @@ class Coder:
         n = sum(map(len, docs)) + len(docs)
         words = list(chain.from_iterable(chain(d, (END,)) for d in docs))
         out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, n)
-        encode, number = self.encoding.encode_ordinary, self.number
+        number, names, known = self.number, self.names, len(self.names)
         for i in np.flatnonzero(out < 0).tolist():
             w = words[i]
-            if (k := number.get(w)) is None:
-                k = number[w] = len(self.names)
-                self.names.append(w)
-                ids = encode(" " + w.decode("utf-8", "replace"))
-                self.first.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
-            out[i] = k
+            k = out[i] = number.setdefault(w, len(names))
+            if k == len(names):
+                names.append(w)
+        self._encode([" " + w.decode("utf-8", "replace") for w in names[known:]])
         return out
 
+    def _encode(self, words: list[str]) -> None:
+        """Adds words, which begin with their only space, to the table. They are encoded in a row: the pattern cuts before each, and
+        the subword that begins with the space begins the word. A word with another white space is encoded by itself."""
+        odd = [i for i, w in enumerate(words) if OTHER_SPACE.search(w)] if OTHER_SPACE.search("".join(words)) else []
+        first = 0
+        for end in (*odd, len(words)):
+            ids = self.encoding.encode_ordinary("".join(words[first:end]))
+            self._add(ids, np.flatnonzero(self.initial[np.array(ids, np.int64)]))
+            if end < len(words):
+                self._add(self.encoding.encode_ordinary(words[end]), np.zeros(1, np.int64))
+            first = end + 1
+
+    def _add(self, ids: list[int], starts: np.ndarray) -> None:
+        self.first.extend((len(self.flat) + starts).tolist())
+        self.size.extend(np.diff(starts, append=len(ids)).tolist())
+        self.flat.extend(ids)
+
     def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(subword ids, how many of each word, where each is in the table) of words in a row."""
         flat, first, size = (np.array(x, np.int32) for x in (self.flat, self.first, self.size))
@@ -507,16 +524,19 @@ def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.P
     sent = sc.broadcast(replace(classes, inner=np.zeros((0, 0)), spelling=None))
     params = attention.start(classes.n_units, classes.n_classes)
     replicas = max(1, -(-subwords // (REPLICA * ROUNDS)))
+    # ids of two bytes, where the vocabulary's fit, are half of what else is shuffled
+    low = 1 << 15 if len(classes.unit) <= 1 << 16 else 0
+    sent_as = F.transform("window", lambda i: (i - low).cast("short")).alias("window") if low else F.col("window")
     for turn, rate in enumerate(LEARNING_RATES):
         begin = sc.broadcast(attention.pack(params))
 
-        def fit(batches: Iterator[pa.RecordBatch], begin=begin, rate=rate) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch], begin=begin, rate=rate, low=low) -> Iterator[pa.RecordBatch]:
             c = sent.value
             learner, seen = attention.Adam(attention.unpack(begin.value, c.n_units, c.n_classes)), 0
             for batch in batches:
                 at, ids = _filled(batch.column("window"))
                 if len(ids):
-                    u = c.unit[ids]
+                    u = c.unit[np.where(at, ids + low, 0)]
                     learner.train(u[:, :-1], np.where(at[:, 1:], c.label[u[:, 1:]], -1), c.after, rate, c.running(u[:, :-1]))
                     seen += int(at[:, 1:].sum())
             if seen:
@@ -525,7 +545,7 @@ def _trained(windows: DataFrame, classes: Classes, subwords: int) -> attention.P
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(moved[at] * seen, seen))], names=["at", "v"])
 
         # one partition a replica, in the order of the random numbers; one row a parameter that moved, the weights' sum at -1
-        own = windows.where(F.pmod("n", F.lit(ROUNDS)) == turn).withColumn("n", F.expr(f"n div {ROUNDS}"))
+        own = windows.where(F.pmod("n", F.lit(ROUNDS)) == turn).select(F.expr(f"n div {ROUNDS}").alias("n"), sent_as)
         dealt = own.repartitionById(replicas, F.pmod("n", F.lit(replicas)).cast("int")).sortWithinPartitions("n", "window")
         sums = dealt.select("window").mapInArrow(fit, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         at, v = sums.column("at").to_numpy(), sums.column("v").to_numpy()
@@ -583,15 +603,16 @@ def fit(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "t
     sc = docs.sparkSession.sparkContext
     table = read_ranks(vocabulary)
     ranks = sc.broadcast(table)
-    t = Tables(docs.sparkSession)
-    gathered = t.written(_counted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, folds, held_out))
+    t, own = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    gathered = own.written(_counted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, folds, held_out))
     words = t.written(gathered.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     subwords = {r["id"]: r["n"] for r in gathered.where("kind = 'id'").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
     ends = subwords.get(max(table.values()) + 1, 0)
     distinct, running = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     windows = gathered.where("kind = 'window'").select("n", "window")
-    classes = _classes(subwords, windows, table, t.written(_encoded(words, ranks)))  # written, so that a task has one Python worker
+    classes = _classes(subwords, windows, table, own.written(_encoded(words, ranks)))  # written, so that a task has one Python worker
     params = _trained(windows, classes, sum(subwords.values()))
+    own.drop()  # the windows, which scoring doesn't read
     return Fit(t, table, folds, held_out, words, ends, running + ends, distinct + (1 if ends else 0), Model(classes, params))
 
 

@@ -249,3 +249,43 @@ def test_scores_are_those_of_the_fitted_model_position_by_position(spark, fitted
                 seen.append(u[k])
                 last = word(u[: k + 1])[0]
         assert got[r["doc_id"]] == pytest.approx(score / np.log(10), rel=1e-4, abs=1e-3), r["doc_id"]
+
+
+class Counted:
+    """An encoding that counts its calls."""
+
+    def __init__(self, encoding):
+        self.encoding, self.calls = encoding, 0
+
+    def encode_ordinary(self, text):
+        self.calls += 1
+        return self.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("other", ["", " ", "　x", "a ", "\x85"])
+def test_new_words_are_encoded_in_a_row_as_one_by_one(other):
+    coder = lm.Coder(lm.read_ranks(queries.VOCABULARY))
+    words = [w.encode() for k in range(300) for w in (f"word{k}", f"'s{k}'", f"überЖ{k}", f"--{k * k}..", f"中{k}文", "�" * k)] + [b"\xff\xfe", *([other.encode()] * bool(other)), other.encode() + b"a", b"end"]
+    words = [w for w in words if w]
+    coder.encoding = Counted(coder.encoding)
+    ids, n, _ = coder.subwords(coder.numbers([words[:900], words[900:] + words[:5]]))
+    assert coder.encoding.calls == 1 or other
+    want = [coder.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+    want = [*want[:900], [coder.end_id], *want[900:], *want[:5], [coder.end_id]]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_training_sends_ids_of_two_bytes_and_its_windows_go(spark, fitted):
+    import glob
+
+    assert len(glob.glob(fitted.tables.folder.removeprefix("file://") + "/*")) == 1  # the words
+    size = 12
+    own, sent = np.arange(size), []
+    classes = lm.Classes(own, own, 0 * own, even(size, size), np.zeros((1, size)), size, size, own >= 0, np.zeros(0, np.uint64), 1)
+    windows = spark.createDataFrame([(i, [11, 1, 2, 11]) for i in range(200)], "n bigint, window array<int>")
+    kind = type(windows)
+    repartition = kind.repartitionById
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(kind, "repartitionById", lambda self, *a: sent.append(dict(self.dtypes)["window"]) or repartition(self, *a))
+        lm._trained(windows, classes, 600)
+    assert sent == ["array<smallint>"] * lm.ROUNDS
