@@ -170,7 +170,7 @@ def _line_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Minimum ranks of all line items by quantity and by discount, the latter among returned ones, and price percentiles by flag."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
     placed = ordering.percentile_in_group(lines, "l_extendedprice", "l_returnflag", "price_percentile")
-    return rounded(ordering.min_ranks(placed, {"quantity_rank": ("l_quantity", F.lit(True)), "discount_rank": ("l_discount", F.col("l_returnflag") == "R")}))
+    return rounded(ordering.min_ranks(placed, {"quantity_rank": ("l_quantity", F.lit(True)), "discount_rank": ("l_discount", F.col("l_returnflag") == "R")}, of=lines))
 
 
 register(

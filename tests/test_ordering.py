@@ -96,3 +96,22 @@ def test_reports_do_not_plan_the_screen_again(spark):
     x = screen.from_testdata(spark, DATA)
     for df in (report.validation_counts(x.scored), report.run_metadata(x.constituents, x.store_analysts(), x.scored, queries.CONFIG)):
         assert "lineitem" not in plan_of(df)
+
+
+def test_rows_are_not_shuffled_by_a_few_values_nor_joined_before_they_are_counted(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    counted = []
+    of = ordering.value_places
+    monkeypatch.setattr(ordering, "value_places", lambda df, *a, **k: counted.append(plan_of(df)) or of(df, *a, **k))
+    try:
+        plan = plan_of(queries.QUERIES["line_ranks"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = [line for line in plan.splitlines() if "Join [" in line]
+    assert len(counted) == 2 and not any("Join" in p or "Generate" in p for p in counted)
+    assert len(joined) >= 3 and all("BroadcastHashJoin" in line for line in joined)
+
+
+def test_many_values_are_joined_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SENT_VALUES", 10)
+    test_ranks_and_percentiles_equal_pandas(spark, 7)
