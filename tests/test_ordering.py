@@ -115,3 +115,11 @@ def test_rows_are_not_shuffled_by_a_few_values_nor_joined_before_they_are_counte
 def test_many_values_are_joined_by_shuffles(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SENT_VALUES", 10)
     test_ranks_and_percentiles_equal_pandas(spark, 7)
+
+
+def test_analysts_read_the_latest_bars_alone(spark):
+    from sparkscreen.sources import testdata
+
+    got, want = testdata.analysts(spark, DATA), testdata.load(spark, DATA, testdata.ANALYSTS)
+    assert "WindowGroupLimit" in plan_of(got) and got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
