@@ -15,7 +15,12 @@ import numpy as np
 WIDTH, HIDDEN, STRIDE = 16, 32, 16
 FAR = 2 * STRIDE
 #: Windows of a training step; windows scored at once, so few that the arrays stay in a core's cache.
-STEP, BLOCK = 48, 48
+STEP, BLOCK = 48, 96
+#: Positions whose classes training goes through at once.
+PART = 768
+#: How far back of each position each other one is, and what bars later ones.
+BACK = np.maximum(np.arange(FAR)[:, None] - np.arange(FAR), 0)
+LATER = np.where(np.arange(FAR)[:, None] < np.arange(FAR), np.float32(-1e9), np.float32(0))
 NAMES = ("emb", "wq", "wk", "wv", "wo", "rel", "w1", "b1", "w2", "out")
 
 Params = dict[str, np.ndarray]
@@ -54,24 +59,34 @@ def unpack(flat: np.ndarray, units: int, classes: int) -> Params:
     return out
 
 
+def wide(table: np.ndarray, fill: float = -200.0) -> np.ndarray:
+    """The columns and further ones, which have no share, up to a multiple of 16: rows that begin where cache lines do multiply faster."""
+    if table.shape[1] % 16 == 0:
+        return table
+    out = np.full((len(table), -(-table.shape[1] // 16) * 16), fill, np.float32)
+    out[:, : table.shape[1]] = table
+    return out
+
+
 def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After, rows: np.ndarray | None = None) -> tuple[float, Params]:
     """Mean cross-entropy and its gradients for windows of FAR units (B, FAR) and next classes (B, FAR). Shorter windows are
     filled up at their end with any unit and the class -1, which count for nothing. The gradient of emb is (rows, their gradients).
 
     Queries, keys and values come from one product, and the scale of the queries is part of it; sums over a row are products
-    with ones."""
+    with ones. The classes are gone through PART positions at a time, so that their arrays stay in a core's cache."""
     b, n = units.shape
     d, scale = WIDTH, np.float32(WIDTH**-0.5)
-    i, j = np.arange(n)[:, None], np.arange(n)[None, :]
     rows = (after.row[units] if rows is None else rows).ravel()
-    whole, ones = units.ravel(), np.ones(max(b * n, p["out"].shape[1]), np.float32)
+    table, out, whole = wide(after.table), wide(p["out"], 0.0), units.ravel()
+    ones = np.ones(max(b * n, table.shape[1]), np.float32)
     qkv = np.concatenate([p["wq"] * scale, p["wk"], p["wv"]], axis=1)
-    heads = lambda t: (t[:, c * d : (c + 1) * d].reshape(b, n, d) for c in range(3))
-    x = p["emb"][whole]
-    q, k, v = heads(x @ qkv)
+    x = np.take(p["emb"], whole, axis=0)
+    q, k, v = ((x @ qkv[:, c * d : (c + 1) * d]).reshape(b, n, d) for c in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a += np.where(j <= i, p["rel"][np.clip(i - j, 0, n - 1)], np.float32(-1e9)).astype(np.float32)
-    np.exp(np.minimum(a, 60, out=a), out=a)
+    a += p["rel"][BACK[:n, :n]] + LATER[:n, :n]
+    if a.max() > 60:
+        np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
     a /= (a.reshape(b * n, n) @ ones[:n]).reshape(b, n, 1)
     c = (a @ v).reshape(b * n, d)
     h = c @ p["wo"]
@@ -85,18 +100,26 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After, r
     own = np.flatnonzero(goal >= 0)
     filled = len(own) < b * n
     rows, said, goal = (rows[own], g[own], goal[own]) if filled else (rows, g, goal)
-    here = np.arange(len(own))
-    e = np.take(after.table, rows, axis=0)
-    e += said @ p["out"]
-    if reaches(said, p["out"]):
-        np.minimum(e, 80, out=e)
-    np.exp(e, out=e)
-    total = e @ ones[: e.shape[1]]
-    loss = float(-np.log(np.maximum(e[here, goal] / total, 1e-30)).mean())
-    e *= (np.float32(1 / len(own)) / total)[:, None]
-    e[here, goal] -= np.float32(1 / len(own))
-    grad: Params = {"out": said.T @ e}
-    dg = e @ p["out"].T
+    each, loss = np.float32(1 / len(own)), 0.0
+    of_out, dg, by_class = np.zeros((table.shape[1], d), np.float32), np.empty((len(own), d), np.float32), np.ascontiguousarray(out.T)
+    most = min(PART, len(own))
+    e_all, t_all, here_all = np.empty((most, table.shape[1]), np.float32), np.empty((most, table.shape[1]), np.float32), np.arange(most) * table.shape[1]
+    for at in range(0, len(own), PART):
+        some = said[at : at + PART]
+        m = len(some)
+        e = np.matmul(some, out, out=e_all[:m])
+        e += np.take(table, rows[at : at + m], axis=0, out=t_all[:m], mode="clip")
+        if e.max() > 80:
+            np.minimum(e, 80, out=e)
+        np.exp(e, out=e)
+        total = e @ ones[: e.shape[1]]
+        flat, here = e.reshape(-1), here_all[:m] + goal[at : at + m]
+        loss -= float(np.log(np.maximum(flat[here] / total, 1e-30)).sum())
+        e *= (each / total)[:, None]
+        flat[here] -= each
+        of_out += e.T @ some
+        np.matmul(e, by_class, out=dg[at : at + m])
+    grad: Params = {"out": of_out.T[:, : p["out"].shape[1]]}
     if filled:
         dg, part = np.zeros((b * n, d), np.float32), dg
         dg[own] = part
@@ -107,16 +130,12 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After, r
     dh += dg
     grad["wo"] = c.T @ dh
     dc = dh @ p["wo"].T
-    each = dc.reshape(b, n, d)
-    ds = each @ v.transpose(0, 2, 1)
+    each_c = dc.reshape(b, n, d)
+    ds = each_c @ v.transpose(0, 2, 1)
     ds -= np.einsum("ij,ij->i", dc, c).reshape(b, n, 1)
     ds *= a
-    grad["rel"] = np.bincount(np.maximum(i - j, 0).ravel(), ones[:b] @ ds.reshape(b, n * n), n).astype(np.float32)  # 0 where j > i
-    back = np.empty((b * n, 3 * d), np.float32)
-    dq, dk, dv = heads(back)
-    np.matmul(ds, k, out=dq)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
-    np.matmul(a.transpose(0, 2, 1), each, out=dv)
+    grad["rel"] = np.bincount(BACK[:n, :n].ravel(), ones[:b] @ ds.reshape(b, n * n), n).astype(np.float32)  # 0 where j > i
+    back = np.concatenate([t.reshape(b * n, d) for t in (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ each_c)], axis=1)
     grad["wq"], grad["wk"], grad["wv"] = np.split(x.T @ back, 3, axis=1)
     grad["wq"] *= scale
     dx = back @ qkv.T
@@ -125,12 +144,7 @@ def gradients(p: Params, units: np.ndarray, targets: np.ndarray, after: After, r
     of = whole[order]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     grad["emb"] = (of[first], np.add.reduceat(dx[order], first, axis=0))
-    return loss, grad
-
-
-def reaches(said: np.ndarray, out: np.ndarray) -> bool:
-    """Whether a score may be beyond 80, by a bound of all of them; a log share, which is added, is 0 at most."""
-    return bool(max(said.max(), -said.min()) * np.abs(out).sum(0).max() > 80)
+    return loss / len(own), grad
 
 
 class Adam:
@@ -155,6 +169,7 @@ class Adam:
 
     def train(self, units: np.ndarray, targets: np.ndarray, after: After, rate: float, rows: np.ndarray | None = None) -> list[float]:
         """One pass over the windows; the losses of its steps."""
+        after = After(wide(after.table), after.row)
         rows = after.row[units] if rows is None else rows
         return [self.learn(*(t[at : at + STEP] for t in (units, targets)), after, rate, rows[at : at + STEP]) for at in range(0, len(units), STEP)]
 
@@ -164,44 +179,51 @@ def score(p: Params, units: np.ndarray, targets: np.ndarray, doc: np.ndarray, af
     texts, doc: its text. Each window scores STRIDE positions of a text and sees those before them in the window of the same
     text; windows begin where a text does, so that its score doesn't depend on its neighbours.
 
-    What depends on the unit alone is computed once a unit, and large arrays are used again from block to block."""
+    What depends on the unit alone is computed once a unit, and large arrays are used again from block to block. The counted shares
+    multiply the exponentials of what attention adds; only the target's logarithm is looked up."""
     d, st = WIDTH, STRIDE
     begin = np.flatnonzero(np.diff(doc, prepend=-1))
     size = np.diff(begin, append=len(doc))
     whole = -(-size // st) * st
     place = np.arange(len(doc)) + np.repeat(st + np.cumsum(whole) - whole - begin, size)
     n = int(whole.sum())
-    seen, text, goal, counted = np.zeros(n + st, np.int64), np.full(n + st, -1, np.int64), np.zeros(n + st, np.int64), np.zeros(n + st, np.int64)
-    seen[place], text[place], goal[place], counted[place] = units, doc, targets, after.row[units] if rows is None else rows
-    out = np.empty(n + st, np.float64)
+    rows = after.row[units] if rows is None else rows
+    seen, goal, counted = (np.zeros(n + st, np.int32) for _ in range(3))
+    seen[place], goal[place], counted[place] = units, targets, rows
+    opens = np.zeros(n // st, bool)  # windows with which a text begins: nothing is before
+    opens[(np.cumsum(whole) - whole) // st] = True
     i, j = np.arange(st)[:, None] + st, np.arange(FAR)[None, :]
     bias = np.where(j <= i, p["rel"][np.clip(i - j, 0, FAR - 1)], np.float32(-1e9)).astype(np.float32)
-    by_unit = np.concatenate([p["emb"], p["emb"] @ p["wq"] * np.float32(d**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"] @ p["wo"]], axis=1)
-    classes, ones = p["out"].shape[1], np.ones(max(FAR, p["out"].shape[1]), np.float32)
+    by_unit = p["emb"], p["emb"] @ p["wq"] * np.float32(d**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"] @ p["wo"]
+    share, out, ones = np.exp(wide(after.table)), wide(p["out"], 0.0), np.ones(FAR, np.float32)
     most = min(BLOCK * st, n)
-    row, z, y = np.empty((most + st, 4 * d), np.float32), np.empty((most, classes), np.float32), np.empty((most, classes), np.float32)
+    taken = [np.empty((most + st, d), np.float32) for _ in by_unit]
+    near = np.empty((most // st, st, FAR), np.float32)
+    z, y = (np.empty((most, out.shape[1]), np.float32) for _ in range(2))
+    here = np.arange(most) * out.shape[1]
+    own, total = (np.empty(n + st, np.float32) for _ in range(2))
     for at in range(0, n, most):
         m = min(most, n - at)
-        w = m // st
-        r = np.take(by_unit, seen[at : at + st + m], axis=0, out=row[: st + m], mode="clip")
-        x, q, k, v = (r[:, c * d : (c + 1) * d] for c in range(4))
+        w, now = m // st, slice(at + st, at + st + m)
+        x, q = (np.take(by_unit[t], seen[now], axis=0, out=taken[t][:m], mode="clip") for t in (0, 1))
+        k, v = (np.take(by_unit[t], seen[at : now.stop], axis=0, out=taken[t][: m + st], mode="clip") for t in (2, 3))
         window = lambda t: np.lib.stride_tricks.as_strided(t, (w, FAR, d), (st * t.strides[0], *t.strides))
-        a = np.ascontiguousarray(q[st:]).reshape(w, st, d) @ np.ascontiguousarray(window(k).transpose(0, 2, 1))
+        a = np.matmul(q.reshape(w, st, d), window(k).transpose(0, 2, 1), out=near[:w])
         a += bias
-        np.exp(np.minimum(a, 60, out=a), out=a)
-        of = text[at : at + st + m].reshape(w + 1, st)
-        first = np.flatnonzero(of[:-1, 0] != of[1:, 0])  # windows with which a text begins: nothing is before
-        a[first, :, :st] = 0
+        if a.max() > 60:
+            np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a[opens[at // st : at // st + w], :, :st] = 0
         h = (a @ window(v)).reshape(m, d)
-        h /= (a.reshape(m, FAR) @ ones[:FAR])[:, None]
-        h += x[st:]
+        h /= (a.reshape(m, FAR) @ ones)[:, None]
+        h += x
         f = h @ p["w1"]
         f += p["b1"]
         h += np.maximum(f, 0, out=f) @ p["w2"]
-        s = np.take(after.table, counted[at + st : at + st + m], axis=0, out=y[:m], mode="clip")
-        s += np.matmul(h, p["out"], out=z[:m])
-        if reaches(h, p["out"]):
+        s = np.matmul(h, out, out=z[:m])
+        if s.max() > 80:
             np.minimum(s, 80, out=s)
-        own = s[np.arange(m), goal[at + st : at + st + m]].astype(np.float64)
-        out[at + st : at + st + m] = own - np.log((np.exp(s, out=s) @ ones[: s.shape[1]]).astype(np.float64))
-    return out[place]
+        np.take(s.reshape(-1), here[:m] + goal[now], out=own[now], mode="clip")
+        np.exp(s, out=s)
+        np.einsum("ij,ij->i", s, np.take(share, counted[now], axis=0, out=y[:m], mode="clip"), out=total[now])
+    return own[place] + after.table[rows, targets] - np.log(total[place].astype(np.float64))

@@ -34,6 +34,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -214,6 +215,35 @@ def _counted(docs: DataFrame, ranks, folds: int, held_out: int) -> DataFrame:
     return docs.mapInArrow(count, "kind string, word string, id bigint, n bigint, m bigint, window array<int>")
 
 
+class Lookup:
+    """Where 64-bit hashes are in an array of different ones, in order: by their first bits, which leave a few places at most."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        bits = max(4, int(len(table)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        n = np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.most = int(n.max())
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(n, out=self.first[1:])
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are in the table, where they are)."""
+        own, at = [], []
+        slot = (keys >> self.shift).astype(np.int64)
+        first, end = self.first[slot], self.first[slot + 1]
+        open_ = np.flatnonzero(first < end)
+        for k in range(self.most):
+            where = first[open_] + k
+            hit = self.table[where] == keys[open_]
+            own.append(open_[hit])
+            at.append(where[hit])
+            open_ = open_[~hit & (where + 1 < end[open_])]
+            if not len(open_):
+                break
+        return (np.concatenate(own), np.concatenate(at)) if own else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 @dataclass
 class Classes:
     """What the counts say. unit: of each subword id; label and row: of each unit its class and its row of inner, which has the
@@ -233,20 +263,37 @@ class Classes:
     spelling: Spelling | None = None
     weight: float = AFTER_WEIGHTS[0]
 
+    @cached_property
+    def found(self) -> Lookup:
+        return Lookup(self.beginnings)
+
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """Each unit's hash as the beginning of a word."""
+        return mixed(np.arange(self.n_units, dtype=np.uint64) + np.uint64(1))
+
     def rows(self, whole: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Rows of after for beginnings of words, by their hashes, and their last units."""
-        if not len(self.beginnings):
-            return self.after.row[units]
-        at = np.minimum(np.searchsorted(self.beginnings, whole), len(self.beginnings) - 1)
-        return np.where(self.beginnings[at] == whole, self.more + at, self.after.row[units])
+        out = self.after.row[units]
+        if len(self.beginnings):
+            own, at = self.found(whole)
+            out[own] = self.more + at
+        return out
 
     def running(self, units: np.ndarray) -> np.ndarray:
-        """Rows of after for each unit of windows; a word that began before its window goes by its last unit."""
-        whole, alone = np.empty(units.shape, np.uint64), mixed(units.astype(np.uint64) + np.uint64(1))
-        for k in range(units.shape[1]):
-            on = mixed(whole[:, k - 1] * np.uint64(31) + alone[:, k]) if k else np.uint64(0)
-            whole[:, k] = np.where(self.starts[units[:, k]], alone[:, k], on)
-        return self.rows(whole, units)
+        """Rows of after for each unit of windows; a word that began before its window goes by its last unit. A unit that begins a
+        word has no longer beginning to be looked up."""
+        by_place = np.ascontiguousarray(units.T)
+        out, starts = self.after.row[by_place], self.starts[by_place]
+        whole = np.zeros(len(units), np.uint64)
+        for u, begins, rows in zip(by_place, starts, out, strict=True):
+            later, first = np.flatnonzero(~begins), np.flatnonzero(begins)
+            on = mixed(whole[later] * np.uint64(31) + self.alone[u[later]])
+            whole[later], whole[first] = on, self.alone[u[first]]
+            if len(self.beginnings):
+                own, at = self.found(on)
+                rows[later[own]] = self.more + at
+        return np.ascontiguousarray(out.T)
 
 
 def _followers(windows: DataFrame, unit, row, n_rows: int, n_units: int) -> np.ndarray:
@@ -304,14 +351,24 @@ class Spelling:
     total: np.ndarray
     left: np.ndarray
 
+    @cached_property
+    def of_begun(self) -> Lookup:
+        return Lookup(self.begun)
+
+    @cached_property
+    def of_group(self) -> Lookup:
+        return Lookup(self.group)
+
 
 def _beginnings(units: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word's beginning up to each subword; hash of the beginning before it and its class; hash of that beginning),
     for words in a row whose first subwords are at ``first``."""
     place = np.arange(len(units)) - np.repeat(first, np.diff(first, append=len(units)))
     whole, before = mixed(units.astype(np.uint64) + np.uint64(1)), np.zeros(len(units), np.uint64)
+    at = np.flatnonzero(place == 0)
     for k in range(1, int(place.max(initial=0)) + 1):
-        at = np.flatnonzero(place == k)
+        at = at[at + 1 < len(units)] + 1
+        at = at[place[at] == k]  # of the words that go on
         before[at] = whole[at - 1]
         whole[at] = mixed(before[at] * np.uint64(31) + whole[at])
     return whole, _group(before, label[units]), before
@@ -414,13 +471,12 @@ def _spelled(classes: Classes, units: np.ndarray, first: np.ndarray) -> np.ndarr
     before = np.roll(units, 1)
     less = np.exp(classes.inner[classes.row[before], units].astype(float))
 
-    def found(keys: np.ndarray, table: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-        if not len(table):
-            return [np.zeros(len(keys)) for _ in values]
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return [np.where(table[at] == keys, v[at], 0.0) for v in values]
-
-    (n,), (total, left) = found(whole, s.begun, s.n), found(group, s.group, s.total, s.left)
+    n, total, left = np.zeros((3, len(units)))
+    if len(s.begun):
+        own, at = s.of_begun(whole)
+        n[own] = s.n[at]
+        own, at = s.of_group(group)
+        total[own], left[own] = s.total[at], s.left[at]
     share = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + left * less) / np.maximum(total, 1), less)
     share[first] = 1
     return np.log(share).astype(np.float32)

@@ -289,3 +289,37 @@ def test_training_sends_ids_of_two_bytes_and_its_windows_go(spark, fitted):
         m.setattr(kind, "repartitionById", lambda self, *a: sent.append(dict(self.dtypes)["window"]) or repartition(self, *a))
         lm._trained(windows, classes, 600)
     assert sent == ["array<smallint>"] * lm.ROUNDS
+
+
+def test_hashes_are_found_where_they_are_without_a_search_of_the_whole_table(fitted, monkeypatch):
+    rng = np.random.default_rng(0)
+    edges = np.array([0, 1, 2, 3, 2**63, 2**64 - 2, 2**64 - 1], np.uint64)  # some share their first bits
+    for table in (edges[:0], edges[-1:], edges, np.unique(np.concatenate([edges, rng.integers(0, 2**64, 3000, np.uint64)]))):
+        keys = np.concatenate([rng.permutation(table), rng.integers(0, 2**64, 500, np.uint64), edges, table[:9]])
+        own, at = lm.Lookup(table)(keys)
+        assert sorted(own.tolist()) == np.flatnonzero(np.isin(keys, table)).tolist() and (table[at] == keys[own]).all()
+    c, monkeypatched = fitted.model.classes, []
+    units = rng.integers(0, c.n_units, (50, attention.FAR))
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **_: monkeypatched.append(a))
+    rows, place = c.running(units), dict(zip(c.beginnings.tolist(), range(len(c.beginnings)), strict=True))
+    assert not monkeypatched
+    for u, r in zip(units.tolist(), rows.tolist(), strict=True):
+        h = 0
+        for unit, row in zip(u, r, strict=True):
+            alone = mix(unit + 1)
+            h = alone if c.starts[unit] else mix((h * 31 + alone) % 2**64)
+            assert row == (c.more + place[h] if h in place else c.after.row[unit])
+
+
+def test_classes_in_parts_have_the_gradients_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    p, after = attention.start(30, 21), attention.After(np.log(rng.dirichlet(np.ones(21), 6)).astype(np.float32), np.arange(30) % 6)
+    p["out"] += rng.standard_normal(p["out"].shape).astype(np.float32)
+    u, t = rng.integers(0, 30, (7, attention.FAR)), rng.integers(-1, 21, (7, attention.FAR))
+    loss, grad = attention.gradients(p, u, t, after)
+    monkeypatch.setattr(attention, "PART", 50)
+    got, parts = attention.gradients(p, u, t, attention.After(attention.wide(after.table), after.row))
+    assert got == pytest.approx(loss, rel=1e-6) and grad["out"].shape == p["out"].shape
+    assert (grad["emb"][0] == parts["emb"][0]).all()
+    for k, g in grad.items():
+        assert np.allclose(*(x[1] if k == "emb" else x for x in (g, parts[k])), atol=1e-6), k
